@@ -169,7 +169,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest_digits: int = 64, mem
 
 def without_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are; of rows that repeat id and text, one stays."""
-    stay = exact_dedup(docs, keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    stay = exact_dedup(docs, keep).filter("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    once = docs.withColumn("_sha", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == stay["_sha"]), "left_semi")
-    return once.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    once = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_sha": sha}).join(stay, ["_id", "_sha"], "left_semi")
+    return once.dropDuplicates(["_id", "_sha"]).select(*docs.columns)

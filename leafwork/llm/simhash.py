@@ -158,7 +158,148 @@ def simhash(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
-    """``docs`` with one row, that of the smallest doc_id, of each component; all columns as they are, one of rows that repeat a doc_id."""
-    stay = simhash(docs, width, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+#: Odd factors and a finalizer that make further hashes out of one.
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; fewer words are one shingle, none give none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """``parts`` independent 64-bit fingerprints of a set of hashes."""
+    out = np.zeros(parts, np.uint64)
+    for i in range(parts if len(hashes) else 0):
+        h = hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)
+        for factor, shift in zip(_MIX, (30, 27), strict=True):
+            h = (h ^ (h >> np.uint64(shift))) * factor
+        h ^= h >> np.uint64(31)
+        places = h.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        set_bits = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BITS
+        out[i] = int.from_bytes(np.packbits(2 * set_bits.ravel() > len(h)).tobytes(), "big")
+    return out
+
+
+class _Routes:
+    """The blocks of each row's wide fingerprint, cut from as many 64-bit parts as they need, and one part more to compare by."""
+
+    def __init__(self, width: int, bits: int, bands: int):
+        self.width, self.bits, self.bands, self.each = width, bits, bands, 64 // bits
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, mask = -(-self.bands // self.each), np.uint64((1 << self.bits) - 1)
+        shifts = np.arange(self.each, dtype=np.uint64) * np.uint64(self.bits)
+        for batch in batches:
+            fps, blocks, sets = [], [], []
+            for text in batch.column("text"):
+                hashes = shingles(text.as_py(), self.width)
+                wide = wide_fingerprint(hashes, parts + 1)
+                fps.append(wide[-1])
+                blocks.append(((wide[:-1, None] >> shifts) & mask).ravel()[: self.bands].astype(np.int64))
+                sets.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            flat = pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, self.bands, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.uint64).view(np.int64)), lists], ["doc_id", "fp", "same", "blocks"])
+
+
+class _Candidates(_Tiles):
+    """Pairs of a tile within the radius whose labels differ; with ``once``, each row's first such partner alone."""
+
+    def __init__(self, radius: int, once: bool):
+        super().__init__(radius)
+        self.once = once
+
+    def out(self, t: pa.Table, tiles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, ids, labels = t.column("fp").to_numpy().view(np.uint64), t.column("id").to_numpy(), t.column("label").to_numpy()
+        count = np.bitwise_count(fps).astype(np.int64)
+        order = np.lexsort((ids, count, tiles))
+        fps, ids, labels, tiles, count = fps[order], ids[order], labels[order], tiles[order], count[order]
+        at, step, met = np.arange(len(fps)), 1, np.zeros(len(fps), bool)
+        while len(at):
+            at = at[at + step < len(fps)]
+            at = at[(tiles[at] == tiles[at + step]) & (count[at + step] - count[at] <= self.radius)]
+            near = at[(labels[at] != labels[at + step]) & (np.bitwise_count(fps[at] ^ fps[at + step]) <= self.radius)]
+            if self.once:
+                near = near[~met[near + step]]
+                met[near + step] = True
+            if len(near):
+                a, b = ids[near], ids[near + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            step += 1
+
+
+class _Similar:
+    def __init__(self, width: int, similarity: float):
+        self.width, self.similarity = width, similarity
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text"), batch.column("other"), strict=True):
+                x, y = shingles(x.as_py(), self.width), shingles(y.as_py(), self.width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= self.similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """doc_id, component_id: one row per distinct non-null doc_id. Documents whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Fingerprints are as wide as it takes: of two sets at the similarity, each bit differs with a known probability,
+    and there are so many blocks of bits that no block of theirs agrees with probability ``miss`` at most; the blocks
+    grow with the number of documents, so tiles do not. Pairs within a tile that are close by 64 further bits are
+    candidates, and each is checked by its sets. First every row meets one partner a tile; then those pairs that
+    verified links have not joined meet. Texts without words have equal, empty sets. Null texts count as empty, rows
+    that repeat a doc_id count once (their least text), very long texts are read whole, an empty table gives an empty result.
+    """
+    d = text_of(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats_ids(docs) else text_of(docs).filter("doc_id IS NOT NULL")
+    n = max(2, docs.count())
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = int(min(32, max(8, np.ceil(np.log2(n)) - 5)))
+    bands = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
+    radius = int(np.ceil(64 * differ + 3.5 * np.sqrt(64 * differ * (1 - differ))))
+    rows = written(d.mapInArrow(_Routes(width, bits, bands), "doc_id long, fp long, same long, blocks array<long>"))
+    # equal sets meet as one kind, named after its smallest document
+    kinds = rows.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "blocks")).alias("x"), F.count("*").alias("rows"))
+    kinds = written(kinds.select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.blocks", "rows"))
+    texts = d.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+
+    def verified(labels: DataFrame, once: bool) -> DataFrame:
+        routed = kinds.select("id", "fp", F.posexplode("blocks").alias("band", "block")).join(labels, "id") if labels else kinds.select("id", F.col("id").alias("label"), "fp", F.posexplode("blocks").alias("band", "block"))
+        met = routed.select("band", "block", F.lit(0).alias("tile"), "fp", "id", "label").repartition("band", "block").sortWithinPartitions("band", "block")
+        pairs = written(met.mapInArrow(_Candidates(radius, once), "a long, b long").distinct())
+        of = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        of = written(of)
+        both = pairs.join(of.withColumnRenamed("doc_id", "a"), "a").join(of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        return written(both.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
+
+    first = verified(None, True)
+    joined = components(first)
+    labels = written(kinds.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+    rest = verified(labels, False)
+    joined = components(first.union(rest))
+    named = kinds.join(joined.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
+    out = join_by_weight(rows.select("doc_id", "same"), written(named), ["same"], "rows", n, F.xxhash64("doc_id"))
+    return out.select("doc_id", "component_id")
+
+
+def _repeats_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id is on several rows; ids that are on one, as in most tables, need no grouping of texts."""
+    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row, that of the smallest doc_id, of each component of near copies; all columns as they are.
+
+    Rows without a doc_id stay; of rows that repeat a doc_id one stays.
+    """
+    gone = near_copies(docs, width, similarity).filter("doc_id <> component_id").select("doc_id")
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return stay.filter("doc_id IS NULL").unionByName(stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
