@@ -1 +1,96 @@
+"""Queries of layout."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from leafwork.operators import layout as o
+from leafwork.sources.writers import column_letters
+
+from .registry import Tables, query
+from .scalars import WIDTH
+
+
+@query("SELECT doc_id, page_no, text FROM page_text")
+def a1_page_text(t: Tables) -> DataFrame:
+    return o.page_text(t.paint_op)
+
+
+@query("SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) - 1 AS block_id, text, x, y, font_size * 1.2 AS height, font_size FROM text_block")
+def w4_interpret_text_ops(t: Tables) -> DataFrame:
+    return o.interpret_text_ops(t.paint_op)
+
+
+@query(f"""WITH r AS (SELECT doc_id, CAST(floor(pos / 5) AS BIGINT) AS grp, pos, word, word AS text FROM doc_words WHERE word <> ''), a AS (SELECT *, {WIDTH} * 11 + length(text) * 0.5 - (pos % 3) * 10 / 1000.0 * 11 AS adv FROM r)
+ SELECT doc_id, grp, pos AS seq, round(CAST(50 + coalesce(sum(adv) OVER (PARTITION BY doc_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE), 4) AS x FROM a""")
+def w5_run_advance(t: Tables) -> DataFrame:
+    runs = t.doc_words.filter("word <> ''").select("doc_id", F.lit(0).alias("page_no"), F.expr("pos div 5").alias("grp"), F.col("pos").alias("seq"), F.col("word").alias("text"), F.lit(50.0).alias("x0"), F.lit(11.0).alias("size"), (F.col("pos") % 3 * 10).alias("kern"))
+    return o.run_advance(runs, char_space=0.5).select("doc_id", "grp", "seq", F.round("x", 4).alias("x"))
+
+
+GRID = "WITH g AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY floor(block_id / 5)) - 1 AS r, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY (page_no * 200 + block_id) % 5) - 1 AS c FROM grid_block)"
+
+
+@query(f'{GRID} SELECT doc_id, page_no, block_id, r AS "row", c AS col FROM g')
+def w6_cluster_rows(t: Tables) -> DataFrame:
+    return o.cluster_rows(t.grid_block).select("doc_id", "page_no", "block_id", "row", "col")
+
+
+@query("""WITH p AS (SELECT doc_id, page_no, list_sort(list(DISTINCT x)) AS xs FROM grid_block GROUP BY ALL) SELECT doc_id, page_no, CAST(len(list_distinct(list_transform(xs, lambda v: floor((v - 50) / 100)))) AS BIGINT) AS n_columns FROM p""")
+def w6_column_count(t: Tables) -> DataFrame:
+    return o.cluster_rows(t.grid_block).groupBy("doc_id", "page_no").agg((F.max("col") + 1).alias("n_columns"))
+
+
+@query(f"""{GRID}, n AS (SELECT doc_id, page_no, max(c) AS m FROM g GROUP BY ALL), x AS (SELECT doc_id, page_no, r, CASE WHEN m = 0 THEN 0 ELSE c END AS c, string_agg(trim(text), ' ' ORDER BY x, block_id) AS text FROM g JOIN n USING (doc_id, page_no) WHERE trim(text) <> '' GROUP BY ALL)
+ SELECT doc_id, page_no, r AS "row", max(text) FILTER (c = 0) AS "A", max(text) FILTER (c = 1) AS "B", max(text) FILTER (c = 2) AS "C", max(text) FILTER (c = 3) AS "D", max(text) FILTER (c = 4) AS "E" FROM x GROUP BY ALL""")
+def s9_write_grid(t: Tables) -> DataFrame:
+    return o.write_grid(o.grid_cells(t.grid_block), list("ABCDE"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) ELSE chr(CAST(65 + (p_partkey - 702) // 676 AS INTEGER)) || chr(CAST(65 + ((p_partkey - 26) // 26 - 26) % 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey < 18278")
+def s9_column_letters(t: Tables) -> DataFrame:
+    return t.part.filter("p_partkey < 18278").select("p_partkey", column_letters(F.col("p_partkey")).alias("letters"))
+
+
+@query(f"{GRID} SELECT doc_id, page_no, block_id, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r, x, block_id) - 1 AS place FROM g")
+def t1_reading_order(t: Tables) -> DataFrame:
+    return o.reading_order(t.grid_block)
+
+
+@query("""WITH b AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS tt, lag(y) OVER w - y AS pitch, lag(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) OVER w AS prev, row_number() OVER w AS seq FROM text_block WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y DESC, x, block_id)),
+ f AS (SELECT *, CASE WHEN coalesce(pitch > 0 AND pitch <= 1.8 * greatest(font_size, 10) AND NOT regexp_matches(prev, '[。.!?:；;]$|^[・\\-*]'), false) THEN 0 ELSE 1 END AS new FROM b), p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY seq) - 1 AS para FROM f)
+ SELECT doc_id, page_no, CAST(para AS BIGINT) AS para, string_agg(CASE WHEN new = 0 AND regexp_matches(tt, '^[A-Za-z0-9]') THEN ' ' || tt ELSE tt END, '' ORDER BY seq) AS text FROM p GROUP BY ALL""")
+def w7_paragraphs(t: Tables) -> DataFrame:
+    return o.paragraphs(t.text_block)
+
+
+def _marked(t: Tables) -> DataFrame:
+    """Text blocks as marked spans: every eighth a watermark with all it holds, every other fourth an ordinary span."""
+    block = F.expr("seq div 5")
+    op = F.when((F.col("op") == "BT") & (block % 4 == 0), "BDC").when((F.col("op") == "ET") & (block % 4 == 0), "EMC").otherwise(F.col("op"))
+    return t.paint_op.select("doc_id", "page_no", "seq", op.alias("op"), F.when(block % 8 == 0, "Watermark").otherwise("Span").alias("name"))
+
+
+@query("SELECT doc_id, page_no, seq FROM paint_op WHERE floor(seq / 5) % 8 <> 0")
+def w8_strip_spans(t: Tables) -> DataFrame:
+    return o.strip_spans(_marked(t)).select("doc_id", "page_no", "seq")
+
+
+@query("SELECT doc_id, page_no, seq, 'Im' AS name, greatest(1e0, sqrt(x * x + 9)) AS w, greatest(1e0, y / 10) AS h FROM (SELECT doc_id, page_no, seq - 1 AS s0, seq, op FROM paint_op WHERE op = 'Tj') d JOIN (SELECT doc_id, page_no, seq AS s0, a AS x, b AS y FROM paint_op WHERE op IN ('Tm', 'Td')) m USING (doc_id, page_no, s0)")
+def w9_image_placements(t: Tables) -> DataFrame:
+    op = F.when(F.col("op").isin("Tm", "Td"), "cm").when(F.col("op") == "Tj", "Do").otherwise(F.col("op"))
+    ops = t.paint_op.select("doc_id", "page_no", "seq", op.alias("op"), F.lit("Im").alias("name"), "a", F.lit(3.0).alias("b"), F.lit(0.0).alias("c"), (F.col("b") / 10).alias("d"))
+    return o.image_placements(ops)
+
+
+BLANK = "SELECT doc_id, pos, CASE WHEN pos % 5 IN (1, 2) THEN '  ' ELSE concat(' ', line) END AS line FROM doc_lines"
+
+
+@query(f"""WITH b AS (SELECT doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM ({BLANK}) x), l AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM b) SELECT doc_id, pos, line FROM l WHERE line <> '' OR prev IS NULL OR prev <> ''""")
+def w11_collapse_blank_lines(t: Tables) -> DataFrame:
+    return o.collapse_blank_lines(t.doc_lines.withColumn("line", F.when(F.col("pos") % 5 < 1, F.concat(F.lit(" "), "line")).when(F.col("pos") % 5 < 3, "  ").otherwise(F.concat(F.lit(" "), "line"))))
+
+
+@query()
+def w13_wrap_text(t: Tables) -> DataFrame:
+    return o.wrap_text(t.doc_lines, 400, 11)
