@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: The largest number of rows that ``join_by_weight`` broadcasts: a key that holds 1/PARTS of all rows can occur PARTS times at most.
 PARTS = 1000
@@ -66,6 +69,30 @@ def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: s
     return both.select(*left.columns, *(F.col(f"_got.{c}").alias(c) for c in values))
 
 
+def claims(keys: DataFrame, name: str, bits: int = 1 << 23) -> Column:
+    """A filter of a fixed size over the column ``name`` of ``keys``, as a test of a column of that name in another table.
+
+    It claims every key and few others; when crowded, more others: it saves shuffles and decides nothing.
+    """
+    words = bits // 63
+    place = [F.pmod(F.xxhash64(name, F.lit(i)), F.lit(words * 63)) for i in range(3)]
+    rows = keys.select(F.explode(F.array(*place)).alias("p")).groupBy(F.expr("p div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("b"))
+    # at most ``words`` rows come to the driver, whatever the input
+    table = np.zeros(words, np.int64)
+    for w, b in rows.collect():
+        table[w] = b
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        sure = np.ones(len(a), bool)
+        for p in (a.to_numpy(), b.to_numpy(), c.to_numpy()):
+            sure &= (shared.value[p // 63] >> (p % 63)) & 1 == 1
+        return pd.Series(sure)
+
+    return test(*place)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node, component its smallest node.
 

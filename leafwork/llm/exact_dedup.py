@@ -11,12 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import join_by_weight, lower_ascii, written
+from .common import claims, join_by_weight, lower_ascii, written
 
 WORD = np.dtype("<u8")
 
@@ -109,27 +107,6 @@ def _compaction(keep: str):
     return compact
 
 
-def _claimed(hits: DataFrame, bits: int):
-    """A filter of a fixed size over the hits' digests, as a test of a digest column. It claims every hit and few others; when crowded, more others."""
-    words = bits // 63
-    place = F.array(*(F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(words * 63)) for i in range(3)))
-    rows = hits.select(F.explode(place).alias("p")).groupBy(F.expr("p div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("b"))
-    # at most ``words`` rows come to the driver, whatever the input
-    table = np.zeros(words, np.int64)
-    for w, b in rows.collect():
-        table[w] = b
-    shared = hits.sparkSession.sparkContext.broadcast(table)
-
-    @pandas_udf("boolean")
-    def claims(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        sure = np.ones(len(a), bool)
-        for p in (a, b, c):
-            sure &= (shared.value[p // 63] >> (p % 63)) & 1 == 1
-        return pd.Series(sure)
-
-    return claims(*(place[i] for i in range(3)))
-
-
 def exact_dedup(docs: DataFrame, keep: str = "min", digest_digits: int = 64, memtable: int = 100_000, shard_rows: int = 500_000, filter_bits: int = 1 << 23) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row, dropped ones too.
 
@@ -146,7 +123,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest_digits: int = 64, mem
     runs = d.select("doc_id", "digest").mapInArrow(_Memtables(shards, memtable, keep), "shard int, width int, keys binary, ids binary, counts binary, bits binary, n_bits long")
     hits = written(runs.groupBy("shard").applyInArrow(_compaction(keep), "digest string, keep_id long, group_size long"))
 
-    marked = d.withColumn("_claimed", _claimed(hits, filter_bits))
+    marked = d.withColumn("_claimed", claims(hits, "digest", filter_bits))
     alone = marked.filter("NOT _claimed").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     found = join_by_weight(marked.filter("_claimed").drop("_claimed"), hits, ["digest"], "group_size", total, F.xxhash64("doc_id"))
     found = written(found)

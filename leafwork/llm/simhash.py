@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, join_by_weight, text_of, written
+from .common import claims, components, join_by_weight, text_of, written
 
 #: The bits of each byte value, first the highest.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -188,7 +188,7 @@ def wide_fingerprint(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 class _Routes:
-    """The blocks of each row's wide fingerprint, cut from as many 64-bit parts as they need, and one part more to compare by."""
+    """The blocks of each row's wide fingerprint, cut from as many 64-bit parts as they need, and two parts more to compare by."""
 
     def __init__(self, width: int, bits: int, bands: int):
         self.width, self.bits, self.bands, self.each = width, bits, bands, 64 // bits
@@ -197,16 +197,17 @@ class _Routes:
         parts, mask = -(-self.bands // self.each), np.uint64((1 << self.bits) - 1)
         shifts = np.arange(self.each, dtype=np.uint64) * np.uint64(self.bits)
         for batch in batches:
-            fps, blocks, sets = [], [], []
+            fps, blocks, sets = [], [], []  # of each row
             for text in batch.column("text"):
                 hashes = shingles(text.as_py(), self.width)
-                wide = wide_fingerprint(hashes, parts + 1)
-                fps.append(wide[-1])
-                blocks.append(((wide[:-1, None] >> shifts) & mask).ravel()[: self.bands].astype(np.int64))
+                wide = wide_fingerprint(hashes, parts + 2)
+                fps.append(wide[-2:])
+                blocks.append(((wide[:-2, None] >> shifts) & mask).ravel()[: self.bands].astype(np.int64))
                 sets.append(xxhash.xxh64_intdigest(hashes.tobytes()))
             flat = pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, self.bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.uint64).view(np.int64)), lists], ["doc_id", "fp", "same", "blocks"])
+            one, two = np.array(fps, np.uint64).reshape(-1, 2).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one), pa.array(two), pa.array(np.array(sets, np.uint64).view(np.int64)), lists], ["doc_id", "fp", "fp2", "same", "blocks"])
 
 
 class _Candidates(_Tiles):
@@ -217,15 +218,16 @@ class _Candidates(_Tiles):
         self.once = once
 
     def out(self, t: pa.Table, tiles: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps, ids, labels = t.column("fp").to_numpy().view(np.uint64), t.column("id").to_numpy(), t.column("label").to_numpy()
-        count = np.bitwise_count(fps).astype(np.int64)
+        fps, more, ids, labels = t.column("fp").to_numpy().view(np.uint64), t.column("fp2").to_numpy().view(np.uint64), t.column("id").to_numpy(), t.column("label").to_numpy()
+        count = np.bitwise_count(fps).astype(np.int64) + np.bitwise_count(more)
         order = np.lexsort((ids, count, tiles))
-        fps, ids, labels, tiles, count = fps[order], ids[order], labels[order], tiles[order], count[order]
+        fps, more, ids, labels, tiles, count = fps[order], more[order], ids[order], labels[order], tiles[order], count[order]
         at, step, met = np.arange(len(fps)), 1, np.zeros(len(fps), bool)
         while len(at):
             at = at[at + step < len(fps)]
             at = at[(tiles[at] == tiles[at + step]) & (count[at + step] - count[at] <= self.radius)]
-            near = at[(labels[at] != labels[at + step]) & (np.bitwise_count(fps[at] ^ fps[at + step]) <= self.radius)]
+            apart = np.bitwise_count(fps[at] ^ fps[at + step]).astype(np.int64) + np.bitwise_count(more[at] ^ more[at + step])
+            near = at[(labels[at] != labels[at + step]) & (apart <= self.radius)]
             if self.once:
                 near = near[~met[near + step]]
                 met[near + step] = True
@@ -254,7 +256,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss:
 
     Fingerprints are as wide as it takes: of two sets at the similarity, each bit differs with a known probability,
     and there are so many blocks of bits that no block of theirs agrees with probability ``miss`` at most; the blocks
-    grow with the number of documents, so tiles do not. Pairs within a tile that are close by 64 further bits are
+    grow with the number of documents, so tiles do not. Pairs within a tile that are close by 128 further bits are
     candidates, and each is checked by its sets. First every row meets one partner a tile; then those pairs that
     verified links have not joined meet. Texts without words have equal, empty sets. Null texts count as empty, rows
     that repeat a doc_id count once (their least text), very long texts are read whole, an empty table gives an empty result.
@@ -264,25 +266,24 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss:
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = int(min(32, max(8, np.ceil(np.log2(n)) - 5)))
     bands = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
-    radius = int(np.ceil(64 * differ + 3.5 * np.sqrt(64 * differ * (1 - differ))))
-    rows = written(d.mapInArrow(_Routes(width, bits, bands), "doc_id long, fp long, same long, blocks array<long>"))
+    radius = int(np.ceil(128 * differ + 3.5 * np.sqrt(128 * differ * (1 - differ))))
+    rows = written(d.mapInArrow(_Routes(width, bits, bands), "doc_id long, fp long, fp2 long, same long, blocks array<long>"))
     # equal sets meet as one kind, named after its smallest document
-    kinds = rows.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "blocks")).alias("x"), F.count("*").alias("rows"))
-    kinds = written(kinds.select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.blocks", "rows"))
-    texts = d.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    kinds = rows.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "fp2", "blocks")).alias("x"), F.count("*").alias("rows"))
+    kinds = written(kinds.select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.fp2", "x.blocks", "rows"))
 
     def verified(labels: DataFrame, once: bool) -> DataFrame:
-        routed = kinds.select("id", "fp", F.posexplode("blocks").alias("band", "block")).join(labels, "id") if labels else kinds.select("id", F.col("id").alias("label"), "fp", F.posexplode("blocks").alias("band", "block"))
-        met = routed.select("band", "block", F.lit(0).alias("tile"), "fp", "id", "label").repartition("band", "block").sortWithinPartitions("band", "block")
+        routed = labels.select("id", "label", "fp", "fp2", F.posexplode("blocks").alias("band", "block"))
+        met = routed.select("band", "block", F.lit(0).alias("tile"), "fp", "fp2", "id", "label").repartition("band", "block").sortWithinPartitions("band", "block")
         pairs = written(met.mapInArrow(_Candidates(radius, once), "a long, b long").distinct())
-        of = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        of = written(of)
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        of = written(d.filter(claims(ids, "doc_id")).join(ids, "doc_id", "left_semi"))
         both = pairs.join(of.withColumnRenamed("doc_id", "a"), "a").join(of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
         return written(both.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
 
-    first = verified(None, True)
+    first = verified(kinds.withColumn("label", F.col("id")), True)
     joined = components(first)
-    labels = written(kinds.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+    labels = kinds.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     rest = verified(labels, False)
     joined = components(first.union(rest))
     named = kinds.join(joined.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
