@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leafwork.functions.geometry import DEFAULT_HEIGHT, DEFAULT_WIDTH, anchor
+from leafwork.functions.geometry import DEFAULT_WIDTH, anchor
 
 DOC = Window.partitionBy("doc_id").orderBy("page_no")
 
@@ -123,4 +123,4 @@ def rotate(rotation: Column, by: int) -> Column:
     return F.pmod(rotation + by, F.lit(360))
 
 
-__all__ = ["DEFAULT_HEIGHT", "bates_number", "delete_page", "distinct_pages", "doc_offsets", "duplicate_page", "extract_pages", "header_footer", "merge_documents", "merge_offsets", "move_page", "page_numbers", "rotate"]
+

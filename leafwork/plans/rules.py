@@ -1 +1,108 @@
+"""Queries of rule sets."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from leafwork.operators import graph, pipeline, rules as r
+
+from .registry import Tables, query
+
+INK = "CASE WHEN op IN ('k', 'K') THEN c + m + y + k END"
+
+
+@query(f"SELECT doc_id, page_no, round(coalesce(max({INK}), 0) * 100, 6) AS max_coverage, round(coalesce(avg({INK}), 0) * 100, 6) AS avg_coverage, coalesce(max({INK}), 0) > 3 AS warning FROM ink_op GROUP BY ALL")
+def a7_ink_coverage(t: Tables) -> DataFrame:
+    return r.ink_coverage(t.ink_op).withColumns({c: F.round(c, 6) for c in ("max_coverage", "avg_coverage")})
+
+
+@query("""WITH u AS (SELECT doc_id, page_no, op = 'rg' AS rgb, op IN ('k', 'K') AS cmyk, false AS gray FROM ink_op UNION ALL SELECT doc_id, CAST(0 AS BIGINT), contains(colorspace, 'RGB'), contains(colorspace, 'CMYK'), false FROM image), p AS (SELECT doc_id, page_no, bool_or(rgb) AS rgb, bool_or(cmyk) AS cmyk, bool_or(gray) AS gray FROM u GROUP BY ALL)
+ SELECT *, bool_or(rgb) OVER (PARTITION BY doc_id) AS needs_cmyk FROM p""")
+def a8_color_usage(t: Tables) -> DataFrame:
+    return r.color_usage(t.ink_op.select("doc_id", "page_no", "op", F.lit(None).cast("string").alias("name")), t.image.select("doc_id", F.lit(0).cast("long").alias("page_no"), "colorspace"))
+
+
+@query("SELECT doc_id, count(*) AS total, count(*) FILTER (embedded) AS embedded, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (NOT embedded), '') AS not_embedded FROM font GROUP BY doc_id")
+def a9_font_inventory(t: Tables) -> DataFrame:
+    return r.font_inventory(t.font).withColumn("not_embedded", F.array_join("not_embedded", ","))
+
+
+@query(f"""WITH f AS (SELECT doc_id, count(DISTINCT name) FILTER (NOT embedded) AS e FROM font GROUP BY doc_id), c AS (SELECT doc_id, bool_or(contains(colorspace, 'RGB')) AS rgb, bool_or(contains(colorspace, 'CMYK')) AS cmyk FROM image GROUP BY doc_id),
+ i AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, page_no FROM ink_op GROUP BY ALL HAVING max({INK}) > 3) x GROUP BY doc_id), p AS (SELECT doc_id, count(*) AS n FROM page WHERE width < 300 OR height < 300 GROUP BY doc_id),
+ s AS (SELECT d.doc_id, coalesce(f.e, 0) AS errors, CASE WHEN rgb AND cmyk THEN 1 ELSE 0 END + coalesce(i.n, 0) + coalesce(p.n, 0) AS warnings FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id)
+ SELECT doc_id, errors, warnings, greatest(0, 100 - 10 * errors - 5 * warnings) AS score, errors = 0 AS passed FROM s""")
+def a10_preflight(t: Tables) -> DataFrame:
+    return r.preflight(t.documents, t.font, t.ink_op, t.image, t.page)
+
+
+@query("""SELECT doc_id, CAST(0 AS BIGINT) AS "index", field_name AS name, coalesce(signer, '') AS signer, 'signed_unverified_cms' AS status, CAST(1 AS BIGINT) AS "count" FROM signature""")
+def a12_signature_report(t: Tables) -> DataFrame:
+    report = r.signature_report(t.signature)
+    return r.select_signature(report, t.signature.select("doc_id", F.lit(0).alias("index")).distinct()).withColumn("index", F.col("index").cast("long"))
+
+
+#: Flags that the fixture lacks, made of the document's number.
+MORE = {"has_xmp": 2, "has_xfa": 17, "has_postscript": 19, "has_opi": 23, "has_embedded_files": 29, "has_external_refs": 31}
+
+
+def flags(t: Tables) -> DataFrame:
+    more = {c: (F.col("doc_id") % n != 0) if c == "has_xmp" else (F.col("doc_id") % n == 0) for c, n in MORE.items()}
+    return t.doc_flags.withColumns(more)
+
+
+@query("""WITH f AS (SELECT doc_id, bool_and(embedded) AS fonts FROM font GROUP BY doc_id), d AS (SELECT d.*, coalesce(fonts, true) AS fonts FROM doc_flags d LEFT JOIN f ON f.doc_id = d.doc_id), v AS (SELECT doc_id, list_filter([
+ CASE WHEN CAST(version AS DOUBLE) < 1.4 THEN 'version' END, CASE WHEN NOT fonts THEN 'fonts_embedded' END, CASE WHEN NOT (has_intent AND has_icc) THEN 'output_intent' END, CASE WHEN doc_id % 2 = 0 THEN 'xmp_part' END, CASE WHEN NOT marked THEN 'mark_info' END, CASE WHEN encrypted THEN 'no_encryption' END, CASE WHEN NOT has_id THEN 'file_id' END,
+ CASE WHEN has_javascript THEN 'no_javascript' END, CASE WHEN doc_id % 17 = 0 THEN 'no_xfa' END, CASE WHEN doc_id % 19 = 0 THEN 'no_postscript' END, CASE WHEN doc_id % 23 = 0 THEN 'no_opi' END, CASE WHEN has_lzw THEN 'no_lzw' END, CASE WHEN has_transparency THEN 'no_transparency' END, CASE WHEN doc_id % 29 = 0 THEN 'no_embedded_files' END, CASE WHEN doc_id % 31 = 0 THEN 'no_external_refs' END], lambda x: x IS NOT NULL) AS l FROM d)
+ SELECT doc_id, CAST(15 - len(l) AS BIGINT) AS n_passed, array_to_string(list_sort(l), ',') AS violations, len(l) = 0 AS compliant FROM v""")
+def a13_archival_rules(t: Tables) -> DataFrame:
+    report = r.rule_report(r.archival_rules(flags(t), t.font, "A"))
+    return report.select("doc_id", F.size("passed").cast("long").alias("n_passed"), F.array_join("violations", ",").alias("violations"), "compliant")
+
+
+@query("""WITH f AS (SELECT doc_id, bool_and(embedded) AS fonts FROM font GROUP BY doc_id), p AS (SELECT doc_id, bool_and(page_no % 3 <> 2) AS boxes FROM page GROUP BY doc_id), d AS (SELECT d.*, coalesce(fonts, true) AS fonts, coalesce(boxes, false) AS boxes FROM doc_flags d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id)
+ SELECT doc_id, 'X-1a' AS standard, has_intent AND has_icc AND boxes AND fonts AND NOT has_lzw AND NOT has_transparency AS compliant FROM d UNION ALL SELECT doc_id, 'X-4', has_intent AND has_icc AND boxes AND fonts FROM d""")
+def a14_print_rules(t: Tables) -> DataFrame:
+    d = t.doc_flags.withColumns({"has_trapped": F.col("has_icc"), "has_rgb": F.col("has_lzw")})
+    p = t.page.select("doc_id", F.lit(True).alias("has_media"), (F.col("page_no") % 3 != 2).alias("has_trim"), F.lit(False).alias("has_bleed"))
+    of = lambda s: r.rule_report(r.print_rules(d, p, t.font, s)).select("doc_id", F.lit(s).alias("standard"), "compliant")
+    return of("X-1a").unionByName(of("X-4"))
+
+
+WALK = """WITH RECURSIVE walk AS (SELECT doc_id, node_id, kind, has_alt FROM struct_tree WHERE parent_id IS NULL UNION ALL SELECT s.doc_id, s.node_id, s.kind, s.has_alt FROM struct_tree s JOIN walk w ON s.doc_id = w.doc_id AND s.parent_id = w.node_id),
+ g AS (SELECT doc_id, count(*) FILTER (kind = 'Figure' AND NOT has_alt) AS figures_without_alt, count(*) FILTER (kind = 'Table') AS tables, count(*) FILTER (kind = 'TR') AS "rows" FROM walk GROUP BY doc_id)"""
+
+
+@query(WALK + """, w AS (SELECT doc_id, count(*) AS n FROM annotation WHERE subtype = 'Widget' AND length(contents) % 2 = 0 GROUP BY doc_id), e AS (SELECT d.doc_id, CASE WHEN marked THEN 0 ELSE 1 END + coalesce(figures_without_alt, 0) AS errors, CASE WHEN has_title THEN 0 ELSE 1 END + CASE WHEN has_lang THEN 0 ELSE 1 END + CASE WHEN coalesce(tables, 0) > 0 AND coalesce(g."rows", 0) = 0 THEN 1 ELSE 0 END + coalesce(n, 0) AS warnings FROM doc_flags d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN w ON w.doc_id = d.doc_id)
+ SELECT doc_id, errors, warnings, greatest(0, 100 - 20 * errors - 10 * warnings) AS score FROM e""")
+def a15_accessibility_check(t: Tables) -> DataFrame:
+    widgets = t.annotation.filter("subtype = 'Widget'").select("doc_id", (F.length("contents") % 2 == 1).alias("has_tooltip"))
+    return r.accessibility_check(t.doc_flags, graph.structure_walk(t.struct_tree), widgets)
+
+
+@query("SELECT doc_id, CASE WHEN has_title THEN concat('doc ', doc_id) ELSE 'Untitled' END AS title, CASE WHEN has_lang THEN 'de' ELSE 'en' END AS lang, true AS marked FROM doc_flags")
+def a16_accessibility_fix(t: Tables) -> DataFrame:
+    d = t.doc_flags.select("doc_id", F.when(F.col("has_title"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("title"), F.when(F.col("has_lang"), "de").otherwise(" ").alias("lang"), "marked")
+    return r.accessibility_fix(d)
+
+
+@query("SELECT annot_id, CASE WHEN length(contents) % 2 = 0 THEN annot_id ELSE contents END AS tooltip FROM annotation WHERE subtype = 'Widget'")
+def a16_fix_tooltips(t: Tables) -> DataFrame:
+    w = t.annotation.filter("subtype = 'Widget'").select("annot_id", F.col("annot_id").alias("name"), F.when(F.length("contents") % 2 == 1, F.col("contents")).alias("tooltip"))
+    return r.fix_tooltips(w).select("annot_id", "tooltip")
+
+
+@query("""SELECT doc_id, CASE WHEN subtype = 'Text' THEN 'Metadata' ELSE 'JavaScript' END AS kind, count(*) AS removed FROM annotation WHERE subtype <> 'Widget' GROUP BY ALL UNION ALL SELECT doc_id, 'Annotation', count(*) FROM annotation GROUP BY doc_id""")
+def a17_sanitize(t: Tables) -> DataFrame:
+    objects = t.annotation.select("doc_id", F.when(F.col("subtype") == "Text", "Metadata").when(F.col("subtype") == "Widget", "Page").otherwise("JavaScript").alias("type"))
+    return r.sanitize(objects, t.annotation)[1]
+
+
+@query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, l_extendedprice, least(255, floor((l_extendedprice - lo) / (hi - lo) * 256)) AS b FROM lineitem, e), h AS (SELECT b, count(*) AS n FROM b GROUP BY b),
+ c AS (SELECT b, CAST(floor(sum(n) OVER (ORDER BY b) * 255 / sum(n) OVER ()) AS BIGINT) AS equalized FROM h) SELECT l_orderkey, l_linenumber, l_extendedprice, equalized FROM b JOIN c USING (b)""")
+def a18_bucket_equalize(t: Tables) -> DataFrame:
+    return r.bucket_equalize(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice")
+
+
+@query("SELECT doc_id, NOT bool_or(NOT embedded) AS allowed, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (NOT embedded), '') AS refused_for FROM font GROUP BY doc_id")
+def x3_pipeline_gate(t: Tables) -> DataFrame:
+    return pipeline.pipeline_gate(t.font).withColumn("refused_for", F.array_join("refused_for", ","))
