@@ -1 +1,56 @@
+"""Queries of edit history and of the action pipeline."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from leafwork.operators import history as h, pipeline
+from leafwork.streaming.replay import replay_files
+
+from .registry import Tables, query
+
+
+@query()
+def r1_replay_edits(t: Tables) -> DataFrame:
+    return h.replay_edits(t.edit_event).withColumn("effective", F.array_join("effective", ","))
+
+
+@query()
+def r2_replay_edits_stream(t: Tables) -> DataFrame:
+    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="leafwork-")
+    base = f"{named}/stream-{uuid.uuid4().hex}"
+    events = t.edit_event.select("session_id", "seq", "kind", "byte_size")
+    # four files of ascending seq, written one after the other, one batch each
+    lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
+    for i in range(4):
+        a, b = lo + (hi + 1 - lo) * i // 4, lo + (hi + 1 - lo) * (i + 1) // 4
+        events.filter(F.col("seq").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out").withColumn("effective", F.array_join("effective", ","))
+
+
+@query("""WITH e AS (SELECT session_id, seq, byte_size, sum(byte_size) OVER w AS s, row_number() OVER w AS n FROM edit_event WHERE kind = 'edit' WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), k AS (SELECT * FROM e WHERE s <= 200000 OR n = 1),
+ u AS (SELECT session_id, max(seq) AS l, sum(byte_size) AS b FROM k GROUP BY session_id ORDER BY l DESC, session_id LIMIT 32), c AS (SELECT session_id, sum(b) OVER (ORDER BY l DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t, row_number() OVER (ORDER BY l DESC, session_id) AS p FROM u)
+ SELECT k.session_id, k.seq, k.byte_size FROM k JOIN c ON c.session_id = k.session_id WHERE t <= 3000000 OR p = 1""")
+def w12_history_retention(t: Tables) -> DataFrame:
+    return h.history_retention(t.edit_event, 200_000, 3_000_000)
+
+
+@query("""WITH l AS (SELECT user_id, event_type AS name, max(ts) AS ts FROM events GROUP BY ALL), r AS (SELECT user_id, name, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, name) AS place FROM l) SELECT user_id, name, CAST(ts AS VARCHAR) AS opened, place FROM r WHERE place <= 3""")
+def w14_recent_items(t: Tables) -> DataFrame:
+    opens = t.events.select("user_id", F.col("event_type").alias("name"), "ts")
+    return h.recent_items(opens, 3).select("user_id", "name", F.col("ts").cast("string").alias("opened"), "place")
+
+
+SPEC = """{"name": "publish", "steps": [{"action_type": "redact_text", "params": {"search": "the"}}, {"action_type": "redact_text", "params": {"search": " "}},
+ {"action_type": "add_page_numbers", "params": {"position": "bottom-left", "start": 5}}, {"action_type": "flatten_form"}, {"action_type": "rotate_pages", "params": {"degrees": 180}}, {"action_type": "remove_metadata"}]}"""
+
+
+@query("""SELECT b.doc_id, b.page_no, block_id, replace(text, 'the', '[REDACTED]') AS text, (rotation + 180) % 360 AS rotation FROM text_block b JOIN page p ON p.doc_id = b.doc_id AND p.page_no = b.page_no
+ UNION ALL SELECT doc_id, page_no, -1, CAST(page_no + 5 AS VARCHAR), (rotation + 180) % 360 FROM page""")
+def x2_run_pipeline(t: Tables) -> DataFrame:
+    tables = {"page": t.page, "text_block": t.text_block, "annotation": t.annotation, "object": t.annotation.select("doc_id", F.col("subtype").alias("type")), "font": t.font}
+    out = pipeline.run_pipeline(tables, SPEC)
+    return out["text_block"].join(out["page"].select("doc_id", "page_no", "rotation"), ["doc_id", "page_no"]).select("doc_id", "page_no", "block_id", "text", "rotation")
