@@ -67,6 +67,8 @@ class Codec:
         """Token ids of each piece, all merges replayed in rank order over all pieces."""
         whole = [self.ranks.get(p, -1) for p in pieces]
         rest = [k for k, rank in enumerate(whole) if rank < 0]
+        if not rest:
+            return [np.array([rank], "<u4") for rank in whole]
         long = np.fromiter((len(pieces[k]) for k in rest), np.int64, len(rest))
         # the tokens of all pieces in a row, each piece between two places without a token
         first = np.cumsum(long + 1) - long

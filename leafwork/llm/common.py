@@ -25,6 +25,23 @@ def text_of(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct, ``_row``, beside the columns asked for, so that no column of ``docs`` can clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``packed`` rows again; with ``text`` for the text, and its length for n_chars, where it isn't null."""
+    if text is not None:
+        row, new = F.col("_row"), rows.select(text.alias("t"), "_row").schema
+        kinds = {f.name: f.dataType for f in new["_row"].dataType.fields}
+        changed = row.withField("text", text)
+        if "n_chars" in kinds:
+            changed = changed.withField("n_chars", F.length(text).cast(kinds["n_chars"]))
+        rows = rows.select(F.when(text.isNull(), row).otherwise(changed).alias("_row"))
+    return rows.select("_row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import claims, join_by_weight, lower_ascii, written
+from .common import claims, join_by_weight, lower_ascii, packed, unpacked, written
 
 WORD = np.dtype("<u8")
 
@@ -148,5 +148,5 @@ def without_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are; of rows that repeat id and text, one stays."""
     stay = exact_dedup(docs, keep).filter("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    once = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_sha": sha}).join(stay, ["_id", "_sha"], "left_semi")
-    return once.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    once = packed(docs, _id=F.coalesce("doc_id", F.lit(-1)), _sha=sha).join(stay, ["_id", "_sha"], "left_semi")
+    return unpacked(once.dropDuplicates(["_id", "_sha"]))

@@ -2,6 +2,46 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
+from .line_dedup import BLOCKS, ENTITIES
+
+LOW = "translate({}, '" + UPPER + "', '" + LOWER + "')"
+WORD = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{WORD}') AS l FROM d) x),
+five AS (SELECT doc_id, pos, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS f FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+twice AS (SELECT doc_id, pos, CASE WHEN f IS NOT NULL AND count(f) OVER (PARTITION BY doc_id, f) > 1 THEN 1 ELSE 0 END AS r FROM five),
+covered AS (SELECT doc_id, max(r) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM twice),
+counts AS (SELECT doc_id, count(*) AS n_words, CAST(sum(c) AS BIGINT) AS n_repeat_words FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+words AS (SELECT doc_id, host, t, line, trim({LOW.format("regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')")}) AS norm FROM lines),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM words WHERE norm <> '' GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+over_ AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS found FROM words WHERE norm <> '' GROUP BY host, norm) f JOIN hosts USING (host) WHERE found >= 10 AND found > docs * 0.02),
+gone AS (SELECT doc_id, CAST(sum(len(string_split(norm, ' '))) AS BIGINT) AS n FROM words JOIN over_ USING (host, norm) GROUP BY doc_id),
+b AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+ FROM d LEFT JOIN counts ON counts.doc_id = d.doc_id LEFT JOIN dups ON dups.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR n_words - n_removed_words < 0.3 * n_words)) AS kept FROM f"""
+
+
+def _line_dedup() -> str:
+    text = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, char in ENTITIES:
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    text = rf"regexp_replace(regexp_replace({text}, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ?\n[\n ]*', chr(10), 'g')"
+    return rf"""WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, list_filter(string_split(trim({text}), chr(10)), lambda x: x <> '') AS ls FROM pages),
+h AS (SELECT host, count(*) AS pages FROM p GROUP BY host), f AS (SELECT host, line, count(*) AS found FROM (SELECT host, unnest(list_distinct(ls)) AS line FROM p) x GROUP BY host, line),
+o AS (SELECT host, list(line) AS drops FROM f JOIN h USING (host) WHERE found >= 3 AND found > pages * 0.3 GROUP BY host),
+k AS (SELECT p.page_id, p.host, ls, CASE WHEN drops IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(drops, x)) END AS kept FROM p LEFT JOIN o ON o.host = p.host)
+SELECT page_id, host, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k"""
+
+
+EXACT = f"""WITH d AS (SELECT doc_id, {LOW.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": QUALITY, "op3_line_dedup": _line_dedup(), "op6_exact_dedup": EXACT}

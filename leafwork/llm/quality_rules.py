@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import join_by_weight, lower_ascii, text_of
+from .common import join_by_weight, lower_ascii, packed, text_of, unpacked
 
 #: What separates words, and what counts as a symbol.
 SPACES = " \t\n\x0b\x0c\r"
@@ -110,9 +110,7 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     d = _keyed(docs, host)
     kept = _verdicts(d, min_docs, share, keep_share, min_words).filter("kept").select("_id", "_key", F.transform("_removed", lambda x: x["_pos"]).alias("_gone")).dropDuplicates(["_id", "_key"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")), text)})
-    rest = F.array_join(F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["line"]), "\n")
-    out = keyed.join(kept, ["_id", "_key"]).withColumn("text", F.when(F.col("_gone").isNull(), text).otherwise(rest))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = packed(docs, _id=F.coalesce("doc_id", F.lit(-1)), _key=F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")), text)).join(kept, ["_id", "_key"])
+    lines = F.transform(F.split("_row.text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    rest = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["line"]), "\n")
+    return unpacked(rows, F.when(F.col("_gone").isNotNull(), rest))

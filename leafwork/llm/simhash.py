@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import claims, components, join_by_weight, text_of, written
+from .common import claims, components, join_by_weight, packed, text_of, unpacked, written
 
 #: The bits of each byte value, first the highest.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -301,6 +301,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
 
     Rows without a doc_id stay; of rows that repeat a doc_id one stays.
     """
-    gone = near_copies(docs, width, similarity).filter("doc_id <> component_id").select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return stay.filter("doc_id IS NULL").unionByName(stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    gone = near_copies(docs, width, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    rows = packed(docs, _id=F.col("doc_id"))
+    stay = rows.filter("_id IS NOT NULL").join(gone, "_id", "left_anti").dropDuplicates(["_id"])
+    return unpacked(stay).unionByName(unpacked(rows.filter("_id IS NULL")))

@@ -1,0 +1,378 @@
+"""The operators against brute force and by hand, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from leafwork.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_ppm, packing, quality_knn, quality_rules, simhash, suffix_dedup
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key long, _id string, digest string, word string, n long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t), 7, "x", "d", "w", 1) for i, t, lang, src in rows], SCHEMA)
+
+
+def words(n, seed, vocabulary=4000):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+EDGES = [(1, None, "en", "a"), (2, "", "en", None), (3, "  \n\t", None, "a"), (None, "lost", "en", "a"), (4, "word " * 30000, "en", "a"), (5, "Ünï ÇØDE 漢字 🙂", "de", "b"), (5, "Ünï ÇØDE 漢字 🙂", "de", "b")]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return table(spark, EDGES).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+def test_bpe_matches_the_library_and_decodes(spark, edges, empty):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = bpe.encode_digest(edges, RANKS, public_tokenizers.PATTERN, block_mb=0.001).collect()
+    assert len(got) == len(EDGES)
+    want = Counter()
+    for i, text, *_ in EDGES:
+        ids = enc.encode_ordinary(text or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, got)) == want
+    assert bpe.encode_digest(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    ids = bpe.encode(edges, RANKS, public_tokenizers.PATTERN).filter("doc_id = 5").first().token_ids
+    assert ids == enc.encode_ordinary(EDGES[5][1])
+
+
+def test_bpe_replay_on_any_text():
+    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, most_pieces=50)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(3)
+    letters = [chr(c) for c in [*range(0, 0x250), *range(0x2000, 0x2070), 0x3000, 0x4E2D, 0x1F600]] + [" "] * 60 + ["\n"] * 20 + list("etaoinsh'srtl") * 9
+    texts = ["".join(r.choices(letters, k=r.randrange(150))) for _ in range(400)] + ["a" * 1000, "<|endoftext|>"]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode()
+
+
+def brute_measures(text):
+    ws = text.encode().split()
+    windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    covered = {j for i in range(len(ws) - 4) if windows[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(ws), sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures_are_those_of_brute_force():
+    r = random.Random(1)
+    for n in range(60):
+        text = "".join(r.choice(["a", "b", "c d", " ", "\n", "é#", "\x0b"]) + r.choice(["", " "]) for _ in range(n * 3))
+        assert quality_rules.measures(text) == brute_measures(text)
+
+
+def test_quality_rules_lines_and_verdicts(spark, edges, empty):
+    rows = [(i, "shared   Boiler plate LINE\n" + " ".join(words(40, i)), "en", "hot") for i in range(30)]
+    rows += [(100 + i, "Shared boiler plate line\nown few " + str(i) + " a b c d e f", "en", "hot") for i in range(5)]
+    rows += [(200 + i, " ".join(words(40, 999)), "en", "hot") for i in range(50)]  # copies count once
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, rows), share=0.5).collect()}
+    assert all(got[i].kept and got[i].n_removed_words == 4 for i in range(30))
+    assert all(not got[100 + i].kept and not got[100 + i].base_failed for i in range(5))
+    assert all(got[200 + i].kept and got[200 + i].n_removed_words == 0 for i in range(50))
+    cleaned = quality_rules.clean(table(spark, rows), share=0.5)
+    assert cleaned.columns == table(spark, []).columns
+    kept = {r.doc_id: r for r in cleaned.collect()}
+    assert kept.keys() == {*range(30), *range(200, 250)} and kept[0].text == " ".join(words(40, 0)) and kept[0].n_chars == len(kept[0].text) and kept[0]._id == "x"
+    out = quality_rules.quality_rules(edges)
+    assert out.count() == len(EDGES) and out.filter("kept").count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.clean(empty).count() == 0
+
+
+def test_line_dedup_drops_what_a_site_repeats(spark):
+    page = lambda i: f"<html><script>var x='<p>no</p>'</script><body><nav>Home  page</nav><p>text {i}</p><p>a &lt; b &amp;amp;</p></body>"
+    rows = [(i, f"https://user@Big.example.com:80/{i}?q", page(i), 1) for i in range(9)] + [(20, "http://small.example.org/", page(1), 1), (21, None, None, 1), (22, "", "", 1)]
+    got = {r.page_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string, _line int")).collect()}
+    assert got[3].host == "big.example.com" and got[3].text == "text 3" and (got[3].n_lines, got[3].n_dropped) == (3, 2)
+    assert got[20].text == "Home page\ntext 1\na < b &amp;" and got[20].n_dropped == 0
+    assert got[21].host == "" and got[21].text == "" and got[22].n_lines == 0
+    assert line_dedup.line_dedup(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def brute_ppm(texts, order):
+    """The model by its definition: p(text) from dictionaries of counts, byte by byte."""
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+
+    def places(text):
+        for w in [*text.encode().lower().split(), b""]:
+            stream = b" " * order + w + b" "
+            for i in range(order, len(stream)):
+                yield stream[i - order : i], stream[i]
+
+    for t in texts:
+        for ctx, s in places(t):
+            for k in range(order + 1):
+                counts[k][ctx[order - k :]][s] += 1
+
+    def log_p(text):
+        total = 0.0
+        for ctx, s in places(text):
+            p, seen = 1.0, set()
+            for k in range(order, -1, -1):
+                own = {x: n for x, n in counts[k][ctx[order - k :]].items() if x not in seen}
+                t = sum(own.values())
+                if s in own:
+                    p *= (2 * own[s] - 1) / (2 * t)
+                    break
+                if own:
+                    p *= len(own) / (2 * t)
+                seen |= own.keys()
+            else:
+                p *= 1 / (256 - len(seen))
+            total += math.log10(p)
+        return total
+
+    return log_p
+
+
+def test_ppm_is_the_model_of_brute_force(spark, empty):
+    r = random.Random(2)
+    rows = [(i, None if i == 9 else " ".join("".join(r.choices("abAcé", k=r.randrange(1, 7))) for _ in range(r.randrange(0, 25))), "en", "s") for i in range(40)] + [(41, "zzz new bytes 漢", "en", "s")]
+    held = F.col("doc_id") % 5 == 1
+    got = {x.doc_id: x for x in lm_ppm.ppm_scores(table(spark, rows), held, order=3, chunk_mb=0.0005).collect()}
+    assert len(got) == len(rows)
+    train = [t or "" for i, t, *_ in rows if i % 5 != 1]
+    log_p = brute_ppm(train, 3)
+    tokens = Counter(w for t in train for w in [*t.encode().lower().split(), b""])
+    n, v = sum(tokens.values()), len(tokens)
+    for i, t, *_ in rows:
+        own = [*(t or "").encode().lower().split(), b""]
+        assert got[i].held_out == (i % 5 == 1) and got[i].train_tokens == n and got[i].n_tokens == len(own) and got[i].n_known == sum(tokens[w] > 0 for w in own)
+        assert got[i].base_score == pytest.approx(sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in own))
+        assert got[i].score == pytest.approx(log_p(t or ""))
+    assert lm_ppm.ppm_scores(empty, held).count() == 0
+
+
+def test_ppm_probabilities_sum_to_one(spark):
+    grams, _ = lm_ppm.contexts([b"abracadabra", b"abba", b"", b"cab"], 2)
+    seen = Counter(grams.tolist())
+    context = (ord("a") << 8 | ord("b"))
+    rows = [(g, n) for g, n in seen.items()] + [(context << 8 | s, 0) for s in range(256) if context << 8 | s not in seen]
+    p = lm_ppm.probabilities(spark.createDataFrame(rows, "gram long, n long"), 2).filter(F.shiftright("gram", 8) == context)
+    assert p.agg(F.sum("p")).first()[0] == pytest.approx(1)
+
+
+def test_packing_places_every_word_once(spark, edges, empty):
+    rows = [(i, " ".join(words(n, i)), "en", "s") for i, n in enumerate([*range(1, 400, 7), 5000, 4096, 4097, 0])]
+    got = packing.best_fit_packing(table(spark, rows), shard_rows=30).collect()
+    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_bin[r.bin_id].append(r)
+    for i, text, *_ in rows:
+        assert sum(r.length for r in by_doc[i]) == len(text.split()) and [r.first_word for r in sorted(by_doc[i], key=lambda r: r.piece)] == [4096 * k for k in range(len(by_doc[i]))]
+    for own in by_bin.values():
+        own.sort(key=lambda r: (r.bin_offset, r.length))
+        assert sum(r.length for r in own) == own[0].bin_used <= own[0].bin_capacity
+        assert own[0].bin_capacity == min(c for c in packing.CAPACITIES if c >= own[0].bin_used)
+        assert all(a.bin_offset + a.length <= b.bin_offset for a, b in zip(own, own[1:], strict=False))
+    whole = packing.best_fit_packing(table(spark, rows)).select("bin_id", "bin_used", "bin_capacity").distinct().agg(F.sum("bin_used"), F.sum("bin_capacity")).first()
+    assert whole[0] / whole[1] > 0.9
+    assert packing.best_fit_packing(edges).groupBy("doc_id").agg(F.sum("length").alias("n")).filter("doc_id = 4").first().n == 30000
+    texts = packing.packed_texts(edges).filter("doc_id = 4").orderBy("piece").collect()
+    assert " ".join(r.text for r in texts).split() == EDGES[4][1].split() and packing.packed_texts(edges).count() == packing.best_fit_packing(edges).count()
+    assert packing.best_fit_packing(empty).count() == 0
+
+
+def test_packing_takes_the_best_fit_and_shrinks():
+    bins, offsets, capacity, used = packing.pack([60, 50, 40, 10], (64, 100), overhead=0)
+    assert used[bins[0]] <= capacity[bins[0]] and bins[1] == bins[2] and capacity[bins[1]] == 100 and sum(used) == 160
+    with pytest.raises(ValueError):
+        packing.pack([1, 2])
+
+
+def brute_exact(rows, keep):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[(t or "").encode().lower()].append(i)
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        best = keep(known) if known else None
+        for i in ids:
+            yield i, best, len(ids), i == best, hashlib.sha256(t).hexdigest()
+
+
+@pytest.mark.parametrize("digits", [64, 1])
+def test_exact_dedup_is_grouping_by_bytes(spark, empty, digits):
+    r = random.Random(5)
+    rows = [(i, r.choice(["Same Text", "same text", "sAME tEXT é", "same text É", "", None, "other"]) if i % 3 else f"own {i}", "en", "s") for i in range(300)] + [(7, "own", "en", "s")] * 2 + [(None, "own", "en", "s"), (None, "lonely", "en", "s")]
+    got = exact_dedup.exact_dedup(table(spark, rows), keep="max", digest_digits=digits, memtable=40, shard_rows=90, filter_bits=630).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_exact(rows, max))
+    once = exact_dedup.without_copies(table(spark, rows))
+    assert once.columns == empty.columns and once.count() == len({(t or "").encode().lower() for _, t, *_ in rows})
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_segments_merge_as_one_table():
+    r = random.Random(8)
+    both, want = [], {}
+    for _ in range(2):
+        own = {f"{r.randrange(500):064x}".encode(): [r.randrange(1000), r.randrange(1, 4)] for _ in range(200)}
+        keys = sorted(own)
+        both.append(exact_dedup.Segment(np.array(keys), np.array([own[k][0] for k in keys]), np.array([own[k][1] for k in keys])))
+        for k, (i, n) in own.items():
+            old = want.get(k, (i, 0))
+            want[k] = (min(old[0], i), old[1] + n)
+    m = both[0].merge(both[1], "min")
+    assert {k: (i, n) for k, i, n in zip(m.keys.tolist(), m.ids.tolist(), m.counts.tolist(), strict=True)} == want and sorted(m.keys.tolist()) == m.keys.tolist()
+
+
+def brute_components(ids, linked):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def brute_fingerprint(text, width=3):
+    ws = text.encode().lower().split()
+    if not ws:
+        return 0
+    sh = [b" ".join(ws[i : i + width]) for i in range(len(ws) - width + 1)] or [b" ".join(ws)]
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_is_brute_force(spark, empty):
+    r = random.Random(6)
+    base = words(400, 1)
+    rows = [(i, " ".join(base if i % 4 else base[: 390 + i % 10]) if i < 40 else " ".join(words(r.randrange(0, 30), i)), "en", "s") for i in range(120)] + [(200, None, "en", "s"), (7, "again", "en", "s"), (7, "again", "en", "s")]
+    got = simhash.simhash(table(spark, rows)).collect()
+    fps = [brute_fingerprint(t or "") for _, t, *_ in rows]
+    assert Counter((x.doc_id, x.fingerprint) for x in got) == Counter((i, f"{f:016x}") for (i, *_), f in zip(rows, fps, strict=True))
+    nodes = {f: min(i for (i, *_), g in zip(rows, fps, strict=True) if g == f) for f in fps}
+    linked = [(nodes[a], nodes[b]) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 2]
+    comp = brute_components(nodes.values(), linked)
+    assert {x.fingerprint: x.component_id for x in got} == {f"{f:016x}": comp[nodes[f]] for f in nodes}
+    assert simhash.simhash(empty).count() == 0
+
+
+def test_links_hold_all_components_in_crowded_blocks(spark):
+    r = random.Random(9)
+    seeds = [r.getrandbits(64) for _ in range(20)]
+    fps = {s ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for s in seeds for _ in range(6)} | {i for i in range(60)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for most in (4096, 4):
+        got = {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, 2, most).collect()}
+        assert all((a ^ b).bit_count() <= 64 for a, b in got)
+        want = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2]
+        assert brute_components(fps, got) == brute_components(fps, want)
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_links_at_the_similarity_and_no_less(spark, empty):
+    r = random.Random(12)
+    rows, texts, at = [], {}, 0
+    for g in range(25):
+        own = words(300, 100 + g)
+        for changes in (0, 1, 3, 5, 12, 25):
+            t = list(own)
+            for _ in range(changes):
+                t[r.randrange(len(t))] = f"x{r.random()}"
+            texts[at] = t
+            rows.append((at, " ".join(t), "en", "s"))
+            at += 1
+    want = brute_components(texts, [(a, b) for g in range(25) for a in range(6 * g, 6 * g + 6) for b in range(a + 1, 6 * g + 6) if jaccard(texts[a], texts[b]) >= 0.8])
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert all(got[i] // 6 == i // 6 for i in got)
+    extra = rows + [(900, None, "en", "s"), (901, "", "en", "s"), (902, "tiny", "en", "s"), (None, "lost", "en", "s"), rows[0]]
+    left = simhash.without_near_copies(table(spark, extra))
+    assert left.columns == empty.columns and left.filter("doc_id = 0").count() == 1 and left.filter("doc_id IS NULL").count() == 1
+    assert simhash.without_near_copies(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert all(got[i] == 0 for i in range(61)) and got[103] == got[101] == 100
+
+
+def test_join_by_weight_keeps_all_rows(spark):
+    left = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("w"), F.max("v").alias("m"))
+    got = common.join_by_weight(left, right.filter("k <> 1500"), ["k"], "w", 3000, F.col("v"))
+    assert got.count() == 3000 and got.filter("k = 0 AND w = 1000 AND m = 999").count() == 1000 and got.filter("w IS NULL").count() == 1
+
+
+def test_suffix_dedup_finds_shared_passages(spark, edges, empty):
+    passage, short = words(60, 777), words(45, 778)
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = [(i, text(words(80 + i, i), passage, words(50, 50 + i)), "en", "s") for i in range(1, 9)]
+    rows += [(20, text(words(90, 20), short), "en", "s"), (21, text(words(70, 21), short, words(9, 3)), "en", "s"), (30, text(words(200, 30)), "en", "s"), (31, text(words(200, 30)).upper(), "en", "s"), (40, text(words(300, 40)), "en", "s")]
+    got = suffix_dedup.repeats(table(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {*range(1, 9), 30, 31}
+    for r in got:
+        if r.doc_id < 9:
+            assert (r.first_word, r.end_word) == (80 + r.doc_id, 140 + r.doc_id)
+    left = suffix_dedup.without_repeats(table(spark, rows))
+    texts = {r.doc_id: r for r in left.collect()}
+    assert left.columns == empty.columns and texts[1].text == rows[0][1] and texts[31].text.strip() == "" and texts[40].text == rows[-1][1]
+    assert texts[5].text.split() == words(85, 5) + words(50, 55) and texts[5].n_chars == len(texts[5].text)
+    assert suffix_dedup.repeats(edges).count() == 0 and suffix_dedup.without_repeats(edges).count() == len(EDGES)
+    assert suffix_dedup.repeats(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
+
+
+def test_minimisers_agree_wherever_a_passage_stands():
+    h, p = suffix_dedup._Hashes(), suffix_dedup._Powers()
+    passage = [w.encode() for w in words(50, 5)]
+    for k in range(30):
+        around = [w.encode() for w in words(40 + k, 60 + k)]
+        at, _ = suffix_dedup.suffixes(around + passage + around, h, p, 25, 26)
+        inside = {int(i) - len(around) for i in at if len(around) <= i <= len(around) + 25}
+        alone = set(suffix_dedup.suffixes(passage, h, p, 25, 26)[0].tolist())
+        assert alone and alone <= inside
+
+
+def test_language_id_learns_and_holds_out(spark, edges, empty):
+    r = random.Random(4)
+    make = lambda stems: " ".join("".join(r.choices(stems, k=r.randrange(1, 4))) for _ in range(40))
+    rows = [(i, make(["th", "er", "on", "and"] if i % 2 else ["ü", "sch", "ein", "ung"]), "en" if i % 2 else "de", "s") for i in range(120)] + [(500, "12 34 ---", "en", "s"), (501, None, "de", "s"), (502, "thand", None, "s")]
+    got = {x.doc_id: x for x in language_id.language_id(table(spark, rows), common.held_out(3, 1)).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0 <= got[i].score <= 1 for i in range(120))
+    assert got[500].lang_pred == got[501].lang_pred == "und" and got[502].lang_pred == "en"
+    assert language_id.language_id(edges, common.held_out(3, 1)).count() == len(EDGES) and language_id.language_id(empty, common.held_out(3, 1)).count() == 0
+
+
+def test_quality_votes_learns_and_holds_out(spark, edges, empty):
+    r = random.Random(7)
+    good = lambda i: " ".join(words(60, i))
+    bad = lambda i: " | ".join(w.upper() + r.choice(["###", "%%%", "!!"]) for w in words(60, i))
+    rows = [(i, bad(i) if i % 4 == 0 else good(i), "en", "s") for i in range(200)] + [(900, None, "en", "s"), (901, "", "en", "s"), (5, good(5), "en", "s")]
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(200)] + [(3, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    held = common.held_out(5, 0)
+    got = {x.doc_id: x for x in quality_knn.quality_votes(table(spark, rows), labels, held, sample=100).collect()}
+    assert all((got[i].score >= 0.5) == (i % 4 != 0) and got[i].predicted == int(got[i].score >= 0.3) for i in range(200))
+    assert 0 <= got[900].score <= 1 and quality_knn.quality_votes(edges, labels, held).count() == len(EDGES)
+    assert quality_knn.quality_votes(empty, labels, held).count() == 0
+    none = quality_knn.quality_votes(table(spark, rows[:3]), labels.limit(0), held).collect()
+    assert {x.score for x in none} == {0.5}
