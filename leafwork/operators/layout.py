@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from leafwork.functions.text import blank_trim, text_width
 from leafwork.sources.writers import in_order
 
 PAGE = ["doc_id", "page_no"]
-SO_FAR = Window.partitionBy(*PAGE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def so_far() -> WindowSpec:
+    """A page's operations up to the one at hand."""
+    return Window.partitionBy(*PAGE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def page_text(ops: DataFrame) -> DataFrame:
@@ -24,10 +28,10 @@ def interpret_text_ops(ops: DataFrame) -> DataFrame:
     stays until the next Tf. A block stands where its first run does; ' moves first and then shows.
     """
     op, a, b = F.col("op"), F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    leading = F.coalesce(F.last(F.when(op == "TL", a).when(op == "TD", -b), ignorenulls=True).over(SO_FAR), F.lit(0.0))
+    leading = F.coalesce(F.last(F.when(op == "TL", a).when(op == "TD", -b), ignorenulls=True).over(so_far()), F.lit(0.0))
     rows = ops.withColumns({
-        "_reset": F.sum(op.isin("BT", "Tm").cast("int")).over(SO_FAR), "_bt": F.sum((op == "BT").cast("int")).over(SO_FAR), "_lead": leading,
-        "_size": F.last(F.when(op == "Tf", a), ignorenulls=True).over(SO_FAR),
+        "_reset": F.sum(op.isin("BT", "Tm").cast("int")).over(so_far()), "_bt": F.sum((op == "BT").cast("int")).over(so_far()), "_lead": leading,
+        "_size": F.last(F.when(op == "Tf", a), ignorenulls=True).over(so_far()),
     })
     move = Window.partitionBy(*PAGE, "_reset").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     dx = F.when(op.isin("Tm", "Td", "TD"), a).otherwise(0.0)
@@ -104,19 +108,19 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
 def strip_spans(ops: DataFrame, tag: str = "Watermark") -> DataFrame:
     """Operations without those from a BDC named ``tag`` to its EMC, whatever is marked within it included."""
     opens, closes = F.col("op").isin("BDC", "BMC"), F.col("op") == "EMC"
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(SO_FAR)
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far())
     starts = opens & (F.coalesce("name", F.lit("")) == tag)
     rows = ops.withColumns({"_starts": starts, "_level": F.when(opens, depth).when(closes, depth + 1)})
     # an EMC closes the last span opened at its level
     level = Window.partitionBy(*PAGE, "_level").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_ends", closes & F.coalesce(F.last(F.when(opens, F.col("_starts")), ignorenulls=True).over(level), F.lit(False)))
-    inside = F.sum(F.when(F.col("_starts"), 1).when(F.col("_ends"), -1).otherwise(0)).over(SO_FAR) > 0
+    inside = F.sum(F.when(F.col("_starts"), 1).when(F.col("_ends"), -1).otherwise(0)).over(so_far()) > 0
     return rows.withColumn("_in", inside | F.col("_ends")).filter("NOT _in").select(*ops.columns)
 
 
 def image_placements(ops: DataFrame) -> DataFrame:
     """The size of each image drawn (Do), by the last cm (a, b, c, d) before it, which replaces the one before; 1 at least."""
-    last = F.last(F.when(F.col("op") == "cm", F.struct("a", "b", "c", "d")), ignorenulls=True).over(SO_FAR)
+    last = F.last(F.when(F.col("op") == "cm", F.struct("a", "b", "c", "d")), ignorenulls=True).over(so_far())
     rows = ops.withColumn("_m", F.coalesce(last, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d")))).filter("op = 'Do'")
     return rows.select(*PAGE, "seq", "name", F.greatest(F.lit(1.0), F.hypot("_m.a", "_m.b")).alias("w"), F.greatest(F.lit(1.0), F.hypot("_m.c", "_m.d")).alias("h"))
 

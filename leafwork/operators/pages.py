@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from leafwork.functions.geometry import DEFAULT_WIDTH, anchor
 
-DOC = Window.partitionBy("doc_id").orderBy("page_no")
+
+def in_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("page_no")
 
 
 def doc_offsets(counts: DataFrame, n: str = "n", shards: int = 64) -> DataFrame:
@@ -26,7 +28,7 @@ def doc_offsets(counts: DataFrame, n: str = "n", shards: int = 64) -> DataFrame:
 
 def bates_number(pages: DataFrame, prefix: str, start: int = 1, corpus: bool = False) -> DataFrame:
     """``prefix`` and a number of six digits or more, from ``start``, counted in each document or through the corpus by doc_id."""
-    rows = pages.select("doc_id", "page_no", F.row_number().over(DOC).alias("_i"))
+    rows = pages.select("doc_id", "page_no", F.row_number().over(in_doc()).alias("_i"))
     number = F.col("_i") - 1 + start
     if corpus:
         rows = rows.join(doc_offsets(pages.groupBy("doc_id").agg(F.count("*").alias("n"))), "doc_id")
@@ -36,7 +38,7 @@ def bates_number(pages: DataFrame, prefix: str, start: int = 1, corpus: bool = F
 
 def page_numbers(pages: DataFrame, position: str = "bottom-center", start: int = 1, size: float = 12) -> DataFrame:
     """Each page's number as text and where it goes."""
-    rows = pages.withColumn("text", (F.row_number().over(DOC) - 1 + start).cast("string"))
+    rows = pages.withColumn("text", (F.row_number().over(in_doc()) - 1 + start).cast("string"))
     at = anchor(F.col("text"), size, F.col("width"), F.col("height"), position)
     return rows.select("doc_id", "page_no", "text", at["x"].alias("x"), at["y"].alias("y"))
 
@@ -44,7 +46,7 @@ def page_numbers(pages: DataFrame, position: str = "bottom-center", start: int =
 def header_footer(pages: DataFrame, header: str, footer: str) -> DataFrame:
     """Header and footer with {page} and {total} put in."""
     own = Window.partitionBy("doc_id")
-    page, total = F.row_number().over(DOC).cast("string"), F.count("*").over(own).cast("string")
+    page, total = F.row_number().over(in_doc()).cast("string"), F.count("*").over(own).cast("string")
     fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{page}"), page), F.lit("{total}"), total)
     return pages.select("doc_id", "page_no", fill(header).alias("header"), fill(footer).alias("footer"))
 
@@ -121,6 +123,3 @@ def distinct_pages(selections: DataFrame) -> DataFrame:
 
 def rotate(rotation: Column, by: int) -> Column:
     return F.pmod(rotation + by, F.lit(360))
-
-
-
