@@ -19,7 +19,7 @@ XFDF = {
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (path, content)."""
+    """Whole files as (path, content); Spark's reader leaves out files without a byte."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
