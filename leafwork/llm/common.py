@@ -53,16 +53,22 @@ def held_out(of: int, remainder: int, doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; one of our own only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, as the session names it; one of our own only where none is named, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="leafwork-")
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut, and each reader takes only its columns."""
     spark = df.sparkSession
@@ -117,7 +123,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     its smallest node. The edges stay distributed, each round is checkpointed, and the driver sees one row of sums.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = e.checkpoint()
+    e = checkpointed(e)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u")).toDF("a", "b")
@@ -126,7 +132,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = small.filter("u <> v").distinct().checkpoint()
+        e = checkpointed(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

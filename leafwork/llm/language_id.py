@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Each task adds up the n-gram counts of its rows by language and hands on one row a language; the log-probabilities,
+Each task adds up the n-gram counts of its rows by language, and Spark sums those of all tasks; the log-probabilities,
 languages times ``features`` numbers, are broadcast, and batches are scored in numpy from their sparse counts.
 """
 
@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import checkpointed
+
 FEATURES = 1 << 13
 #: Odd factors that spread the n-grams of each length over the features.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -30,18 +32,21 @@ def grams(text: str, features: int = FEATURES) -> np.ndarray:
 
 
 class _Train:
+    """A task's n-gram counts by language, as (lang, feature, n); under feature -1 the number of its texts."""
+
     def __init__(self, features: int):
         self.features = features
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                entry = sums.setdefault(lang, [0, np.zeros(self.features, np.int64)])
-                entry[0] += 1
-                entry[1] += np.bincount(grams(text.as_py(), self.features), minlength=self.features)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([c.tobytes() for _, c in sums.values()])], ["lang", "docs", "counts"])
+                own = sums.setdefault(lang, np.zeros(self.features + 1, np.int64))
+                own[-1] += 1
+                own[:-1] += np.bincount(grams(text.as_py(), self.features), minlength=self.features)
+        for lang, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == self.features, -1, at).astype(np.int32)), pa.array(own[at])], ["lang", "feature", "n"])
 
 
 class Model:
@@ -99,19 +104,15 @@ def language_id(docs: DataFrame, held_out: Column, features: int = FEATURES, mos
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
-    train = d.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_Train(features), "lang string, docs long, counts binary")
-    sums = train.groupBy("lang").applyInArrow(_add_table, "lang string, docs long, counts binary").limit(most_langs + 1).collect()
-    if len(sums) > most_langs:
+    train = d.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_Train(features), "lang string, feature int, n long")
+    sums = checkpointed(train.groupBy("lang", "feature").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in sums.select("lang").distinct().limit(most_langs + 1).collect())
+    if len(langs) > most_langs:
         raise ValueError(f"over {most_langs} languages")
-    sums.sort(key=lambda r: r.lang)
-    counts = np.array([np.frombuffer(r.counts, np.int64) for r in sums]).reshape(len(sums), -1) if sums else np.zeros((0, features))
-    model = spark.sparkContext.broadcast(Model([r.lang for r in sums], np.array([r.docs for r in sums], np.int64), counts))
+    # at most features + 1 rows a language
+    counts = np.zeros((len(langs), features + 1), np.int64)
+    number = {lang: i for i, lang in enumerate(langs)}
+    for lang, feature, n in sums.collect():
+        counts[number[lang], feature] = n
+    model = spark.sparkContext.broadcast(Model(langs, counts[:, -1], counts[:, :-1]))
     return d.select("doc_id", "held_out", "text").mapInArrow(_Predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def _add_table(t: pa.Table) -> pa.Table:
-    """One language's partial counts, one row a task, summed."""
-    counts = np.zeros(len(t.column("counts")[0].as_py()) // 8, np.int64)
-    for c in t.column("counts"):
-        counts += np.frombuffer(c.as_py(), np.int64)
-    return pa.table({"lang": [t.column("lang")[0].as_py()], "docs": pa.array([sum(t.column("docs").to_pylist())], pa.int64()), "counts": [counts.tobytes()]})

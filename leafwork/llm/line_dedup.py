@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import join_by_weight
+from .common import checkpointed, join_by_weight
 
 #: Elements whose tags end a line.
 BLOCKS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td th thead title tr ul".split()
@@ -41,10 +41,10 @@ def line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) -> Data
     found = p.select("host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("host", "_line").agg(F.count("*").alias("_found"))
     # the host's total joins its few lines that are on min_pages pages or more
     often = found.filter(F.col("_found") >= min_pages)
-    hosts = hosts.checkpoint()
+    hosts = checkpointed(hosts)
     total = hosts.agg(F.sum("_pages")).first()[0] or 0
     over = join_by_weight(often, hosts, ["host"], "_pages", total, F.xxhash64("_line")).filter(F.col("_found") > F.col("_pages") * ratio)
-    lists = over.groupBy("host").agg(F.collect_list("_line").alias("_drop"), F.first("_pages").alias("_pages")).checkpoint()
+    lists = checkpointed(over.groupBy("host").agg(F.collect_list("_line").alias("_drop"), F.first("_pages").alias("_pages")))
     out = join_by_weight(p, lists, ["host"], "_pages", total, F.xxhash64("page_id"))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", x)))
     out = out.withColumn("_kept", kept)

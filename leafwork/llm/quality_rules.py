@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import join_by_weight, lower_ascii, packed, text_of, unpacked
+from .common import checkpointed, join_by_weight, lower_ascii, packed, text_of, unpacked
 
 #: What separates words, and what counts as a symbol.
 SPACES = " \t\n\x0b\x0c\r"
@@ -72,7 +72,7 @@ def _removals(d: DataFrame, min_docs: int, share: float) -> DataFrame:
     lines = d.select("_id", "_key", "_host", text_hash, F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
     lines = lines.withColumn("_line", _normal(F.col("_line"))).filter("_line <> ''")
     lines = lines.withColumns({"_words": F.size(F.split("_line", " ")), "_line": F.xxhash64("_line")})
-    hosts = d.select("_host", text_hash).distinct().groupBy("_host").agg(F.count("*").alias("_docs")).checkpoint()
+    hosts = checkpointed(d.select("_host", text_hash).distinct().groupBy("_host").agg(F.count("*").alias("_docs")))
     total = hosts.agg(F.sum("_docs")).first()[0] or 0
     counts = lines.select("_host", "_line", "_text").distinct().groupBy("_host", "_line").agg(F.count("*").alias("_found")).filter(F.col("_found") >= min_docs)
     counts = join_by_weight(counts, hosts, ["_host"], "_docs", total, F.col("_line"))

@@ -251,14 +251,14 @@ class _Similar:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01, most: int = 4096) -> DataFrame:
     """doc_id, component_id: one row per distinct non-null doc_id. Documents whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
     Fingerprints are as wide as it takes: of two sets at the similarity, each bit differs with a known probability,
     and there are so many blocks of bits that no block of theirs agrees with probability ``miss`` at most; the blocks
     grow with the number of documents, so tiles do not. Pairs within a tile that are close by 128 further bits are
     candidates, and each is checked by its sets. First every row meets one partner a tile; then those pairs that
-    verified links have not joined meet. Texts without words have equal, empty sets. Null texts count as empty, rows
+    verified links have not joined meet. Blocks of more than ``most`` rows are cut, so that no task holds more at once. Texts without words have equal, empty sets. Null texts count as empty, rows
     that repeat a doc_id count once (their least text), very long texts are read whole, an empty table gives an empty result.
     """
     d = text_of(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats_ids(docs) else text_of(docs).filter("doc_id IS NOT NULL")
@@ -274,7 +274,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss:
 
     def verified(labels: DataFrame, once: bool) -> DataFrame:
         routed = labels.select("id", "label", "fp", "fp2", F.posexplode("blocks").alias("band", "block"))
-        met = routed.select("band", "block", F.lit(0).alias("tile"), "fp", "fp2", "id", "label").repartition("band", "block").sortWithinPartitions("band", "block")
+        # a crowded block is cut into parts, and every two parts are a tile of their own
+        crowded = written(routed.groupBy("band", "block").agg(F.count("*").alias("size")).filter(F.col("size") > most))
+        parts = F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int")
+        cut = routed.join(crowded, ["band", "block"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        cut = cut.select("band", "block", "fp", "fp2", "id", "label", "part", "parts", other)
+        tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
+        met = cut.select("band", "block", tile.alias("tile"), "fp", "fp2", "id", "label").repartition("band", "block", "tile").sortWithinPartitions("band", "block", "tile")
         pairs = written(met.mapInArrow(_Candidates(radius, once), "a long, b long").distinct())
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         of = written(d.filter(claims(ids, "doc_id")).join(ids, "doc_id", "left_semi"))

@@ -302,6 +302,7 @@ def test_near_copies_links_at_the_similarity_and_no_less(spark, empty):
             rows.append((at, " ".join(t), "en", "s"))
             at += 1
     want = brute_components(texts, [(a, b) for g in range(25) for a in range(6 * g, 6 * g + 6) for b in range(a + 1, 6 * g + 6) if jaccard(texts[a], texts[b]) >= 0.8])
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows), most=2).collect()} == {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows)).collect()}
     got = {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows)).collect()}
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
     assert all(got[i] // 6 == i // 6 for i in got)
