@@ -47,9 +47,10 @@ def s9_write_grid(t: Tables) -> DataFrame:
     return o.write_grid(o.grid_cells(t.grid_block), list("ABCDE"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) ELSE chr(CAST(65 + (p_partkey - 702) // 676 AS INTEGER)) || chr(CAST(65 + ((p_partkey - 26) // 26 - 26) % 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey < 18278")
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 18278 AS k FROM part) SELECT p_partkey, CASE WHEN k < 26 THEN chr(CAST(65 + k AS INTEGER)) WHEN k < 702 THEN chr(CAST(64 + k // 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER))
+ ELSE chr(CAST(65 + (k - 702) // 676 AS INTEGER)) || chr(CAST(65 + ((k - 26) // 26 - 26) % 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER)) END AS letters FROM k""")
 def s9_column_letters(t: Tables) -> DataFrame:
-    return t.part.filter("p_partkey < 18278").select("p_partkey", column_letters(F.col("p_partkey")).alias("letters"))
+    return t.part.select("p_partkey", column_letters(F.col("p_partkey") % 18278).alias("letters"))
 
 
 @query(f"{GRID} SELECT doc_id, page_no, block_id, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r, x, block_id) - 1 AS place FROM g")

@@ -48,7 +48,7 @@ def font_widths(t: Tables) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT p_partkey + 97 AS code, p_size * 10 + 200 AS w FROM part WHERE p_partkey < 26),
- b AS (SELECT doc_id, page_no, block_id, text FROM text_block WHERE doc_id < 1000000000),
+ b AS (SELECT doc_id, page_no, block_id, text FROM text_block),
  c AS (SELECT doc_id, page_no, block_id, unnest(string_split(text, '')) AS text FROM b),
  m AS (SELECT c.doc_id, c.page_no, c.block_id, CASE WHEN w.w > 0 THEN w.w / 1000.0 * 11 ELSE """ + WIDTH + """ * 11e0 END AS width FROM c LEFT JOIN w ON ascii(c.text) = w.code AND length(c.text) = 1 WHERE c.text <> '')
  SELECT doc_id, page_no, block_id, round(sum(width), 4) AS width FROM m GROUP BY ALL""")
