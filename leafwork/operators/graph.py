@@ -73,7 +73,7 @@ def outline_tree_json(outline: DataFrame, title: str = "node_id") -> DataFrame:
     nodes = levels(outline)
     deepest = nodes.agg(F.max("level")).first()[0]
     if deepest is None:
-        return nodes.select("doc_id", F.lit("[]").alias("json")).limit(0)
+        return nodes.filter("false").select("doc_id", F.lit("[]").alias("json"))
     kids = None
     for level in range(deepest, -1, -1):
         rows = nodes.filter(F.col("level") == level).select("doc_id", "parent_id", "ordinal", F.col("node_id").alias("_id"), F.to_json(F.struct(F.col(title).cast("string").alias("t"))).alias("_t"))

@@ -58,7 +58,7 @@ def _archive(s: State, p: dict) -> State:
 
 
 def _sanitize(s: State, p: dict) -> State:
-    return s | {"object": rules.sanitize(s["object"], s["annotation"])[0], "annotation": s["annotation"].limit(0)}
+    return s | {"object": rules.sanitize(s["object"], s["annotation"])[0], "annotation": s["annotation"].filter("false")}
 
 
 def _rotate(s: State, p: dict) -> State:

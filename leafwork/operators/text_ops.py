@@ -11,7 +11,7 @@ BLOCK = ["doc_id", "page_no", "block_id"]
 
 def search_text(pages: DataFrame, term: str) -> DataFrame:
     """Pages whose text has ``term``, case-sensitive, with the number of matches that don't overlap."""
-    return pages.filter(F.col("text").contains(term)).select("doc_id", "page_no", occurrences(F.col("text"), term).alias("matches"), "text") if term else pages.limit(0).select("doc_id", "page_no", F.lit(0).cast("long").alias("matches"), "text")
+    return pages.filter(F.col("text").contains(term)).select("doc_id", "page_no", occurrences(F.col("text"), term).alias("matches"), "text") if term else pages.filter("false").select("doc_id", "page_no", F.lit(0).cast("long").alias("matches"), "text")
 
 
 def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def p5_width_with_font(t: Tables) -> DataFrame:
 @query("SELECT doc_id, string_agg(CASE WHEN length(word) = 2 THEN chr(966) ELSE chr(CAST(length(word) + 64 AS INTEGER)) END, '' ORDER BY pos) AS text FROM doc_words GROUP BY doc_id")
 def p6_dict_decode(t: Tables) -> DataFrame:
     codes = t.doc_words.select("doc_id", "pos", (F.length("word") + 64).alias("code"))
-    cmap = t.region.limit(1).select(F.lit(66).alias("code"), F.lit("φ").alias("mapped"))
+    cmap = t.spark.range(1).select(F.lit(66).alias("code"), F.lit("φ").alias("mapped"))
     return ops.dict_decode(codes, cmap)
 
 
@@ -179,7 +179,7 @@ def p19_split_columns(t: Tables) -> DataFrame:
 @query("""SELECT 'block' AS kind, concat(doc_id, '-', page_no, '-', block_id) AS id, replace(text, 'the', 'THE') AS text, CASE WHEN contains(text, 'the') THEN '#ff0000' ELSE color END AS color FROM text_block
  UNION ALL SELECT 'annotation', annot_id, replace(contents, 'the', 'THE'), NULL FROM annotation""")
 def p20_replace_text(t: Tables) -> DataFrame:
-    fonts = t.region.limit(1).select(F.lit("F2").alias("font_name"), F.lit(True).alias("composite"))
+    fonts = t.spark.range(1).select(F.lit("F2").alias("font_name"), F.lit(True).alias("composite"))
     blocks = ops.replace_text(t.text_block, fonts, "the", "THE", color="#ff0000")
     annots = ops.replace_in_annotations(t.annotation, "the", "THE")
     key = F.concat_ws("-", "doc_id", "page_no", "block_id")
