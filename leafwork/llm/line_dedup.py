@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, join_by_weight
+from .common import checkpointed, join_by_weight, written
 
 #: Elements whose tags end a line.
 BLOCKS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td th thead title tr ul".split()
@@ -36,7 +36,8 @@ def line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) -> Data
     Hot hosts are counted by partial sums, and a host's list of dropped lines has at most 1 / ratio times as many
     entries as its pages have lines on average; lists of the largest hosts are broadcast, a thousand at most.
     """
-    p = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("_lines"))
+    # pages are parsed once: the lines are counted first and filtered afterwards
+    p = written(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("_lines")))
     hosts = p.groupBy("host").agg(F.count("*").alias("_pages"))
     found = p.select("host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("host", "_line").agg(F.count("*").alias("_found"))
     # the host's total joins its few lines that are on min_pages pages or more
