@@ -49,6 +49,16 @@ def features(text: str) -> np.ndarray:
     return out
 
 
+def _leading(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of ``x`` by subspace iteration, which needs no matrix larger than ``x``."""
+    if not len(x):
+        return np.zeros((x.shape[1], 1), np.float32)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2][:rank].T
+
+
 class Space:
     """The latent space of a sample and its labelled vectors."""
 
@@ -57,13 +67,11 @@ class Space:
         seen = (sample > 0).sum(axis=0)
         self.weights = np.log((1 + len(sample)) / (1 + seen)).astype(np.float32) + 0.1
         x = self.weighted(sample)
-        # the leading right singular vectors
-        values, vectors = np.linalg.eigh(x.T @ x) if len(x) else (np.zeros(1), np.zeros((FEATURES, 1)))
-        self.basis = vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
+        self.basis = _leading(x, rank)
         self.vectors = self.project(x)
 
     def weighted(self, x: np.ndarray) -> np.ndarray:
-        x = x * self.weights
+        x = x * self.weights  # a new array
         x[:, :GRAMS] /= np.maximum(1e-9, np.linalg.norm(x[:, :GRAMS], axis=1, keepdims=True))
         x[:, GRAMS:] = (x[:, GRAMS:] > 0) * np.float32(self.form)
         return x
@@ -116,6 +124,8 @@ def quality_votes(docs: DataFrame, labels: DataFrame, held_out: Column, label: s
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = text_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_sampled, "doc_id long, label int, x binary").orderBy("doc_id").limit(sample).collect()
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32).reshape(len(got), FEATURES)
+    x = np.zeros((len(got), FEATURES), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[:] = np.frombuffer(r.x, np.float16)
     space = spark.sparkContext.broadcast(Space(x, np.array([r.label for r in got]), rank, neighbours))
     return text_of(docs, held_out.alias("held_out")).mapInArrow(_Vote(space, threshold), "doc_id long, held_out boolean, score double, predicted int")
