@@ -2,7 +2,9 @@
 
 Suffixes are kept where a minimiser begins: of every ``window`` successive runs of ``key`` words the one with the least
 hash, so that wherever a passage of ``min_words`` words stands, the same of its suffixes are kept. Equal heads bring
-suffixes together; each is compared with the first and the last of its group, word by word, to the right and to the left.
+suffixes together. Where all suffixes of a head agree in all words that passages through it could need, each is compared
+with the first and the last of its group; elsewhere the group is divided by the whole passages of ``min_words`` words around
+the head, and each is compared with the first and the last of its passage, word by word, to the right and to the left.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import claims, join_by_weight, packed, text_of, unpacked, written
+from .simhash import _repeats_ids as repeats_ids
 
 FACTOR = 0x9E3779B97F4A7C15
 BACK = pow(FACTOR, -1, 1 << 64)
@@ -55,21 +58,60 @@ def _slide(a: np.ndarray, width: int, take) -> np.ndarray:
     return a
 
 
+def _sums(words: list[bytes], hashes: _Hashes, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' hashes, each times its place's power, and the powers that take places out again."""
+    n = len(words)
+    up, down = powers.get(n + 1)
+    return np.append(np.uint64(0), np.cumsum(np.fromiter(map(hashes.__getitem__, words), np.uint64, n) * up[:n])), down
+
+
+def _runs(sums: np.ndarray, down: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``first`` to before ``end``, wherever they stand."""
+    h = (sums[end] - sums[first]) * down[first]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _heads(sums: np.ndarray, down: np.ndarray, key: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every run of ``key`` words, and the least of every ``window`` successive ones."""
+    first = np.arange(len(sums) - key)
+    heads = _runs(sums, down, first, first + key)
+    return heads, _slide(heads, window, np.minimum)
+
+
 def suffixes(words: list[bytes], hashes: _Hashes, powers: _Powers, key: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the kept suffixes and the hashes of their first ``key`` words; none in a text of fewer than key + window - 1 words."""
+    at, heads, _ = _kept(words, hashes, powers, key, window)
+    return at, heads
+
+
+def _kept(words: list[bytes], hashes: _Hashes, powers: _Powers, key: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``suffixes`` and the hashes of all words that a passage of key + window - 1 words through the head can have, with the head's place among them."""
     n = len(words)
     if n < key + window - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers.get(n + 1)
-    sums = np.append(np.uint64(0), np.cumsum(np.fromiter(map(hashes.__getitem__, words), np.uint64, n) * up[:n]))
-    heads = (sums[key:] - sums[:-key]) * down[: n - key + 1]
-    heads = (heads ^ (heads >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    heads ^= heads >> np.uint64(32)
-    least = _slide(heads, window, np.minimum)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sums, down = _sums(words, hashes, powers)
+    heads, least = _heads(sums, down, key, window)
     # a head is kept if it is the least of some window it lies in
     edge = np.zeros(window - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), window, np.maximum) == heads)
-    return at, heads[at]
+    first, end = np.maximum(at - window + 1, 0), np.minimum(at + key + window - 1, n)
+    around = _runs(sums, down, first, end) + ((at - first) * 4096 + end - at).astype(np.uint64) * np.uint64(FACTOR)
+    return at, heads[at], around
+
+
+def passages(words: list[bytes], kept: np.ndarray, hashes: _Hashes, powers: _Powers, key: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All passages of key + window - 1 words whose least head is one of those that begin at ``kept``: where the first such head begins, and the passage's hash."""
+    sums, down = _sums(words, hashes, powers)
+    heads, least = _heads(sums, down, key, window)
+    first = np.flatnonzero(np.isin(least, heads[kept]))
+    same = np.flatnonzero(np.isin(heads, heads[kept]))
+    # of the heads from the passage's start on, the first that is its least
+    next_same = np.searchsorted(same, first)
+    while (off := heads[same[next_same]] != least[first]).any():
+        next_same += off
+    at = same[next_same]
+    return at, _runs(sums, down, first, first + key + window - 1)
 
 
 class _Suffixes:
@@ -81,11 +123,25 @@ class _Suffixes:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [suffixes(t.as_py().encode().lower().split(), hashes, powers, self.key, self.window) for t in part.column("text")]
-                many = np.array([len(at) for at, _ in found])
+                found = [_kept(t.as_py().encode().lower().split(), hashes, powers, self.key, self.window) for t in part.column("text")]
+                many = np.array([len(at) for at, _, _ in found])
                 ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(many)), many)))
-                at, heads = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(heads.view(np.int64))], ["doc_id", "pos", "head"])
+                at, heads, around = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(heads.view(np.int64)), pa.array(around.view(np.int64))], ["doc_id", "pos", "head", "around"])
+
+
+class _Passages:
+    def __init__(self, key: int, window: int):
+        self.key, self.window = key, window
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, powers = _Hashes(), _Powers()
+        for batch in batches:
+            for doc, text, kept in zip(batch.column("doc_id"), batch.column("text"), batch.column("at"), strict=True):
+                at, runs = passages(text.as_py().encode().lower().split(), kept.values.to_numpy(), hashes, powers, self.key, self.window)
+                for a in range(0, len(at), 100_000):
+                    part = at[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc.as_py(), np.int64)), pa.array(part.astype(np.int32)), pa.array(runs[a : a + len(part)].view(np.int64))], ["doc_id", "pos", "head"])
 
 
 def extend(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[int, int]:
@@ -124,17 +180,31 @@ class _Extended:
 def repeats(docs: DataFrame, min_words: int = 50, key: int = 25) -> DataFrame:
     """doc_id, other_id, first_word, end_word, other_first_word: passages of a document that another one has, too.
 
-    Words are split at white space and compared after lower-casing A-Z. Of documents that share a passage each but the
-    first, by doc_id, is paired with the first, and each but the last with the last; no group grows into all its pairs. Passages go as far as
-    words agree on both sides, over ``min_words`` at least. Null texts count as empty, null doc_ids are left out,
+    Words are split at white space and compared after lower-casing A-Z. Of the documents that share a passage of ``min_words``
+    words each but the first, by doc_id, is paired with the first, and each but the last with the last, for every such
+    passage by itself: all words of all passages are in some row, whatever shorter runs other documents have, and no group grows into all its pairs.
+    Passages go as far as words agree on both sides, over ``min_words`` at least. Null texts count as empty, null doc_ids are left out,
     rows that repeat a doc_id count as one document (its least text), very long texts are read whole, other columns aren't read, an empty table
     gives an empty result.
     """
+    window = min_words - key + 1
     d = text_of(docs).filter("doc_id IS NOT NULL")
-    found = written(d.mapInArrow(_Suffixes(key, min_words - key + 1), "doc_id long, pos int, head long"))
+    if repeats_ids(docs):
+        d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = written(d.mapInArrow(_Suffixes(key, window), "doc_id long, pos int, head long, around long"))
     at = F.struct("doc_id", "pos")
-    groups = found.groupBy("head").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n")).filter("low.doc_id <> high.doc_id")
-    met = join_by_weight(found, written(groups), ["head"], "n", found.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL")
+
+    def groups(rows: DataFrame, *more) -> DataFrame:
+        return rows.groupBy("head").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n"), *more).filter("low.doc_id <> high.doc_id")
+
+    met = join_by_weight(found.drop("around"), written(groups(found, (F.min("around") == F.max("around")).alias("whole"))), ["head"], "n", found.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL")
+    met = written(met.select("doc_id", "pos", "low", "high", "whole"))
+    # heads around which not all suffixes agree: their groups are divided by whole passages
+    kept = written(met.filter("NOT whole").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+    own = d.filter(claims(kept, "doc_id"))
+    fine = written(own.join(kept, "doc_id").select("doc_id", "text", "at").mapInArrow(_Passages(key, window), "doc_id long, pos int, head long"))
+    divided = join_by_weight(fine, written(groups(fine)), ["head"], "n", fine.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL")
+    met = met.filter("whole").select("doc_id", "pos", "low", "high").unionByName(divided.select("doc_id", "pos", "low", "high"))
     met = met.select("doc_id", "pos", F.explode(F.array("low", "high")).alias("o")).filter("o.doc_id <> doc_id")
     pairs = met.groupBy("doc_id", F.col("o.doc_id").alias("other_id"), (F.col("pos") - F.col("o.pos")).alias("apart")).agg(F.collect_set("pos").alias("at"))
     pairs = pairs.groupBy("doc_id", "other_id").agg(F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("pos"), (p - F.col("apart")).alias("other_pos")))))).alias("pairs"))

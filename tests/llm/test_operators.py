@@ -343,6 +343,37 @@ def test_suffix_dedup_finds_shared_passages(spark, edges, empty):
     assert suffix_dedup.repeats(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
 
 
+def brute_covered(texts, size):
+    """All (doc, word) in runs of ``size`` words that another document has, too."""
+    holders = defaultdict(set)
+    for d, own in texts.items():
+        for i in range(len(own) - size + 1):
+            holders[tuple(own[i : i + size])].add((d, i))
+    return {(d, k) for at in holders.values() if len({d for d, _ in at}) > 1 for d, i in at for k in range(i, i + size)}
+
+
+def test_suffix_dedup_is_brute_force_around_nested_boilerplate(spark):
+    texts, r = {}, random.Random(8)
+    for g in range(24):
+        # the first and the last have the boilerplate alone, two between them a passage around it, one of them twice; others a part of it
+        plate, left, right = words(r.randrange(25, 50), 3000 + g), words(r.randrange(0, 30), 3100 + g), words(r.randrange(0, 30), 3200 + g)
+        whole = left + plate + right
+        parts = [plate, whole, whole, plate + right[:5], whole + words(3, g) + whole, left[-4:] + plate, plate]
+        texts |= {100 * k + g: words(30, 4000 + 100 * k + g) + part + words(r.randrange(0, 40), 5000 + 100 * k + g) for k, part in enumerate(parts)}
+    docs = table(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])
+    got = suffix_dedup.repeats(docs).collect()
+    expected = brute_covered(texts, 50)
+    assert expected and {(x.doc_id, k) for x in got for k in range(x.first_word, x.end_word)} == expected
+    for x in got:
+        a, b, i, j, n = texts[x.doc_id], texts[x.other_id], x.first_word, x.other_first_word, x.end_word - x.first_word
+        assert x.doc_id != x.other_id and n >= 50 and a[i : i + n] == b[j : j + n]
+        assert (not i or not j or a[i - 1] != b[j - 1]) and a[i + n : i + n + 1] != b[j + n : j + n + 1] or i + n == len(a) or j + n == len(b)
+    left = {x.doc_id: x.text.split() for x in suffix_dedup.without_repeats(docs).collect()}
+    assert not brute_covered(left, 50) and all(left[d] == texts[d] for d in texts if d < 100)
+    # of each passage of 50 words the first document that has it keeps it
+    assert all(left[100 + g] == texts[100 + g] for g in range(24))
+
+
 def test_minimisers_agree_wherever_a_passage_stands():
     h, p = suffix_dedup._Hashes(), suffix_dedup._Powers()
     passage = [w.encode() for w in words(50, 5)]
