@@ -1,10 +1,11 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 The trie lives in a table: one row per context of up to five bytes and next byte, with its count in the training texts.
-Contexts begin at the start of their word, so a text's code length is the sum over its words and its end. Texts are dealt
-into chunks of bounded size; a chunk's distinct words and byte contexts are counted, the counts are summed over all
-chunks, the probabilities of all contexts follow order by order with escapes and exclusion of the symbols that longer
-contexts have seen, and each chunk gets back the figures of its own words and contexts.
+Contexts run over a text's words and the spaces between them (``across_words``), or begin at the start of their word, and
+a text's code length is then the sum over its words and its end. Texts are dealt into chunks of bounded size; a chunk's
+distinct words and byte contexts are counted, the counts are summed over all chunks, the probabilities of all contexts
+follow order by order with escapes and exclusion of the symbols that longer contexts have seen, and each chunk gets back
+the figures of its own words and contexts.
 """
 
 from __future__ import annotations
@@ -43,11 +44,47 @@ def contexts(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return gram, of
 
 
+def running_contexts(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text's words, a space after each word and one at its end: context and byte as in ``contexts``, and the text it belongs to.
+
+    Contexts run across words; spaces stand before a text.
+    """
+    streams = [b" ".join([*words, b"", b""]) for words in texts]
+    long = np.fromiter(map(len, streams), np.int64, len(streams))
+    symbols = np.frombuffer(b"".join(b" " * order + s for s in streams), np.uint8).astype(np.int64)
+    of = np.repeat(np.arange(len(streams)), long)
+    at = np.arange(len(of)) + (of + 1) * order
+    gram = symbols.copy()
+    for back in range(1, order + 1):
+        gram[back:] |= symbols[:-back] << (8 * back)
+    return gram[at], of
+
+
 class _Counts:
     """Per chunk: distinct words and contexts with their counts in training texts, zero where only held-out texts have them."""
 
-    def __init__(self, order: int, most: int):
-        self.order, self.most = order, most
+    def __init__(self, order: int, most: int, across_words: bool):
+        self.order, self.most, self.across_words = order, most, across_words
+        self.start()
+
+    def start(self) -> None:
+        self.grams, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting, self.size = {False: [], True: []}, 0
+
+    def add(self, words: list[bytes], out: bool) -> None:
+        self.waiting[out].append(words)
+        self.size += sum(map(len, words)) + len(words)
+        if self.size > 2_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        """Counts the contexts of the texts that wait."""
+        for out, texts in self.waiting.items():
+            if texts:
+                gram, n = np.unique(running_contexts(texts, self.order)[0], return_counts=True)
+                self.grams, at = np.unique(np.append(self.grams, gram), return_inverse=True)
+                self.sums = np.bincount(at, np.append(self.sums, n * (not out)), len(self.grams)).astype(np.int64)
+        self.waiting, self.size = {False: [], True: []}, 0
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, train, other = None, Counter(), set()
@@ -59,6 +96,8 @@ class _Counts:
                         train, other = Counter(), set()
                 chunk = k
                 words = text.as_py().encode().lower().split()
+                if self.across_words:
+                    self.add(words.copy(), out)
                 words.append(b"")
                 if out:
                     other.update(words)
@@ -76,8 +115,10 @@ class _Counts:
             part = words[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, "i4")), pa.array([w.decode("latin1") for w in part], pa.string()), pa.nulls(len(part), pa.int64()), pa.array(counts[a : a + len(part)])], names)
         # block by block, as a word has many contexts
-        grams, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a in range(0, len(words), 50_000):
+        self.settle()
+        grams, sums = self.grams, self.sums
+        self.start()
+        for a in range(0, 0 if self.across_words else len(words), 50_000):
             gram, of = contexts(words[a : a + 50_000], self.order)
             grams, at = np.unique(np.append(grams, gram), return_inverse=True)
             sums = np.bincount(at, np.append(sums, counts[a + of]), len(grams)).astype(np.int64)
@@ -115,7 +156,7 @@ def probabilities(grams: DataFrame, order: int) -> DataFrame:
         below = level.select("g", "n", "T", "d", "u")
 
 
-def _scores(order: int, tokens: int, kinds: int):
+def _scores(order: int, tokens: int, kinds: int, across_words: bool):
     def score(docs: pa.Table, figures: pa.Table) -> pa.Table:
         is_word = figures.column("word").is_valid()
         of_words, of_grams = figures.filter(is_word), figures.filter(pc.invert(is_word))
@@ -125,29 +166,46 @@ def _scores(order: int, tokens: int, kinds: int):
         by = np.argsort(grams)
         grams, logs = grams[by], logs[by]
         model = np.empty(len(words))
-        for a in range(0, len(words), 50_000):
+        for a in range(0, 0 if across_words else len(words), 50_000):
             gram, of = contexts(words[a : a + 50_000], order)
             model[a : a + 50_000] = np.bincount(of, logs[np.searchsorted(grams, gram)])
         base = np.log10((counts + 1) / (tokens + kinds + 1))
         number = {w: i for i, w in enumerate(words)}
-        rows = []
+        rows, waiting, size, running = [], [], 0, []
+
+        def settle() -> None:
+            gram, of = running_contexts(waiting, order)
+            gram, at = np.unique(gram, return_inverse=True)
+            running.append(np.bincount(of, logs[np.searchsorted(grams, gram)][at], len(waiting)))
+            waiting.clear()
+
         for text in docs.column("text"):
             own = text.as_py().encode().lower().split()
+            if across_words:
+                waiting.append(own.copy())
+                size += len(text.as_py())
+                if size > 500_000:
+                    settle()
+                    size = 0
             own.append(b"")
             ids = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            rows.append((len(own), int((counts[ids] > 0).sum()), float(base[ids].sum()), float(model[ids].sum())))
+            rows.append((len(own), int((counts[ids] > 0).sum()), float(base[ids].sum()), 0.0 if across_words else float(model[ids].sum())))
         n, known, b, s = map(list, zip(*rows, strict=True))
+        if across_words:
+            if waiting:
+                settle()
+            s = np.concatenate(running)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64())})
 
     return score
 
 
-def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16, most_words: int = 1_000_000) -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16, most_words: int = 1_000_000, across_words: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     Texts are lower-cased (A-Z) and read as words and one end; ``score`` is the log10 probability of that sequence under
     the model pretrained on all rows for which the column ``held_out`` is false, ``base_score`` that of smoothed token
-    counts. Null and empty texts are an end alone; without training rows all bytes are equally likely; repeated rows are
+    counts. With ``across_words`` a byte's context is whatever stands before it in its text, else it begins at the start of its word. Null and empty texts are an end alone; without training rows all bytes are equally likely; repeated rows are
     counted and scored one by one; very long texts stay whole; an empty table gives an empty result.
     """
     d = text_of(docs).withColumn("held_out", held_out)
@@ -155,7 +213,7 @@ def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16,
     chunks = max(1, round(size / (chunk_mb * 1e6)))
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     # all that the corpus gives: distinct words and contexts of each chunk
-    found = written(d.sortWithinPartitions("chunk").mapInArrow(_Counts(order, most_words), "chunk int, word string, gram long, n long"))
+    found = written(d.sortWithinPartitions("chunk").mapInArrow(_Counts(order, most_words, across_words), "chunk int, word string, gram long, n long"))
     in_words, in_grams = found.filter("word IS NOT NULL").select("chunk", "word", "n"), found.filter("gram IS NOT NULL").select("chunk", "gram", "n")
     # a word has a row for each chunk that has it
     own = Window.partitionBy("word")
@@ -165,5 +223,5 @@ def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16,
     figures = words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("v")).unionByName(
         in_grams.select("chunk", "gram").join(grams, "gram").select("chunk", F.lit(None).cast("string").alias("word"), "gram", F.log10("p").alias("v"))
     )
-    scored = d.groupBy("chunk").cogroup(figures.groupBy("chunk")).applyInArrow(_scores(order, tokens or 0, kinds or 0), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = d.groupBy("chunk").cogroup(figures.groupBy("chunk")).applyInArrow(_scores(order, tokens or 0, kinds or 0, across_words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored

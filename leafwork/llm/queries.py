@@ -28,7 +28,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_ppm.ppm_scores(documents(spark, sf_dir), held_out(7, 2))
+    return lm_ppm.ppm_scores(documents(spark, sf_dir), held_out(7, 2), across_words=True)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_ppm, packing, quality_knn, quality_rules, simhash, suffix_dedup
+from leafwork.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_ppm, packing, quality_knn, quality_rules, queries, simhash, suffix_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key long, _id string, digest string, word string, n long"
@@ -161,6 +161,47 @@ def test_ppm_is_the_model_of_brute_force(spark, empty):
     assert lm_ppm.ppm_scores(empty, held).count() == 0
 
 
+def brute_whole_ppm(texts, order):
+    """p(text) by the same definition, from the uncut stream of each text."""
+    streams = lambda text: b" " * order + b"".join(w + b" " for w in text.encode().lower().split()) + b" "
+    counts = defaultdict(Counter)
+    for stream in map(streams, texts):
+        for i in range(order, len(stream)):
+            for k in range(order + 1):
+                counts[stream[i - k : i]][stream[i]] += 1
+
+    def p(ctx, s, seen):
+        own = {x: n for x, n in counts[ctx].items() if x not in seen}
+        t = sum(own.values())
+        if s in own:
+            return (2 * own[s] - 1) / (2 * t)
+        seen = seen | own.keys()
+        return (len(own) / (2 * t) if own else 1) * (p(ctx[1:], s, seen) if ctx else 1 / (256 - len(seen)))
+
+    def log_p(text):
+        stream = streams(text)
+        return sum(math.log10(p(stream[i - order : i], stream[i], set())) for i in range(order, len(stream)))
+
+    return log_p
+
+
+def test_ppm_query_reads_across_words(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = ["a", "the", "cat", "sat", "on", "mat.", "ünï"]
+    rows = [(i, None if i == 9 else " ".join(r.choices(vocabulary, k=r.randrange(0, 30))), "en", "s") for i in range(40)]
+    rows += [(100 + i, "the cat sat on the mat.", "en", "s") for i in range(14)] + [(200 + i, "mat. on cat the the sat", "en", "s") for i in range(14)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op4_lm_ppm(spark, str(tmp_path)).collect()}
+    log_p = brute_whole_ppm([t or "" for i, t, *_ in rows if not got[i].held_out], 5)
+    assert len(got) == len(rows) and {x.held_out for x in got.values()} == {True, False}
+    for i, t, *_ in rows:
+        assert got[i].score == pytest.approx(log_p(t or ""))
+    # the order of words counts; token counts can't tell
+    assert got[100].base_score == pytest.approx(got[200].base_score) and got[100].score != pytest.approx(got[200].score)
+    small = {x.doc_id: x.score for x in lm_ppm.ppm_scores(table(spark, rows), common.held_out(7, 2), chunk_mb=0.0004, most_words=5, across_words=True).collect()}
+    assert small == pytest.approx({i: x.score for i, x in got.items()})
+
+
 def test_ppm_probabilities_sum_to_one(spark):
     grams, _ = lm_ppm.contexts([b"abracadabra", b"abba", b"", b"cab"], 2)
     seen = Counter(grams.tolist())
