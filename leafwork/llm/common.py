@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: The largest number of rows that ``join_by_weight`` broadcasts: a key that holds 1/PARTS of all rows can occur PARTS times at most.
-PARTS = 1000
+#: A key with more than 1/PARTS of all rows is split by ``join_by_weight``; there can be PARTS such keys at most.
+PARTS = 100_000
+#: Keys of fewer rows than this are never split.
+PIECE = 2_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,10 +55,12 @@ def held_out(of: int, remainder: int, doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where none is named, as in tests."""
+    """The folder all executors share, as the session names it; one of our own only where none is named and all runs on one machine, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="leafwork-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -77,33 +81,51 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, salt: Column) -> DataFrame:
-    """Left join on ``keys``, where ``right`` has each key once and ``weight`` is how many rows of ``left`` hold it.
+def _dealt_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salt: Column, how: str) -> DataFrame:
+    """A join whose ``hot`` keys, by hash, are split into pieces: the row of ``right`` is repeated for each, the rows of ``left`` are dealt to them.
 
-    Keys with 1/PARTS or more of the ``total`` rows, PARTS of them at most, are broadcast; their rows are then
-    spread by ``salt`` and find nothing in the shuffled join that serves all other keys.
+    Only ``hot`` (_code, _pieces), with PARTS rows at most, is broadcast; what ``right`` holds is shuffled, however long.
     """
     values = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(weight) * PARTS >= total).select(*keys, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(weight) * PARTS < total).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
-    marked = left.join(F.broadcast(hot), keys, "left")
-    marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise((F.pmod(salt, F.lit(4096)) + 1).cast("int")))
-    both = marked.join(cold, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
+    code, pieces = F.xxhash64(*keys), F.coalesce("_pieces", F.lit(1)).cast("int")
+    hot = F.broadcast(hot.groupBy("_code").agg(F.max("_pieces").alias("_pieces")))
+    dealt = left.withColumn("_code", code).join(hot, "_code", "left").withColumn("_piece", F.pmod(salt, pieces).cast("int")).drop("_code", "_pieces")
+    copies = right.select(*keys, code.alias("_code"), F.struct(*values).alias("_got")).join(hot, "_code", "left")
+    copies = copies.select(*keys, "_got", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
+    both = dealt.join(copies, [*keys, "_piece"], how)
     return both.select(*left.columns, *(F.col(f"_got.{c}").alias(c) for c in values))
 
 
-def claims(keys: DataFrame, name: str, bits: int = 1 << 23) -> Column:
-    """A filter of a fixed size over the column ``name`` of ``keys``, as a test of a column of that name in another table.
+def _hot(counts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    piece = max(PIECE, -(-total // PARTS))
+    return counts.filter(F.col(weight) > piece).select(F.xxhash64(*keys).alias("_code"), F.ceil(F.col(weight) / piece).alias("_pieces"))
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, salt: Column) -> DataFrame:
+    """Left join on ``keys``, where ``right`` has each key once and ``weight`` is how many rows of ``left`` hold it: keys with more than 1/PARTS of the ``total`` rows are split by ``salt``."""
+    return _dealt_join(left, right, keys, _hot(right, keys, weight, total), salt, "left")
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """Inner join on ``keys``, which ``right`` has once; ``left``, a written table, is counted first, and its frequent keys are split as in ``join_by_weight``."""
+    hot = checkpointed(_hot(left.groupBy(*keys).agg(F.count("*").alias("_weight")), keys, "_weight", left.count()))
+    return left.join(right, keys) if hot.isEmpty() else _dealt_join(left, right, keys, hot, salt, "inner")
+
+
+def claims(keys: DataFrame, name: str, bits: int | None = None) -> Column:
+    """A filter over the column ``name`` of ``keys``, as a test of a column of that name in another table.
 
-    It claims every key and few others; when crowded, more others: it saves shuffles and decides nothing.
+    It claims every key and few others: it saves shuffles and decides nothing. It has 16 bits a key, or ``bits``, between 2**16 and 2**26
+    (8 MB); beyond 4 million keys it claims more others.
     """
+    bits = bits or min(1 << 26, max(1 << 16, 16 * keys.count()))
     words = bits // 63
     place = [F.pmod(F.xxhash64(name, F.lit(i)), F.lit(words * 63)) for i in range(3)]
     rows = keys.select(F.explode(F.array(*place)).alias("p")).groupBy(F.expr("p div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("b"))
     # at most ``words`` rows come to the driver, whatever the input
+    found = rows.toArrow()
     table = np.zeros(words, np.int64)
-    for w, b in rows.collect():
-        table[w] = b
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @pandas_udf("boolean")

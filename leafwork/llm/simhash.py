@@ -3,7 +3,10 @@
 Two fingerprints that differ in at most ``radius`` bits agree in one of radius + 1 blocks of bits. Distinct fingerprints
 meet in tiles, the fingerprints that share a block; within a tile numpy compares by exclusive-or and bit counts, parts
 whose population counts differ by more than the radius are skipped. A block shared by too many fingerprints is cut into
-tiles of one population count each, paired only with the counts within the radius. All links are found at any size.
+a grid of tiles by population count and, where one count is too much for a tile, by parts of it; only pairs of tiles whose
+counts are within the radius are formed. All links are found at any size.
+
+``near_copies`` goes on where fingerprints end: it links documents by the similarity of their sets of shingles, exactly.
 """
 
 from __future__ import annotations
@@ -13,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import claims, components, join_by_weight, packed, text_of, unpacked, written
+from .common import claims, components, join_by_weight, join_counted, packed, text_of, unpacked, written
 
 #: The bits of each byte value, first the highest.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -94,12 +97,14 @@ def links_of(fps: np.ndarray, tiles: np.ndarray, base: np.ndarray, radius: int)
 class _Tiles:
     """Tiles of a sorted partition, as many at a time as there are whole ones in what has arrived."""
 
-    def __init__(self, radius: int):
-        self.radius = radius
+    def __init__(self, keys: list[str], radius: int):
+        self.keys, self.radius = keys, radius
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             tiles = self.numbers(held)
@@ -110,7 +115,7 @@ class _Tiles:
             yield from self.out(held, self.numbers(held))
 
     def numbers(self, t: pa.Table) -> np.ndarray:
-        keys = [t.column(c).to_numpy() for c in ("band", "block", "tile")]
+        keys = [t.column(c).to_numpy() for c in self.keys]
         new = np.zeros(t.num_rows, bool)
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
@@ -122,19 +127,31 @@ class _Tiles:
 
 
 def links(fps: DataFrame, radius: int, most: int = 4096) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints ``fp`` that together hold all components of links of up to ``radius`` bits."""
+    """Pairs (a, b) of distinct fingerprints ``fp`` that together hold all components of links of up to ``radius`` bits.
+
+    No tile has more than about twice ``most`` rows.
+    """
     bands = radius + 1
     edges = [64 * i // bands for i in range(bands + 1)]
     block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    routed = fps.select("fp", F.posexplode(F.array(*(block(i) for i in range(bands)))).alias("band", "block"))
-    sizes = routed.groupBy("band", "block").agg(F.count("*").alias("size")).filter("size > 1")
-    met = routed.join(sizes, ["band", "block"])
-    small = met.filter(F.col("size") <= most).select("band", "block", F.lit(0).alias("tile"), "fp", F.lit(True).alias("base"))
-    # of a crowded block, each population count is base of one tile, and a guest in those of the counts just below
-    guests = F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("down")
-    large = met.filter(F.col("size") > most).select("band", "block", "fp", guests).select("band", "block", (F.bit_count("fp") - F.col("down")).cast("int").alias("tile"), "fp", (F.col("down") == 0).alias("base"))
-    tiles = small.unionByName(large)
-    return tiles.repartition("band", "block", "tile").sortWithinPartitions("band", "block", "tile").mapInArrow(_Tiles(radius), "a long, b long").distinct()
+    routed = fps.select("fp", F.posexplode(F.array(*(block(i) for i in range(bands)))).alias("band", "block")).withColumn("count", F.bit_count("fp").cast("int"))
+    routed = written(routed)
+    by_count = routed.groupBy("band", "block", "count").agg(F.count("*").alias("rows"))
+    sizes = written(by_count.groupBy("band", "block").agg(F.sum("rows").alias("size"), F.map_from_entries(F.collect_list(F.struct("count", "rows"))).alias("counts")).filter("size > 1"))
+    met = join_by_weight(routed, sizes, ["band", "block"], "size", fps.count() * bands, F.xxhash64("fp")).filter("size IS NOT NULL")
+    small = met.filter(F.col("size") <= most).select("band", "block", F.lit(0).alias("tile"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(True).alias("base"))
+    # of a crowded block, a tile has as base one part of the fingerprints of one count, and as guests one part of those with it or the counts just above
+    near = met.filter(F.col("size") > most).select("band", "block", "fp", "count", "counts", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("down")).withColumn("tile", F.col("count") - F.col("down"))
+    found = lambda k: F.coalesce(F.element_at("counts", F.col("tile") + k), F.lit(0))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    near = near.withColumns({"own": found(0), "is": parts(found(0)), "js": parts(sum((found(k) for k in range(1, radius + 1)), found(0)))}).filter("own > 0")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    bases = near.filter("down = 0").select("band", "block", "tile", part("is").alias("i"), F.explode(all_of("js")).alias("j"), "fp", F.lit(True).alias("base"))
+    guests = near.filter("down > 0 OR `is` > 1 OR js > 1").select("band", "block", "tile", F.explode(all_of("is")).alias("i"), part("js").alias("j"), "fp", F.lit(False).alias("base"))
+    tiles = small.unionByName(bases).unionByName(guests)
+    keys = ["band", "block", "tile", "i", "j"]
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_Tiles(keys, radius), "a long, b long").filter("a <> b").distinct()
 
 
 def simhash(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -160,6 +177,15 @@ def simhash(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 #: Odd factors and a finalizer that make further hashes out of one.
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bits of the sketches that candidates are compared by.
+SKETCH = 2048
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)
+    for factor, shift in zip(_MIX, (30, 27), strict=True):
+        h = (h ^ (h >> np.uint64(shift))) * factor
+    return h ^ (h >> np.uint64(31))
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -173,68 +199,127 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)), np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """``parts`` independent 64-bit fingerprints of a set of hashes."""
-    out = np.zeros(parts, np.uint64)
-    for i in range(parts if len(hashes) else 0):
-        h = hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)
-        for factor, shift in zip(_MIX, (30, 27), strict=True):
-            h = (h ^ (h >> np.uint64(shift))) * factor
-        h ^= h >> np.uint64(31)
-        places = h.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
-        set_bits = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BITS
-        out[i] = int.from_bytes(np.packbits(2 * set_bits.ravel() > len(h)).tobytes(), "big")
-    return out
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes."""
+    places = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+    set_bits = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BITS
+    return int.from_bytes(np.packbits(2 * set_bits.ravel() > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of hashes that fall on it: two sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits(np.bincount((mixed(hashes, 1) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1)
+
 
+class Signatures:
+    """What sets of a Jaccard similarity of ``similarity`` or more have in common, however they are made.
 
-class _Routes:
-    """The blocks of each row's wide fingerprint, cut from as many 64-bit parts as they need, and two parts more to compare by."""
+    Such sets differ in a bounded number of elements, so if the universe of elements is dealt to more buckets than that, the sets
+    agree in the whole of some bucket. Sets meet at the level of the larger one's size: its number of buckets is fixed by the
+    largest sizes there. An empty bucket says nothing, so it is a signature only of a set that has too few others.
+    """
+
+    def __init__(self, similarity: float):
+        if not 0.7 <= similarity <= 1:
+            raise ValueError("similarity must be from 0.7 to 1")
+        self.similarity = similarity
+        edges = [1]
+        while edges[-1] < 1 << 40:
+            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
+        self.edges = np.array(edges)
+        # the largest sets of each level differ in so many elements at most
+        self.differ = np.floor((1 - similarity) / (1 + similarity) * 2 * (self.edges[1:] - 1) + 1e-6).astype(np.int64)
+        self.buckets = np.ceil(1.15 * (self.differ + 1) + np.sqrt(self.differ + 1)).astype(np.int64) + 4
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes)
+        if not n:
+            return np.zeros(0, np.int64)
+        own = int(np.searchsorted(self.edges, n, "right")) - 1
+        out = [self.at(hashes, own)]
+        for level in range(own + 1, len(self.buckets)):
+            if self.edges[level] > n / self.similarity + 1e-6:
+                break
+            out.append(self.at(hashes, level))
+        return np.concatenate(out).view(np.int64)
+
+    def at(self, hashes: np.ndarray, level: int) -> np.ndarray:
+        buckets = int(self.buckets[level])
+        h = mixed(hashes, 2)
+        where = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where)
+        where, h = where[order], h[order]
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        at, sums = where[first], np.add.reduceat(mixed(h, 3), first)
+        if len(at) <= self.differ[level]:
+            every = np.zeros(buckets, np.uint64)
+            every[at] = sums
+            at, sums = np.arange(buckets), every
+        return mixed(sums ^ mixed((at + (level << 44)).astype(np.uint64), 4), 5)
+
+
+class _Sets:
+    """Of each text's set of shingles: its size, a hash of all, the fingerprint, the sketch and the signatures."""
 
-    def __init__(self, width: int, bits: int, bands: int):
-        self.width, self.bits, self.bands, self.each = width, bits, bands, 64 // bits
+    def __init__(self, width: int, similarity: float):
+        self.width, self.signatures = width, Signatures(similarity)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, mask = -(-self.bands // self.each), np.uint64((1 << self.bits) - 1)
-        shifts = np.arange(self.each, dtype=np.uint64) * np.uint64(self.bits)
         for batch in batches:
-            fps, blocks, sets = [], [], []  # of each row
-            for text in batch.column("text"):
-                hashes = shingles(text.as_py(), self.width)
-                wide = wide_fingerprint(hashes, parts + 2)
-                fps.append(wide[-2:])
-                blocks.append(((wide[:-2, None] >> shifts) & mask).ravel()[: self.bands].astype(np.int64))
-                sets.append(xxhash.xxh64_intdigest(hashes.tobytes()))
-            flat = pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, self.bands, dtype=np.int32)), flat)
-            one, two = np.array(fps, np.uint64).reshape(-1, 2).view(np.int64).T.copy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one), pa.array(two), pa.array(np.array(sets, np.uint64).view(np.int64)), lists], ["doc_id", "fp", "fp2", "same", "blocks"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                sets = [shingles(t.as_py(), self.width) for t in part.column("text")]
+                own = [self.signatures.of(x) for x in sets]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "same": pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)),
+                    "n": pa.array([len(x) for x in sets], pa.int64()),
+                    "fp": pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)),
+                    "sketch": pa.array([sketch(x).tobytes() for x in sets], pa.binary()),
+                    "signatures": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 class _Candidates(_Tiles):
-    """Pairs of a tile within the radius whose labels differ; with ``once``, each row's first such partner alone."""
+    """Pairs (own, other) of a tile whose labels differ and whose sizes and sketches allow the similarity, each named by the row that takes it as one of its ``partners``.
+
+    A pair of rows that both have theirs is left, and (null, null) says so.
+    """
 
-    def __init__(self, radius: int, once: bool):
-        super().__init__(radius)
-        self.once = once
+    def __init__(self, keys: list[str], similarity: float, partners: int):
+        self.keys, self.similarity, self.partners = keys, similarity, partners
 
     def out(self, t: pa.Table, tiles: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps, more, ids, labels = t.column("fp").to_numpy().view(np.uint64), t.column("fp2").to_numpy().view(np.uint64), t.column("id").to_numpy(), t.column("label").to_numpy()
-        count = np.bitwise_count(fps).astype(np.int64) + np.bitwise_count(more)
-        order = np.lexsort((ids, count, tiles))
-        fps, more, ids, labels, tiles, count = fps[order], more[order], ids[order], labels[order], tiles[order], count[order]
-        at, step, met = np.arange(len(fps)), 1, np.zeros(len(fps), bool)
+        ids, labels, n = (t.column(c).to_numpy() for c in ("id", "label", "n"))
+        order = np.lexsort((ids, n, tiles))
+        tiles, ids, labels, n = tiles[order], ids[order], labels[order], n[order]
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)[order]
+        share = (1 - self.similarity) / (1 + self.similarity)
+        at, step, left = np.arange(len(ids)), 1, False
+        met = np.zeros(len(ids), np.int64)
         while len(at):
-            at = at[at + step < len(fps)]
-            at = at[(tiles[at] == tiles[at + step]) & (count[at + step] - count[at] <= self.radius)]
-            apart = np.bitwise_count(fps[at] ^ fps[at + step]).astype(np.int64) + np.bitwise_count(more[at] ^ more[at + step])
-            near = at[(labels[at] != labels[at + step]) & (apart <= self.radius)]
-            if self.once:
-                near = near[~met[near + step]]
-                met[near + step] = True
+            at = at[at + step < len(ids)]
+            at = at[(tiles[at] == tiles[at + step]) & (n[at] >= self.similarity * n[at + step] - 1e-6)]
+            near = at[labels[at] != labels[at + step]]
+            most = share * (n[near] + n[near + step]) + 1e-6
+            apart = np.zeros(len(near), np.int64)
+            for a in range(0, sketches.shape[1], 8):
+                apart += np.bitwise_count(sketches[near, a : a + 8] ^ sketches[near + step, a : a + 8]).sum(axis=1, dtype=np.int64)
+                close = apart <= most
+                near, most, apart = near[close], most[close], apart[close]
+            ahead = np.where(ids[near] > ids[near + step], near, near + step)
+            own = np.where(met[ahead] < self.partners, ahead, 2 * near + step - ahead)
+            room = met[own] < self.partners
+            left |= not room.all()
+            near, own = near[room], own[room]
+            np.add.at(met, own, 1)
             if len(near):
-                a, b = ids[near], ids[near + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[2 * near + step - own])], ["own", "other"])
             step += 1
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["own", "other"])
 
 
 class _Similar:
@@ -247,55 +332,87 @@ class _Similar:
             for x, y in zip(batch.column("text"), batch.column("other"), strict=True):
                 x, y = shingles(x.as_py(), self.width), shingles(y.as_py(), self.width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= self.similarity * (len(x) + len(y) - both))
+                keep.append(both >= self.similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01, most: int = 4096) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 4096) -> DataFrame:
     """doc_id, component_id: one row per distinct non-null doc_id. Documents whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Fingerprints are as wide as it takes: of two sets at the similarity, each bit differs with a known probability,
-    and there are so many blocks of bits that no block of theirs agrees with probability ``miss`` at most; the blocks
-    grow with the number of documents, so tiles do not. Pairs within a tile that are close by 128 further bits are
-    candidates, and each is checked by its sets. First every row meets one partner a tile; then those pairs that
-    verified links have not joined meet. Blocks of more than ``most`` rows are cut, so that no task holds more at once. Texts without words have equal, empty sets. Null texts count as empty, rows
-    that repeat a doc_id count once (their least text), very long texts are read whole, an empty table gives an empty result.
+    First fingerprints of the sets that differ in up to ``radius`` bits are linked where their sets hold the similarity. Then sets
+    that share a signature meet, as all similar ones do, and those of different components are compared by their sketches, which
+    rule out pairs but never a similar one; what is left is checked by the sets themselves. A row gets few partners in a round, more in each later one,
+    and rounds go on until no pair is left that isn't joined or checked: the components are exact, and pairs grow with rows and not with
+    their squares unless the sketches can't tell. No task holds more than twice ``most`` rows of a group at once. Texts without words have equal, empty sets.
+    Null texts count as empty, rows that repeat a doc_id count once (their least text), very long texts are read whole,
+    other columns aren't read, an empty table gives an empty result.
     """
+    return _near(docs, width, similarity, radius, most)[0]
+
+
+def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int) -> tuple[DataFrame, list[int]]:
+    """``near_copies``, and how many pairs each round checked."""
     d = text_of(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats_ids(docs) else text_of(docs).filter("doc_id IS NOT NULL")
-    n = max(2, docs.count())
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = int(min(32, max(8, np.ceil(np.log2(n)) - 5)))
-    bands = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
-    radius = int(np.ceil(128 * differ + 3.5 * np.sqrt(128 * differ * (1 - differ))))
-    rows = written(d.mapInArrow(_Routes(width, bits, bands), "doc_id long, fp long, fp2 long, same long, blocks array<long>"))
+    rows = written(d.mapInArrow(_Sets(width, similarity), "doc_id long, same long, n long, fp long, sketch binary, signatures array<long>"))
     # equal sets meet as one kind, named after its smallest document
-    kinds = rows.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "fp2", "blocks")).alias("x"), F.count("*").alias("rows"))
-    kinds = written(kinds.select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.fp2", "x.blocks", "rows"))
-
-    def verified(labels: DataFrame, once: bool) -> DataFrame:
-        routed = labels.select("id", "label", "fp", "fp2", F.posexplode("blocks").alias("band", "block"))
-        # a crowded block is cut into parts, and every two parts are a tile of their own
-        crowded = written(routed.groupBy("band", "block").agg(F.count("*").alias("size")).filter(F.col("size") > most))
-        parts = F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int")
-        cut = routed.join(crowded, ["band", "block"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        cut = cut.select("band", "block", "fp", "fp2", "id", "label", "part", "parts", other)
-        tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")
-        met = cut.select("band", "block", tile.alias("tile"), "fp", "fp2", "id", "label").repartition("band", "block", "tile").sortWithinPartitions("band", "block", "tile")
-        pairs = written(met.mapInArrow(_Candidates(radius, once), "a long, b long").distinct())
+    kinds = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("rows")))
+    checked: list[int] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        checked.append(pairs.count())
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         of = written(d.filter(claims(ids, "doc_id")).join(ids, "doc_id", "left_semi"))
-        both = pairs.join(of.withColumnRenamed("doc_id", "a"), "a").join(of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        both = join_counted(pairs, of.withColumnRenamed("doc_id", "a"), ["a"], F.col("b"))
+        both = join_counted(written(both), of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), ["b"], F.col("a"))
         return written(both.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
 
-    first = verified(kinds.withColumn("label", F.col("id")), True)
-    joined = components(first)
-    labels = kinds.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    rest = verified(labels, False)
-    joined = components(first.union(rest))
-    named = kinds.join(joined.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
-    out = join_by_weight(rows.select("doc_id", "same"), written(named), ["same"], "rows", n, F.xxhash64("doc_id"))
-    return out.select("doc_id", "component_id")
+    # by fingerprints: each kind and the first of its fingerprint, and the firsts of linked fingerprints
+    first = kinds.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("many"))
+    first = written(first)
+    alike = join_by_weight(kinds.select("fp", F.col("id").alias("b")), first, ["fp"], "many", kinds.count(), F.xxhash64("b")).filter("a <> b").select("a", "b")
+    near = links(first.select("fp"), radius).toDF("x", "y").join(first.select(F.col("fp").alias("x"), F.col("a").alias("i")), "x").join(first.select(F.col("fp").alias("y"), F.col("a").alias("j")), "y")
+    joined = verified(written(alike.union(near.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()))
+    refuted = None
+
+    # by signatures: those of two kinds or more; kinds are counted before rows meet
+    own = rows.select("same", "n", F.explode("signatures").alias("sig"))
+    shared = written(own.groupBy("sig").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo <> hi").select("sig"))
+    own = own.filter(claims(shared, "sig")).join(shared, "sig", "left_semi").select("sig", "same", "n").distinct()
+    members = written(own.join(kinds.select("same", "id"), "same"))
+    partners = 1
+    while True:
+        names = components(joined)
+        labels = written(kinds.select("same", "id").join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("label")))
+        labelled = written(members.join(labels, "same"))
+        open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("sig", "size"))
+        met = join_by_weight(labelled, open_, ["sig"], "size", rows.count(), F.xxhash64("id")).filter("size IS NOT NULL")
+        # a crowded group is cut into parts: at first each part meets itself alone, later every two meet
+        parts = F.ceil(F.col("size") / most).cast("int")
+        met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("parts") - 1) if partners > 1 else F.array("part")
+        met = met.withColumn("other", F.explode(others)).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+        crowded = partners == 1 and not open_.filter(F.col("size") > most).isEmpty()
+        sketches = rows.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch")
+        met = met.select("sig", "i", "j", "id", "label", "n").join(sketches, "id")
+        keys = ["sig", "i", "j"]
+        found = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_Candidates(keys, similarity, partners), "own long, other long").distinct()
+        # a row meets others in many groups, but takes no more partners for that
+        found = written(found.withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy("other"))))
+        pairs = found.filter(F.col("own").isNotNull() & (F.col("nth") <= partners)).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+        pairs = written(pairs.join(refuted, ["a", "b"], "left_anti") if refuted is not None else pairs)
+        more = crowded or not found.filter(F.col("own").isNull() | (F.col("nth") > partners)).isEmpty()
+        if not pairs.isEmpty():
+            held = verified(pairs)
+            joined = written(joined.union(held))
+            wrong = pairs.join(held, ["a", "b"], "left_anti")
+            refuted = written(refuted.union(wrong) if refuted is not None else wrong)
+        if not more:
+            break
+        partners *= 8
+    names = components(joined)
+    named = kinds.join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
+    out = join_by_weight(rows.select("doc_id", "same"), written(named), ["same"], "rows", rows.count(), F.xxhash64("doc_id"))
+    return out.select("doc_id", "component_id"), checked
 
 
 def _repeats_ids(docs: DataFrame) -> bool:

@@ -318,7 +318,7 @@ def test_links_hold_all_components_in_crowded_blocks(spark):
     seeds = [r.getrandbits(64) for _ in range(20)]
     fps = {s ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for s in seeds for _ in range(6)} | {i for i in range(60)}
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for most in (4096, 4):
+    for most in (4096, 4, 1):
         got = {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, 2, most).collect()}
         assert all((a ^ b).bit_count() <= 64 for a, b in got)
         want = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2]
@@ -335,24 +335,67 @@ def test_near_copies_links_at_the_similarity_and_no_less(spark, empty):
     rows, texts, at = [], {}, 0
     for g in range(25):
         own = words(300, 100 + g)
-        for changes in (0, 1, 3, 5, 12, 25):
+        for changes in (0, 1, 3, 5, 7, 9, 12, 25):
             t = list(own)
             for _ in range(changes):
                 t[r.randrange(len(t))] = f"x{r.random()}"
             texts[at] = t
             rows.append((at, " ".join(t), "en", "s"))
             at += 1
-    want = brute_components(texts, [(a, b) for g in range(25) for a in range(6 * g, 6 * g + 6) for b in range(a + 1, 6 * g + 6) if jaccard(texts[a], texts[b]) >= 0.8])
-    assert {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows), most=2).collect()} == {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows)).collect()}
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows)).collect()}
-    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
-    assert all(got[i] // 6 == i // 6 for i in got)
+    # pairs at the similarity and just below, of few and of many shingles: of 5 k shingles 4 k are shared, or one less
+    for k in (1, 2, 8, 60):
+        for less in (0, 1):
+            own = words(4 * k + 4 - less, 900 + at, 10**6)
+            texts |= {at: own + words(less, at, 10**6), at + 1: own + words(k + less, at + 1, 10**6)}
+            rows += [(i, " ".join(texts[i]), "en", "s") for i in (at, at + 1)]
+            at += 2
+    texts[at] = words(3, 5)
+    rows.append((at, " ".join(texts[at]).upper(), "en", "s"))
+    linked = [(a, b) for a in texts for b in texts if a < b and (a >= 200 or a // 8 == b // 8) and jaccard(texts[a], texts[b]) >= 0.8]
+    assert len({round(jaccard(texts[a], texts[b]), 9) for a, b in linked}) > 5 and 0.8 in {jaccard(texts[a], texts[b]) for a, b in linked}
+    want = brute_components(texts, linked)
+    for most in (4096, 2):
+        assert {x.doc_id: x.component_id for x in simhash.near_copies(table(spark, rows), most=most).collect()} == want
     extra = rows + [(900, None, "en", "s"), (901, "", "en", "s"), (902, "tiny", "en", "s"), (None, "lost", "en", "s"), rows[0]]
     left = simhash.without_near_copies(table(spark, extra))
     assert left.columns == empty.columns and left.filter("doc_id = 0").count() == 1 and left.filter("doc_id IS NULL").count() == 1
+    assert {x.doc_id for x in left.collect()} == {*want.values(), 900, 902, None}
     assert simhash.without_near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("changes", [2, 40])
+def test_near_copies_checks_no_squares_of_pairs(spark, changes):
+    for rows in (150, 600):
+        r, base, docs, sets = random.Random(5), words(300, 1), [], {}
+        for i in range(rows):
+            t = list(base)
+            for _ in range(changes):
+                t[r.randrange(300)] = f"x{r.random()}"
+            sets[i] = {tuple(t[k : k + 5]) for k in range(296)}
+            docs.append((i, " ".join(t), "en", "s"))
+        found, checked = simhash._near(table(spark, docs), 5, 0.8, 3, 4096)
+        assert sum(checked) <= 4 * rows
+        if rows == 150:
+            want = brute_components(sets, [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+            assert {x.doc_id: x.component_id for x in found.collect()} == want
+
+
+def test_similar_sets_share_a_signature():
+    r = np.random.default_rng(3)
+    for similarity in (0.8, 0.9):
+        s = simhash.Signatures(similarity)
+        for n in [*range(1, 40), 100, 1000, 9000]:
+            for _ in range(20 if n < 200 else 2):
+                own = r.integers(0, 1 << 63, n, dtype=np.uint64)
+                # the most elements that may go and come
+                gone = int(r.integers(0, int((1 - similarity) * n + 1e-6) + 1))
+                come = int((n - gone) / similarity - n + 1e-6)
+                other = np.append(own[gone:], r.integers(0, 1 << 63, max(0, come), dtype=np.uint64))
+                assert len(np.intersect1d(s.of(own), s.of(other)))
+                bits = int(np.bitwise_count(simhash.sketch(own) ^ simhash.sketch(other)).sum())
+                assert bits <= gone + max(0, come)
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101)]
     got = dict(map(tuple, common.components(spark.createDataFrame(chain, "a long, b long")).collect()))
