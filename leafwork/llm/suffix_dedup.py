@@ -1,10 +1,10 @@
 """Sparse suffix-array dedup: passages that repeat across documents.
 
 Suffixes are kept where a minimiser begins: of every ``window`` successive runs of ``key`` words the one with the least
-hash, so that wherever a passage of ``min_words`` words stands, the same of its suffixes are kept. Equal heads bring
-suffixes together. Where all suffixes of a head agree in all words that passages through it could need, each is compared
-with the first and the last of its group; elsewhere the group is divided by the whole passages of ``min_words`` words around
-the head, and each is compared with the first and the last of its passage, word by word, to the right and to the left.
+hash, so that wherever a passage of ``min_words`` words stands, the same of its suffixes are kept. They are sorted by their heads
+and by the words around these, and each is compared with its neighbour in that order, the document before it (of the first document, the one after it),
+word by word, to the right and to the left. Where suffixes of one head have different words around it, those with equal words are neighbours, and the
+first and the last of each such run are sorted once more, by every whole passage of ``min_words`` words around the head.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import claims, join_by_weight, packed, text_of, unpacked, written
+from .common import claims, join_by_weight, join_counted, packed, text_of, unpacked, written
 from .simhash import _repeats_ids as repeats_ids
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -144,6 +144,74 @@ class _Passages:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc.as_py(), np.int64)), pa.array(part.astype(np.int32)), pa.array(runs[a : a + len(part)].view(np.int64))], ["doc_id", "pos", "head"])
 
 
+class _Neighbours:
+    """Of sorted rows (by, doc_id, pos): each with its neighbour of another document and the same ``by``, the last row of the document before it, or of the first document the first row after it.
+
+    Of a partition, the rows whose neighbour may be in another one come with a null neighbour and ``open``; its last row comes with a null neighbour.
+    With ``whole`` no value of ``by`` goes on in another partition, only rows that are ``open`` get neighbours, and nothing else comes.
+    """
+
+    names = ("by", "doc_id", "pos")
+
+    def __init__(self, whole: bool = False):
+        self.whole = whole
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first_by = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in self.names]
+            done = ~batch.column("open").to_numpy(zero_copy_only=False) if self.whole else np.zeros(batch.num_rows, bool)
+            if held is None:
+                held, first_by = [c[:0] for c in (*rows, done)], rows[0][0]
+            rows = [np.concatenate(x) for x in zip(held, (*rows, done), strict=True)]
+            by, doc, pos, done = rows
+            # runs of one document, and for each the run before and after it with the same ``by``
+            start = np.flatnonzero(np.append(True, (by[1:] != by[:-1]) | (doc[1:] != doc[:-1])))
+            last = np.append(start[1:], len(by)) - 1
+            before = np.append(False, by[start[1:]] == by[start[:-1]])
+            after = np.append(before[1:], False)
+            run = np.repeat(np.arange(len(start)), last - start + 1)
+            other = np.where(before, np.append(0, last[:-1]), np.where(after, np.append(start[1:], 0), -1))[run]
+            ready = np.flatnonzero(~done & (other >= 0))
+            yield self.rows(rows, ready, other[ready])
+            done[ready] = True
+            if first_by is not None and not self.whole:
+                # the partition's first document may have one before it elsewhere
+                if len(start) > 1:
+                    yield self.rows(rows, np.arange(last[0] + 1))
+                    first_by = None
+            # what the next rows need: the last row of the run before the last, and the last run, or its last row where it has its neighbours
+            keep = [last[-2]] if before[-1] else []
+            keep += [last[-1]] if done[start[-1] :].all() else list(range(start[-1], len(by)))
+            held = [c[keep] for c in rows]
+        if held is not None and not self.whole:
+            if first_by is not None:
+                yield self.rows(held, np.arange(len(held[0])))
+            else:
+                yield self.rows(held, np.flatnonzero(~held[3]))
+            yield self.rows(held, np.array([len(held[0]) - 1]), tail=True)
+
+    def rows(self, rows: list[np.ndarray], at: np.ndarray, other: np.ndarray | None = None, tail: bool = False) -> pa.RecordBatch:
+        own = [pa.array(c[at]) for c in rows[:3]]
+        theirs = [pa.nulls(len(at), c.type) for c in own[1:]] if other is None else [pa.array(c[other]) for c in rows[1:3]]
+        return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.full(len(at), other is None and not tail))], [*self.names, "other_id", "other_pos", "open"])
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, other_id, other_pos: the rows (by, doc_id, pos) sorted over all partitions, each with its neighbour of another document and the same ``by``.
+
+    The order is by ranges, so that rows of one ``by``, however many, are spread over tasks; where ranges meet, a few rows of each task are compared once more.
+    """
+    kinds = "by long, doc_id long, pos int, other_id long, other_pos int, open boolean"
+    keys = ["by", "doc_id", "pos"]
+    met = written(rows.select(*keys).repartitionByRange("by", "doc_id").sortWithinPartitions(*keys).mapInArrow(_Neighbours(), kinds))
+    edges = met.filter("other_id IS NULL").groupBy(*keys).agg(F.bool_or("open").alias("open"))
+    across = edges.repartition("by").sortWithinPartitions(*keys).mapInArrow(_Neighbours(True), kinds)
+    return met.filter("other_id IS NOT NULL").unionByName(across).select("doc_id", "pos", "other_id", "other_pos")
+
+
 def extend(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[int, int]:
     """How many words before a[i] and b[j] agree, and how many from there on."""
     left = 0
@@ -181,7 +249,7 @@ def repeats(docs: DataFrame, min_words: int = 50, key: int = 25) -> DataFrame:
     """doc_id, other_id, first_word, end_word, other_first_word: passages of a document that another one has, too.
 
     Words are split at white space and compared after lower-casing A-Z. Of the documents that share a passage of ``min_words``
-    words each but the first, by doc_id, is paired with the first, and each but the last with the last, for every such
+    words each is paired with the one before it, by doc_id, the first with the second, for every such
     passage by itself: all words of all passages are in some row, whatever shorter runs other documents have, and no group grows into all its pairs.
     Passages go as far as words agree on both sides, over ``min_words`` at least. Null texts count as empty, null doc_ids are left out,
     rows that repeat a doc_id count as one document (its least text), very long texts are read whole, other columns aren't read, an empty table
@@ -190,28 +258,30 @@ def repeats(docs: DataFrame, min_words: int = 50, key: int = 25) -> DataFrame:
     window = min_words - key + 1
     d = text_of(docs).filter("doc_id IS NOT NULL")
     if repeats_ids(docs):
-        d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+        d = written(d.groupBy("doc_id").agg(F.min("text").alias("text")))
     found = written(d.mapInArrow(_Suffixes(key, window), "doc_id long, pos int, head long, around long"))
-    at = F.struct("doc_id", "pos")
 
-    def groups(rows: DataFrame, *more) -> DataFrame:
-        return rows.groupBy("head").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n"), *more).filter("low.doc_id <> high.doc_id")
-
-    met = join_by_weight(found.drop("around"), written(groups(found, (F.min("around") == F.max("around")).alias("whole"))), ["head"], "n", found.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL")
-    met = written(met.select("doc_id", "pos", "low", "high", "whole"))
-    # heads around which not all suffixes agree: their groups are divided by whole passages
-    kept = written(met.filter("NOT whole").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    own = d.filter(claims(kept, "doc_id"))
-    fine = written(own.join(kept, "doc_id").select("doc_id", "text", "at").mapInArrow(_Passages(key, window), "doc_id long, pos int, head long"))
-    divided = join_by_weight(fine, written(groups(fine)), ["head"], "n", fine.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL")
-    met = met.filter("whole").select("doc_id", "pos", "low", "high").unionByName(divided.select("doc_id", "pos", "low", "high"))
-    met = met.select("doc_id", "pos", F.explode(F.array("low", "high")).alias("o")).filter("o.doc_id <> doc_id")
-    pairs = met.groupBy("doc_id", F.col("o.doc_id").alias("other_id"), (F.col("pos") - F.col("o.pos")).alias("apart")).agg(F.collect_set("pos").alias("at"))
-    pairs = pairs.groupBy("doc_id", "other_id").agg(F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("pos"), (p - F.col("apart")).alias("other_pos")))))).alias("pairs"))
+    def shared(rows: DataFrame, *more) -> DataFrame:
+        """The rows whose ``head`` two documents or more have."""
+        groups = written(rows.groupBy("head").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), *more).filter("lo <> hi").drop("lo", "hi"))
+        return written(join_by_weight(rows.filter(claims(groups, "head")), groups, ["head"], "n", rows.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL").drop("n"))
+
+    met = shared(found, (F.min("around") == F.max("around")).alias("whole"))
+    # equal heads among equal words: neighbours agree in all words that a passage through the head can have
+    alike = neighbours(met.select(F.xxhash64("head", "around").alias("by"), "doc_id", "pos"))
+    # heads among different words: the first and the last of each run are divided by whole passages
+    at = F.struct("doc_id", "pos")
+    ends = met.filter("NOT whole").groupBy("head", "around").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    ends = ends.select(F.explode(F.array("lo", "hi")).alias("x")).select("x.*")
+    kept = written(ends.groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+    fine = written(d.filter(claims(kept, "doc_id")).join(kept, "doc_id").select("doc_id", "text", "at").mapInArrow(_Passages(key, window), "doc_id long, pos int, head long"))
+    divided = neighbours(shared(fine).select(F.col("head").alias("by"), "doc_id", "pos"))
+    pairs = alike.union(divided).distinct().groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(F.struct("pos", "other_pos"))).alias("pairs"))
     pairs = written(pairs)
     named = written(pairs.select("doc_id").union(pairs.select("other_id")).distinct())
-    texts = written(d.filter(claims(named, "doc_id")).join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id")
+    texts = written(d.filter(claims(named, "doc_id")).join(named, "doc_id", "left_semi"))
+    both = written(join_counted(pairs, texts, ["doc_id"], F.col("other_id")))
+    both = join_counted(both, texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), ["other_id"], F.col("doc_id"))
     return both.select("doc_id", "other_id", "text", "other_text", "pairs").mapInArrow(_Extended(min_words), "doc_id long, other_id long, first_word long, end_word long, other_first_word long")
 
 

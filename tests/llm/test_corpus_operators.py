@@ -458,6 +458,35 @@ def test_suffix_dedup_is_brute_force_around_nested_boilerplate(spark):
     assert all(left[100 + g] == texts[100 + g] for g in range(24))
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_neighbours_over_batches_and_partitions(size):
+    import pyarrow as pa
+
+    r = random.Random(size)
+    rows = sorted({(r.randrange(6), r.randrange(5), r.randrange(9)) for _ in range(90)} | {(7, 1, k) for k in range(20)} | {(8, 1, 0)})
+    # documents are never cut
+    ends = [i for i in range(1, len(rows)) if rows[i - 1][:2] != rows[i][:2]]
+    cuts = [0, *sorted(r.sample(ends, 5)), len(rows)]
+    parts = [rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    batches = lambda own, **more: [pa.record_batch({"by": pa.array([x[0] for x in own[k : k + size]], pa.int64()), "doc_id": pa.array([x[1] for x in own[k : k + size]], pa.int64()), "pos": pa.array([x[2] for x in own[k : k + size]], pa.int32()), **{c: pa.array(v[k : k + size]) for c, v in more.items()}}) for k in range(0, len(own), size)]
+    out = [x for part in parts for b in suffix_dedup._Neighbours()(iter(batches(part))) for x in b.to_pylist()]
+    pairs = {(x["by"], x["doc_id"], x["pos"], x["other_id"], x["other_pos"]) for x in out if x["other_id"] is not None}
+    edges = defaultdict(bool)
+    for x in out:
+        if x["other_id"] is None:
+            edges[x["by"], x["doc_id"], x["pos"]] |= x["open"]
+    own = sorted(edges)
+    pairs |= {(x["by"], x["doc_id"], x["pos"], x["other_id"], x["other_pos"]) for b in suffix_dedup._Neighbours(True)(iter(batches(own, open=[edges[k] for k in own]))) for x in b.to_pylist()}
+    for by in {k for k, *_ in rows}:
+        docs = sorted({d for b, d, _ in rows if b == by})
+        for b, d, p in rows:
+            if b == by and len(docs) > 1:
+                mine = {o for b2, d2, p2, o, _ in pairs if (b2, d2, p2) == (b, d, p)}
+                # all but the first document meet the one before them
+                assert (docs[docs.index(d) - 1] in mine) if d != docs[0] else mine and d not in mine
+    assert all((b, o, q) in set(rows) and o != d for b, d, _, o, q in pairs)
+
+
 def test_minimisers_agree_wherever_a_passage_stands():
     h, p = suffix_dedup._Hashes(), suffix_dedup._Powers()
     passage = [w.encode() for w in words(50, 5)]
