@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +49,25 @@ class Codec:
 
     def alone(self, piece: bytes) -> list[int]:
         """One piece in its own order: always the lowest rank, the leftmost first."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n = len(piece)
+        parts = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # a pair stands in the heap with its length, by which one that has changed since is told
+        pair = lambda i: parts[i] + parts[after[i]]
+        heap = [(self.ranks[p], i, len(p)) for i in range(n - 1) if (p := pair(i)) in self.ranks]
+        heapify(heap)
+        while heap:
+            rank, i, size = heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size or self.ranks.get(pair(i)) != rank:
+                continue
+            parts[i], parts[j], after[i] = pair(i), b"", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (p := pair(k)) in self.ranks:
+                    heappush(heap, (self.ranks[p], k, len(p)))
+        return [self.ranks[p] for p in parts if p]
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of neighbouring tokens, NONE where the pair never merges or one side is no token."""
@@ -167,7 +179,9 @@ class _Blocks:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # workers are used again: the pieces known to one task serve the next
         key = hashlib.sha256(repr((self.pattern, len(self.ranks), sorted(self.ranks.items())[::997])).encode()).hexdigest()
-        codec = _codecs.setdefault(key, Codec(self.ranks, self.pattern))
+        if key not in _codecs:
+            _codecs[key] = Codec(self.ranks, self.pattern)
+        codec = _codecs[key]
         for batch in batches:
             ids, texts, size, first = batch.column(0), [], 0, 0
             for text in batch.column(1):
