@@ -74,10 +74,14 @@ def _removals(d: DataFrame, min_docs: int, share: float) -> DataFrame:
     lines = lines.withColumns({"_words": F.size(F.split("_line", " ")), "_line": F.xxhash64("_line")})
     hosts = checkpointed(d.select("_host", text_hash).distinct().groupBy("_host").agg(F.count("*").alias("_docs")))
     total = hosts.agg(F.sum("_docs")).first()[0] or 0
-    counts = lines.select("_host", "_line", "_text").distinct().groupBy("_host", "_line").agg(F.count("*").alias("_found")).filter(F.col("_found") >= min_docs)
+    by_text = lines.groupBy("_host", "_line", "_text").agg(F.count("*").alias("_rows"))
+    counts = by_text.groupBy("_host", "_line").agg(F.count("*").alias("_found"), F.sum("_rows").alias("_rows")).filter(F.col("_found") >= min_docs)
     counts = join_by_weight(counts, hosts, ["_host"], "_docs", total, F.col("_line"))
-    over = counts.filter(F.col("_found") > F.col("_docs") * share).select("_host", "_line")
-    return lines.join(over, ["_host", "_line"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("_pos", "_words")).alias("_removed"))
+    over = checkpointed(counts.filter(F.col("_found") > F.col("_docs") * share).select("_host", "_line", "_rows"))
+    # the lines to remove are the frequent ones
+    rows = over.agg(F.sum("_rows")).first()[0] or 0
+    gone = join_by_weight(lines, over, ["_host", "_line"], "_rows", rows, F.col("_key")).filter("_rows IS NOT NULL")
+    return gone.groupBy("_id", "_key").agg(F.collect_set(F.struct("_pos", "_words")).alias("_removed"))
 
 
 def _verdicts(d: DataFrame, min_docs: int, share: float, keep_share: float, min_words: int) -> DataFrame:
