@@ -18,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import text_of, written
+from .common import join_by_weight, text_of, written
 
 SPACE = 0x20
+#: A task counts several chunks, one after the other, where there are more.
+MOST_TASKS = 100_000
 
 
 def contexts(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,22 +208,22 @@ def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16,
     Texts are lower-cased (A-Z) and read as words and one end; ``score`` is the log10 probability of that sequence under
     the model pretrained on all rows for which the column ``held_out`` is false, ``base_score`` that of smoothed token
     counts. With ``across_words`` a byte's context is whatever stands before it in its text, else it begins at the start of its word. Null and empty texts are an end alone; without training rows all bytes are equally likely; repeated rows are
-    counted and scored one by one; very long texts stay whole; an empty table gives an empty result.
+    counted and scored one by one; very long texts stay whole; other columns aren't read; an empty table gives an empty result.
     """
     d = text_of(docs).withColumn("held_out", held_out)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, round(size / (chunk_mb * 1e6)))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(min(chunks, MOST_TASKS), "chunk")
     # all that the corpus gives: distinct words and contexts of each chunk
     found = written(d.sortWithinPartitions("chunk").mapInArrow(_Counts(order, most_words, across_words), "chunk int, word string, gram long, n long"))
     in_words, in_grams = found.filter("word IS NOT NULL").select("chunk", "word", "n"), found.filter("gram IS NOT NULL").select("chunk", "gram", "n")
-    # a word has a row for each chunk that has it
-    own = Window.partitionBy("word")
-    words = written(in_words.withColumns({"total": F.sum("n").over(own), "first": F.row_number().over(own.orderBy("chunk")) == 1}).drop("n"))
-    tokens, kinds = words.filter("first AND total > 0").agg(F.sum("total"), F.count("*")).first()
-    grams = probabilities(written(in_grams.groupBy("gram").agg(F.sum("n").alias("n"))), order)
-    figures = words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("v")).unionByName(
-        in_grams.select("chunk", "gram").join(grams, "gram").select("chunk", F.lit(None).cast("string").alias("word"), "gram", F.log10("p").alias("v"))
-    )
+    # a word or context has a row for each chunk that has it; the frequent ones are in all chunks
+    words = written(in_words.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")))
+    tokens, kinds = words.filter("total > 0").agg(F.sum("total"), F.count("*")).first()
+    totals = join_by_weight(in_words.select("chunk", "word"), words, ["word"], "chunks", found.count(), F.col("chunk"))
+    counts = written(in_grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")))
+    grams = probabilities(counts, order).join(counts.select("gram", "chunks"), "gram")
+    grams = join_by_weight(in_grams.select("chunk", "gram"), written(grams.select("gram", "chunks", F.log10("p").alias("v"))), ["gram"], "chunks", found.count(), F.col("chunk"))
+    figures = totals.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("v")).unionByName(grams.select("chunk", F.lit(None).cast("string").alias("word"), "gram", "v"))
     scored = d.groupBy("chunk").cogroup(figures.groupBy("chunk")).applyInArrow(_scores(order, tokens or 0, kinds or 0, across_words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored
