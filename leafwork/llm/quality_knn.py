@@ -22,29 +22,36 @@ FEATURES = GRAMS + MEASURES * BINS
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def _form(text: str, chars: np.ndarray, words: list[bytes]) -> list[float]:
+#: Characters that a text's n-grams are counted by at a time.
+PIECE = 1 << 18
+
+
+def _form(text: str) -> list[float]:
     """Six numbers from 0 to 1: symbols, capitals, repeated lines, repeated pairs of words, repeated words, length."""
-    n, lines = max(1, len(chars)), [x for x in text.split("\n") if x]
-    ascii_ = chars[chars < 128]
-    letters = ((ascii_ | 32) >= 97) & ((ascii_ | 32) <= 122)
-    other = ~letters & (ascii_ > 32) & ((ascii_ < 48) | (ascii_ > 57)) & (ascii_ != 46) & (ascii_ != 44)
+    raw = text.encode("utf-8", "surrogatepass")
+    n, lines, words = max(1, len(text)), [x for x in text.split("\n") if x], raw.split()
+    of = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)[:128]
+    capitals = of[65:91].sum()
+    other = of[33:].sum() - capitals - of[97:123].sum() - of[48:58].sum() - of[46] - of[44]
     return [
-        min(1, 5 * float(other.sum()) / n), float(((ascii_ >= 65) & (ascii_ <= 90)).sum()) / n, 1 - len(set(lines)) / max(1, len(lines)),
+        min(1, 5 * float(other) / n), float(capitals) / n, 1 - len(set(lines)) / max(1, len(lines)),
         1 - len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1), 1 - len(set(words)) / max(1, len(words)), min(1, np.log2(1 + len(words)) / 16),
     ]
 
 
 def features(text: str) -> np.ndarray:
     """Hashed n-grams of one to three characters, counts damped and brought to unit length, then the bins of the text's form."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out, key, wide = np.zeros(FEATURES, np.float32), chars.astype(np.uint64), chars.astype(np.uint64)
-    counts = np.zeros(GRAMS, np.int64)
-    for n, factor in enumerate(FACTORS):
-        if n:
-            key = (key[:-1] << np.uint64(21)) | wide[n:]
-        counts += np.bincount(((key * factor) >> np.uint64(64 - 12)).astype(np.int64), minlength=GRAMS)
+    out, counts = np.zeros(FEATURES, np.float32), np.zeros(GRAMS, np.int64)
+    for a in range(0, len(text), PIECE):
+        # n-grams that begin in this piece
+        wide = np.frombuffer(text[a : a + PIECE + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        key = wide
+        for n, factor in enumerate(FACTORS):
+            if n:
+                key = (key[:-1] << np.uint64(21)) | wide[n:]
+            counts += np.bincount(((key[:PIECE] * factor) >> np.uint64(64 - 12)).astype(np.int64), minlength=GRAMS)
     out[:GRAMS] = np.log1p(counts)
-    for i, x in enumerate(_form(text, chars, text.encode().split())):
+    for i, x in enumerate(_form(text)):
         out[GRAMS + i * BINS + min(BINS - 1, int(x * BINS))] = 1
     return out
 
@@ -81,13 +88,16 @@ class Space:
         return y / np.maximum(1e-9, np.linalg.norm(y, axis=1, keepdims=True))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The part of label 1 among the nearest labelled vectors, each weighted by its cosine."""
+        """The part of label 1 among the nearest labelled vectors, each weighted by its cosine; all that tie with the last of them vote, too."""
         if not len(self.labels):
             return np.full(len(x), 0.5)
         cosine = self.project(self.weighted(x)) @ self.vectors.T
-        near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
-        weight = np.maximum(1e-6, np.take_along_axis(cosine, near, axis=1)) ** 4
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(cosine, len(self.labels) - self.neighbours, axis=1)[:, len(self.labels) - self.neighbours]
+        # vectors of equal texts differ by rounding at most
+        weight = np.where(cosine >= last[:, None] - 1e-6, np.maximum(np.float32(1e-6), cosine), np.float32(0))
+        weight *= weight
+        weight *= weight
+        return (weight @ self.labels) / np.maximum(np.float32(1e-30), weight.sum(axis=1))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +126,7 @@ def quality_votes(docs: DataFrame, labels: DataFrame, held_out: Column, label: s
     Learns from at most ``sample`` labelled documents that aren't ``held_out``, those with the smallest hash of doc_id;
     that bounds what the driver holds and broadcasts. Null labels and ids whose labels contradict each other are left
     out, of rows that repeat a sampled doc_id one is learned from. Null and empty texts are scored as texts without
-    n-grams; with nothing to learn from, all scores are 0.5. Very long texts count whole, other columns aren't read, an empty table gives an empty result.
+    n-grams; with nothing to learn from, all scores are 0.5. Neighbours that tie with the last one vote like it. Very long texts count whole, piece by piece, other columns aren't read, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(~held_out)
