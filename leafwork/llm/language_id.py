@@ -19,16 +19,23 @@ FEATURES = 1 << 13
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def grams(text: str, features: int = FEATURES) -> np.ndarray:
-    """The features of all n-grams of one to three characters, in lower case."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+#: Characters that a text's n-grams are counted by at a time.
+PIECE = 1 << 18
+
+
+def gram_counts(text: str, features: int = FEATURES) -> np.ndarray:
+    """How many of the n-grams of one to three characters, in lower case, fall on each feature."""
     shift = np.uint64(64 - features.bit_length() + 1)
-    out, key = [], chars
-    for n, factor in enumerate(FACTORS):
-        if n:
-            key = (key[:-1] << np.uint64(21)) | chars[n:]
-        out.append((key * factor) >> shift)
-    return np.concatenate(out).astype(np.int64)
+    text, counts = text.lower(), np.zeros(features, np.int64)
+    for a in range(0, len(text), PIECE):
+        # n-grams that begin in this piece
+        chars = np.frombuffer(text[a : a + PIECE + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        key = chars
+        for n, factor in enumerate(FACTORS):
+            if n:
+                key = (key[:-1] << np.uint64(21)) | chars[n:]
+            counts += np.bincount(((key[:PIECE] * factor) >> shift).astype(np.int64), minlength=features)
+    return counts
 
 
 class _Train:
@@ -43,7 +50,7 @@ class _Train:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 own = sums.setdefault(lang, np.zeros(self.features + 1, np.int64))
                 own[-1] += 1
-                own[:-1] += np.bincount(grams(text.as_py(), self.features), minlength=self.features)
+                own[:-1] += gram_counts(text.as_py(), self.features)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == self.features, -1, at).astype(np.int32)), pa.array(own[at])], ["lang", "feature", "n"])
@@ -63,7 +70,7 @@ class Model:
         for i, text in enumerate(texts):
             if text and self.langs and any(map(str.isalpha, text)):
                 some.append(i)
-                counts = np.bincount(grams(text, len(self.logs)))
+                counts = gram_counts(text, len(self.logs))
                 at = np.flatnonzero(counts)
                 rows.append(len(at))
                 cols.append(at)
@@ -98,7 +105,7 @@ def language_id(docs: DataFrame, held_out: Column, features: int = FEATURES, mos
 
     Learns from the texts of all rows with a non-null lang that are not ``held_out``. Texts that are null or have no
     letter get ``und`` and 0, as do all if no row can be learned from. The score is the posterior of the predicted
-    language. Ties go to the first language in order. Long texts count whole, repeated rows count each time, other
+    language. Ties go to the first language in order. Long texts count whole, piece by piece, repeated rows count each time, other
     columns aren't read, an empty table gives an empty result. The matrix has ``features`` times languages numbers; more than ``most_langs``
     languages are refused, so its size is bounded.
     """
