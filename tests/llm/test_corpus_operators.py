@@ -233,6 +233,45 @@ def test_packing_places_every_word_once(spark, edges, empty):
     assert packing.best_fit_packing(empty).count() == 0
 
 
+def brute_pack(lengths, capacities, overhead):
+    """The rules by trying every open bin: the one left fullest, of those the one left so last; else the capacity of least expected price per token."""
+    bins, turn = [], 0  # of each bin: capacity, items, when it was last put back
+    for i, n in enumerate(lengths):
+        fits = [b for b in bins if b["left"] >= n and b["left"]]
+        if n == 0:
+            fits = [b for b in bins if b["left"] or b["zero"]]
+        turn += 1
+        if fits:
+            b = min(fits, key=lambda b: (b["left"], -b["turn"]))
+        else:
+            rest = lengths[i + 1 :]
+            mean = max(1, sum(rest) / len(rest)) if rest else 0
+            price = lambda c: (c + overhead) / max(1, n + (c - n) // mean * mean if mean else n)  # noqa: B023, E731
+            b = {"left": min((c for c in capacities if c >= n), key=lambda c: (price(c), c)), "items": [], "zero": False}
+            bins.append(b)
+        b["items"].append(i)
+        b["left"] -= n
+        b["turn"], b["zero"] = turn, n == 0
+    return [(b["items"], min(c for c in capacities if c >= sum(lengths[i] for i in b["items"]))) for b in bins]
+
+
+def test_packing_is_the_rule_by_brute_force(spark):
+    r = random.Random(23)
+    for capacities in ((256, 512, 1024, 2048, 4096), (64, 100), (50,)):
+        for _ in range(12):
+            lengths = sorted((r.randrange(1, min(capacities[-1], r.choice([60, 700, 4096])) + 1) for _ in range(r.randrange(0, 80))), reverse=True)
+            bins, offsets, capacity, used = packing.pack(lengths, capacities, 16)
+            got = [([i for i in range(len(lengths)) if bins[i] == b], capacity[b]) for b in range(len(capacity))]
+            assert got == brute_pack(lengths, capacities, 16)
+            assert offsets == [sum(lengths[k] for k in range(i) if bins[k] == bins[i]) for i in range(len(lengths))]
+    # one shard of a table, repeated rows, a null id and clashing columns included
+    rows = [(i, " ".join(words(n, i)), "en", "s") for i, n in enumerate(r.randrange(1, 900) for _ in range(60))] + [(3, "again", "en", "s")] * 2 + [(None, "no id", "en", "s")]
+    got = packing.best_fit_packing(table(spark, rows)).collect()
+    lengths = sorted((len(t.split()) for _, t, *_ in rows), reverse=True)
+    assert sorted((x.bin_used, x.bin_capacity) for x in got if x.bin_offset == 0) == sorted((sum(lengths[i] for i in items), c) for items, c in brute_pack(lengths, packing.CAPACITIES, 16))
+    assert len(got) == len(rows)
+
+
 def test_packing_takes_the_best_fit_and_shrinks():
     bins, offsets, capacity, used = packing.pack([60, 50, 40, 10], (64, 100), overhead=0)
     assert used[bins[0]] <= capacity[bins[0]] and bins[1] == bins[2] and capacity[bins[1]] == 100 and sum(used) == 160
@@ -498,6 +537,110 @@ def test_minimisers_agree_wherever_a_passage_stands():
         assert alone and alone <= inside
 
 
+def brute_grams(text, features=1 << 13):
+    """Each n-gram of one to three characters by itself, on the feature that the top bits of its product name."""
+    counts, chars = Counter(), [ord(c) for c in text.lower()]
+    for n, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 1):
+        for i in range(len(chars) - n + 1):
+            key = 0
+            for c in chars[i : i + n]:
+                key = key << 21 | c
+            counts[key % (1 << 64) * factor % (1 << 64) >> 64 - features.bit_length() + 1] += 1
+    return counts
+
+
+def test_language_id_is_naive_bayes_by_brute_force(spark, monkeypatch):
+    r = random.Random(31)
+    stems = {"de": ["sch", "ein", "ü", "der"], "en": ["the", "ing", "and", "w"], "fr": ["les", "eau", "é", "qu"]}
+    make = lambda lang, n: " ".join("".join(r.choices(stems[lang], k=r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, make(lang, r.randrange(1, 12)), lang, "s") for i, lang in enumerate(r.choices([*stems], k=90))]
+    rows += [(200 + i, make("de", 3) + " " + make("fr", 3), "de", "s") for i in range(20)]
+    out = {x.doc_id for x in spark.range(2000).toDF("doc_id").filter(common.held_out(3, 1)).collect()}
+    # one text in two languages, which nothing tells apart: the first in order is named
+    learned = [i for i in range(1000, 1100) if i not in out]
+    rows += [(learned[0], "zzz", "xb", "s"), (learned[1], "zzz", "xa", "s"), (1500, "zzz zz", None, "s"), (1501, "the wings", None, "s")]
+    counts, docs, want = defaultdict(Counter), Counter(), {}
+    for i, t, lang, _ in rows:
+        if lang and i not in out:
+            counts[lang].update(brute_grams(t))
+            docs[lang] += 1
+    for i, t, *_ in rows:
+        logs = {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + 0.5 * (1 << 13)
+            logs[lang] = math.log((docs[lang] + 1) / (sum(docs.values()) + len(docs))) + sum(k * math.log((counts[lang][g] + 0.5) / total) for g, k in brute_grams(t).items())
+        best = max(logs, key=logs.get)
+        want[i] = best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+    got = {x.doc_id: x for x in language_id.language_id(table(spark, rows), common.held_out(3, 1)).collect()}
+    for i, (best, p) in want.items():
+        assert (got[i].lang_pred, got[i].score, got[i].held_out) == (best, pytest.approx(p), i in out)
+    assert got[1500].lang_pred == "xa"
+    # a long text in pieces is the same text
+    text = make("fr", 300)
+    whole = language_id.gram_counts(text)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    assert (language_id.gram_counts(text) == whole).all() and {i: n for i, n in enumerate(whole.tolist()) if n} == brute_grams(text)
+
+
+def test_quality_votes_are_those_of_brute_force(spark, monkeypatch):
+    r = random.Random(17)
+    rows = [(i, " ".join(words(r.randrange(0, 40), i % 50, 300)) + r.choice(["", "!!", " ###", "\nAB\nAB"]), "en", "s") for i in range(160)]
+    given = {i: r.randrange(2) for i in range(0, 160, 2)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in given.items()], "doc_id long, quality int, toxic int")
+    held = common.held_out(5, 0)
+    out = {x.doc_id for x in spark.range(160).toDF("doc_id").filter(held).collect()}
+    got = {x.doc_id: x for x in quality_knn.quality_votes(table(spark, rows), labels, held, rank=8, neighbours=7).collect()}
+    text = {i: t for i, t, *_ in rows}
+    learned = sorted(i for i in given if i not in out)
+    # term weights, singular vectors and cosines by plain linear algebra in double precision
+    def gram_part(t):
+        counts = np.zeros(quality_knn.GRAMS)
+        for g, n in brute_grams_cased(t).items():
+            counts[g] = np.log1p(n)
+        return counts
+
+    form = {i: quality_knn.features(t)[quality_knn.GRAMS :] for i, t in text.items()}
+    x = {i: np.append(gram_part(t), form[i]) for i, t in text.items()}
+    seen = sum((x[i] > 0).astype(float) for i in learned)
+    weight = np.log((1 + len(learned)) / (1 + seen)) + 0.1
+
+    def weighted(v):
+        v = v * weight
+        v[: quality_knn.GRAMS] /= max(1e-9, np.linalg.norm(v[: quality_knn.GRAMS]))
+        v[quality_knn.GRAMS :] = 0.5 * (v[quality_knn.GRAMS :] > 0)
+        return v
+
+    m = np.array([weighted(x[i]) for i in learned])
+    basis = np.linalg.svd(m, full_matrices=False)[2][:8].T
+    unit = lambda v: v / max(1e-9, np.linalg.norm(v))
+    places = {i: unit(weighted(x[i]) @ basis) for i in text}
+    near = 0
+    for i in text:
+        cosines = {j: float(places[i] @ places[j]) for j in learned}
+        last = sorted(cosines.values())[-7]
+        votes = {j: max(1e-6, c) ** 4 for j, c in cosines.items() if c >= last - 1e-6}
+        score = sum(v * given[j] for j, v in votes.items()) / sum(votes.values())
+        near += abs(got[i].score - score) < 0.02
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (i in out)
+    # iteration in single precision turns the last vectors a little
+    assert near >= 0.95 * len(text)
+    t = " ".join(words(90, 4)) + " ÄÖ🙂\nx"
+    whole = quality_knn.features(t)
+    monkeypatch.setattr(quality_knn, "PIECE", 5)
+    assert (quality_knn.features(t) == whole).all()
+
+
+def brute_grams_cased(text, features=1 << 12):
+    counts, chars = Counter(), [ord(c) for c in text]
+    for n, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 1):
+        for i in range(len(chars) - n + 1):
+            key = 0
+            for c in chars[i : i + n]:
+                key = key << 21 | c
+            counts[key % (1 << 64) * factor % (1 << 64) >> 64 - features.bit_length() + 1] += 1
+    return counts
+
+
 def test_language_id_learns_and_holds_out(spark, edges, empty):
     r = random.Random(4)
     make = lambda stems: " ".join("".join(r.choices(stems, k=r.randrange(1, 4))) for _ in range(40))
@@ -521,3 +664,85 @@ def test_quality_votes_learns_and_holds_out(spark, edges, empty):
     assert quality_knn.quality_votes(empty, labels, held).count() == 0
     none = quality_knn.quality_votes(table(spark, rows[:3]), labels.limit(0), held).collect()
     assert {x.score for x in none} == {0.5}
+
+
+def brute_pipeline(rows):
+    """Each stage by its definition: what rules, copies, near copies and shared passages leave, as words of each document."""
+    line = lambda x: " ".join(x.lower().split())
+    holders, of_host = defaultdict(set), defaultdict(set)
+    for _, t, _, host in rows:
+        of_host[host].add(t)
+        for x in t.split("\n"):
+            holders[host, line(x)].add(t)
+    over = {k for k, texts in holders.items() if k[1] and len(texts) >= 10 and len(texts) > 0.02 * len(of_host[k[0]])}
+    docs = {}
+    for i, t, _, host in rows:
+        n, _, _, _, repeated = brute_measures(t)
+        left = "\n".join(x for x in t.split("\n") if (host, line(x)) not in over)
+        m = len(left.split())
+        if n >= 10 and 100 * repeated <= 20 * n and (m == n or m >= max(10, 0.3 * n)):
+            docs[i] = left
+    stages = [dict(docs)]
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(docs[i].lower(), i)
+    docs = {i: docs[i] for i in first.values()}
+    stages.append(dict(docs))
+    own = {i: t.lower().split() for i, t in docs.items()}
+    names = brute_components(own, [(a, b) for a in own for b in own if a < b and jaccard(own[a], own[b]) >= 0.8])
+    docs = {i: docs[i] for i in {*names.values()}}
+    stages.append(dict(docs))
+    seen, left = set(), {}
+    for i in sorted(docs):
+        ws = docs[i].split()
+        windows = [tuple(docs[i].lower().split()[k : k + 50]) for k in range(len(ws) - 49)]
+        gone = {k for a, w in enumerate(windows) if w in seen for k in range(a, a + 50)}
+        left[i] = " ".join(w for k, w in enumerate(ws) if k not in gone)
+        seen |= {*windows}
+    return [*stages, left]
+
+
+def test_pipeline_is_brute_force_stage_by_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(77)
+    rows, passage = [], words(70, 4242)
+    for i in range(60):
+        body = words(r.randrange(60, 200), i)
+        lines = ["Read our  TERMS of use"] * (i % 2) + [" ".join(body[:40]), " ".join(body[40:])]
+        rows.append((i, "\n".join(lines), "en", f"host{i % 2}"))
+        near = list(body)
+        if i % 3 == 0:  # near copies, some beyond the similarity
+            for _ in range(r.randrange(1, 6)):
+                near[r.randrange(len(near))] = f"x{r.random()}"
+            rows.append((100 + i, "\n".join([*lines[:-2], " ".join(near[:40]), " ".join(near[40:])]), "en", f"host{i % 2}"))
+        if i % 4 == 1:
+            rows.append((200 + i, rows[-1 if i % 3 else -2][1].upper(), "en", f"host{i % 2}"))
+        if i % 5 == 2:
+            rows.append((300 + i, " ".join([*words(40, 600 + i), *passage[: 70 - i % 7], *words(30, 700 + i)]), "en", "host2"))
+    rows += [(900, "too short", "en", "host2"), (901, "same five words again and " * 20, "en", "host2"), (902, "read our terms of use\nfew words of its own", "en", "host1")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_pipeline(rows)
+    docs = common.documents(spark, str(tmp_path))
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = common.written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == table(spark, []).columns
+        assert {x.doc_id: x.text.split() for x in docs.collect()} == {i: t.split() for i, t in expected.items()}, name
+    for got in (corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        pieces = defaultdict(dict)
+        for x in got.collect():
+            pieces[x.doc_id][x.piece] = x.text.split()
+        assert {i: [w for k in sorted(p) for w in p[k]] for i, p in pieces.items()} == {i: t.split() for i, t in want[-1].items()}
+
+
+def test_pipeline_takes_edge_cases(spark, edges, empty, tmp_path):
+    import corpus_pipeline
+
+    edges.write.parquet(f"{tmp_path}/a/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0 == corpus_pipeline.run(spark, f"{tmp_path}/b").count()
+    # stages by themselves take rows that the rules before them would have refused
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        left = stage(spark, edges, "")
+        assert left.columns == empty.columns and {x.doc_id for x in left.collect()} >= {1, 4, 5, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, edges, "").select("doc_id").distinct().count() == 6
