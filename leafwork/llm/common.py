@@ -78,7 +78,19 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Deletes ``written`` tables that nothing reads any more; with ``shuffles`` also lets Spark's cleaner remove those of plans that are gone."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if shuffles and tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _dealt_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salt: Column, how: str) -> DataFrame:

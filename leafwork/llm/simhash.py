@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import claims, components, join_by_weight, join_counted, packed, text_of, unpacked, written
+from .common import claims, components, forget, join_by_weight, join_counted, packed, text_of, unpacked, written
 
 #: The bits of each byte value, first the highest.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -282,6 +282,22 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _may_hold(n: np.ndarray, one: np.ndarray, i: np.ndarray, m: np.ndarray, two: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs of rows (i, j) sizes and sketches don't rule out, as positions."""
+    at = np.flatnonzero(np.minimum(n[i], m[j]) >= similarity * np.maximum(n[i], m[j]) - 1e-6)
+    most = (1 - similarity) / (1 + similarity) * (n[i[at]] + m[j[at]]) + 1e-6
+    apart = np.zeros(len(at), np.int64)
+    for a in range(0, one.shape[1], 8):
+        apart += np.bitwise_count(one[i[at], a : a + 8] ^ two[j[at], a : a + 8]).sum(axis=1, dtype=np.int64)
+        close = apart <= most
+        at, most, apart = at[close], most[close], apart[close]
+    return at
+
+
 class _Candidates(_Tiles):
     """Pairs (own, other) of a tile whose labels differ and whose sizes and sketches allow the similarity, each named by the row that takes it as one of its ``partners``.
 
@@ -295,20 +311,14 @@ class _Candidates(_Tiles):
         ids, labels, n = (t.column(c).to_numpy() for c in ("id", "label", "n"))
         order = np.lexsort((ids, n, tiles))
         tiles, ids, labels, n = tiles[order], ids[order], labels[order], n[order]
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)[order]
-        share = (1 - self.similarity) / (1 + self.similarity)
+        sketches = _sketches(t.column("sketch"))[order]
         at, step, left = np.arange(len(ids)), 1, False
         met = np.zeros(len(ids), np.int64)
         while len(at):
             at = at[at + step < len(ids)]
             at = at[(tiles[at] == tiles[at + step]) & (n[at] >= self.similarity * n[at + step] - 1e-6)]
             near = at[labels[at] != labels[at + step]]
-            most = share * (n[near] + n[near + step]) + 1e-6
-            apart = np.zeros(len(near), np.int64)
-            for a in range(0, sketches.shape[1], 8):
-                apart += np.bitwise_count(sketches[near, a : a + 8] ^ sketches[near + step, a : a + 8]).sum(axis=1, dtype=np.int64)
-                close = apart <= most
-                near, most, apart = near[close], most[close], apart[close]
+            near = near[_may_hold(n, sketches, near, n, sketches, near + step, self.similarity)]
             ahead = np.where(ids[near] > ids[near + step], near, near + step)
             own = np.where(met[ahead] < self.partners, ahead, 2 * near + step - ahead)
             room = met[own] < self.partners
@@ -322,6 +332,54 @@ class _Candidates(_Tiles):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["own", "other"])
 
 
+class _Possible:
+    """The pairs that sizes and sketches don't rule out."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.arange(batch.num_rows)
+            at = _may_hold(batch.column("n").to_numpy(), _sketches(batch.column("sketch")), rows, batch.column("m").to_numpy(), _sketches(batch.column("its")), rows, self.similarity)
+            yield batch.select(["own", "other"]).take(pa.array(at))
+
+
+#: A filter over signatures: bits, which are pieces of the signature itself.
+FILTER = 63 << 20
+
+
+SHIFTS = (0, 19, 38)
+
+
+def _filter_of(shared: DataFrame):
+    """A filter of a fixed size over signatures, broadcast: it claims all of ``shared`` and few others, more where they are many; it saves shuffles and decides nothing."""
+    place = F.explode(F.array(*(F.pmod(F.shiftright("sig", k), F.lit(FILTER)) for k in SHIFTS))).alias("p")
+    found = shared.select(place).groupBy(F.expr("p div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER // 63, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return shared.sparkSession.sparkContext.broadcast(bits)
+
+
+class _Claimed:
+    """The rows (sig, doc_id, n) of signatures that the filter claims."""
+
+    def __init__(self, bits):
+        self.bits = bits
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("signatures")
+            sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            for k in SHIFTS:
+                p = np.mod(np.right_shift(sigs, k), FILTER)
+                sure = (self.bits.value[p // 63] >> (p % 63)) & 1 == 1
+                sigs, of = sigs[sure], of[sure]
+            for a in range(0, len(sigs), 100_000):
+                part = pa.array(of[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + 100_000]), batch.column("doc_id").take(part), batch.column("n").take(part)], ["sig", "doc_id", "n"])
+
+
 class _Similar:
     def __init__(self, width: int, similarity: float):
         self.width, self.similarity = width, similarity
@@ -340,81 +398,112 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     """doc_id, component_id: one row per distinct non-null doc_id. Documents whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
     First fingerprints of the sets that differ in up to ``radius`` bits are linked where their sets hold the similarity. Then sets
-    that share a signature meet, as all similar ones do, and those of different components are compared by their sketches, which
-    rule out pairs but never a similar one; what is left is checked by the sets themselves. A row gets few partners in a round, more in each later one,
-    and rounds go on until no pair is left that isn't joined or checked: the components are exact, and pairs grow with rows and not with
-    their squares unless the sketches can't tell. No task holds more than twice ``most`` rows of a group at once. Texts without words have equal, empty sets.
-    Null texts count as empty, rows that repeat a doc_id count once (their least text), very long texts are read whole,
-    other columns aren't read, an empty table gives an empty result.
+    that share a signature meet, as all similar ones do. At first each is checked against the first of a group that it shares most signatures with;
+    then those of different components are compared by their sketches, which rule out pairs but never a similar one, and what is left is checked by the
+    sets themselves. A row gets few partners in a round, more in each later one, and rounds go on until no pair is left that isn't joined or checked: the
+    components are exact, and pairs grow with rows and not with their squares unless the sketches can't tell. No task holds more than twice ``most`` rows
+    of a group at once. Texts without words have equal, empty sets. Null texts count as empty, rows that repeat a doc_id count once (their least text), very
+    long texts are read whole, other columns aren't read, an empty table gives an empty result.
     """
     return _near(docs, width, similarity, radius, most)[0]
 
 
+#: Groups of up to so many rows are paired at once, so that each pair is compared once however many groups it is in.
+FEW = 8
+
+
 def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int) -> tuple[DataFrame, list[int]]:
     """``near_copies``, and how many pairs each round checked."""
     d = text_of(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats_ids(docs) else text_of(docs).filter("doc_id IS NOT NULL")
     rows = written(d.mapInArrow(_Sets(width, similarity), "doc_id long, same long, n long, fp long, sketch binary, signatures array<long>"))
     # equal sets meet as one kind, named after its smallest document
     kinds = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("rows")))
+    total = rows.count()
     checked: list[int] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
         checked.append(pairs.count())
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         of = written(d.filter(claims(ids, "doc_id")).join(ids, "doc_id", "left_semi"))
-        both = join_counted(pairs, of.withColumnRenamed("doc_id", "a"), ["a"], F.col("b"))
-        both = join_counted(written(both), of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), ["b"], F.col("a"))
-        return written(both.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
+        both = written(join_counted(pairs, of.withColumnRenamed("doc_id", "a"), ["a"], F.col("b")))
+        both_texts = join_counted(both, of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), ["b"], F.col("a"))
+        held = written(both_texts.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
+        forget(ids, of, both)
+        return held
 
     # by fingerprints: each kind and the first of its fingerprint, and the firsts of linked fingerprints
-    first = kinds.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("many"))
-    first = written(first)
-    alike = join_by_weight(kinds.select("fp", F.col("id").alias("b")), first, ["fp"], "many", kinds.count(), F.xxhash64("b")).filter("a <> b").select("a", "b")
+    first = written(kinds.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("many")))
+    alike = join_by_weight(kinds.select("fp", F.col("id").alias("b")), first, ["fp"], "many", total, F.xxhash64("b")).filter("a <> b").select("a", "b")
     near = links(first.select("fp"), radius).toDF("x", "y").join(first.select(F.col("fp").alias("x"), F.col("a").alias("i")), "x").join(first.select(F.col("fp").alias("y"), F.col("a").alias("j")), "y")
     joined = verified(written(alike.union(near.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()))
     refuted = None
 
-    # by signatures: those of two kinds or more; kinds are counted before rows meet
-    own = rows.select("same", "n", F.explode("signatures").alias("sig"))
-    shared = written(own.groupBy("sig").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo <> hi").select("sig"))
-    own = own.filter(claims(shared, "sig")).join(shared, "sig", "left_semi").select("sig", "same", "n").distinct()
-    members = written(own.join(kinds.select("same", "id"), "same"))
-    partners = 1
+    # by signatures: those of two documents or more; documents are counted before rows meet
+    shared = written(rows.select("doc_id", F.explode("signatures").alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("sig"))
+    own = rows.select("doc_id", "n", "signatures").mapInArrow(_Claimed(_filter_of(shared)), "sig long, doc_id long, n long").join(shared, "sig", "left_semi")
+    # one row of each kind: a document of its own set's name
+    members = written(own.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("sig", F.col("doc_id").alias("id"), "n"))
+    named = written(rows.select("doc_id", "same"))
+    sketches = written(rows.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch"))
+    forget(rows, shared, shuffles=True)
+    partners = 0
     while True:
         names = components(joined)
-        labels = written(kinds.select("same", "id").join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("label")))
-        labelled = written(members.join(labels, "same"))
-        open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("sig", "size"))
-        met = join_by_weight(labelled, open_, ["sig"], "size", rows.count(), F.xxhash64("id")).filter("size IS NOT NULL")
-        # a crowded group is cut into parts: at first each part meets itself alone, later every two meet
-        parts = F.ceil(F.col("size") / most).cast("int")
-        met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        others = F.sequence(F.lit(0), F.col("parts") - 1) if partners > 1 else F.array("part")
-        met = met.withColumn("other", F.explode(others)).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        crowded = partners == 1 and not open_.filter(F.col("size") > most).isEmpty()
-        sketches = rows.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch")
-        met = met.select("sig", "i", "j", "id", "label", "n").join(sketches, "id")
-        keys = ["sig", "i", "j"]
-        found = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_Candidates(keys, similarity, partners), "own long, other long").distinct()
-        # a row meets others in many groups, but takes no more partners for that
-        found = written(found.withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy("other"))))
-        pairs = found.filter(F.col("own").isNotNull() & (F.col("nth") <= partners)).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+        labels = written(kinds.select("id").join(names.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+        labelled = written(members.join(labels, "id"))
+        open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label", "n")).alias("least"), F.count("*").alias("size")).filter("lo <> hi").drop("lo", "hi"))
+        met = written(join_by_weight(labelled, open_, ["sig"], "size", total, F.xxhash64("id")).filter("size IS NOT NULL"))
+        if partners == 0:
+            # of the least rows of its groups, the one it is with most often
+            often = met.filter("label <> least.label AND id <> least.id").groupBy(F.col("id").alias("own"), F.col("least.id").alias("other"), "n", F.col("least.n").alias("m")).agg(F.count("*").alias("together"))
+            often = often.withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("together"), "other"))).filter("nth = 1")
+            found = written(_possible(often, sketches, similarity).withColumn("nth", F.lit(1)))
+            more = True
+        else:
+            found = written(_compared(met, sketches, similarity, partners, most))
+            more = (partners == 1 and not open_.filter(F.col("size") > most).isEmpty()) or not found.filter(F.col("own").isNull() | (F.col("nth") > partners)).isEmpty()
+        pairs = found.filter(F.col("own").isNotNull() & (F.col("nth") <= max(1, partners))).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
         pairs = written(pairs.join(refuted, ["a", "b"], "left_anti") if refuted is not None else pairs)
-        more = crowded or not found.filter(F.col("own").isNull() | (F.col("nth") > partners)).isEmpty()
         if not pairs.isEmpty():
             held = verified(pairs)
             joined = written(joined.union(held))
             wrong = pairs.join(held, ["a", "b"], "left_anti")
             refuted = written(refuted.union(wrong) if refuted is not None else wrong)
+        forget(labels, labelled, open_, met, found, shuffles=True)
         if not more:
             break
-        partners *= 8
+        partners = max(1, partners * 8)
+    forget(members, sketches)
     names = components(joined)
-    named = kinds.join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
-    out = join_by_weight(rows.select("doc_id", "same"), written(named), ["same"], "rows", rows.count(), F.xxhash64("doc_id"))
+    of = kinds.join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
+    out = join_by_weight(named, written(of), ["same"], "rows", total, F.xxhash64("doc_id"))
     return out.select("doc_id", "component_id"), checked
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (own, other) of sets of n and m elements, those that sizes and sketches don't rule out."""
+    pairs = pairs.join(sketches.withColumnRenamed("id", "own"), "own")
+    pairs = join_counted(written(pairs.select("own", "other", "n", "m", "sketch")), sketches.select(F.col("id").alias("other"), F.col("sketch").alias("its")), ["other"], F.col("own"))
+    return pairs.select("own", "other", "n", "m", "sketch", "its").mapInArrow(_Possible(similarity), "own long, other long")
+
+
+def _compared(met: DataFrame, sketches: DataFrame, similarity: float, partners: int, most: int) -> DataFrame:
+    """Pairs (own, other) of the rows (sig, id, n, label, size) of each ``sig`` that sizes and sketches don't rule out, numbered for each ``own``; a row with nulls where pairs were left."""
+    few = met.filter(F.col("size") <= FEW).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("id", "n", "label"))).alias("x"))
+    pairs = few.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter(f"p.id > q.id AND p.label <> q.label AND least(p.n, q.n) >= {similarity} * greatest(p.n, q.n) - 1e-6")
+    pairs = pairs.select(F.col("p.id").alias("own"), F.col("q.id").alias("other"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).distinct()
+    pairs = _possible(pairs, sketches, similarity)
+    # a crowded group is cut into parts: at first each part meets itself alone, later every two meet
+    many = met.filter(F.col("size") > FEW).withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1) if partners > 1 else F.array("part")
+    many = many.withColumn("at", F.explode(others)).withColumns({"i": F.least("part", "at"), "j": F.greatest("part", "at")})
+    many = many.select("sig", "i", "j", "id", "label", "n").join(sketches, "id")
+    keys = ["sig", "i", "j"]
+    tiles = many.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_Candidates(keys, similarity, partners), "own long, other long")
+    # a row meets others in many groups, but takes no more partners for that
+    return pairs.union(tiles).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy("other")))
+
+
 def _repeats_ids(docs: DataFrame) -> bool:
     """Whether a doc_id is on several rows; ids that are on one, as in most tables, need no grouping of texts."""
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
