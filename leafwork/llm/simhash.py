@@ -368,16 +368,17 @@ class _Claimed:
         self.bits = bits
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("signatures")
-            sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            for k in SHIFTS:
-                p = np.mod(np.right_shift(sigs, k), FILTER)
-                sure = (self.bits.value[p // 63] >> (p % 63)) & 1 == 1
-                sigs, of = sigs[sure], of[sure]
-            for a in range(0, len(sigs), 100_000):
-                part = pa.array(of[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + 100_000]), batch.column("doc_id").take(part), batch.column("n").take(part)], ["sig", "doc_id", "n"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                lists = batch.column("signatures")
+                sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                for k in SHIFTS:
+                    p = np.mod(np.right_shift(sigs, k), FILTER)
+                    sure = (self.bits.value[p // 63] >> (p % 63)) & 1 == 1
+                    sigs, of = sigs[sure], of[sure]
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), batch.column("doc_id").take(of), batch.column("n").take(of)], ["sig", "doc_id", "n"])
 
 
 class _Similar:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import claims, join_by_weight, join_counted, packed, text_of, unpacked, written
+from .common import claims, forget, join_by_weight, join_counted, packed, text_of, unpacked, written
 from .simhash import _repeats_ids as repeats_ids
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -209,7 +209,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
     met = written(rows.select(*keys).repartitionByRange("by", "doc_id").sortWithinPartitions(*keys).mapInArrow(_Neighbours(), kinds))
     edges = met.filter("other_id IS NULL").groupBy(*keys).agg(F.bool_or("open").alias("open"))
     across = edges.repartition("by").sortWithinPartitions(*keys).mapInArrow(_Neighbours(True), kinds)
-    return met.filter("other_id IS NOT NULL").unionByName(across).select("doc_id", "pos", "other_id", "other_pos")
+    out = written(met.filter("other_id IS NOT NULL").unionByName(across).select("doc_id", "pos", "other_id", "other_pos"))
+    forget(met)
+    return out
 
 
 def extend(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[int, int]:
@@ -264,7 +266,9 @@ def repeats(docs: DataFrame, min_words: int = 50, key: int = 25) -> DataFrame:
     def shared(rows: DataFrame, *more) -> DataFrame:
         """The rows whose ``head`` two documents or more have."""
         groups = written(rows.groupBy("head").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), *more).filter("lo <> hi").drop("lo", "hi"))
-        return written(join_by_weight(rows.filter(claims(groups, "head")), groups, ["head"], "n", rows.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL").drop("n"))
+        out = written(join_by_weight(rows.filter(claims(groups, "head")), groups, ["head"], "n", rows.count(), F.xxhash64("doc_id", "pos")).filter("n IS NOT NULL").drop("n"))
+        forget(rows, groups, shuffles=True)
+        return out
 
     met = shared(found, (F.min("around") == F.max("around")).alias("whole"))
     # equal heads among equal words: neighbours agree in all words that a passage through the head can have
@@ -275,9 +279,11 @@ def repeats(docs: DataFrame, min_words: int = 50, key: int = 25) -> DataFrame:
     ends = ends.select(F.explode(F.array("lo", "hi")).alias("x")).select("x.*")
     kept = written(ends.groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     fine = written(d.filter(claims(kept, "doc_id")).join(kept, "doc_id").select("doc_id", "text", "at").mapInArrow(_Passages(key, window), "doc_id long, pos int, head long"))
-    divided = neighbours(shared(fine).select(F.col("head").alias("by"), "doc_id", "pos"))
+    again = shared(fine)
+    divided = neighbours(again.select(F.col("head").alias("by"), "doc_id", "pos"))
     pairs = alike.union(divided).distinct().groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(F.struct("pos", "other_pos"))).alias("pairs"))
     pairs = written(pairs)
+    forget(met, kept, again, alike, divided, shuffles=True)
     named = written(pairs.select("doc_id").union(pairs.select("other_id")).distinct())
     texts = written(d.filter(claims(named, "doc_id")).join(named, "doc_id", "left_semi"))
     both = written(join_counted(pairs, texts, ["doc_id"], F.col("other_id")))
