@@ -89,8 +89,8 @@ def forget(*tables: DataFrame, shuffles: bool = False) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if shuffles and tables:
-        tables[0].sparkSession._jvm.System.gc()
+    if shuffles:
+        SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def _dealt_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salt: Column, how: str) -> DataFrame:

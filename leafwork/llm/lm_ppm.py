@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import join_by_weight, text_of, written
+from .common import forget, join_by_weight, text_of, written
 
 SPACE = 0x20
 #: A task counts several chunks, one after the other, where there are more.
@@ -217,13 +217,18 @@ def ppm_scores(docs: DataFrame, held_out, order: int = 5, chunk_mb: float = 16,
     # all that the corpus gives: distinct words and contexts of each chunk
     found = written(d.sortWithinPartitions("chunk").mapInArrow(_Counts(order, most_words, across_words), "chunk int, word string, gram long, n long"))
     in_words, in_grams = found.filter("word IS NOT NULL").select("chunk", "word", "n"), found.filter("gram IS NOT NULL").select("chunk", "gram", "n")
+    size = found.count()
+    forget(shuffles=True)
     # a word or context has a row for each chunk that has it; the frequent ones are in all chunks
     words = written(in_words.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")))
     tokens, kinds = words.filter("total > 0").agg(F.sum("total"), F.count("*")).first()
-    totals = join_by_weight(in_words.select("chunk", "word"), words, ["word"], "chunks", found.count(), F.col("chunk"))
     counts = written(in_grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")))
-    grams = probabilities(counts, order).join(counts.select("gram", "chunks"), "gram")
-    grams = join_by_weight(in_grams.select("chunk", "gram"), written(grams.select("gram", "chunks", F.log10("p").alias("v"))), ["gram"], "chunks", found.count(), F.col("chunk"))
-    figures = totals.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("v")).unionByName(grams.select("chunk", F.lit(None).cast("string").alias("word"), "gram", "v"))
+    forget(shuffles=True)
+    grams = written(probabilities(counts, order).join(counts.select("gram", "chunks"), "gram").select("gram", "chunks", F.log10("p").alias("v")))
+    forget(counts, shuffles=True)
+    of_words = join_by_weight(in_words.select("chunk", "word"), words, ["word"], "chunks", size, F.col("chunk")).select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("v"))
+    of_grams = join_by_weight(in_grams.select("chunk", "gram"), grams, ["gram"], "chunks", size, F.col("chunk")).select("chunk", F.lit(None).cast("string").alias("word"), "gram", "v")
+    figures = written(of_words.unionByName(of_grams))
+    forget(found, words, grams, shuffles=True)
     scored = d.groupBy("chunk").cogroup(figures.groupBy("chunk")).applyInArrow(_scores(order, tokens or 0, kinds or 0, across_words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored
