@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the folder that the session names for checkpoints; in one of our own only where none is named, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwork-"))
-    return df.checkpoint()
+from .scratch import checkpointed
 
 
 def levels(tree: DataFrame, carry: dict[str, Column] | None = None, most: int = 10_000) -> DataFrame:
-    """The nodes that roots reach in a tree (doc_id, node_id, parent_id, ...), with their level and path of (ordinal, node_id).
+    """The nodes that roots reach in a tree (doc_id, node_id, parent_id, ...), with their level and path of (ordinal, node_id), each once.
 
-    ``carry`` names columns that a child gets from itself and its parent (``c.`` and ``p.``). Nodes of a cycle have no root above them and are left out;
-    a node named twice under one parent comes twice. A level at a time, at most ``most``.
+    ``carry`` names columns that a child gets from itself and its parent (``c.`` and ``p.``). A node that is named again, under the same
+    parent or another, or below itself, keeps its place nearest the root, of those on one level the first by path; so cycles end, reachable or not. A level at a time; more than ``most``
+    levels are an error.
     """
     tree = tree if "ordinal" in tree.columns else tree.withColumn("ordinal", F.col("node_id"))
     step = F.struct(F.col("c.ordinal").alias("o"), F.col("c.node_id").cast("string").alias("n"))
     own = [c for c in tree.columns if c not in (carry or {})]
-    front = checkpointed(tree.filter("parent_id IS NULL").withColumns({"level": F.lit(0), "path": F.array(F.struct(F.col("ordinal").alias("o"), F.col("node_id").cast("string").alias("n")))}))
+    node = ["doc_id", "node_id"]
+    first = F.row_number().over(Window.partitionBy(*node).orderBy("path"))
+    once = lambda rows: checkpointed(rows.withColumn("_nth", first).filter("_nth = 1").drop("_nth"))
+    front = once(tree.filter("parent_id IS NULL").withColumns({"level": F.lit(0), "path": F.array(F.struct(F.col("ordinal").alias("o"), F.col("node_id").cast("string").alias("n")))}))
     children = tree.filter("parent_id IS NOT NULL")
-    found = [front]
-    while len(found) <= most:
+    out = front
+    for _ in range(most):
         joined = children.alias("c").join(front.alias("p"), (F.col("c.doc_id") == F.col("p.doc_id")) & (F.col("c.parent_id") == F.col("p.node_id")))
-        front = checkpointed(joined.select(*(F.col(f"c.{c}") for c in own), *((e.alias(n)) for n, e in (carry or {}).items()), (F.col("p.level") + 1).alias("level"), F.concat("p.path", F.array(step)).alias("path")))
+        below = joined.select(*(F.col(f"c.{c}") for c in own), *((e.alias(n)) for n, e in (carry or {}).items()), (F.col("p.level") + 1).alias("level"), F.concat("p.path", F.array(step)).alias("path"))
+        front = once(below.join(out.select(*node), node, "left_anti"))
         if front.isEmpty():
-            break
-        found.append(front.select(*found[0].columns))
-    out = found[0]
-    for level in found[1:]:
-        out = out.unionByName(level)
-    return out
+            return out
+        out = out.unionByName(front)
+    raise RuntimeError(f"more than {most} levels")
 
 
 def closure(edges: DataFrame, start: DataFrame, most: int = 10_000) -> DataFrame:

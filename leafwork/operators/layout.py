@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from leafwork.functions.text import blank_trim, text_width
-from leafwork.sources.writers import in_order
+from leafwork.sources.writers import in_order, letters_of
 
 PAGE = ["doc_id", "page_no"]
 
@@ -65,9 +65,11 @@ def cluster_rows(blocks: DataFrame, tol: float = 5.0, col_tol: float = 18.0) ->
     From the top, a block joins a row if it is within ``tol`` of the row's first block; from the left, a column starts
     ``col_tol`` or more from the start of the last. Within a page a block belongs to the nearest column.
     """
-    page = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"), F.sort_array(F.collect_set("x")).alias("xs"))
-    page = page.select(*PAGE, _starts(F.col("ys"), lambda v, s: F.abs(v - s) > tol).alias("_rows"), _starts(F.col("xs"), lambda v, s: F.abs(v - s) >= col_tol).alias("_cols"))
-    rows = blocks.join(page, PAGE)
+    # a page's blocks come together once; what follows by page needs no further shuffle
+    others = [c for c in blocks.columns if c not in PAGE]
+    page = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"), F.sort_array(F.collect_set("x")).alias("xs"), F.collect_list(F.struct(*others)).alias("_blocks"))
+    page = page.select(*PAGE, _starts(F.col("ys"), lambda v, s: F.abs(v - s) > tol).alias("_rows"), _starts(F.col("xs"), lambda v, s: F.abs(v - s) >= col_tol).alias("_cols"), "_blocks")
+    rows = page.select(*PAGE, "_rows", "_cols", F.inline("_blocks"))
     row = F.size(F.filter("_rows", lambda s: s >= F.col("y"))) - 1
     near = F.array_min(F.transform("_cols", lambda c, i: F.struct(F.abs(F.col("x") - c).alias("d"), i.alias("i"))))["i"]
     return rows.select(*blocks.columns, row.cast("long").alias("row"), near.cast("long").alias("col"), (F.size("_cols") >= 2).alias("is_table"))
@@ -79,10 +81,16 @@ def grid_cells(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "row", "col").agg(in_order(F.col("_t"), " ", "x", "block_id").alias("text"))
 
 
-def write_grid(cells: DataFrame, letters: list[str]) -> DataFrame:
-    """A spreadsheet's rows, pages one after the other, one column for each of ``letters``."""
-    named = cells.withColumn("_letter", F.element_at(F.array(*map(F.lit, letters)), (F.col("col") + 1).cast("int")))
-    return named.groupBy(*PAGE, "row").pivot("_letter", letters).agg(F.first("text"))
+def write_grid(cells: DataFrame, columns: int | None = None) -> DataFrame:
+    """A spreadsheet's rows, pages one after the other, with ``columns`` columns, A, B, ..., or as many as the widest page has; a cell beyond them fails the query."""
+    if columns is None:
+        columns = int(cells.agg(F.max("col")).first()[0] or 0) + 1
+    if columns > 18278:
+        raise ValueError("a sheet has 18278 columns at most")
+    beyond = F.col("col") >= columns
+    checked = cells.withColumn("col", F.when(beyond, F.raise_error(F.concat(F.lit("no column "), F.col("col").cast("string"))).cast("long")).otherwise(F.col("col")))
+    values = [F.max(F.when(F.col("col") == i, F.col("text"))).alias(letters_of(i)) for i in range(columns)]
+    return checked.groupBy(*PAGE, "row").agg(*values)
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -118,6 +126,12 @@ def strip_spans(ops: DataFrame, tag: str = "Watermark") -> DataFrame:
     return rows.withColumn("_in", inside | F.col("_ends")).filter("NOT _in").select(*ops.columns)
 
 
+def strip_watermarks(ops: DataFrame, uses: DataFrame, annots: DataFrame, tag: str = "Watermark") -> tuple[DataFrame, DataFrame]:
+    """Operations (with their ``stream``) without marked spans and without whole streams that use a resource named ``tag`` (doc_id, page_no, stream, resource), and annotations without those of that subtype."""
+    streams = uses.filter(F.col("resource") == tag).select(*PAGE, "stream").distinct()
+    return strip_spans(ops, tag).join(streams, [*PAGE, "stream"], "left_anti"), annots.filter(F.coalesce("subtype", F.lit("")) != tag)
+
+
 def image_placements(ops: DataFrame) -> DataFrame:
     """The size of each image drawn (Do), by the last cm (a, b, c, d) before it, which replaces the one before; 1 at least."""
     last = F.last(F.when(F.col("op") == "cm", F.struct("a", "b", "c", "d")), ignorenulls=True).over(so_far())
@@ -133,7 +147,8 @@ def collapse_blank_lines(lines: DataFrame) -> DataFrame:
 
 
 #: Characters that may not begin, or may not end, a line.
-NO_START, NO_END = "、。，．・：；？！）」』】〕〉》ー,.!?:;)]}", "（「『【〔〈《([{"
+NO_START = "、。，．・：；？！）］｝〉》」』】〕〟ヽヾゝゞ々ーァィゥェォッャュョヮヵヶぁぃぅぇぉっゃゅょゎ℃％‰"
+NO_END = "（［｛〈《「『【〔'\"￥＄￡＃"
 
 
 def wrap_text(paras: DataFrame, width: float, size: float) -> DataFrame:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from leafwork.functions.geometry import DEFAULT_WIDTH, anchor
 
+from .scratch import checkpointed
+
 
 def in_doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("page_no")
 
 
-def doc_offsets(counts: DataFrame, n: str = "n", shards: int = 64) -> DataFrame:
+def doc_offsets(counts: DataFrame, n: str = "n") -> DataFrame:
     """doc_id, ``offset``: the sum of ``n`` over all documents of smaller doc_id.
 
-    Sums run within ranges of doc_ids, then over the ranges: no task sees more than one range, and the window over all
-    has one row a range.
+    Sums run within ranges of doc_ids, as many as the session's shuffles have partitions and of about equal numbers of documents however ids are
+    spread, then over the ranges: no task sees more than one range, and the window over all has one row a range.
     """
-    bounds = counts.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    ranged = counts.join(F.broadcast(bounds)).withColumn("_range", F.floor((F.col("doc_id") - F.col("lo")) * shards / (F.col("hi") - F.col("lo") + 1)))
+    ranged = checkpointed(counts.repartitionByRange("doc_id").withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(F.sum(n).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

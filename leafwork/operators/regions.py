@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .graph import closure
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -33,6 +35,13 @@ def boxes_intersect(boxes: DataFrame, rects: DataFrame) -> DataFrame:
     return split_by(boxes, rects, lambda r: over(x, w, r["x"], r["w"]) & over(y, h, r["y"], r["h"]))
 
 
+def remove_field_trees(boxes: DataFrame, rects: DataFrame, edges: DataFrame) -> DataFrame:
+    """Boxes (doc_id, annot_id, ...) with ``removed``: those that overlap a rectangle and all that is below them in their field's tree (doc_id, src, dst), wherever it lies."""
+    hit = boxes_intersect(boxes, rects)
+    gone = closure(edges, hit.filter("removed").select("doc_id", F.col("annot_id").alias("node"))).select("doc_id", F.col("node").alias("annot_id"), F.lit(True).alias("_gone"))
+    return hit.join(gone, ["doc_id", "annot_id"], "left").withColumn("removed", F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+
 def remove_text_in_rect(blocks: DataFrame, rects: DataFrame, slack: float = 20.0) -> DataFrame:
     """Blocks with ``removed``: those whose origin is in a rectangle widened by ``slack`` points on all sides, edges included."""
     x, y = F.col("x"), F.col("y")

@@ -1,4 +1,4 @@
-"""Comparison of two revisions: block sets (doc_id, page_no, block_id, text, x, y)."""
+"""Comparison of two revisions: block sets (doc_id, page_no, block_id, text, x, y, width, height)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafwork.functions.text import blank_trim
 
+from .scratch import checkpointed
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -15,7 +17,7 @@ def match_blocks_exact(orig: DataFrame, rev: DataFrame) -> DataFrame:
     def side(blocks: DataFrame, prefix: str) -> DataFrame:
         rows = blocks.withColumn("_key", blank_trim(F.col("text")))
         nth = F.row_number().over(Window.partitionBy(*PAGE, "_key").orderBy("block_id"))
-        return rows.select(*PAGE, "_key", nth.alias("_nth"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("block_id", "text", "x", "y")))
+        return rows.select(*PAGE, "_key", nth.alias("_nth"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("block_id", "text", "x", "y", "width", "height")))
 
     return side(orig, "orig").join(side(rev, "rev"), [*PAGE, "_key", "_nth"], "full").drop("_key", "_nth")
 
@@ -31,26 +33,28 @@ def match_blocks_fuzzy(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: fl
 
     Bands of ``dy`` points keep it an equi join: each block of ``rev`` is in its own band and the two beside it.
     """
-    a = orig.select(*PAGE, F.floor(F.col("y") / dy).alias("_band"), F.col("block_id").alias("orig_block_id"), F.col("text").alias("orig_text"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = rev.select(*PAGE, F.explode(F.array(*(F.floor(F.col("y") / dy) + i for i in (-1, 0, 1)))).alias("_band"), F.col("block_id").alias("rev_block_id"), F.col("text").alias("rev_text"), F.col("x").alias("rev_x"), F.col("y").alias("rev_y"))
+    a = orig.select(*PAGE, F.floor(F.col("y") / dy).alias("_band"), F.col("block_id").alias("orig_block_id"), F.col("text").alias("orig_text"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_width"), F.col("height").alias("_height"))
+    b = rev.select(*PAGE, F.explode(F.array(*(F.floor(F.col("y") / dy) + i for i in (-1, 0, 1)))).alias("_band"), F.col("block_id").alias("rev_block_id"), F.col("text").alias("rev_text"), F.col("x").alias("rev_x"), F.col("y").alias("rev_y"), "width", "height")
     far_x, far_y = F.abs(F.col("_x") - F.col("rev_x")), F.abs(F.col("_y") - F.col("rev_y"))
     near = a.join(b, [*PAGE, "_band"]).filter((far_x < dx) & (far_y < dy)).withColumn("sim", similarity(F.col("orig_text"), F.col("rev_text")))
     near = near.filter((F.col("sim") > 0.3) | ((far_x < 10) & (far_y < 6)))
     best = lambda own, other: F.row_number().over(Window.partitionBy(*PAGE, own).orderBy(F.desc("sim"), other)) == 1
     ranked = near.withColumns({"_a": best("orig_block_id", "rev_block_id"), "_b": best("rev_block_id", "orig_block_id")})
-    return ranked.filter("_a AND _b").select(*PAGE, "orig_block_id", "rev_block_id", "orig_text", "rev_text", "rev_x", "rev_y", "sim")
+    larger = [F.greatest(f"_{c}", c).alias(c) for c in ("width", "height")]
+    return ranked.filter("_a AND _b").select(*PAGE, "orig_block_id", "rev_block_id", "orig_text", "rev_text", "rev_x", "rev_y", *larger, "sim")
 
 
 def diff(orig: DataFrame, rev: DataFrame) -> DataFrame:
-    """Changes between revisions: (doc_id, page_no, kind, original_text, revised_text, x, y, seq). Exact pairs are no changes; the rest is paired by likeness, or added, or deleted."""
-    exact = match_blocks_exact(orig, rev)
-    left = exact.filter("rev_block_id IS NULL").select(*PAGE, F.col("orig_block_id").alias("block_id"), F.col("orig_text").alias("text"), F.col("orig_x").alias("x"), F.col("orig_y").alias("y"))
-    right = exact.filter("orig_block_id IS NULL").select(*PAGE, F.col("rev_block_id").alias("block_id"), F.col("rev_text").alias("text"), F.col("rev_x").alias("x"), F.col("rev_y").alias("y"))
-    pairs = match_blocks_fuzzy(left, right)
+    """Changes between revisions: (doc_id, page_no, kind, original_text, revised_text, x, y, width, height, seq). Exact pairs are no changes; the rest is paired by likeness, with the larger of both sizes, or added, or deleted."""
+    # only what has no exact partner is used again, so it is kept
+    rest = checkpointed(match_blocks_exact(orig, rev).filter("orig_block_id IS NULL OR rev_block_id IS NULL"))
+    side = lambda p, other: rest.filter(f"{other}_block_id IS NULL").select(*PAGE, *(F.col(f"{p}_{c}").alias(c) for c in ("block_id", "text", "x", "y", "width", "height")))
+    left, right = side("orig", "rev"), side("rev", "orig")
+    pairs = checkpointed(match_blocks_fuzzy(left, right))
     deleted = left.join(pairs.select(*PAGE, F.col("orig_block_id").alias("block_id")), [*PAGE, "block_id"], "left_anti")
     added = right.join(pairs.select(*PAGE, F.col("rev_block_id").alias("block_id")), [*PAGE, "block_id"], "left_anti")
     empty = F.lit("")
-    shape = lambda d, kind, a, b, x, y, seq: d.select(*PAGE, F.lit(kind).alias("kind"), a.alias("original_text"), b.alias("revised_text"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(seq).alias("seq"))
+    shape = lambda d, kind, a, b, x, y, seq: d.select(*PAGE, F.lit(kind).alias("kind"), a.alias("original_text"), b.alias("revised_text"), F.col(x).alias("x"), F.col(y).alias("y"), "width", "height", F.col(seq).alias("seq"))
     return (
         shape(pairs, "modified", F.col("orig_text"), F.col("rev_text"), "rev_x", "rev_y", "rev_block_id")
         .unionByName(shape(deleted, "deleted", F.col("text"), empty, "x", "y", "block_id"))

@@ -14,6 +14,11 @@ def search_text(pages: DataFrame, term: str) -> DataFrame:
     return pages.filter(F.col("text").contains(term)).select("doc_id", "page_no", occurrences(F.col("text"), term).alias("matches"), "text") if term else pages.filter("false").select("doc_id", "page_no", F.lit(0).cast("long").alias("matches"), "text")
 
 
+def font_key(fonts: DataFrame) -> list[str]:
+    """Fonts are told by name, within their document where the table has one; how they are joined is left to their size."""
+    return ["doc_id", "font_name"] if "doc_id" in fonts.columns else ["font_name"]
+
+
 def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
     """P5: each block's width by its font's table.
 
@@ -21,7 +26,7 @@ def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
     character whose code the table has with a positive width counts that much, others their class's width; a run none of
     whose characters was in the table has class widths throughout; a composite font has its default for every character.
     """
-    joined = blocks.join(F.broadcast(fonts), "font_name", "left")
+    joined = blocks.join(fonts, font_key(fonts), "left")
     chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
     # codes 0 to 255 only: a larger one is never below 256
     code = lambda c: F.when(F.length(F.hex(F.encode(c, "UTF-16BE"))) == 4, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")).otherwise(1 << 16)
@@ -42,14 +47,14 @@ def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
 
 def dict_decode(codes: DataFrame, cmap: DataFrame) -> DataFrame:
     """Texts of sequences (doc_id, pos, code) by a table (code, mapped); a code without an entry is that code point."""
-    mapped = codes.join(F.broadcast(cmap), "code", "left")
+    mapped = codes.join(cmap, [*(["doc_id"] if "doc_id" in cmap.columns else []), "code"], "left")
     char = F.coalesce("mapped", F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32"))
     return mapped.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", char.alias("c")))), lambda x: x["c"]), "").alias("text"))
 
 
 def replace_text(blocks: DataFrame, fonts: DataFrame, find: str, by: str, page: int | None = None, color: str | None = None) -> DataFrame:
     """P20: ``find`` becomes ``by`` in the blocks of one page or all; blocks in composite fonts (font_name, composite) stay whole; ``color`` goes to changed blocks alone."""
-    known = blocks.join(F.broadcast(fonts.select("font_name", "composite")), "font_name", "left")
+    known = blocks.join(fonts.select(*font_key(fonts), "composite"), font_key(fonts), "left")
     hit = F.col("text").contains(find) & ~F.coalesce("composite", F.lit(False))
     if page is not None:
         hit &= F.col("page_no") == page

@@ -23,7 +23,12 @@ def g2_outline_preorder(t: Tables) -> DataFrame:
     return g.outline_preorder(t.page_tree)
 
 
-@query()
+NODE = "concat('{\"title\":\"', node_id, '\",\"children\":[', coalesce(kids, ''), ']}')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, parent_id, string_agg(concat('{{"title":"', node_id, '","children":[]}}'), ',' ORDER BY ordinal, node_id) AS kids FROM page_tree WHERE kind = 'Page' GROUP BY ALL),
+ m AS (SELECT p.doc_id, p.parent_id, string_agg({NODE.replace("node_id", "p.node_id")}, ',' ORDER BY ordinal, p.node_id) AS kids FROM page_tree p LEFT JOIN c ON c.doc_id = p.doc_id AND c.parent_id = p.node_id WHERE p.kind = 'Pages' AND p.parent_id IS NOT NULL GROUP BY ALL),
+ t AS (SELECT r.doc_id, {NODE.replace("node_id", "r.node_id")} AS j FROM page_tree r LEFT JOIN m ON m.doc_id = r.doc_id AND m.parent_id = r.node_id WHERE r.parent_id IS NULL) SELECT doc_id, concat('[', string_agg(j, ','), ']') AS json FROM t GROUP BY doc_id""")
 def g2_outline_tree_json(t: Tables) -> DataFrame:
     return g.outline_tree_json(t.page_tree)
 

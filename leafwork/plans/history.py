@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from leafwork.operators import history as h, pipeline
+from leafwork.operators.scratch import shared_dir
 from leafwork.streaming.replay import replay_files
 
+from .graphs import REACH
 from .registry import Tables, query
 
 
-@query()
+#: Event by event: the stacks of edits done and undone of every session.
+REPLAY = """WITH RECURSIVE e AS (SELECT session_id, seq, kind, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM edit_event),
+ s AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS undo, CAST([] AS BIGINT[]) AS redo, false AS dirty FROM e WHERE n = 1
+ UNION ALL SELECT s.session_id, s.n + 1, CASE WHEN kind = 'edit' THEN list_append(undo, seq) WHEN kind = 'undo' AND len(undo) > 0 THEN undo[:-2] WHEN kind = 'redo' AND len(redo) > 0 THEN list_append(undo, redo[-1]) ELSE undo END,
+ CASE WHEN kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' AND len(undo) > 0 THEN list_append(redo, undo[-1]) WHEN kind = 'redo' AND len(redo) > 0 THEN redo[:-2] ELSE redo END,
+ dirty OR kind = 'edit' OR kind = 'undo' AND len(undo) > 0 OR kind = 'redo' AND len(redo) > 0 FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1)
+ SELECT session_id, array_to_string(undo, ',') AS effective, CAST(len(undo) AS BIGINT) AS undo_depth, CAST(len(redo) AS BIGINT) AS redo_depth, dirty FROM s WHERE n = (SELECT max(n) FROM e WHERE e.session_id = s.session_id)"""
+
+
+@query(REPLAY)
 def r1_replay_edits(t: Tables) -> DataFrame:
     return h.replay_edits(t.edit_event).withColumn("effective", F.array_join("effective", ","))
 
 
-@query()
+@query(REPLAY)
 def r2_replay_edits_stream(t: Tables) -> DataFrame:
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="leafwork-")
-    base = f"{named}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     events = t.edit_event.select("session_id", "seq", "kind", "byte_size")
-    # four files of ascending seq, written one after the other, one batch each
     lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
-    for i in range(4):
-        a, b = lo + (hi + 1 - lo) * i // 4, lo + (hi + 1 - lo) * (i + 1) // 4
-        events.filter(F.col("seq").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out").withColumn("effective", F.array_join("effective", ","))
+    # four ranges of ascending seq arrive one after the other, each in as many files as its tasks write, and the stream goes on from its checkpoint
+    bounds = [] if lo is None else [lo + (hi + 1 - lo) * i // 4 for i in range(5)]
+    out = h.replay_edits(events.filter("false"))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        events.filter(F.col("seq").between(a, b - 1)).write.mode("append").parquet(f"{base}/in")
+        out = replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out")
+    return out.withColumn("effective", F.array_join("effective", ","))
 
 
 @query("""WITH e AS (SELECT session_id, seq, byte_size, sum(byte_size) OVER w AS s, row_number() OVER w AS n FROM edit_event WHERE kind = 'edit' WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), k AS (SELECT * FROM e WHERE s <= 200000 OR n = 1),
@@ -44,13 +55,24 @@ def w14_recent_items(t: Tables) -> DataFrame:
     return h.recent_items(opens, 3).select("user_id", "name", F.col("ts").cast("string").alias("opened"), "place")
 
 
-SPEC = """{"name": "publish", "steps": [{"action_type": "redact_text", "params": {"search": "the"}}, {"action_type": "redact_text", "params": {"search": " "}},
- {"action_type": "add_page_numbers", "params": {"position": "bottom-left", "start": 5}}, {"action_type": "flatten_form"}, {"action_type": "rotate_pages", "params": {"degrees": 180}}, {"action_type": "remove_metadata"}]}"""
+SPEC = """{"name": "publish", "steps": [{"action_type": "redact_text", "params": {"search_text": "the"}}, {"action_type": "redact_text", "params": {"search_text": ""}}, {"action_type": "add_watermark", "params": {"text": "DRAFT"}},
+ {"action_type": "add_page_numbers", "params": {"position": "bottom-left", "start_number": 5}}, {"action_type": "flatten_form"}, {"action_type": "optimize"}, {"action_type": "rotate_pages", "params": {"rotation": 180}},
+ {"action_type": "remove_metadata"}, {"action_type": "convert_to_pdfa"}]}"""
 
 
-@query("""SELECT b.doc_id, b.page_no, block_id, replace(text, 'the', '[REDACTED]') AS text, (rotation + 180) % 360 AS rotation FROM text_block b JOIN page p ON p.doc_id = b.doc_id AND p.page_no = b.page_no
- UNION ALL SELECT doc_id, page_no, -1, CAST(page_no + 5 AS VARCHAR), (rotation + 180) % 360 FROM page""")
+@query(f"""{REACH.format(start="annot_id", of="annotation WHERE annot_id LIKE '%-3'")}, refused AS (SELECT doc_id FROM font WHERE NOT embedded), l AS (SELECT doc_id, page_no, max(block_id) AS m FROM text_block GROUP BY ALL),
+ f AS (SELECT doc_id, value, CAST(0 AS BIGINT) AS page_no, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS n FROM form_field WHERE name <> 'customer'),
+ b AS (SELECT doc_id, page_no, block_id, replace(text, 'the', '[REDACTED]') AS text FROM text_block UNION ALL SELECT doc_id, page_no, -1, CAST(page_no + 5 AS VARCHAR) FROM page UNION ALL SELECT f.doc_id, f.page_no, coalesce(m, -1) + n, value FROM f LEFT JOIN l ON l.doc_id = f.doc_id AND l.page_no = f.page_no),
+ o AS (SELECT a.doc_id, annot_id, subtype FROM annotation a WHERE EXISTS (SELECT 1 FROM w WHERE w.doc_id = a.doc_id AND w.node = a.annot_id)), out AS (
+ SELECT 'text' AS part, b.doc_id, b.page_no, CAST(block_id AS VARCHAR) AS id, text, (rotation + 180) % 360 AS rotation FROM b JOIN page p ON p.doc_id = b.doc_id AND p.page_no = b.page_no
+ UNION ALL SELECT 'annotation', doc_id, page_no, 'wm-' || doc_id, 'DRAFT', NULL FROM page UNION ALL SELECT 'annotation', doc_id, page_no, annot_id, contents, NULL FROM annotation WHERE subtype <> 'Widget'
+ UNION ALL SELECT 'object', doc_id, NULL, annot_id, subtype, NULL FROM o WHERE subtype <> 'Text') SELECT * FROM out WHERE doc_id NOT IN (SELECT doc_id FROM refused)""")
 def x2_run_pipeline(t: Tables) -> DataFrame:
-    tables = {"page": t.page, "text_block": t.text_block, "annotation": t.annotation, "object": t.annotation.select("doc_id", F.col("subtype").alias("type")), "font": t.font}
+    placed = t.form_field.withColumns({"page_no": F.when(F.col("name") != "customer", F.lit(0).cast("long")), "x": F.lit(100.0), "y": F.lit(200.0)})
+    objects = t.annotation.select("doc_id", F.col("annot_id").alias("node"), F.when(F.col("subtype") == "Text", "Metadata").otherwise(F.col("subtype")).alias("type"))
+    tables = {"page": t.page, "text_block": t.text_block, "annotation": t.annotation, "object": objects, "ref_edge": t.ref_edge, "root": objects.filter("node LIKE '%-3'").select("doc_id", "node"), "form_field": placed, "font": t.font}
     out = pipeline.run_pipeline(tables, SPEC)
-    return out["text_block"].join(out["page"].select("doc_id", "page_no", "rotation"), ["doc_id", "page_no"]).select("doc_id", "page_no", "block_id", "text", "rotation")
+    null = F.lit(None).cast("long")
+    text = out["text_block"].join(out["page"].select("doc_id", "page_no", "rotation"), ["doc_id", "page_no"]).select(F.lit("text").alias("part"), "doc_id", "page_no", F.col("block_id").cast("string").alias("id"), "text", "rotation")
+    marks = out["annotation"].select(F.lit("annotation"), "doc_id", "page_no", "annot_id", "contents", null)
+    return text.union(marks).union(out["object"].select(F.lit("object"), "doc_id", null, "node", "type", null))

@@ -44,7 +44,7 @@ def w6_column_count(t: Tables) -> DataFrame:
 @query(f"""{GRID}, n AS (SELECT doc_id, page_no, max(c) AS m FROM g GROUP BY ALL), x AS (SELECT doc_id, page_no, r, CASE WHEN m = 0 THEN 0 ELSE c END AS c, string_agg(trim(text), ' ' ORDER BY x, block_id) AS text FROM g JOIN n USING (doc_id, page_no) WHERE trim(text) <> '' GROUP BY ALL)
  SELECT doc_id, page_no, r AS "row", max(text) FILTER (c = 0) AS "A", max(text) FILTER (c = 1) AS "B", max(text) FILTER (c = 2) AS "C", max(text) FILTER (c = 3) AS "D", max(text) FILTER (c = 4) AS "E" FROM x GROUP BY ALL""")
 def s9_write_grid(t: Tables) -> DataFrame:
-    return o.write_grid(o.grid_cells(t.grid_block), list("ABCDE"))
+    return o.write_grid(o.grid_cells(t.grid_block), 5)
 
 
 @query("""WITH k AS (SELECT p_partkey, p_partkey % 18278 AS k FROM part) SELECT p_partkey, CASE WHEN k < 26 THEN chr(CAST(65 + k AS INTEGER)) WHEN k < 702 THEN chr(CAST(64 + k // 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER))
@@ -69,12 +69,16 @@ def _marked(t: Tables) -> DataFrame:
     """Text blocks as marked spans: every eighth a watermark with all it holds, every other fourth an ordinary span."""
     block = F.expr("seq div 5")
     op = F.when((F.col("op") == "BT") & (block % 4 == 0), "BDC").when((F.col("op") == "ET") & (block % 4 == 0), "EMC").otherwise(F.col("op"))
-    return t.paint_op.select("doc_id", "page_no", "seq", op.alias("op"), F.when(block % 8 == 0, "Watermark").otherwise("Span").alias("name"))
+    return t.paint_op.select("doc_id", "page_no", "seq", op.alias("op"), F.when(block % 8 == 0, "Watermark").otherwise("Span").alias("name"), F.expr("seq div 60").alias("stream"))
 
 
-@query("SELECT doc_id, page_no, seq FROM paint_op WHERE floor(seq / 5) % 8 <> 0")
+@query("""SELECT doc_id, page_no, seq, NULL AS annot_id FROM paint_op WHERE floor(seq / 5) % 8 <> 0 AND floor(seq / 60) <> 1 UNION ALL SELECT doc_id, page_no, NULL, annot_id FROM annotation WHERE subtype <> 'Highlight'""")
 def w8_strip_spans(t: Tables) -> DataFrame:
-    return o.strip_spans(_marked(t)).select("doc_id", "page_no", "seq")
+    ops = _marked(t)
+    uses = ops.select("doc_id", "page_no", "stream", F.when(F.col("stream") == 1, "Watermark").otherwise("Im1").alias("resource")).distinct()
+    annots = t.annotation.withColumn("subtype", F.when(F.col("subtype") == "Highlight", "Watermark").otherwise(F.col("subtype")))
+    kept, left = o.strip_watermarks(ops, uses, annots)
+    return kept.select("doc_id", "page_no", "seq", F.lit(None).cast("string").alias("annot_id")).unionByName(left.select("doc_id", "page_no", F.lit(None).cast("long").alias("seq"), "annot_id"))
 
 
 @query("SELECT doc_id, page_no, seq, 'Im' AS name, greatest(1e0, sqrt(x * x + 9)) AS w, greatest(1e0, y / 10) AS h FROM (SELECT doc_id, page_no, seq - 1 AS s0, seq, op FROM paint_op WHERE op = 'Tj') d JOIN (SELECT doc_id, page_no, seq AS s0, a AS x, b AS y FROM paint_op WHERE op IN ('Tm', 'Td')) m USING (doc_id, page_no, s0)")

@@ -16,9 +16,10 @@ def j1_redact_region(t: Tables) -> DataFrame:
     return g.redact_region(t.text_block, t.redact_rect, text_width(F.col("text"), F.col("font_size"))).select("doc_id", "page_no", "block_id", "text", "removed")
 
 
-@query("""SELECT a.annot_id, coalesce(a.x < r.x + r.w AND a.x + a.w > r.x AND a.y < r.y + r.h AND a.y + a.h > r.y, false) AS removed FROM annotation a LEFT JOIN redact_rect r ON r.doc_id = a.doc_id AND r.page_no = a.page_no""")
+@query("""WITH RECURSIVE w AS (SELECT a.doc_id, annot_id AS node, [annot_id] AS path FROM annotation a JOIN redact_rect r ON r.doc_id = a.doc_id AND r.page_no = a.page_no WHERE a.x < r.x + r.w AND a.x + a.w > r.x AND a.y < r.y + r.h AND a.y + a.h > r.y
+ UNION ALL SELECT e.doc_id, e.dst, list_append(w.path, e.dst) FROM ref_edge e JOIN w ON e.doc_id = w.doc_id AND e.src = w.node WHERE NOT list_contains(w.path, e.dst)) SELECT annot_id, annot_id IN (SELECT node FROM w) AS removed FROM annotation""")
 def j2_boxes_intersect(t: Tables) -> DataFrame:
-    return g.boxes_intersect(t.annotation, t.redact_rect).select("annot_id", "removed")
+    return g.remove_field_trees(t.annotation, t.redact_rect, t.ref_edge).select("annot_id", "removed")
 
 
 @query("""SELECT b.doc_id, b.page_no, block_id FROM text_block b LEFT JOIN redact_rect r ON r.doc_id = b.doc_id AND r.page_no = b.page_no WHERE NOT coalesce(b.x BETWEEN r.x - 60 AND r.x + r.w + 60 AND b.y BETWEEN r.y - 60 AND r.y + r.h + 60, false)""")

@@ -12,7 +12,7 @@ from leafwork.sources.fixtures import frame, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The modules of this package that register queries.
-MODULES = "scans scalars placement changes assembly layout revisions redaction ocr annotations rules graphs history".split()
+MODULES = "scans scalars assembly layout revisions redaction ocr annotations rules graphs history".split()
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

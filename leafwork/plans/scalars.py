@@ -23,7 +23,8 @@ def p1_search_text(t: Tables) -> DataFrame:
     return ops.search_text(t.page_text, "the")
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'FEFF' || array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN printf('%04X', unicode(c)) ELSE printf('%04X%04X', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '') ELSE hex(encode(text)) END AS raw_hex,
+ text AS decoded, text = text AS same FROM documents""")
 def p2_text_bytes(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "text", tx.encode_text(F.col("text")).alias("raw"))
     return d.select("doc_id", F.hex("raw").alias("raw_hex"), tx.decode_bytes(F.col("raw")).alias("decoded"), (tx.decode_bytes(F.col("raw")) == F.col("text")).alias("same"))
@@ -135,7 +136,7 @@ def p14_classify_error(t: Tables) -> DataFrame:
     return t.events.select("event_id", tx.classify_error(F.expr(MESSAGE)).alias("error_type"))
 
 
-@query()
+@query("""SELECT c_custkey, concat('cannot open (/srv/data/', lower(c_mktsegment), '/', c_name, '.pdf), see https://example.org/a/b or C:\\tmp\\', c_custkey, '.txt') AS message, concat('cannot open (', c_name, '.pdf), see https://example.org/a/b or ', c_custkey, '.txt') AS shown FROM customer""")
 def p15_strip_paths(t: Tables) -> DataFrame:
     msg = F.concat(F.lit("cannot open (/srv/data/"), F.lower("c_mktsegment"), F.lit("/"), "c_name", F.lit(".pdf), see https://example.org/a/b or C:\\tmp\\"), F.col("c_custkey").cast("string"), F.lit(".txt"))
     return t.customer.select("c_custkey", msg.alias("message"), tx.strip_paths(msg).alias("shown"))

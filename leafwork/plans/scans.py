@@ -107,7 +107,8 @@ def s11_portfolio_manifest(t: Tables) -> DataFrame:
     return w.portfolio_manifest(t.documents.select(path.alias("path"), F.octet_length("text").cast("long").alias("size")))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY block_id) AS t, count(*) AS n, string_agg(concat('{"id":', block_id, ',"text":', to_json(text), ',"x":', x, ',"y":', y, ',"size":', font_size, '}'), ',' ORDER BY block_id) AS blocks FROM text_block GROUP BY ALL)
+ SELECT p.doc_id, p.page_no, concat('{"page":', p.page_no + 1, ',"width":', width, ',"height":', height, ',"text":', to_json(coalesce(t, '')), ',"layout":', CASE WHEN n IS NULL THEN 'null' ELSE concat('{"blocks":[', blocks, '],"count":', n, '}') END, '}') AS json FROM page p LEFT JOIN b ON b.doc_id = p.doc_id AND b.page_no = p.page_no""")
 def s13_layout_json(t: Tables) -> DataFrame:
     return w.layout_json(t.text_block, t.page)
 

@@ -46,6 +46,11 @@ def column_letters(index: Column) -> Column:
     return F.concat(F.when(index >= 702, letter(third)).otherwise(""), F.when(index >= 26, letter(second)).otherwise(""), letter(index))
 
 
+def letters_of(index: int) -> str:
+    """The letters of one column's number, from 0."""
+    return (letters_of(index // 26 - 1) if index >= 26 else "") + chr(65 + index % 26)
+
+
 def split_chapters(docs: DataFrame, between: str = "\n\n") -> DataFrame:
     """Chapters of a text, split at blank lines, empty ones left out, numbered from 1, each line a paragraph."""
     parts = F.filter(F.split("text", between), lambda c: blank_trim(c) != "")

@@ -46,9 +46,10 @@ def replay_edits_stream(events: DataFrame, idle_minutes: int = 60) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def replay_files(spark, path: str, schema, checkpoint: str, sink: str, files_per_batch: int = 1, idle_minutes: int = 60) -> DataFrame:
-    """All event files under ``path``, in order of their times, run through the stream; each session's last state."""
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def replay_files(spark, path: str, schema, checkpoint: str, sink: str, files_per_batch: int | None = None, idle_minutes: int = 60) -> DataFrame:
+    """The event files under ``path`` that the checkpoint hasn't seen run through the stream, all at once or ``files_per_batch`` at a time in order of their times; each session's last state."""
+    reader = spark.readStream.schema(schema)
+    events = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")

@@ -1,5 +1,7 @@
 """Behaviour of the document operators on small tables made by hand."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -95,14 +97,16 @@ def test_a_term_must_be_given_and_found(spark):
 
 def test_comparing_a_revision_with_itself_finds_nothing(spark):
     b = blocks(spark, ("same", 50, 700), ("same", 50, 684), (" trimmed ", 50, 668))
+    b = b.withColumns({"width": F.lit(9.0), "height": F.lit(9.0)})
     assert revisions.diff(b, b).count() == 0
 
 
 def test_changes_are_told_apart(spark):
     a = blocks(spark, ("HelloWorld", 50, 700), ("stays", 50, 684), ("goes", 50, 500))
     b = blocks(spark, ("HelloNagano", 50, 700), ("stays", 50, 684), ("comes along", 300, 100))
-    got = {r.kind: (r.original_text, r.revised_text) for r in revisions.diff(a, b).collect()}
-    assert got == {"modified": ("HelloWorld", "HelloNagano"), "deleted": ("goes", ""), "added": ("", "comes along")}
+    sized = lambda d, w: d.withColumns({"width": F.lit(w), "height": F.lit(100 - w)})
+    got = {r.kind: (r.original_text, r.revised_text, r.width, r.height) for r in revisions.diff(sized(a, 60.0), sized(b, 70.0)).collect()}
+    assert got == {"modified": ("HelloWorld", "HelloNagano", 70.0, 40.0), "deleted": ("goes", "", 60.0, 40.0), "added": ("", "comes along", 70.0, 30.0)}
 
 
 def test_text_operations_are_read_in_order(spark):
@@ -185,6 +189,22 @@ def test_trees_with_cycles_end(spark):
     assert graph.outline_tree_json(t).first().json == '[{"title":"r","children":[{"title":"a","children":[{"title":"c","children":[]}]},{"title":"b","children":[]}]}]'
 
 
+def test_trees_with_cycles_below_the_root_end(spark):
+    # A under the root and under its own descendant B; C twice under one parent and once further down
+    t = tree(spark, ("r", None, 0, "Pages", None), ("A", "r", 0, "Pages", 7.0), ("B", "A", 0, "Page", None), ("A", "B", 0, "Pages", 9.0), ("C", "r", 1, "Page", 1.0), ("C", "r", 1, "Page", 1.0), ("C", "B", 0, "Page", 2.0))
+    assert [(r.node_id, r.level) for r in graph.tree_preorder(t).orderBy("page_no").collect()] == [("B", 2), ("C", 1)]
+    assert {r.node_id: r.box_w for r in graph.inherit_attrs(t, "box_w", 595.0).collect()} == {"B": 7.0, "C": 1.0}
+    assert {(r.node_id, r.descendants) for r in graph.outline_preorder(t).collect()} == {("r", 3), ("A", 1), ("B", 0), ("C", 0)}
+    assert graph.outline_tree_json(t).first().json.count('"A"') == 1
+
+
+def test_a_tree_beyond_the_limit_is_an_error_and_not_cut(spark):
+    chain = tree(spark, *((f"n{i}", f"n{i - 1}" if i else None, 0, "Page", None) for i in range(9)))
+    assert graph.levels(chain, most=9).count() == 9
+    with pytest.raises(RuntimeError):
+        graph.levels(chain, most=4)
+
+
 def test_closure_meets_cycles_once(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "e"), (2, "a", "z")], "doc_id long, src string, dst string")
     start = spark.createDataFrame([(1, "a")], "doc_id long, node string")
@@ -262,15 +282,66 @@ def test_history_keeps_the_newest_and_one_at_least(spark):
     assert keep(100, 510) == {(2, 4)} and keep(100, 10_000, 1) == {(2, 4)}
 
 
-def test_pipelines_refuse_unknown_actions_and_skip_blank_searches(spark):
+def test_pipelines_refuse_unknown_actions_and_skip_empty_searches(spark):
     b = blocks(spark, ("a secret", 1, 1))
-    step = lambda kind, **p: '{"name": "x", "steps": [{"action_type": "%s", "params": {"search": "%s"}}]}' % (kind, p.get("search", ""))  # noqa: E731, UP031
-    with pytest.raises(ValueError):
-        pipeline.run_pipeline({"text_block": b}, step("explode"))
-    assert pipeline.run_pipeline({"text_block": b}, step("redact_text", search="  "))["text_block"].first().text == "a secret"
+    step = lambda kind, **p: '{"name": "x", "steps": [{"action_type": "%s", "params": {"search_text": "%s"}}]}' % (kind, p.get("search", ""))  # noqa: E731, UP031
+    for kind in ("explode", "optimize"):  # unknown, or without its tables
+        with pytest.raises(ValueError):
+            pipeline.run_pipeline({"text_block": b}, step(kind))
+    assert pipeline.run_pipeline({"text_block": b}, step("redact_text"))["text_block"].first().text == "a secret"
     assert pipeline.run_pipeline({"text_block": b}, step("redact_text", search="secret"))["text_block"].first().text == "a [REDACTED]"
 
 
+def test_pipelines_run_every_action(spark):
+    a = spark.createDataFrame([(1, "p", None, "Widget", "me", "hi", 0, "", 1.0, 2.0, 3.0, 4.0), (1, "q", None, "Text", "me", "", 0, "", 1.0, 2.0, 3.0, 4.0)], ANNOT)
+    nodes = spark.createDataFrame([(1, "root", "Catalog"), (1, "kid", "Page"), (1, "lost", "Page"), (1, "info", "Info"), (1, "js", "JavaScript")], "doc_id long, node string, type string")
+    edges = spark.createDataFrame([(1, "root", "kid"), (1, "root", "info"), (1, "root", "js")], "doc_id long, src string, dst string")
+    field = spark.createDataFrame([(1, "f", "Tx", "value", 0, 10.0, 20.0)], "doc_id long, name string, type string, value string, page_no long, x double, y double")
+    page = spark.createDataFrame([(1, 0, 100.0, 100.0, 270)], "doc_id long, page_no long, width double, height double, rotation long")
+    text = blocks(spark, ("a secret", 1, 1)).withColumns({"font_size": F.lit(9.0), "color": F.lit("#000000")})
+    tables = {"annotation": a, "object": nodes, "ref_edge": edges, "root": nodes.filter("node = 'root'").select("doc_id", "node"), "form_field": field, "page": page, "text_block": text, "font": spark.createDataFrame([(1, "F", "TrueType", True)], "doc_id long, name string, subtype string, embedded boolean")}
+    steps = [{"action_type": k, "params": p} for k, p in [("flatten_form", {}), ("optimize", {}), ("remove_metadata", None), ("rotate_pages", {}), ("add_watermark", {"text": "W"}), ("add_page_numbers", {"start_number": 3}), ("convert_to_pdfa", {})]]
+    out = pipeline.run_pipeline(tables, json.dumps({"name": "all", "steps": steps}))
+    assert {(r.text, r.color) for r in out["text_block"].collect()} == {("a secret", "#000000"), ("value", None), ("3", None)} and out["form_field"].count() == 0
+    assert {r.node for r in out["object"].collect()} == {"root", "kid", "js"} and out["page"].first().rotation == 0
+    assert {(r.subtype, r.contents) for r in out["annotation"].collect()} == {("Text", ""), ("Watermark", "W")}
+    clean = pipeline.run_pipeline(out, '{"name": "x", "steps": [{"action_type": "sanitize_document"}]}')
+    assert {r.node for r in clean["object"].collect()} == {"root", "kid"} and clean["annotation"].count() == 0
+    assert pipeline.run_pipeline(tables | {"font": tables["font"].withColumn("embedded", F.lit(False))}, json.dumps({"name": "x", "steps": steps[-1:]}))["page"].count() == 0
+
+
+def test_an_empty_history_gives_an_empty_stream(spark, tmp_path):
+    from leafwork.plans import history as plans, registry
+
+    registry.queries()
+
+    class Empty:
+        edit_event = spark.createDataFrame([], EVENTS)
+
+    Empty.spark = spark
+    assert plans.r2_replay_edits_stream(Empty).collect() == []
+
+
+def test_grids_take_the_columns_that_there_are(spark):
+    cells = spark.createDataFrame([(1, 0, 0, c, f"t{c}") for c in (0, 3, 30)], "doc_id long, page_no long, row long, col long, text string")
+    grid = layout.write_grid(cells)
+    assert grid.columns[3:] == [writers.letters_of(i) for i in range(31)] and grid.first().AE == "t30" and grid.first().D == "t3"
+    with pytest.raises(PySparkException):
+        layout.write_grid(cells, 5).collect()
+
+
+def test_line_breaks_heed_what_may_begin_and_end_a_line(spark):
+    p = spark.createDataFrame([(1, 0, "漢字テャ"), (1, 1, "漢字「文"), (1, 2, "漢字文℃")], "doc_id long, pos long, line string")
+    got = [(r.pos, r.text) for r in layout.wrap_text(p, 30, 10).orderBy("pos", "line_no").collect()]
+    assert got == [(0, "漢字"), (0, "テャ"), (1, "漢字"), (1, "「文"), (2, "漢字"), (2, "文℃")]
+
+
+def test_offsets_of_scattered_ids(spark):
+    ids = [-5, 3, 10**15, 10**15 + 1, 7 * 10**17]
+    got = {r.doc_id: r.offset for r in pages.doc_offsets(spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "doc_id long, n long")).collect()}
+    assert got == {i: k * (k + 1) // 2 for k, i in enumerate(ids)}
+
+
 def test_formulas_are_arithmetic_alone(spark):
     f = spark.createDataFrame([(1, "a", "Tx", "4"), (1, "b", "Tx", "x")], "doc_id long, name string, type string, value string")
     got = annotations.calculated_field(f, "c", "(a + 2) * 3 / b", ["a", "b"]).filter("name = 'c'").first()
