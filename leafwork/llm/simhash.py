@@ -346,7 +346,7 @@ class _Possible:
 
 
 #: A filter over signatures: bits, which are pieces of the signature itself.
-FILTER = 63 << 20
+FILTER = 63 << 19
 
 
 SHIFTS = (0, 19, 38)
@@ -369,8 +369,8 @@ class _Claimed:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
                 lists = batch.column("signatures")
                 sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 for k in SHIFTS:
@@ -441,7 +441,9 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
 
     # by signatures: those of two documents or more; documents are counted before rows meet
     shared = written(rows.select("doc_id", F.explode("signatures").alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("sig"))
-    own = rows.select("doc_id", "n", "signatures").mapInArrow(_Claimed(_filter_of(shared)), "sig long, doc_id long, n long").join(shared, "sig", "left_semi")
+    # a few at a time, so that batches of rows stay small however long the texts
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("signatures")), F.lit(32)), lambda i: F.slice("signatures", i, 32))
+    own = rows.select("doc_id", "n", F.explode(pieces).alias("signatures")).mapInArrow(_Claimed(_filter_of(shared)), "sig long, doc_id long, n long").join(shared, "sig", "left_semi")
     # one row of each kind: a document of its own set's name
     members = written(own.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("sig", F.col("doc_id").alias("id"), "n"))
     named = written(rows.select("doc_id", "same"))
