@@ -449,13 +449,15 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
     named = written(rows.select("doc_id", "same"))
     sketches = written(rows.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch"))
     forget(rows, shared, shuffles=True)
-    partners = 0
+    names = components(joined)
+    labels = written(kinds.select("id").join(names.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+    partners, met = 0, None
     while True:
-        names = components(joined)
-        labels = written(kinds.select("id").join(names.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
-        labelled = written(members.join(labels, "id"))
-        open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label", "n")).alias("least"), F.count("*").alias("size")).filter("lo <> hi").drop("lo", "hi"))
-        met = written(join_by_weight(labelled, open_, ["sig"], "size", total, F.xxhash64("id")).filter("size IS NOT NULL"))
+        if met is None:
+            labelled = written(members.join(labels, "id"))
+            open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label", "n")).alias("least"), F.count("*").alias("size")).filter("lo <> hi").drop("lo", "hi"))
+            met = written(join_by_weight(labelled, open_, ["sig"], "size", total, F.xxhash64("id")).filter("size IS NOT NULL"))
+            forget(labelled)
         if partners == 0:
             # of the least rows of its groups, the one it is with most often
             often = met.filter("label <> least.label AND id <> least.id").groupBy(F.col("id").alias("own"), F.col("least.id").alias("other"), "n", F.col("least.n").alias("m")).agg(F.count("*").alias("together"))
@@ -467,22 +469,36 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
             more = (partners == 1 and not open_.filter(F.col("size") > most).isEmpty()) or not found.filter(F.col("own").isNull() | (F.col("nth") > partners)).isEmpty()
         pairs = found.filter(F.col("own").isNotNull() & (F.col("nth") <= max(1, partners))).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
         pairs = written(pairs.join(refuted, ["a", "b"], "left_anti") if refuted is not None else pairs)
+        forget(found)
         if not pairs.isEmpty():
             held = verified(pairs)
-            joined = written(joined.union(held))
             wrong = pairs.join(held, ["a", "b"], "left_anti")
             refuted = written(refuted.union(wrong) if refuted is not None else wrong)
-        forget(labels, labelled, open_, met, found, shuffles=True)
+            if not held.isEmpty():
+                # only components that new links join get new names; where none do, the same rows meet again
+                labels = _relabelled(labels, held, total)
+                forget(open_, met, shuffles=True)
+                met = None
         if not more:
             break
         partners = max(1, partners * 8)
     forget(members, sketches)
-    names = components(joined)
-    of = kinds.join(names.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component_id"), "rows")
+    of = kinds.join(labels, "id").select("same", F.col("label").alias("component_id"), "rows")
     out = join_by_weight(named, written(of), ["same"], "rows", total, F.xxhash64("doc_id"))
     return out.select("doc_id", "component_id"), checked
 
 
+def _relabelled(labels: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    """``labels`` (id, label), where components that the edges ``held`` (a, b) join take the smallest of their labels."""
+    half = written(join_counted(held, labels.toDF("a", "i"), ["a"], F.col("b")))
+    edges = join_counted(half, labels.toDF("b", "j"), ["b"], F.col("a")).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    names = components(edges).withColumnRenamed("node", "label")
+    names = written(names.join(labels.groupBy("label").agg(F.count("*").alias("rows")), "label"))
+    out = written(join_by_weight(labels, names, ["label"], "rows", total, F.xxhash64("id")).select("id", F.coalesce("component", "label").alias("label")))
+    forget(labels, half, names)
+    return out
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (own, other) of sets of n and m elements, those that sizes and sketches don't rule out."""
     pairs = pairs.join(sketches.withColumnRenamed("id", "own"), "own")
