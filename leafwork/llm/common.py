@@ -14,6 +14,8 @@ from pyspark.sql.functions import pandas_udf
 PARTS = 100_000
 #: Keys of fewer rows than this are never split.
 PIECE = 2_000
+#: Tables of a few numbers a row are broadcast up to so many rows (a few MB); beyond that they are shuffled.
+SMALL = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -120,7 +122,10 @@ def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: s
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], salt: Column) -> DataFrame:
     """Inner join on ``keys``, which ``right`` has once; ``left``, a written table, is counted first, and its frequent keys are split as in ``join_by_weight``."""
-    hot = checkpointed(_hot(left.groupBy(*keys).agg(F.count("*").alias("_weight")), keys, "_weight", left.count()))
+    rows = left.count()
+    if rows <= PIECE:  # no key can have more
+        return left.join(right, keys)
+    hot = checkpointed(_hot(left.groupBy(*keys).agg(F.count("*").alias("_weight")), keys, "_weight", rows))
     return left.join(right, keys) if hot.isEmpty() else _dealt_join(left, right, keys, hot, salt, "inner")
 
 
@@ -154,23 +159,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node, component its smallest node.
 
     Large-star and small-star in turn: every round hangs nodes on smaller ones until each component is a star around
-    its smallest node. The edges stay distributed, each round is checkpointed, and the driver sees one row of sums.
+    its smallest node, which edges may be from the start. The edges stay distributed, each round is checkpointed, and the
+    driver sees whether there is a node that isn't settled. Rounds add no edges, so what is broadcast has twice ``SMALL`` rows at most.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
-    seen = None
+    side = F.broadcast if e.count() <= SMALL else lambda least: least
     for _ in range(most_rounds):
+        # a node of a star hangs on one other, or others hang on it
+        hung = e.select(F.col("u").alias("a"), F.lit(1).alias("on"), F.lit(0).alias("of")).union(e.select("v", F.lit(0), F.lit(1)))
+        if hung.groupBy("a").agg(F.sum("on").alias("on"), F.max("of").alias("of")).filter("`on` + `of` > 1").isEmpty():
+            break
         both = e.union(e.select("v", "u")).toDF("a", "b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
+        large = both.join(side(least), "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        small = large.join(side(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = checkpointed(small.filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import claims, components, forget, join_by_weight, join_counted, packed, text_of, unpacked, written
+from .common import SMALL, claims, components, forget, join_by_weight, join_counted, packed, text_of, unpacked, written
 
 #: The bits of each byte value, first the highest.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
@@ -425,7 +425,8 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
     def verified(pairs: DataFrame) -> DataFrame:
         checked.append(pairs.count())
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        of = written(d.filter(claims(ids, "doc_id")).join(ids, "doc_id", "left_semi"))
+        few = ids.count() <= SMALL
+        of = written((d if few else d.filter(claims(ids, "doc_id"))).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
         both = written(join_counted(pairs, of.withColumnRenamed("doc_id", "a"), ["a"], F.col("b")))
         both_texts = join_counted(both, of.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), ["b"], F.col("a"))
         held = written(both_texts.select("a", "b", "text", "other").mapInArrow(_Similar(width, similarity), "a long, b long"))
@@ -454,10 +455,12 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
     partners, met = 0, None
     while True:
         if met is None:
-            labelled = written(members.join(labels, "id"))
+            labelled = written(members.select("sig", "id", "n").join(labels, "id"))
             open_ = written(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label", "n")).alias("least"), F.count("*").alias("size")).filter("lo <> hi").drop("lo", "hi"))
             met = written(join_by_weight(labelled, open_, ["sig"], "size", total, F.xxhash64("id")).filter("size IS NOT NULL"))
-            forget(labelled)
+            # groups of one label stay so: later rounds read the others alone
+            forget(labelled, members)
+            members = met
         if partners == 0:
             # of the least rows of its groups, the one it is with most often
             often = met.filter("label <> least.label AND id <> least.id").groupBy(F.col("id").alias("own"), F.col("least.id").alias("other"), "n", F.col("least.n").alias("m")).agg(F.count("*").alias("together"))
@@ -477,7 +480,7 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
             if not held.isEmpty():
                 # only components that new links join get new names; where none do, the same rows meet again
                 labels = _relabelled(labels, held, total)
-                forget(open_, met, shuffles=True)
+                forget(open_, shuffles=True)
                 met = None
         if not more:
             break
@@ -492,9 +495,13 @@ def _relabelled(labels: DataFrame, held: DataFrame, total: int) -> DataFrame:
     """``labels`` (id, label), where components that the edges ``held`` (a, b) join take the smallest of their labels."""
     half = written(join_counted(held, labels.toDF("a", "i"), ["a"], F.col("b")))
     edges = join_counted(half, labels.toDF("b", "j"), ["b"], F.col("a")).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    names = components(edges).withColumnRenamed("node", "label")
-    names = written(names.join(labels.groupBy("label").agg(F.count("*").alias("rows")), "label"))
-    out = written(join_by_weight(labels, names, ["label"], "rows", total, F.xxhash64("id")).select("id", F.coalesce("component", "label").alias("label")))
+    names = written(components(edges).withColumnRenamed("node", "label"))
+    if names.count() <= SMALL:
+        out = labels.join(F.broadcast(names), "label", "left")
+    else:
+        weighed = names.join(labels.groupBy("label").agg(F.count("*").alias("rows")), "label")
+        out = join_by_weight(labels, written(weighed), ["label"], "rows", total, F.xxhash64("id"))
+    out = written(out.select("id", F.coalesce("component", "label").alias("label")))
     forget(labels, half, names)
     return out
 
