@@ -401,7 +401,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     First fingerprints of the sets that differ in up to ``radius`` bits are linked where their sets hold the similarity. Then sets
     that share a signature meet, as all similar ones do. At first each is checked against the first of a group that it shares most signatures with;
     then those of different components are compared by their sketches, which rule out pairs but never a similar one, and what is left is checked by the
-    sets themselves. A row gets few partners in a round, more in each later one, and rounds go on until no pair is left that isn't joined or checked: the
+    sets themselves. A row gets few partners in a round, more in each later one (8 times as many, 64 where most pairs of the round were similar or there were none), and rounds go on until no pair is left that isn't joined or checked: the
     components are exact, and pairs grow with rows and not with their squares unless the sketches can't tell. No task holds more than twice ``most`` rows
     of a group at once. Texts without words have equal, empty sets. Null texts count as empty, rows that repeat a doc_id count once (their least text), very
     long texts are read whole, other columns aren't read, an empty table gives an empty result.
@@ -473,18 +473,22 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
         pairs = found.filter(F.col("own").isNotNull() & (F.col("nth") <= max(1, partners))).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
         pairs = written(pairs.join(refuted, ["a", "b"], "left_anti") if refuted is not None else pairs)
         forget(found)
+        grow = 64
         if not pairs.isEmpty():
             held = verified(pairs)
+            similar = held.count()
+            # where most pairs of a round were not similar, the next one takes fewer more
+            grow = 64 if 2 * similar >= checked[-1] else 8
             wrong = pairs.join(held, ["a", "b"], "left_anti")
             refuted = written(refuted.union(wrong) if refuted is not None else wrong)
-            if not held.isEmpty():
+            if similar:
                 # only components that new links join get new names; where none do, the same rows meet again
                 labels = _relabelled(labels, held, total)
                 forget(open_, shuffles=True)
                 met = None
         if not more:
             break
-        partners = max(1, partners * 8)
+        partners = max(1, partners * grow)
     forget(members, sketches)
     of = kinds.join(labels, "id").select("same", F.col("label").alias("component_id"), "rows")
     out = join_by_weight(named, written(of), ["same"], "rows", total, F.xxhash64("doc_id"))
