@@ -175,13 +175,13 @@ def encode_digest(docs: DataFrame, ranks_path: str, pattern: str, block_mb: floa
 class _Blocks:
     def __init__(self, ranks_path: str, pattern: str, block_mb: float, digest: bool):
         self.ranks, self.pattern, self.most, self.digest = read_ranks(ranks_path), pattern, block_mb * 1e6, digest
+        self.key = hashlib.sha256(repr((pattern, sorted(self.ranks.items()))).encode()).hexdigest()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # workers are used again: the pieces known to one task serve the next
-        key = hashlib.sha256(repr((self.pattern, len(self.ranks), sorted(self.ranks.items())[::997])).encode()).hexdigest()
-        if key not in _codecs:
-            _codecs[key] = Codec(self.ranks, self.pattern)
-        codec = _codecs[key]
+        if self.key not in _codecs:
+            _codecs[self.key] = Codec(self.ranks, self.pattern)
+        codec = _codecs[self.key]
         for batch in batches:
             ids, texts, size, first = batch.column(0), [], 0, 0
             for text in batch.column(1):
