@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, lm_ppm, packing, quality_knn, quality_rules, simhash, suffix_dedup
+from . import bpe, exact_dedup, language_id, lexical_search, line_dedup, lm_ppm, merkle, packing, quality_knn, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import documents, held_out
 
 
@@ -57,5 +57,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir), held_out(3, 1))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(documents(spark, sf_dir))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OPERATORS = (
+    op1_bpe, op2_quality_rules, op3_line_dedup, op4_lm_ppm, op5_best_fit_packing, op6_exact_dedup, op7_quality_knn, op8_suffix_dedup, op9_simhash, op10_language_id, op11_merkle_manifest, op12_secret_scan,
+    op13_lexical_search,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_line_dedup, op4_lm_ppm, op5_best_fit_packing, op6_exact_dedup, op7_quality_knn, op8_suffix_dedup, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in OPERATORS}
