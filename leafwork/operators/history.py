@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-LONGS = "array<bigint>"
+from leafwork.streaming.replay import folded
 
+def replay_edits(events: DataFrame, idle_minutes: float | None = None) -> DataFrame:
+    """Per session the edits in effect, by seq, the depth of undo and redo, whether anything changed, and when it was last used.
 
-def _step(s: Column, e: Column) -> Column:
-    """One event: an edit is applied and ends all redo, undo takes the last one back, redo applies it again; with nothing to take, nothing happens."""
-    state = lambda undo, redo, dirty: F.struct(undo.alias("undo"), redo.alias("redo"), dirty.alias("dirty"))
-    undo, redo = s["undo"], s["redo"]
-    less = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    last = lambda a: F.slice(a, -1, 1)
-    none = F.array().cast(LONGS)
-    return (
-        F.when(e["kind"] == "edit", state(F.concat(undo, F.array(e["seq"])), none, F.lit(True)))
-        .when((e["kind"] == "undo") & (F.size(undo) > 0), state(less(undo), F.concat(redo, last(undo)), F.lit(True)))
-        .when((e["kind"] == "redo") & (F.size(redo) > 0), state(F.concat(undo, last(redo)), less(redo), F.lit(True)))
-        .otherwise(s)
-    )
-
-
-def replay_edits(events: DataFrame) -> DataFrame:
-    """Per session the edits in effect, by seq, the depth of undo and redo, and whether anything changed. Events count in order of seq."""
-    start = F.struct(F.array().cast(LONGS).alias("undo"), F.array().cast(LONGS).alias("redo"), F.lit(False).alias("dirty"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind")))
-    s = events.groupBy("session_id").agg(F.aggregate(ordered, start, _step).alias("s"))
-    return s.select("session_id", F.col("s.undo").alias("effective"), F.size("s.undo").cast("long").alias("undo_depth"), F.size("s.redo").cast("long").alias("redo_depth"), F.col("s.dirty").alias("dirty"))
+    Events count in order of seq. An edit ends all redo, undo takes the last edit back, redo applies it again; with nothing to take, nothing happens. After more than
+    ``idle_minutes`` without an event a session begins anew. Linear in events: they are sorted within partitions and folded as they pass, and no session is gathered.
+    """
+    return folded(events, idle_minutes)
 
 
 def history_retention(events: DataFrame, budget: int, corpus_budget: int, most_sessions: int = 32) -> DataFrame:
-    """Edits that are kept: of each session the newest whose sizes add up to ``budget`` at most, one at least; of the sessions the ones used last, ``most_sessions`` at most, while all their sizes fit ``corpus_budget``."""
+    """Edits that are kept: of each session the newest whose sizes add up to ``budget`` at most, one at least; of the sessions the ones used last, ``most_sessions`` at most, while all their sizes fit ``corpus_budget``.
+
+    Any event, undo and redo too, is a use, at its ``ts``; sessions used at the same time go by session_id.
+    """
     newest = Window.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     edits = events.filter("kind = 'edit'").withColumns({"_sum": F.sum("byte_size").over(newest), "_nth": F.row_number().over(newest.rowsBetween(Window.unboundedPreceding, 0))})
     kept = edits.filter((F.col("_sum") <= budget) | (F.col("_nth") == 1))
     # the sessions that can stay are the last used ones, most_sessions at most
-    used = kept.groupBy("session_id").agg(F.max("seq").alias("_last"), F.sum("byte_size").alias("_bytes")).orderBy(F.desc("_last"), "session_id").limit(most_sessions)
+    uses = events.groupBy("session_id").agg(F.max("ts").alias("_last"))
+    used = kept.groupBy("session_id").agg(F.sum("byte_size").alias("_bytes")).join(uses, "session_id").orderBy(F.desc("_last"), "session_id").limit(most_sessions)
     so_far = Window.orderBy(F.desc("_last"), "session_id").rowsBetween(Window.unboundedPreceding, 0)
     used = used.withColumns({"_total": F.sum("_bytes").over(so_far), "_place": F.row_number().over(so_far)}).filter((F.col("_total") <= corpus_budget) | (F.col("_place") == 1))
     return kept.join(F.broadcast(used.select("session_id")), "session_id", "left_semi").select("session_id", "seq", "byte_size")

@@ -28,20 +28,53 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def match_blocks_fuzzy(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: float = 12.0) -> DataFrame:
-    """Pairs of blocks near each other that are alike, or all but in one place; pairs that are each other's best, ties by block_id.
+def likeness_bound(a: Column, b: Column) -> Column:
+    """What ``similarity`` of two trimmed texts can be at most: an edit distance is the difference of the lengths at least."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.abs(F.length(a) - F.length(b)) / longer)
+
+
+def nearby_pairs(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: float = 12.0) -> DataFrame:
+    """Pairs of blocks of a page (orig_block_id, rev_block_id, sim) less than ``dx`` and ``dy`` apart that are alike (sim over 0.3), or all but in one place.
+
+    Bands of ``dy`` points keep it an equi join: each block of ``rev`` is in its own band and the two beside it. Texts whose lengths rule out likeness are not compared.
+    """
+    side = lambda d, p: d.select(*PAGE, F.col("block_id").alias(f"{p}_block_id"), blank_trim(F.col("text")).alias(f"_{p}"), F.col("x").alias(f"_{p}x"), F.col("y").alias(f"_{p}y"))
+    a = side(orig, "orig").withColumn("_band", F.floor(F.col("_origy") / dy))
+    b = side(rev, "rev").withColumn("_band", F.explode(F.array(*(F.floor(F.col("_revy") / dy) + i for i in (-1, 0, 1)))))
+    far_x, far_y = F.abs(F.col("_origx") - F.col("_revx")), F.abs(F.col("_origy") - F.col("_revy"))
+    here = (far_x < 10) & (far_y < 6)
+    met = a.join(b, [*PAGE, "_band"]).filter((far_x < dx) & (far_y < dy) & (here | (likeness_bound(F.col("_orig"), F.col("_rev")) > 0.3)))
+    pairs = met.select(*PAGE, "orig_block_id", "rev_block_id", similarity(F.col("_orig"), F.col("_rev")).alias("sim"), here.alias("_here"))
+    return pairs.filter((F.col("sim") > 0.3) | F.col("_here")).drop("_here")
 
-    Bands of ``dy`` points keep it an equi join: each block of ``rev`` is in its own band and the two beside it.
+
+def dominant_matching(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The pairs that a choice by falling ``sim`` (then orig_block_id, rev_block_id) takes, each block once, and the rounds it took.
+
+    A round takes all pairs that are each other's best of what is left, and then leaves out all pairs of their blocks; a block whose first choice is taken so gets
+    its next. Of the pairs with the highest sim, the first by ids is always such a pair, so every round takes one at least from each page that has any, and rounds end.
     """
-    a = orig.select(*PAGE, F.floor(F.col("y") / dy).alias("_band"), F.col("block_id").alias("orig_block_id"), F.col("text").alias("orig_text"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_width"), F.col("height").alias("_height"))
-    b = rev.select(*PAGE, F.explode(F.array(*(F.floor(F.col("y") / dy) + i for i in (-1, 0, 1)))).alias("_band"), F.col("block_id").alias("rev_block_id"), F.col("text").alias("rev_text"), F.col("x").alias("rev_x"), F.col("y").alias("rev_y"), "width", "height")
-    far_x, far_y = F.abs(F.col("_x") - F.col("rev_x")), F.abs(F.col("_y") - F.col("rev_y"))
-    near = a.join(b, [*PAGE, "_band"]).filter((far_x < dx) & (far_y < dy)).withColumn("sim", similarity(F.col("orig_text"), F.col("rev_text")))
-    near = near.filter((F.col("sim") > 0.3) | ((far_x < 10) & (far_y < 6)))
-    best = lambda own, other: F.row_number().over(Window.partitionBy(*PAGE, own).orderBy(F.desc("sim"), other)) == 1
-    ranked = near.withColumns({"_a": best("orig_block_id", "rev_block_id"), "_b": best("rev_block_id", "orig_block_id")})
+    best = lambda own, *order: F.row_number().over(Window.partitionBy(*PAGE, own).orderBy(F.desc("sim"), *order)) == 1
+    left, taken, rounds = checkpointed(pairs), None, 0
+    while taken is None or not left.isEmpty():
+        ranked = left.withColumns({"_a": best("orig_block_id", "rev_block_id"), "_b": best("rev_block_id", "orig_block_id")})
+        now = checkpointed(ranked.filter("_a AND _b").select(left.columns))
+        taken, rounds = now if taken is None else taken.unionByName(now), rounds + 1
+        for own in ("orig_block_id", "rev_block_id"):
+            left = left.join(now.select(*PAGE, own), [*PAGE, own], "left_anti")
+        left = checkpointed(left.select(now.columns))
+    return taken, rounds
+
+
+def match_blocks_fuzzy(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: float = 12.0) -> DataFrame:
+    """Blocks near each other that are alike, paired by ``dominant_matching``, with both texts, the revised place, the larger of both sizes and sim."""
+    pairs, _ = dominant_matching(nearby_pairs(orig, rev, dx, dy))
+    a = orig.select(*PAGE, F.col("block_id").alias("orig_block_id"), F.col("text").alias("orig_text"), F.col("width").alias("_width"), F.col("height").alias("_height"))
+    b = rev.select(*PAGE, F.col("block_id").alias("rev_block_id"), F.col("text").alias("rev_text"), F.col("x").alias("rev_x"), F.col("y").alias("rev_y"), "width", "height")
+    both = pairs.join(a, [*PAGE, "orig_block_id"]).join(b, [*PAGE, "rev_block_id"])
     larger = [F.greatest(f"_{c}", c).alias(c) for c in ("width", "height")]
-    return ranked.filter("_a AND _b").select(*PAGE, "orig_block_id", "rev_block_id", "orig_text", "rev_text", "rev_x", "rev_y", *larger, "sim")
+    return both.select(*PAGE, "orig_block_id", "rev_block_id", "orig_text", "rev_text", "rev_x", "rev_y", *larger, "sim")
 
 
 def diff(orig: DataFrame, rev: DataFrame) -> DataFrame:

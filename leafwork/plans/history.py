@@ -8,42 +8,49 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafwork.operators import history as h, pipeline
 from leafwork.operators.scratch import shared_dir
-from leafwork.streaming.replay import replay_files
+from leafwork.streaming.replay import kept_sessions, replay_files
 
 from .graphs import REACH
 from .registry import Tables, query
 
 
-#: Event by event: the stacks of edits done and undone of every session.
-REPLAY = """WITH RECURSIVE e AS (SELECT session_id, seq, kind, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM edit_event),
- s AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS undo, CAST([] AS BIGINT[]) AS redo, false AS dirty FROM e WHERE n = 1
- UNION ALL SELECT s.session_id, s.n + 1, CASE WHEN kind = 'edit' THEN list_append(undo, seq) WHEN kind = 'undo' AND len(undo) > 0 THEN undo[:-2] WHEN kind = 'redo' AND len(redo) > 0 THEN list_append(undo, redo[-1]) ELSE undo END,
- CASE WHEN kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' AND len(undo) > 0 THEN list_append(redo, undo[-1]) WHEN kind = 'redo' AND len(redo) > 0 THEN redo[:-2] ELSE redo END,
- dirty OR kind = 'edit' OR kind = 'undo' AND len(undo) > 0 OR kind = 'redo' AND len(redo) > 0 FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1)
- SELECT session_id, array_to_string(undo, ',') AS effective, CAST(len(undo) AS BIGINT) AS undo_depth, CAST(len(redo) AS BIGINT) AS redo_depth, dirty FROM s WHERE n = (SELECT max(n) FROM e WHERE e.session_id = s.session_id)"""
+#: Event by event: the stacks of edits done and undone of every session; after an idle time (in seconds) both are empty.
+REPLAY = """WITH RECURSIVE e AS (SELECT session_id, seq, kind, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > {idle} * CAST(1000000 AS BIGINT), false) AS anew, row_number() OVER w AS n FROM edit_event WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+ s AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS undo, CAST([] AS BIGINT[]) AS redo, false AS dirty, ts AS last_used FROM e WHERE n = 1
+ UNION ALL SELECT session_id, n, CASE WHEN kind = 'edit' THEN list_append(u, seq) WHEN kind = 'undo' AND len(u) > 0 THEN u[:-2] WHEN kind = 'redo' AND len(r) > 0 THEN list_append(u, r[-1]) ELSE u END,
+ CASE WHEN kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' AND len(u) > 0 THEN list_append(r, u[-1]) WHEN kind = 'redo' AND len(r) > 0 THEN r[:-2] ELSE r END,
+ (dirty AND NOT anew) OR kind = 'edit' OR kind = 'undo' AND len(u) > 0 OR kind = 'redo' AND len(r) > 0, ts
+ FROM (SELECT e.*, s.dirty, CASE WHEN anew THEN CAST([] AS BIGINT[]) ELSE undo END AS u, CASE WHEN anew THEN CAST([] AS BIGINT[]) ELSE redo END AS r FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1) x),
+ f AS (SELECT session_id, array_to_string(undo, ',') AS effective, CAST(len(undo) AS BIGINT) AS undo_depth, CAST(len(redo) AS BIGINT) AS redo_depth, dirty, epoch_us(last_used) AS last_used FROM s WHERE n = (SELECT max(n) FROM e WHERE e.session_id = s.session_id))"""
+NEVER, IDLE_HOURS = 10**12, 24
 
 
-@query(REPLAY)
+def shown(states: DataFrame) -> DataFrame:
+    return states.withColumns({"effective": F.array_join("effective", ","), "last_used": F.unix_micros("last_used")})
+
+
+@query(REPLAY.format(idle=NEVER) + " SELECT * FROM f")
 def r1_replay_edits(t: Tables) -> DataFrame:
-    return h.replay_edits(t.edit_event).withColumn("effective", F.array_join("effective", ","))
+    return shown(h.replay_edits(t.edit_event))
 
 
-@query(REPLAY)
+@query(REPLAY.format(idle=IDLE_HOURS * 3600) + " SELECT *, row_number() OVER (ORDER BY last_used DESC, session_id) <= 32 AS kept FROM f")
 def r2_replay_edits_stream(t: Tables) -> DataFrame:
+    """The stream forgets sessions that were idle for a day, and the 32 used last are kept."""
     base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    events = t.edit_event.select("session_id", "seq", "kind", "byte_size")
+    events = t.edit_event.select("session_id", "seq", "kind", "byte_size", "ts")
     lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
     # four ranges of ascending seq arrive one after the other, each in as many files as its tasks write, and the stream goes on from its checkpoint
     bounds = [] if lo is None else [lo + (hi + 1 - lo) * i // 4 for i in range(5)]
     out = h.replay_edits(events.filter("false"))
     for a, b in zip(bounds, bounds[1:], strict=False):
         events.filter(F.col("seq").between(a, b - 1)).write.mode("append").parquet(f"{base}/in")
-        out = replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out")
-    return out.withColumn("effective", F.array_join("effective", ","))
+        out = replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out", idle_minutes=IDLE_HOURS * 60)
+    return shown(kept_sessions(out))
 
 
 @query("""WITH e AS (SELECT session_id, seq, byte_size, sum(byte_size) OVER w AS s, row_number() OVER w AS n FROM edit_event WHERE kind = 'edit' WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), k AS (SELECT * FROM e WHERE s <= 200000 OR n = 1),
- u AS (SELECT session_id, max(seq) AS l, sum(byte_size) AS b FROM k GROUP BY session_id ORDER BY l DESC, session_id LIMIT 32), c AS (SELECT session_id, sum(b) OVER (ORDER BY l DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t, row_number() OVER (ORDER BY l DESC, session_id) AS p FROM u)
+ u AS (SELECT session_id, (SELECT max(ts) FROM edit_event x WHERE x.session_id = k.session_id) AS l, sum(byte_size) AS b FROM k GROUP BY session_id ORDER BY l DESC, session_id LIMIT 32), c AS (SELECT session_id, sum(b) OVER (ORDER BY l DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t, row_number() OVER (ORDER BY l DESC, session_id) AS p FROM u)
  SELECT k.session_id, k.seq, k.byte_size FROM k JOIN c ON c.session_id = k.session_id WHERE t <= 3000000 OR p = 1""")
 def w12_history_retention(t: Tables) -> DataFrame:
     return h.history_retention(t.edit_event, 200_000, 3_000_000)

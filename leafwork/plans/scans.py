@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from leafwork.functions.text import escape_markup
 from leafwork.sources import readers as r, writers as w
 
 from .registry import Tables, query
@@ -49,26 +50,81 @@ def s4_read_ocr_tsv(t: Tables) -> DataFrame:
     return r.parse_ocr_tsv(lines)
 
 
-def known_annotations(t: Tables) -> DataFrame:
-    return t.annotation.filter("subtype <> 'Widget'")
+#: The colours of annotations by status: as numbers from 0 to 1, and as they are written.
+COLORS = {"Accepted": ((0.0, 0.5, 1.0), "0,127,255"), "Rejected": ((0.2, 0.4, 0.6), "51,102,153")}
+
+
+def coloured_annotations(t: Tables) -> DataFrame:
+    color = F.coalesce(*(F.when(F.col("status") == k, F.array(*map(F.lit, v))) for k, (v, _) in COLORS.items()))
+    return t.annotation.withColumn("color", color).withColumn("x", F.col("x") + F.col("page_no") / 4)
+
+
+def foreign_xfdf(annots: DataFrame) -> DataFrame:
+    """Annotation files (doc_id, xfdf) as other programs write them, in three dialects by doc_id: single quotes and character references; the standard's
+    wrapper, upper case, a prefix and comments with elements in them; CDATA, further elements, rich contents, and attributes in another order."""
+    put = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    esc = lambda c: escape_markup(F.coalesce(F.col(c), F.lit("")), "xml5")
+    x, y, width, height = (F.col(c).cast("string") for c in "xywh")
+    page, lower, upper = (F.col("page_no") + 1).cast("string"), F.lower("subtype"), F.upper("subtype")
+    name = put("annot_", F.col("annot_id"))
+    hexed = put("#", *(F.lpad(F.hex(F.floor(F.get("color", F.lit(i)) * 255)), 2, "0") for i in range(3)))
+    reply = lambda q: F.when(F.col("in_reply_to").isNotNull(), put(f" inreplyto={q}annot_", F.col("in_reply_to"), q)).otherwise("")
+    coloured = lambda before, c, after: F.when(F.col("color").isNotNull(), put(before, c, after)).otherwise("")
+    numbers = F.replace(F.replace(esc("contents"), F.lit("e"), F.lit("&#101;")), F.lit("a"), F.lit("&#x61;"))
+    first = put(
+        "<", lower, " page = '", page, "'\n name='", name, "' title='", esc("author"), "' color='", F.coalesce(hexed, F.lit("red")), "' left='", x, "' top='", y, "' width='", width, "' height='", height, "'",
+        reply("'"), "><contents dir='ltr'>", numbers, "</contents></", lower, ">",
+    )
+    second = put(
+        '<!-- <highlight page="9" name="no"/> --><a:', upper, ' PAGE="', page, '" Name="', name, '" TITLE="', esc("author"), '"', coloured(' COLOR="', F.array_join(F.transform("color", lambda v: v.cast("string")), " , "), '"'),
+        ' LEFT="', x, '" TOP="', y, '" WIDTH="', width, '" HEIGHT="', height, '"', reply('"'), "><a:Contents>", esc("contents"), "</a:Contents></a:", upper, ">",
+    )
+    third = put(
+        "<", F.col("subtype"), reply('"'), ' height="', height, '" width="', width, '" top="', y, '" left="', x, '" flags="print" name="', name, '" title="', esc("author"), '" page="', page, '"', coloured(' color="', hexed, '"'),
+        '><popup page="7" name="p"/><contents><![CDATA[', F.coalesce("contents", F.lit("")), "]]></contents><contents-richtext><body><text>rich</text></body></contents-richtext></", F.col("subtype"), ">",
+    )
+    dialect, xml = F.col("doc_id") % 3, F.col("xml")
+    rows = annots.select("doc_id", "page_no", "annot_id", F.when(dialect == 0, first).when(dialect == 1, second).otherwise(third).alias("xml"))
+    whole = rows.groupBy("doc_id").agg(w.in_order(xml, "\n", "page_no", "annot_id").alias("xml"))
+    wrapped = F.when(dialect == 0, put("<?xml version='1.0'?>\n<xfdf><annotations>", xml, "</annotations></xfdf>")).when(dialect == 1, put('<a:xfdf xmlns:a="http://ns.adobe.com/xfdf/"><a:f href="x.pdf"/><a:annots>', xml, "</a:annots></a:xfdf>"))
+    return whole.select("doc_id", wrapped.otherwise(put("<xfdf><fields><field name='text'><value>v</value></field></fields><!-- <annots> -->", xml, "</xfdf>")).alias("xfdf"))
+
+
+def _colour_sql(part: int, missing: float) -> str:
+    hexed = " ".join(f"WHEN '{k}' THEN {v[1].split(',')[part]}e0 / 255" for k, v in COLORS.items())
+    exact = " ".join(f"WHEN '{k}' THEN {v[0][part]}e0" for k, v in COLORS.items())
+    # one dialect writes numbers from 0 to 1, the others 255ths
+    return f"CASE WHEN doc_id % 3 = 1 THEN CASE status {exact} ELSE {missing}e0 END ELSE CASE status {hexed} ELSE {missing}e0 END END"
+
+
+READ = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, annot_id) - 1 AS INTEGER) AS pos, subtype, page_no, concat('annot_', annot_id) AS name, author, CASE WHEN in_reply_to IS NOT NULL THEN concat('annot_', in_reply_to) END AS in_reply_to,
+ x + page_no / 4e0 AS "left", y AS top, w AS width, h AS height, contents{} FROM annotation WHERE subtype <> 'Widget'"""
+
+
+@query(READ.format(f", {_colour_sql(0, 1.0)} AS red, {_colour_sql(1, 0.0)} AS green, {_colour_sql(2, 0.0)} AS blue"))
+def s5_read_xfdf(t: Tables) -> DataFrame:
+    xfdf = foreign_xfdf(coloured_annotations(t).filter("subtype <> 'Widget'"))
+    return r.read_xfdf(xfdf).withColumns({n: F.col("color")[i] for i, n in enumerate(("red", "green", "blue"))}).drop("color")
 
 
-@query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, annot_id) - 1 AS INTEGER) AS pos, subtype, page_no, concat('annot_', annot_id) AS name, author, CASE WHEN in_reply_to IS NOT NULL THEN concat('annot_', in_reply_to) END AS in_reply_to, x AS "left", y AS top, w AS width, h AS height, contents, 1e0 AS red
- FROM annotation WHERE subtype <> 'Widget'""")
-def s5_read_xfdf(t: Tables) -> DataFrame:
-    xfdf = w.write_xfdf(known_annotations(t), t.form_field.filter("false"))
-    return r.read_xfdf(xfdf).withColumn("red", F.col("color")[0]).drop("color")
+@query(READ.format(""))
+def s5_round_trip(t: Tables) -> DataFrame:
+    """What our own sink wrote, read again."""
+    xfdf = w.write_xfdf(coloured_annotations(t).filter("subtype <> 'Widget'"), t.form_field.filter("false"))
+    return r.read_xfdf(xfdf).drop("color")
 
 
 ESC5 = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+WRITTEN_COLOUR = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in COLORS.items()) + " ELSE '255,0,0' END"
+LEFT = "CASE WHEN page_no = 0 THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x + page_no / 4e0 AS VARCHAR) END"
 
 
-@query(f"""WITH a AS (SELECT doc_id, string_agg(concat('<', subtype, ' page="', page_no + 1, '" name="annot_', annot_id, '" title="', {ESC5.format('author')}, '" color="255,0,0" left="', CAST(x AS BIGINT), '" top="', CAST(y AS BIGINT), '" width="', CAST(w AS BIGINT), '" height="', CAST(h AS BIGINT), '"',
+@query(f"""WITH a AS (SELECT doc_id, string_agg(concat('<', subtype, ' page="', page_no + 1, '" name="annot_', annot_id, '" title="', {ESC5.format('author')}, '" color="', {WRITTEN_COLOUR}, '" left="', {LEFT}, '" top="', CAST(y AS BIGINT), '" width="', CAST(w AS BIGINT), '" height="', CAST(h AS BIGINT), '"',
  CASE WHEN in_reply_to IS NOT NULL THEN concat(' inreplyto="annot_', in_reply_to, '"') ELSE '' END, '>', CASE WHEN contents = '' THEN '' ELSE concat('<contents>', {ESC5.format('contents')}, '</contents>') END, '</', subtype, '>'), '' ORDER BY page_no, annot_id) AS x FROM annotation GROUP BY doc_id),
  f AS (SELECT doc_id, string_agg(concat('<field name="', name, '"><value>', {ESC5.format('value')}, '</value></field>'), '' ORDER BY name) AS x FROM form_field GROUP BY doc_id)
  SELECT coalesce(a.doc_id, f.doc_id) AS doc_id, concat('<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve"><annotations>', coalesce(a.x, ''), '</annotations>', CASE WHEN f.x IS NULL THEN '' ELSE concat('<fields>', f.x, '</fields>') END, '</xfdf>') AS xfdf FROM a FULL JOIN f ON a.doc_id = f.doc_id""")
 def s6_write_xfdf(t: Tables) -> DataFrame:
-    return w.write_xfdf(t.annotation, t.form_field)
+    return w.write_xfdf(coloured_annotations(t), t.form_field)
 
 
 def _html_sql() -> str:

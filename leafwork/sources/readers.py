@@ -59,49 +59,69 @@ def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _xfdf_color(c: Column) -> Column:
-    """``#rrggbb``, or three numbers of 255ths or from 0 to 1; red if there is none of these."""
-    hexed = c.rlike("^#[0-9A-Fa-f]{6}")
+    """``#rrggbb`` (what follows is ignored), or three numbers of 255ths or from 0 to 1; red if there is none of these, and for each part that isn't a number."""
+    c = F.trim(F.coalesce(c, F.lit("")))
+    digits = F.regexp_replace(c, "^#+", "")
+    hexed = c.startswith("#") & (F.length(digits) >= 6)
     parts = F.transform(F.split(c, ","), lambda p: F.trim(p).try_cast("double"))
-    number = [F.coalesce(F.get(parts, F.lit(i)), F.lit(255.0 if i == 0 else 0.0)) for i in range(3)]
+    missing = (255.0, 0.0, 0.0)
+    number = [F.coalesce(F.get(parts, F.lit(i)), F.lit(missing[i])) for i in range(3)]
     scale = F.when(F.greatest(*number) > 1, 255.0).otherwise(1.0)
-    part = lambda i: F.when(hexed, F.conv(F.substring(c, 2 + 2 * i, 2), 16, 10).cast("double") / 255).when(F.size(parts) >= 3, number[i] / scale).otherwise(1.0 if i == 0 else 0.0)
+
+    def part(i: int) -> Column:
+        two = F.substring(digits, 1 + 2 * i, 2)
+        from_hex = F.when(two.rlike("^[0-9A-Fa-f]{2}$"), F.conv(two, 16, 10).cast("double")).otherwise(missing[i]) / 255
+        return F.when(hexed, from_hex).when(F.size(parts) >= 3, number[i] / scale).otherwise(missing[i] / 255)
+
     return F.array(*(part(i) for i in range(3)))
 
 
+#: What is read of an annotation element; names match in any case.
+XFDF_ELEMENT = "_page STRING, _name STRING, _title STRING, _inreplyto STRING, _color STRING, _left STRING, _top STRING, _width STRING, _height STRING, contents STRING"
+XFDF_KINDS = ", ".join(f"{tag} ARRAY<STRUCT<{XFDF_ELEMENT}>>" for tag in XFDF)
+
+
+def _xfdf_order(xml: Column) -> Column:
+    """The annotation elements' names in the order of their start tags. In well-formed XML, ``<`` only begins markup once comments, CDATA and instructions are gone; contents are left out, too."""
+    bare = F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "")
+    bare = F.regexp_replace(bare, r"(?is)<(?:[\w.-]+:)?(contents(?:-richtext)?)\b[^>]*(?<!/)>.*?</(?:[\w.-]+:)?\1\s*>", "")
+    return F.transform(F.regexp_extract_all(bare, F.lit(rf"(?i)<(?:[\w.-]+:)?({'|'.join(XFDF)})(?=[\s/>])"), F.lit(1)), lambda t: F.lower(t))
+
+
 def read_xfdf(docs: DataFrame) -> DataFrame:
-    """Annotations of XFDF documents (doc_id, xfdf): one row for each of the nine elements, any case; malformed XML fails the query.
+    """Annotations of XFDF documents (doc_id, xfdf): one row for each of the nine elements, in any case and with any prefix, by Spark's XML parser.
 
-    ``page`` counts from 0, one less than in the file but not below 0; sides are 100 where missing.
+    The elements stand below the root or in wrappers named ``annots`` (the standard's) or ``annotations``. Quotes of either kind,
+    character and entity references, CDATA and comments are read as any parser does; malformed XML fails the query, a null document has no rows.
+    ``page`` counts from 0, one less than in the file but not below 0, and is 0 where it isn't a number; ``left`` and ``top`` are 0 and sides 100 where missing.
+    ``pos`` is the element's place in its document; where a document has elements in several kinds of wrapper, those of one name go by wrapper.
     """
-    def attr(name: str) -> Column:
-        return F.try_element_at(F.filter(F.col("e.attrs"), lambda a: F.lower(a["k"]) == name), F.lit(1))["v"]
-
-    body = F.regexp_extract("xfdf", r"(?is)<annotations>(.*)</annotations>", 1)
-    # from_xml checks that the document is well formed
-    checked = docs.withColumn("_ok", F.from_xml(F.regexp_replace("xfdf", r"^\s*<\?xml[^>]*\?>", ""), "_space STRING", {"mode": "FAILFAST"}))
-    shape = rf"(?is)<({'|'.join(XFDF)})\b([^>]*?)(?:/>|>(.*?)</\1\s*>)"
-    parts = F.arrays_zip(*(F.regexp_extract_all(body, F.lit(shape), F.lit(i)).alias(n) for i, n in ((1, "tag"), (2, "attrs"), (3, "inner"))))
-    rows = checked.filter("_ok IS NOT NULL OR xfdf IS NULL").select("doc_id", F.posexplode(parts).alias("pos", "p"))
-    pair = r'([\w:]+)\s*=\s*"([^"]*)"'
-    attrs = F.arrays_zip(F.regexp_extract_all("p.attrs", F.lit(pair), F.lit(1)).alias("k"), F.regexp_extract_all("p.attrs", F.lit(pair), F.lit(2)).alias("v"))
-    rows = rows.select("doc_id", "pos", F.struct(F.lower("p.tag").alias("tag"), F.col("p.inner").alias("inner"), attrs.alias("attrs")).alias("e"))
-    plain = lambda c: _unescape(F.coalesce(c, F.lit("")))
-    size = lambda n, d: F.coalesce(attr(n).try_cast("double"), F.lit(d)).alias(n)
-    subtype = F.coalesce(*(F.when(F.col("e.tag") == k, v) for k, v in XFDF.items()))
-    page = F.greatest(F.lit(0), F.coalesce(attr("page").try_cast("int"), F.lit(1)) - 1).cast("long")
+    wrapper = f"ARRAY<STRUCT<{XFDF_KINDS}>>"
+    # white space in contents is text
+    options = {"mode": "FAILFAST", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+    parsed = docs.select("doc_id", "xfdf", F.from_xml("xfdf", f"annots {wrapper}, annotations {wrapper}, {XFDF_KINDS}", options).alias("x"))
+    none = F.array().cast(f"ARRAY<STRUCT<{XFDF_ELEMENT}>>")
+    inside = lambda w, tag: F.flatten(F.transform(F.coalesce(F.col(f"x.{w}"), F.array().cast(wrapper)), lambda e: F.coalesce(e[tag], none)))
+    of_tag = lambda tag: F.concat(F.coalesce(F.col(f"x.{tag}"), none), inside("annots", tag), inside("annotations", tag))
+    order = parsed.select("doc_id", "x", _xfdf_order(F.col("xfdf")).alias("order"))
+    starts = F.transform("order", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+
+    def tagged(tag: str) -> Column:
+        # the nth start tag of a name belongs to the nth element of that name
+        places = F.transform(F.filter(starts, lambda s: s["t"] == tag), lambda s: s["i"])
+        return F.transform(F.arrays_zip(of_tag(tag).alias("e"), places.alias("pos")), lambda z: F.struct(F.lit(tag).alias("tag"), z["pos"].alias("pos"), z["e"].alias("e")))
+
+    rows = order.select("doc_id", F.explode(F.concat(*map(tagged, XFDF))).alias("f")).select("doc_id", "f.*").filter("e IS NOT NULL")
+    number = lambda n, d: F.coalesce(F.trim(f"e._{n}").try_cast("double"), F.lit(d)).alias(n)
+    page = F.when(F.col("e._page").rlike("^[+]?[0-9]+$"), F.greatest(F.lit(0), F.col("e._page").try_cast("int") - 1))
+    text = lambda c: F.coalesce(f"e.{c}", F.lit(""))
     return rows.select(
-        "doc_id", "pos", subtype.alias("subtype"), page.alias("page_no"), plain(attr("name")).alias("name"), plain(attr("title")).alias("author"), attr("inreplyto").alias("in_reply_to"),
-        _xfdf_color(F.coalesce(attr("color"), F.lit(""))).alias("color"), size("left", 0.0), size("top", 0.0), size("width", 100.0), size("height", 100.0),
-        plain(F.regexp_extract("e.inner", r"(?is)<contents>(.*?)</contents>", 1)).alias("contents"),
+        "doc_id", "pos", F.coalesce(*(F.when(F.col("tag") == k, v) for k, v in XFDF.items())).alias("subtype"), F.coalesce(page, F.lit(0)).cast("long").alias("page_no"), text("_name").alias("name"),
+        text("_title").alias("author"), F.col("e._inreplyto").alias("in_reply_to"), _xfdf_color(F.col("e._color")).alias("color"), number("left", 0.0), number("top", 0.0), number("width", 100.0), number("height", 100.0),
+        text("contents").alias("contents"),
     )
 
 
-def _unescape(c: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 #: What a tag puts into the text; tags by name, all others put nothing.
 TAG_TEXT = (
     (r"(?:p|br|/p|div|/div|tr|/tr)(?:\s[^>]*)?", "\n"), (r"h[1-6][^>]*", "\n"), (r"li(?:\s[^>]*)?", "\n• "),

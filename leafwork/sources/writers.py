@@ -23,12 +23,21 @@ def doc_manifest(docs: DataFrame, pages: DataFrame, flags: DataFrame) -> DataFra
 
 
 def write_xfdf(annots: DataFrame, fields: DataFrame) -> DataFrame:
-    """One XFDF document (doc_id, xfdf) for each with annotations or fields: annotations by page and id, then fields by name."""
+    """One XFDF document (doc_id, xfdf) for each with annotations or fields: annotations by page and id, then fields by name.
+
+    ``color`` (array of three doubles from 0 to 1) is written as 255ths, cut off; red where ``annots`` has no such column or no three numbers.
+    Numbers are written as they are, without a fraction where they have none.
+    """
     esc = lambda c: escape_markup(F.coalesce(F.col(c), F.lit("")), "xml5")
-    num = lambda c: F.col(c).cast("long").cast("string")
-    reply = F.when(F.col("in_reply_to").isNotNull(), F.concat(F.lit(' inreplyto="annot_'), "in_reply_to", F.lit('"'))).otherwise("")
+    num = lambda c: F.when(F.col(c) == F.floor(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string"))
+    color = F.lit("255,0,0")
+    if "color" in annots.columns:
+        three = F.slice("color", 1, 3)
+        parts = F.transform(three, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 255))).cast("string"))
+        color = F.when((F.size(three) == 3) & ~F.exists(three, lambda v: v.isNull()), F.array_join(parts, ",")).otherwise(color)
+    reply = F.when(F.col("in_reply_to").isNotNull(), F.concat(F.lit(' inreplyto="annot_'), esc("in_reply_to"), F.lit('"'))).otherwise("")
     open_ = F.concat(
-        F.lit("<"), "subtype", F.lit(' page="'), (F.col("page_no") + 1).cast("string"), F.lit('" name="annot_'), "annot_id", F.lit('" title="'), esc("author"), F.lit('" color="255,0,0" left="'), num("x"),
+        F.lit("<"), "subtype", F.lit(' page="'), (F.col("page_no") + 1).cast("string"), F.lit('" name="annot_'), esc("annot_id"), F.lit('" title="'), esc("author"), F.lit('" color="'), color, F.lit('" left="'), num("x"),
         F.lit('" top="'), num("y"), F.lit('" width="'), num("w"), F.lit('" height="'), num("h"), F.lit('"'), reply, F.lit(">"),
     )
     body = F.when(F.coalesce("contents", F.lit("")) == "", "").otherwise(F.concat(F.lit("<contents>"), esc("contents"), F.lit("</contents>")))

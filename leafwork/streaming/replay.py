@@ -1,68 +1,165 @@
-"""Edit replay as a stream: the state of each session is kept between batches and forgotten after a time without events."""
+"""Edit replay: one session's history event by event, over sorted partitions in batch, and as a stream that keeps each session's state until it has been idle."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "session_id long, effective array<bigint>, undo_depth long, redo_depth long, dirty boolean"
-STATE = "undo array<bigint>, redo array<bigint>, dirty boolean"
-
-
-def step(undo: list[int], redo: list[int], kind: str, seq: int) -> bool:
-    """One event on the two stacks; whether anything changed."""
-    if kind == "edit":
-        undo.append(seq)
-        redo.clear()
-    elif kind == "undo" and undo:
-        redo.append(undo.pop())
-    elif kind == "redo" and redo:
-        undo.append(redo.pop())
-    else:
-        return False
-    return True
-
-
-def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    undo, redo, dirty = state.get if state.exists else ([], [], False)
-    undo, redo = list(undo), list(redo)
-    events = pd.concat(list(batches)).sort_values("seq")
-    for kind, seq in zip(events["kind"], events["seq"].astype(int), strict=True):
-        dirty = step(undo, redo, kind, seq) or dirty
-    state.update((undo, redo, bool(dirty)))
-    state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame({"session_id": [key[0]], "effective": [undo], "undo_depth": [len(undo)], "redo_depth": [len(redo)], "dirty": [dirty]})
-
-
-def replay_edits_stream(events: DataFrame, idle_minutes: int = 60) -> DataFrame:
-    """R2: the stream of each session's state after every batch with events of it (update mode). Events must arrive in order of seq from batch to batch; within one they are sorted."""
-    run = lambda key, batches, state: replay(key, batches, state, idle_minutes * 60_000)
-    return events.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def replay_files(spark, path: str, schema, checkpoint: str, sink: str, files_per_batch: int | None = None, idle_minutes: int = 60) -> DataFrame:
-    """The event files under ``path`` that the checkpoint hasn't seen run through the stream, all at once or ``files_per_batch`` at a time in order of their times; each session's last state."""
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+OUT = "session_id long, effective array<bigint>, undo_depth long, redo_depth long, dirty boolean, last_used timestamp"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MICRO = timedelta(microseconds=1)
+
+
+class History:
+    """Edits by depth: those up to ``undo`` are in effect, those from there to ``total`` can be done again. Every event costs the same, whatever the depth.
+
+    An edit is put at the next depth and ends all redo; undo and redo move the place, and do nothing at the ends. ``put`` has the depths written since it was last emptied.
+    """
+
+    def __init__(self, undo: int = 0, total: int = 0, dirty: bool = False, last: int | None = None):
+        self.undo, self.total, self.dirty, self.last = undo, total, dirty, last
+        self.put: dict[int, int] = {}
+
+    def step(self, kind: str, seq: int, at: int | None, idle: int | None) -> None:
+        """One event, at microseconds ``at``; one that comes more than ``idle`` after the last finds a new history."""
+        if idle is not None and at is not None and self.last is not None and at - self.last > idle:
+            self.__init__()
+        if at is not None:
+            self.last = at if self.last is None else max(at, self.last)
+        if kind == "edit":
+            self.undo = self.total = self.undo + 1
+            self.put[self.undo] = seq
+        elif kind == "undo" and self.undo > 0:
+            self.undo -= 1
+        elif kind == "redo" and self.undo < self.total:
+            self.undo += 1
+        else:
+            return
+        self.dirty = True
+
+
+def micros(ts) -> int | None:
+    return None if ts is None or ts is pd.NaT else int(pd.Timestamp(ts).value // 1000)
+
+
+def folded(events: DataFrame, idle_minutes: float | None = None) -> DataFrame:
+    """OUT for each session of events (session_id, seq, kind, ts), in order of seq: rows come to a task sorted by session, which holds one history at a time and no session's events."""
+    idle = None if idle_minutes is None else int(idle_minutes * 60_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, now, done = None, None, []
+
+        def row():
+            return now, [h.put[d] for d in range(1, h.undo + 1)], h.undo, h.total - h.undo, h.dirty, h.last
+
+        def out() -> pa.RecordBatch:
+            ids, effective, undo, redo, dirty, last = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(effective, pa.list_(pa.int64())), pa.array(undo, pa.int64()), pa.array(redo, pa.int64()), pa.array(dirty, pa.bool_()), pa.array(last, pa.timestamp("us", tz="UTC"))], names)
+
+        names = ["session_id", "effective", "undo_depth", "redo_depth", "dirty", "last_used"]
+        for b in batches:
+            times = b.column("at").to_pylist()
+            for session, seq, kind, at in zip(b.column("session_id").to_pylist(), b.column("seq").to_pylist(), b.column("kind").to_pylist(), times, strict=True):
+                if h is None or session != now:
+                    if h is not None:
+                        done.append(row())
+                    h, now = History(), session
+                    if len(done) >= 1000:
+                        yield out()
+                        done = []
+                h.step(kind, seq, at, idle)
+        if h is not None:
+            done.append(row())
+            yield out()
+
+    rows = events.select(F.col("session_id").cast("long"), F.col("seq").cast("long"), "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq", "kind").mapInArrow(run, OUT)
+
+
+class SessionReplay(StatefulProcessor):
+    """The history of a session in the state store: its edits by depth as a map, its places and times as a value. A timer at the end of the idle time clears both."""
+
+    def __init__(self, idle_minutes: float):
+        self.idle = int(idle_minutes * 60_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.edits = handle.getMapState("edits", "depth long", "seq long")
+        self.place = handle.getValueState("place", "undo long, total long, dirty boolean, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        h = History(*self.place.get()) if self.place.exists() else History()
+        events = pd.concat(list(rows)).sort_values(["seq", "kind"])
+        fresh = h.last is None
+        for kind, seq, ts in zip(events["kind"], events["seq"].astype(int), events["ts"], strict=True):
+            before = h.last
+            h.step(kind, int(seq), micros(ts), self.idle)
+            fresh = fresh or before is not None and h.last - before > self.idle
+        if fresh:
+            self.edits.clear()
+        for depth, seq in h.put.items():
+            if depth <= h.total:
+                self.edits.updateValue((depth,), (seq,))
+        known = h.put
+        if any(d not in known for d in range(1, h.undo + 1)):
+            known = {int(d[0]): int(s[0]) for d, s in self.edits.iterator()} | known
+        self.place.update((h.undo, h.total, bool(h.dirty), h.last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((h.last + self.idle) // 1000 + 1)
+        yield pd.DataFrame({"session_id": [key[0]], "effective": [[known[d] for d in range(1, h.undo + 1)]], "undo_depth": [h.undo], "redo_depth": [h.total - h.undo], "dirty": [bool(h.dirty)], "last_used": [pd.Timestamp(h.last, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.edits.clear()
+        self.place.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def replay_edits_stream(events: DataFrame, idle_minutes: float = 60, late_minutes: float = 10) -> DataFrame:
+    """R2: the stream of each session's state after every batch with events of it (update mode), over events (session_id, seq, kind, ts).
+
+    Events must arrive in order of seq from batch to batch; within one they are sorted. A session idle for ``idle_minutes`` by the events' own time is forgotten, by its next
+    event or, where none comes, by a timer once the watermark is past that time; so the result doesn't depend on how events fall into batches.
+    Events older than the watermark, ``late_minutes`` behind the newest, are dropped.
+    """
+    timed = events.select(F.col("session_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(late_minutes * 60)} seconds")
+    return timed.groupBy("session_id").transformWithStateInPandas(SessionReplay(idle_minutes), OUT, "update", "eventTime")
+
+
+def replay_files(spark: SparkSession, path: str, schema, checkpoint: str, sink: str, files_per_batch: int | None = None, idle_minutes: float = 60, late_minutes: float = 10) -> DataFrame:
+    """The event files under ``path`` that the checkpoint hasn't seen run through the stream, all at once or ``files_per_batch`` at a time in order of their times; each session's last state (OUT).
+
+    State is kept by the RocksDB store. A run that broke off goes on from the checkpoint, and a batch that is written again replaces its own folder.
+    """
     reader = spark.readStream.schema(schema)
     events = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    # timeouts by processing time ask for batches without data for ever; what is available now needs none
-    flag = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(flag)
-    spark.conf.set(flag, "false")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, PROVIDER)
     try:
-        query = replay_edits_stream(events, idle_minutes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+        query = replay_edits_stream(events, idle_minutes, late_minutes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(flag, before)
-    states = spark.read.parquet(sink)
+        spark.conf.set(store, before)
+    states = spark.read.schema(f"{OUT}, batch int").parquet(sink)
     last = states.groupBy("session_id").agg(F.max("batch").alias("batch"))
     return states.join(last, ["session_id", "batch"]).drop("batch")
+
+
+def kept_sessions(states: DataFrame, most: int = 32) -> DataFrame:
+    """``states`` with ``kept``: whether the session is one of the ``most`` used last, those used longest ago being out first."""
+    newest = states.select("session_id", "last_used").orderBy(F.desc("last_used"), "session_id").limit(most)
+    marked = states.join(F.broadcast(newest.select("session_id", F.lit(True).alias("kept"))), "session_id", "left")
+    return marked.withColumn("kept", F.coalesce("kept", F.lit(False)))

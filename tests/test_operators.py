@@ -1,6 +1,7 @@
 """Behaviour of the document operators on small tables made by hand."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
@@ -257,17 +258,23 @@ def test_html_becomes_text(spark):
     assert one(spark, readers.html_to_text(F.lit("<p> </p>"))) == "HTML Document"
 
 
-EVENTS = "session_id long, seq long, kind string, byte_size long"
+EVENTS = "session_id long, seq long, kind string, byte_size long, ts timestamp"
 LOG = [(1, 1, "edit"), (1, 2, "edit"), (1, 3, "undo"), (1, 4, "redo"), (1, 5, "undo"), (1, 6, "edit"), (1, 7, "redo"), (2, 1, "undo"), (2, 2, "redo"), (3, 1, "edit"), (3, 2, "undo"), (3, 3, "undo")]
 
 
+def logged(spark, rows, minutes=1):
+    """Events (session, seq, kind and perhaps size), the nth at ``minutes`` times its seq."""
+    return spark.createDataFrame([(*e, *([1] if len(e) < 4 else []), datetime(2024, 1, 1) + timedelta(minutes=minutes * e[1])) for e in rows], EVENTS)
+
+
+
 def test_undo_and_redo(spark):
-    got = {r.session_id: (r.effective, r.undo_depth, r.redo_depth, r.dirty) for r in history.replay_edits(spark.createDataFrame([(*e, 1) for e in LOG], EVENTS)).collect()}
+    got = {r.session_id: (r.effective, r.undo_depth, r.redo_depth, r.dirty) for r in history.replay_edits(logged(spark, LOG)).collect()}
     assert got == {1: ([1, 6], 2, 0, True), 2: ([], 0, 0, False), 3: ([], 0, 1, True)}
 
 
 def test_the_stream_ends_where_the_batch_does(spark, tmp_path):
-    events = spark.createDataFrame([(*e, 1) for e in LOG], EVENTS)
+    events = logged(spark, LOG)
     for lo, hi in ((1, 3), (4, 9)):
         events.filter(F.col("seq").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = replay_files(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
@@ -276,7 +283,7 @@ def test_the_stream_ends_where_the_batch_does(spark, tmp_path):
 
 
 def test_history_keeps_the_newest_and_one_at_least(spark):
-    e = spark.createDataFrame([(1, 1, "edit", 50), (1, 2, "edit", 60), (1, 3, "edit", 30), (2, 4, "edit", 500)], EVENTS)
+    e = logged(spark, [(1, 1, "edit", 50), (1, 2, "edit", 60), (1, 3, "edit", 30), (2, 4, "edit", 500)])
     keep = lambda *a: {(r.session_id, r.seq) for r in history.history_retention(e, *a).collect()}
     assert keep(100, 10_000) == {(1, 2), (1, 3), (2, 4)}
     assert keep(100, 510) == {(2, 4)} and keep(100, 10_000, 1) == {(2, 4)}
