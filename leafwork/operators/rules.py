@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .objects import archival_flags, print_flags
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -64,10 +66,10 @@ def select_signature(report: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("status").isNull(), F.raise_error(F.lit("no signature of that index"))).otherwise(F.col("status")))
 
 
-def rule_rows(docs: DataFrame, rules: Iterable[tuple[str, Column]]) -> DataFrame:
+def rule_rows(flags: DataFrame, rules: Iterable[tuple[str, Column]]) -> DataFrame:
     """One row (doc_id, rule_id, passed) for each document and rule, of a table with one row a document."""
-    made = F.array(*(F.struct(F.lit(name).alias("rule_id"), F.coalesce(ok, F.lit(False)).alias("passed")) for name, ok in rules))
-    return docs.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
+    wide = flags.select("doc_id", *(F.coalesce(ok, F.lit(False)).alias(name) for name, ok in rules))
+    return wide.unpivot(["doc_id"], wide.columns[1:], "rule_id", "passed")
 
 
 def rule_report(rows: DataFrame) -> DataFrame:
@@ -76,30 +78,27 @@ def rule_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(names(True).alias("passed"), names(False).alias("violations")).withColumn("compliant", F.size("violations") == 0)
 
 
-def archival_rules(docs: DataFrame, fonts: DataFrame, level: str = "B") -> DataFrame:
-    """The 15 rules of archival conformance, level A or B (MarkInfo counts for A alone), a row each; fonts: doc_id, embedded."""
-    f = fonts.groupBy("doc_id").agg(F.bool_and("embedded").alias("_fonts"))
-    d = docs.join(f, "doc_id", "left")
-    forbidden = ("has_javascript", "has_xfa", "has_postscript", "has_opi", "has_lzw", "has_transparency", "has_embedded_files", "has_external_refs")
+#: Constructs that archival conformance forbids.
+FORBIDDEN = ("javascript", "xfa", "postscript", "opi", "lzw", "transparency", "embedded_files", "external_refs")
+
+
+def archival_rules(objects: DataFrame, level: str = "B") -> DataFrame:
+    """The 15 rules of archival conformance, level A or B (MarkInfo counts for A alone), a row each for every document, from its object rows (see ``objects``)."""
     rules = [
-        ("version", F.col("version").cast("double") >= 1.4), ("fonts_embedded", F.coalesce("_fonts", F.lit(True))), ("output_intent", F.col("has_intent") & F.col("has_icc")), ("xmp_part", F.col("has_xmp")),
-        ("mark_info", F.col("marked") if level == "A" else F.lit(True)), ("no_encryption", ~F.col("encrypted")), ("file_id", F.col("has_id")), *((f"no_{c.removeprefix('has_')}", ~F.col(c)) for c in forbidden),
+        ("version", F.col("version_ok")), ("fonts_embedded", ~F.col("bare_font")), ("output_intent", F.col("intent") & F.col("icc")), ("xmp_part", F.col("xmp_part")),
+        ("mark_info", F.col("marked") if level == "A" else F.lit(True)), ("no_encryption", ~F.col("encrypted")), ("file_id", F.col("file_id")), *((f"no_{c}", ~F.col(c)) for c in FORBIDDEN),
     ]
-    return rule_rows(d, rules)
+    return rule_rows(archival_flags(objects), rules)
 
 
-def print_rules(docs: DataFrame, pages: DataFrame, fonts: DataFrame, standard: str = "X-1a") -> DataFrame:
-    """Print exchange rules of X-1a or X-4, a row each: intent, trapped, boxes, fonts; X-1a forbids RGB and transparency, too. ``pages``: media and trim or bleed boxes, inherited already."""
-    p = pages.groupBy("doc_id").agg(F.bool_and(F.col("has_media") & (F.col("has_trim") | F.col("has_bleed"))).alias("_boxes"))
-    f = fonts.groupBy("doc_id").agg(F.bool_and("embedded").alias("_fonts"))
-    d = docs.join(p, "doc_id", "left").join(f, "doc_id", "left")
-    strict = standard == "X-1a"
-    yes = F.lit(True)
+def print_rules(objects: DataFrame, ops: DataFrame, standard: str = "X-1a") -> DataFrame:
+    """Print exchange rules of X-1a or X-4, a row each for every document: intent, trapped, boxes (inherited), fonts; X-1a forbids RGB and transparency, too. From object rows and drawing operations (doc_id, op)."""
+    strict, yes = standard == "X-1a", F.lit(True)
     rules = [
-        ("output_intent", F.col("has_intent")), ("trapped", F.col("has_trapped")), ("boxes", F.coalesce("_boxes", F.lit(False))), ("fonts_embedded", F.coalesce("_fonts", yes)),
-        ("no_rgb", ~F.col("has_rgb") if strict else yes), ("no_transparency", ~F.col("has_transparency") if strict else yes),
+        ("output_intent", F.col("intent")), ("trapped", F.col("trapped")), ("boxes", ~F.col("boxless")), ("fonts_embedded", ~F.col("bare_font")),
+        ("no_rgb", ~F.col("rgb") if strict else yes), ("no_transparency", ~F.col("transparency") if strict else yes),
     ]
-    return rule_rows(d, rules)
+    return rule_rows(print_flags(objects, ops), rules)
 
 
 def accessibility_check(docs: DataFrame, structure: DataFrame, widgets: DataFrame) -> DataFrame:

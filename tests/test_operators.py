@@ -199,13 +199,6 @@ def test_trees_with_cycles_below_the_root_end(spark):
     assert graph.outline_tree_json(t).first().json.count('"A"') == 1
 
 
-def test_a_tree_beyond_the_limit_is_an_error_and_not_cut(spark):
-    chain = tree(spark, *((f"n{i}", f"n{i - 1}" if i else None, 0, "Page", None) for i in range(9)))
-    assert graph.levels(chain, most=9).count() == 9
-    with pytest.raises(RuntimeError):
-        graph.levels(chain, most=4)
-
-
 def test_closure_meets_cycles_once(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "e"), (2, "a", "z")], "doc_id long, src string, dst string")
     start = spark.createDataFrame([(1, "a")], "doc_id long, node string")
