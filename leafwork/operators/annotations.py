@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leafwork.functions.formula import arithmetic
 from leafwork.functions.geometry import quad
 
 #: What a new annotation of each subtype has where nothing is given: colour, opacity, angle, width, height.
@@ -24,9 +23,13 @@ def thread_replies(annots: DataFrame) -> DataFrame:
 
 
 def resolve_reply_names(batch: DataFrame, pages: DataFrame) -> DataFrame:
-    """Imported annotations (doc_id, id, name, in_reply_to, page_no) with the reply's name as an id of the same batch, null if unknown; those on pages that the document has not are dropped."""
-    ids = batch.select("doc_id", F.col("name").alias("in_reply_to"), F.col("id").alias("reply_to_id"))
-    return batch.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi").join(ids, ["doc_id", "in_reply_to"], "left")
+    """Imported annotations (doc_id, id, name, in_reply_to, page_no) with the reply's name as an id of the same batch, null if unknown; those on pages that the document has not are dropped, and no reply finds them.
+
+    Of several with one name the last, by id, is the one that replies find.
+    """
+    kept = batch.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    ids = kept.groupBy("doc_id", F.col("name").alias("in_reply_to")).agg(F.max("id").alias("reply_to_id"))
+    return kept.join(ids, ["doc_id", "in_reply_to"], "left")
 
 
 def _default(i: int, kind: str) -> Column:
@@ -96,11 +99,16 @@ def forms_wide(fields: DataFrame, names: list[str]) -> DataFrame:
 
 
 def calculated_field(fields: DataFrame, name: str, formula: str, inputs: list[str]) -> DataFrame:
-    """A field more in each document, computed from its ``inputs`` by a formula of their names, numbers, ``+ - * / ( )`` and nothing else; 0 where it has no value."""
-    words = set(re.findall(r"[A-Za-z_]\w*", formula))
-    if not re.fullmatch(r"[\w\s+\-*/().]+", formula) or words - set(inputs):
-        raise ValueError(f"not an arithmetic formula of {inputs}: {formula}")
-    wide = forms_wide(fields, inputs).select("doc_id", *(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in inputs))
-    safe = re.sub(r"/", " / ", formula)
-    value = F.expr(re.sub(r"/\s*([A-Za-z_]\w*)", r"/ nullif(\1, 0)", safe))
-    return fields.unionByName(wide.select("doc_id", F.lit(name).alias("name"), F.lit("Tx").alias("type"), F.coalesce(value.cast("double"), F.lit(0.0)).cast("string").alias("value")))
+    """A field more in each document, computed from its ``inputs`` by a formula of their names, numbers, ``+ - * / ( )`` and nothing else.
+
+    An input that is missing or no number counts as 0. The field is 0 where the formula has no value, as where anything is divided by 0.
+    """
+
+    def of(word: str) -> Column:
+        if word not in inputs:
+            raise ValueError(f"{word} is none of {inputs}")
+        return F.coalesce(F.col(f"`{word}`").try_cast("double"), F.lit(0.0))
+
+    value = arithmetic(formula, of)
+    result = F.coalesce(value.cast("double"), F.lit(0.0)).cast("string").alias("value")
+    return fields.unionByName(forms_wide(fields, inputs).select("doc_id", F.lit(name).alias("name"), F.lit("Tx").alias("type"), result))

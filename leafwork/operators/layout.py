@@ -21,36 +21,64 @@ def page_text(ops: DataFrame) -> DataFrame:
     return shown.groupBy(*PAGE).agg(in_order(F.col("text"), "", "seq").alias("text"))
 
 
-def interpret_text_ops(ops: DataFrame) -> DataFrame:
-    """Text blocks, from BT to ET with some text: (doc_id, page_no, block_id, text, x, y, height, font_size), of operations (seq, op, a, b, text).
+#: Operations that show text, and those that set or move the position.
+SHOWS, PLACES = ("Tj", "TJ", "'", '"'), ("BT", "Tm", "Td", "TD", "T*", "'")
+
+
+def text_runs(ops: DataFrame) -> DataFrame:
+    """The text that a page shows, a row for each operation between BT and ET that shows some, with the state it is shown in.
 
-    BT and Tm set the position, Td and TD move it, T* and ' move down by the leading, which TL and TD set; the font size
-    stays until the next Tf. A block stands where its first run does; ' moves first and then shows.
+    ``ops``: doc_id, page_no, seq, op, a, b, text, and, where there are such columns, c, name and kern. Gives seq, block (the number of its BT), grp (of the operation that
+    placed it last), text, x, y, font_name, font_size, color, char_space, word_space, scale, kern. BT and Tm set the position, Td and TD move it, T* and '
+    move down by the leading, which TL and TD set; ' moves first and then shows. Font and size (Tf: name, a), colour (rg: a, b, c), Tc, Tw, Tz and TL stay until they are set again.
     """
+    null = F.lit(None)
+    for c, kind in (("c", "double"), ("name", "string"), ("kern", "double")):
+        if c not in ops.columns:
+            ops = ops.withColumn(c, null.cast(kind))
     op, a, b = F.col("op"), F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    leading = F.coalesce(F.last(F.when(op == "TL", a).when(op == "TD", -b), ignorenulls=True).over(so_far()), F.lit(0.0))
+    stays = lambda when, value, start: F.coalesce(F.last(F.when(when, value), ignorenulls=True).over(so_far()), F.lit(start))
+    part = lambda v: F.lpad(F.lower(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 255))))), 2, "0")
+    color = F.concat(F.lit("#"), part(a), part(b), part(F.coalesce("c", F.lit(0.0))))
     rows = ops.withColumns({
-        "_reset": F.sum(op.isin("BT", "Tm").cast("int")).over(so_far()), "_bt": F.sum((op == "BT").cast("int")).over(so_far()), "_lead": leading,
-        "_size": F.last(F.when(op == "Tf", a), ignorenulls=True).over(so_far()),
+        "_reset": F.sum(op.isin("BT", "Tm").cast("int")).over(so_far()), "block": F.sum((op == "BT").cast("int")).over(so_far()), "grp": F.sum(op.isin(*PLACES).cast("int")).over(so_far()),
+        "_inside": stays(op.isin("BT", "ET"), op == "BT", False), "_lead": stays(op.isin("TL", "TD"), F.when(op == "TL", a).otherwise(-b), 0.0), "font_name": stays((op == "Tf") & F.col("name").isNotNull(), F.col("name"), ""),
+        "font_size": stays((op == "Tf") & F.col("a").isNotNull(), a, 12.0), "color": stays(op == "rg", color, "#000000"), "char_space": stays(op == "Tc", a, 0.0), "word_space": stays(op == "Tw", a, 0.0), "scale": stays(op == "Tz", a, 100.0),
     })
     move = Window.partitionBy(*PAGE, "_reset").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     dx = F.when(op.isin("Tm", "Td", "TD"), a).otherwise(0.0)
     dy = F.when(op.isin("Tm", "Td", "TD"), b).when(op.isin("T*", "'"), -F.col("_lead")).otherwise(0.0)
-    rows = rows.withColumns({"_x": F.sum(dx).over(move), "_y": F.sum(dy).over(move)})
-    shown = rows.filter(op.isin("Tj", "TJ", "'", '"') & (F.coalesce("text", F.lit("")) != ""))
-    first = lambda c: F.min_by(c, "seq")
-    blocks = shown.groupBy(*PAGE, "_bt").agg(in_order(F.col("text"), "", "seq").alias("text"), first("_x").alias("x"), first("_y").alias("y"), first("_size").alias("font_size"))
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("_bt")) - 1
-    return blocks.select(*PAGE, number.cast("long").alias("block_id"), "text", "x", "y", (F.col("font_size") * 1.2).alias("height"), "font_size")
+    rows = rows.withColumns({"x": F.sum(dx).over(move), "y": F.sum(dy).over(move)})
+    shown = (op.isin(*SHOWS) & F.col("_inside") & (F.coalesce("text", F.lit("")) != "")) | ((op == "ET") & (F.col("block") > 0))
+    state = ["font_name", "font_size", "color", "char_space", "word_space", "scale"]
+    return rows.filter(shown).select(*PAGE, "seq", "op", "block", "grp", "text", "x", "y", *state, F.coalesce("kern", F.lit(0.0)).alias("kern"))
+
+
+def interpret_text_ops(ops: DataFrame) -> DataFrame:
+    """Text blocks, from BT to the next ET with some text between: (doc_id, page_no, block_id, text, x, y, height, font_name, font_size, color), of operations as ``text_runs`` takes them.
 
+    A block stands where its first run does and has the font, size and colour that hold at its ET; what isn't closed is no block.
+    """
+    rows = text_runs(ops)
+    shown, end = F.col("op") != "ET", F.col("op") == "ET"
+    first = lambda c: F.min_by(F.when(shown, F.col(c)), F.when(shown, F.col("seq"))).alias(c)
+    at_end = lambda c: F.min_by(F.when(end, F.col(c)), F.when(end, F.col("seq"))).alias(c)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("seq", "text")))), lambda r: r["text"]), "").alias("text")
+    blocks = rows.groupBy(*PAGE, "block").agg(text, first("x"), first("y"), *map(at_end, ("font_name", "font_size", "color")), F.bool_or(end).alias("_closed")).filter("_closed AND text <> ''")
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block")) - 1
+    return blocks.select(*PAGE, number.cast("long").alias("block_id"), "text", "x", "y", (F.col("font_size") * 1.2).alias("height"), "font_name", "font_size", "color")
+
+
+def run_advance(runs: DataFrame) -> DataFrame:
+    """``text_runs`` with ``advance``, how far each goes, and ``x``, where it starts: where the run before it in its group ended, the first where the group is placed.
 
-def run_advance(runs: DataFrame, char_space: float = 0.0, word_space: float = 0.0, scale: float = 100.0) -> DataFrame:
-    """Where each run (doc_id, page_no, grp, seq, text, x0, size, kern) starts: where the one before it in its group ended, the first at x0. ``kern``: thousandths of the size taken off."""
+    A run's width is its text's and a char_space for each character and a word_space for each space, less ``kern`` thousandths of the size, at the scale in percent.
+    """
     spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    adv = (text_width(F.col("text"), F.col("size")) + F.length("text") * char_space + spaces * word_space - F.col("kern") / 1000 * F.col("size")) * scale / 100
+    width = text_width(F.col("text"), F.col("font_size")) + F.length("text") * F.col("char_space") + spaces * F.col("word_space") - F.col("kern") / 1000 * F.col("font_size")
     before = Window.partitionBy(*PAGE, "grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = runs.withColumn("advance", adv)
-    return rows.withColumn("x", F.col("x0") + F.coalesce(F.sum("advance").over(before), F.lit(0.0)))
+    rows = runs.filter("op <> 'ET'").withColumn("advance", width * F.col("scale") / 100)
+    return rows.withColumn("x", F.col("x") + F.coalesce(F.sum("advance").over(before), F.lit(0.0)))
 
 
 def _starts(values: Column, apart) -> Column:
@@ -155,22 +183,27 @@ def wrap_text(paras: DataFrame, width: float, size: float) -> DataFrame:
     """Paragraphs (doc_id, pos, line) as lines of up to ``width`` points: words of letters and digits stay whole, other characters stand alone.
 
     A character that may not begin a line brings the one before it down; one that may not end a line goes down itself.
-    Spaces at a break go; an empty paragraph is an empty line; a word wider than the line has a line of its own.
+    Spaces at a break go; an empty paragraph is an empty line; a word wider than the line has a line of its own. The fold over the tokens keeps where the current line
+    begins and how wide it is, and notes a line's ends when it is full; texts are cut once, in the end.
     """
-    tokens = F.transform(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)), lambda t: F.struct(t.alias("t"), text_width(t, size).alias("w")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<struct<t:string,w:double>>").alias("cur"), F.lit(0.0).alias("w"))
-    text = lambda ts: F.array_join(F.transform(ts, lambda x: x["t"]), "")
-    total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, x: a + x["w"])
-    state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"), total(cur).alias("w"))
+    tokens = F.transform(F.regexp_extract_all(F.coalesce("line", F.lit("")), F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)), lambda t, i: F.struct(t.alias("t"), text_width(t, size).alias("w"), i.alias("i")))
+    start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0.0).alias("w"), F.lit("").alias("last"), F.lit(0.0).alias("last_w"))
+
+    def state(done: Column, a: Column, n: Column, w: Column, tok: Column) -> Column:
+        return F.struct(done.alias("done"), a.cast("int").alias("a"), n.cast("int").alias("n"), w.alias("w"), tok["t"].alias("last"), tok["w"].alias("last_w"))
 
     def step(s: Column, tok: Column) -> Column:
-        cur, n = s["cur"], F.size(s["cur"])
-        last = F.try_element_at(cur, F.lit(-1))
-        drags = (n > 1) & (F.lit(NO_START).contains(tok["t"]) | F.lit(NO_END).contains(last["t"]))
+        n, i = s["n"], tok["i"]
+        full = lambda k: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), k.cast("int").alias("n"))))
         fits = (s["w"] + tok["w"] <= width) | (n == 0)
-        head, tail = F.slice(cur, 1, F.greatest(n - 1, F.lit(0))), F.array(last, tok)
-        fresh = F.when(tok["t"] == " ", F.array().cast("array<struct<t:string,w:double>>")).otherwise(F.array(tok))
-        return F.when(fits, F.struct(s["done"].alias("done"), F.concat(cur, F.array(tok)).alias("cur"), (s["w"] + tok["w"]).alias("w"))).when(drags, state(F.concat(s["done"], F.array(F.rtrim(text(head)))), tail)).otherwise(state(F.concat(s["done"], F.array(F.rtrim(text(cur)))), fresh))
-
-    lines = F.aggregate(tokens, start, step, lambda s: F.when((F.size(s["cur"]) > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(text(s["cur"])))).otherwise(s["done"]))
-    return paras.select("doc_id", "pos", F.posexplode(lines).alias("line_no", "text"))
+        drags = (n > 1) & (F.lit(NO_START).contains(tok["t"]) | F.lit(NO_END).contains(s["last"]))
+        return (
+            F.when(fits, state(s["done"], F.when(n == 0, i).otherwise(s["a"]), n + 1, s["w"] + tok["w"], tok)).when(drags, state(full(n - 1), i - 1, F.lit(2), s["last_w"] + tok["w"], tok))
+            .when(tok["t"] == " ", state(full(n), i + 1, F.lit(0), F.lit(0.0), tok)).otherwise(state(full(n), i, F.lit(1), tok["w"], tok))
+        )
+
+    ends = F.aggregate("_tokens", start, step, lambda s: F.when((s["n"] > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["n"].alias("n"))))).otherwise(s["done"]))
+    rows = paras.select("doc_id", "pos", tokens.alias("_tokens")).withColumn("_ends", ends)
+    cut = lambda e: F.array_join(F.transform(F.slice("_tokens", e["a"] + 1, e["n"]), lambda x: x["t"]), "")
+    texts = F.transform("_ends", lambda e, i: F.when(i == F.size("_ends") - 1, F.when(e["a"] + e["n"] == F.size("_tokens"), cut(e)).otherwise(F.rtrim(cut(e)))).otherwise(F.rtrim(cut(e))))
+    return rows.select("doc_id", "pos", F.posexplode(texts).alias("line_no", "text"))

@@ -84,10 +84,12 @@ def _one_of(spec: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def move_page(pages: DataFrame, moves: DataFrame) -> DataFrame:
-    """The page ``src`` of each document of ``moves`` (doc_id, src, dst) goes to ``dst`` of the pages without it."""
+    """The page ``src`` of each document of ``moves`` (doc_id, src, dst) goes to ``dst`` of the pages without it. A number that is no page of the document fails the query."""
     p, a, b = F.col("page_no"), F.col("src"), F.col("dst")
-    new = F.when(a.isNull(), p).when(p == a, b).when((a < b) & p.between(a + 1, b), p - 1).when((b < a) & p.between(b, a - 1), p + 1).otherwise(p)
-    return _one_of(moves, pages).withColumn("page_no", new).select(*pages.columns)
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    out = ~(a.between(0, F.col("_n") - 1) & b.between(0, F.col("_n") - 1))
+    new = F.when(a.isNull() & b.isNull(), p).when(F.coalesce(out, F.lit(True)), F.raise_error(F.concat(F.lit("page out of range in "), F.col("doc_id").cast("string"))).cast("long")).when(p == a, b).when((a < b) & p.between(a + 1, b), p - 1).when((b < a) & p.between(b, a - 1), p + 1).otherwise(p)
+    return _one_of(moves, pages).withColumn("_n", n).withColumn("page_no", new).select(*pages.columns)
 
 
 def duplicate_page(pages: DataFrame, which: DataFrame) -> DataFrame:

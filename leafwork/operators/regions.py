@@ -82,8 +82,13 @@ def nearest_anchor(x: Column, anchors: Column) -> Column:
 
 
 def fill_forms(fields: DataFrame, values: DataFrame) -> DataFrame:
-    """Fields with the values given by exact name (doc_id, name, new_value); names that no field has change nothing."""
-    return fields.join(values.select("doc_id", "name", "new_value"), ["doc_id", "name"], "left").withColumn("value", F.coalesce("new_value", "value")).select(*fields.columns)
+    """Fields with the values given by exact name (doc_id, name, new_value); names that no field has change nothing.
+
+    Of several values for one field the last counts, by ``seq`` where ``values`` has such a column, else by value.
+    """
+    last = F.max_by("new_value", "seq") if "seq" in values.columns else F.max("new_value")
+    one = values.groupBy("doc_id", "name").agg(last.alias("new_value"))
+    return fields.join(one, ["doc_id", "name"], "left").withColumn("value", F.coalesce("new_value", "value")).select(*fields.columns)
 
 
 def signature_coverage(signatures: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
     character whose code the table has with a positive width counts that much, others their class's width; a run none of
     whose characters was in the table has class widths throughout; a composite font has its default for every character.
     """
-    joined = blocks.join(fonts, font_key(fonts), "left")
+    # a font that is listed twice counts once, with its larger entry
+    one = fonts.groupBy(*font_key(fonts)).agg(F.max(F.struct("first", "widths", "composite", "default")).alias("_f")).select(*font_key(fonts), "_f.*")
+    joined = blocks.join(one, font_key(fonts), "left")
     chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
     # codes 0 to 255 only: a larger one is never below 256
     code = lambda c: F.when(F.length(F.hex(F.encode(c, "UTF-16BE"))) == 4, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")).otherwise(1 << 16)
@@ -54,7 +56,8 @@ def dict_decode(codes: DataFrame, cmap: DataFrame) -> DataFrame:
 
 def replace_text(blocks: DataFrame, fonts: DataFrame, find: str, by: str, page: int | None = None, color: str | None = None) -> DataFrame:
     """P20: ``find`` becomes ``by`` in the blocks of one page or all; blocks in composite fonts (font_name, composite) stay whole; ``color`` goes to changed blocks alone."""
-    known = blocks.join(fonts.select(*font_key(fonts), "composite"), font_key(fonts), "left")
+    # a font that is listed twice is composite if either entry says so
+    known = blocks.join(fonts.groupBy(*font_key(fonts)).agg(F.bool_or("composite").alias("composite")), font_key(fonts), "left")
     hit = F.col("text").contains(find) & ~F.coalesce("composite", F.lit(False))
     if page is not None:
         hit &= F.col("page_no") == page
@@ -80,29 +83,34 @@ def restyle_text(blocks: DataFrame, page: int, color: str | None = None, old_col
     return blocks
 
 
-#: Font families by what names contain.
-MONO, SERIF = ("courier", "mono", "consol"), ("times", "serif", "roman", "georgia", "garamond", "mincho")
+#: What the names of fonts with equal widths contain, by family.
+METRIC_FAMILIES = {"sans": ("helvetica", "arial"), "serif": ("times", "timesnewroman"), "mono": ("courier", "couriernew")}
 
 
-def metric_family(name: Column) -> Column:
-    low = F.lower(name)
-    any_of = lambda marks: low.rlike("|".join(marks))
-    return F.when(any_of(MONO), "mono").when(any_of(SERIF) & ~low.contains("sans"), "serif").otherwise("sans")
+def same_metrics(a: Column, b: Column) -> Column:
+    """Whether both names are of one family of equal widths; a name of none is like no other."""
+    of = lambda name, marks: F.greatest(*(F.lower(name).contains(m) for m in marks))
+    families = [of(a, marks) & of(b, marks) for marks in METRIC_FAMILIES.values()]
+    return families[0] | families[1] | families[2]
 
 
 def replace_font(fonts: DataFrame, old: str, new: str) -> DataFrame:
-    """Per font (doc_id, name, subtype, embedded): its new name, or why it is refused. No match at all fails; the same name changes nothing.
+    """Per font (doc_id, name, subtype, has_widths, ...): its new name, or why it is refused. If no font has the old name, the query fails; the same name changes nothing.
 
-    Names match without regard to case. Composite fonts are refused, and embedded ones, whose widths are their own,
-    unless both names are of one metric family.
+    Names match without regard to case, a leading slash or spaces around. Composite fonts are refused, and fonts with widths of their own unless both
+    names are of one family of equal widths.
     """
-    match = F.lower("name") == old.lower()
+    clean = lambda n: n.strip().lstrip("/")
+    old, new = clean(old), clean(new)
     if old.lower() == new.lower():
-        return fonts.withColumns({"new_name": F.col("name"), "status": F.lit("unchanged")})
-    if not fonts.filter(match).limit(1).count():
-        raise ValueError(f"no font is named {old}")
-    status = F.when(~match, "unchanged").when(F.col("subtype") == "Type0", "composite").when(F.col("embedded") & (metric_family(F.col("name")) != metric_family(F.lit(new))), "metrics").otherwise("replaced")
-    return fonts.withColumn("status", status).withColumn("new_name", F.when(F.col("status") == "replaced", new).otherwise(F.col("name")))
+        return fonts.withColumns({"status": F.lit("unchanged"), "new_name": F.col("name")})
+    match = F.lower(F.ltrim(F.trim("name"), F.lit("/"))) == old.lower()
+    own = F.coalesce("has_widths", F.lit(False))
+    status = F.when(~F.coalesce(match, F.lit(False)), "unchanged").when(F.col("subtype") == "Type0", "composite").when(own & ~same_metrics(F.lit(old), F.lit(new)), "metrics").otherwise("replaced")
+    out = fonts.withColumn("status", status).withColumn("new_name", F.when(F.col("status") == "replaced", new).otherwise(F.col("name")))
+    # a row that fails the query, if there is nothing to replace
+    none = fonts.agg(F.count_if(match).alias("n")).filter("n = 0").select(F.raise_error(F.lit(f"no font is named {old}")).cast("string").alias("status"))
+    return out.unionByName(none, allowMissingColumns=True)
 
 
 def apply_changes(blocks: DataFrame, changes: DataFrame) -> DataFrame:

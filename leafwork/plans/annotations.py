@@ -16,7 +16,7 @@ def j4_thread_replies(t: Tables) -> DataFrame:
     return a.thread_replies(t.annotation).select("annot_id", F.size("replies").cast("long").alias("n_replies"), F.array_join(F.transform("replies", lambda r: F.concat(r["author"], F.lit(": "), r["contents"])), "|").alias("replies"))
 
 
-@query("""WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY annot_id) AS id, annot_id AS name, in_reply_to, page_no FROM annotation) SELECT b.doc_id, b.id, b.name, r.id AS reply_to_id FROM b JOIN page p ON p.doc_id = b.doc_id AND p.page_no = b.page_no LEFT JOIN b r ON r.doc_id = b.doc_id AND r.name = b.in_reply_to""")
+@query("""WITH b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY annot_id) AS id, annot_id AS name, in_reply_to, page_no FROM annotation) SELECT b.doc_id, b.id, b.name, r.id AS reply_to_id FROM b JOIN page p ON p.doc_id = b.doc_id AND p.page_no = b.page_no LEFT JOIN (SELECT b.* FROM b JOIN page q ON q.doc_id = b.doc_id AND q.page_no = b.page_no) r ON r.doc_id = b.doc_id AND r.name = b.in_reply_to""")
 def j13_resolve_reply_names(t: Tables) -> DataFrame:
     nth = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY annot_id)")
     batch = t.annotation.select("doc_id", nth.cast("long").alias("id"), F.col("annot_id").alias("name"), "in_reply_to", "page_no")
@@ -72,6 +72,8 @@ def a11_forms_wide(t: Tables) -> DataFrame:
     return a.forms_wide(t.form_field, ["status", "priority", "customer"])
 
 
-@query("SELECT doc_id, name, type, value FROM form_field UNION ALL SELECT doc_id, 'double', 'Tx', CAST(CAST(value AS DOUBLE) * 2 + 1 AS VARCHAR) FROM form_field WHERE name = 'customer'")
+@query("""WITH c AS (SELECT doc_id, CAST(value AS DOUBLE) AS v FROM form_field WHERE name = 'customer') SELECT doc_id, name, type, value FROM form_field UNION ALL SELECT doc_id, 'double', 'Tx', CAST(v * 2 + 1 AS VARCHAR) FROM c
+ UNION ALL SELECT doc_id, 'ratio', 'Tx', CAST(CASE WHEN v = 100 THEN 0e0 ELSE -1 / (v - 100) * 2 - -3 END AS VARCHAR) FROM c""")
 def x1_calculated_field(t: Tables) -> DataFrame:
-    return a.calculated_field(t.form_field, "double", "customer * 2 + status + 1", ["customer", "status"])
+    doubled = a.calculated_field(t.form_field, "double", "customer * 2 + status + 1", ["customer", "status"])
+    return a.calculated_field(doubled, "ratio", "-1 / (customer - 100) * 2 - -3", ["customer"])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from leafwork.operators import layout as o
+from leafwork.operators import layout as o, regions
 from leafwork.sources.writers import column_letters
 
 from .registry import Tables, query
 from .scalars import WIDTH
+from .scans import through_files
 
 
 @query("SELECT doc_id, page_no, text FROM page_text")
@@ -16,16 +17,62 @@ def a1_page_text(t: Tables) -> DataFrame:
     return o.page_text(t.paint_op)
 
 
-@query("SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) - 1 AS block_id, text, x, y, font_size * 1.2 AS height, font_size FROM text_block")
+def styled_ops(t: Tables) -> DataFrame:
+    """Drawing operations of the text blocks with states that change and stay: every third block sets a colour, every fourth Tc, every fifth Tz, every sixth Tw; fonts change by two;
+    each block shows its text in two runs, the second with a kern where its number is odd; every seventh is not closed, and text after the others is in none."""
+    b, half = F.col("block_id"), F.expr("length(text) div 2")
+    made: list[Column] = []
+
+    def put(op: str, when: Column | None = None, **values: Column) -> None:
+        row = F.struct(F.lit(len(made)).alias("k"), F.lit(op).alias("op"), *((values.get(c, F.lit(None)).cast(k)).alias(c) for c, k in (("a", "double"), ("b", "double"), ("c", "double"), ("name", "string"), ("text", "string"), ("kern", "double"))))
+        made.append(row if when is None else F.when(when, row))
+
+    put("BT")
+    put("rg", b % 3 == 0, a=(b % 5) / 4, b=F.lit(0.5), c=F.lit(1.0))
+    put("Tf", a=F.col("font_size") + b % 2, name=F.concat(F.lit("F"), (b % 2).cast("string")))
+    put("Tc", b % 4 == 0, a=(b % 3) / 2)
+    put("Tz", b % 5 == 0, a=80 + b % 7)
+    put("Tw", b % 6 == 0, a=b % 2 + 1)
+    put("Tm", b % 2 == 0, a=F.col("x"), b=F.col("y"))
+    put("Td", b % 2 == 1, a=F.col("x"), b=F.col("y"))
+    put("Tj", text=F.substring("text", F.lit(1), half))
+    put("TJ", text=F.expr("substring(text, length(text) div 2 + 1)"), kern=F.when(b % 2 == 1, 100.0).otherwise(0.0))
+    put("ET", b % 7 != 6)
+    put("Tj", b % 7 != 6, text=F.lit("outside"))
+    rows = t.text_block.select("doc_id", "page_no", "block_id", F.explode(F.filter(F.array(*made), lambda r: r.isNotNull())).alias("r"))
+    return rows.select("doc_id", "page_no", (F.col("block_id") * 20 + F.col("r.k")).alias("seq"), *(f"r.{c}" for c in ("op", "a", "b", "c", "name", "text", "kern")))
+
+
+#: The same by windows over the blocks: what was set last.
+STATE = """WITH s AS (SELECT doc_id, page_no, block_id, text, x, y, font_size + block_id % 2 AS size, concat('F', block_id % 2) AS font_name, block_id % 7 <> 6 AS closed,
+ coalesce(last_value(CASE WHEN block_id % 3 = 0 THEN printf('#%02x7fff', CAST(floor(block_id % 5 / 4e0 * 255) AS INTEGER)) END IGNORE NULLS) OVER w, '#000000') AS color, coalesce(last_value(CASE WHEN block_id % 4 = 0 THEN block_id % 3 / 2e0 END IGNORE NULLS) OVER w, 0) AS tc,
+ coalesce(last_value(CASE WHEN block_id % 5 = 0 THEN 80 + block_id % 7 END IGNORE NULLS) OVER w, 100) AS tz, coalesce(last_value(CASE WHEN block_id % 6 = 0 THEN block_id % 2 + 1 END IGNORE NULLS) OVER w, 0) AS tw
+ FROM text_block WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+RUNS = STATE + f""", h AS (SELECT *, 0 AS nth, substring(text, 1, length(text) // 2) AS run, 0 AS kern FROM s UNION ALL SELECT *, 1, substring(text, length(text) // 2 + 1), CASE WHEN block_id % 2 = 1 THEN 100 ELSE 0 END FROM s),
+ r AS (SELECT * EXCLUDE (text), run AS text FROM h WHERE run <> ''), v AS (SELECT *, ({WIDTH} * size + length(text) * tc + (length(text) - length(replace(text, ' ', ''))) * tw - kern / 1000.0 * size) * tz / 100.0 AS adv FROM r),
+ p AS (SELECT *, x + coalesce(sum(adv) OVER (PARTITION BY doc_id, page_no, block_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x_at FROM v)"""
+
+
+@query("SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) - 1 AS block_id, text, x, y, font_size * 1.2 AS height, '' AS font_name, font_size, '#000000' AS color FROM text_block")
 def w4_interpret_text_ops(t: Tables) -> DataFrame:
     return o.interpret_text_ops(t.paint_op)
 
 
-@query(f"""WITH r AS (SELECT doc_id, CAST(floor(pos / 5) AS BIGINT) AS grp, pos, word, word AS text FROM doc_words WHERE word <> ''), a AS (SELECT *, {WIDTH} * 11 + length(text) * 0.5 - (pos % 3) * 10 / 1000.0 * 11 AS adv FROM r)
- SELECT doc_id, grp, pos AS seq, round(CAST(50 + coalesce(sum(adv) OVER (PARTITION BY doc_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE), 4) AS x FROM a""")
+@query(STATE + " SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) - 1 AS block_id, text, x, y, round(size * 1.2, 6) AS height, font_name, size AS font_size, color FROM s WHERE closed")
+def w4_sticky_state(t: Tables) -> DataFrame:
+    return o.interpret_text_ops(styled_ops(t)).withColumn("height", F.round("height", 6))
+
+
+@query(RUNS + " SELECT doc_id, page_no, block_id * 20 + 8 + nth AS seq, text, round(CAST(x_at AS DOUBLE), 4) AS x, round(CAST(adv AS DOUBLE), 4) AS advance FROM p")
 def w5_run_advance(t: Tables) -> DataFrame:
-    runs = t.doc_words.filter("word <> ''").select("doc_id", F.lit(0).alias("page_no"), F.expr("pos div 5").alias("grp"), F.col("pos").alias("seq"), F.col("word").alias("text"), F.lit(50.0).alias("x0"), F.lit(11.0).alias("size"), (F.col("pos") % 3 * 10).alias("kern"))
-    return o.run_advance(runs, char_space=0.5).select("doc_id", "grp", "seq", F.round("x", 4).alias("x"))
+    return o.run_advance(o.text_runs(styled_ops(t))).select("doc_id", "page_no", "seq", "text", F.round("x", 4).alias("x"), F.round("advance", 4).alias("advance"))
+
+
+@query(RUNS + " SELECT p.doc_id, p.page_no, block_id * 20 + 8 + nth AS seq, coalesce(x_at < r.x + r.w AND x_at + adv > r.x AND p.y BETWEEN r.y AND r.y + r.h, false) AS removed FROM p LEFT JOIN redact_rect r ON r.doc_id = p.doc_id AND r.page_no = p.page_no")
+def w5_redact_from_ops(t: Tables) -> DataFrame:
+    """From the log to redaction: runs, where they stand, and which of them a rectangle meets."""
+    runs = o.run_advance(o.text_runs(styled_ops(t)))
+    return regions.redact_region(runs, t.redact_rect, F.col("advance")).select("doc_id", "page_no", "seq", "removed")
 
 
 GRID = "WITH g AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY floor(block_id / 5)) - 1 AS r, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY (page_no * 200 + block_id) % 5) - 1 AS c FROM grid_block)"
@@ -44,7 +91,8 @@ def w6_column_count(t: Tables) -> DataFrame:
 @query(f"""{GRID}, n AS (SELECT doc_id, page_no, max(c) AS m FROM g GROUP BY ALL), x AS (SELECT doc_id, page_no, r, CASE WHEN m = 0 THEN 0 ELSE c END AS c, string_agg(trim(text), ' ' ORDER BY x, block_id) AS text FROM g JOIN n USING (doc_id, page_no) WHERE trim(text) <> '' GROUP BY ALL)
  SELECT doc_id, page_no, r AS "row", max(text) FILTER (c = 0) AS "A", max(text) FILTER (c = 1) AS "B", max(text) FILTER (c = 2) AS "C", max(text) FILTER (c = 3) AS "D", max(text) FILTER (c = 4) AS "E" FROM x GROUP BY ALL""")
 def s9_write_grid(t: Tables) -> DataFrame:
-    return o.write_grid(o.grid_cells(t.grid_block), 5)
+    """Grids as CSV files by bucket of document, read again."""
+    return through_files(t, o.write_grid(o.grid_cells(t.grid_block), 5), "csv", "doc_id", "page_no", "row")
 
 
 @query("""WITH k AS (SELECT p_partkey, p_partkey % 18278 AS k FROM part) SELECT p_partkey, CASE WHEN k < 26 THEN chr(CAST(65 + k AS INTEGER)) WHEN k < 702 THEN chr(CAST(64 + k // 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER))
@@ -96,6 +144,21 @@ def w11_collapse_blank_lines(t: Tables) -> DataFrame:
     return o.collapse_blank_lines(t.doc_lines.withColumn("line", F.when(F.col("pos") % 5 < 1, F.concat(F.lit(" "), "line")).when(F.col("pos") % 5 < 3, "  ").otherwise(F.concat(F.lit(" "), "line"))))
 
 
-@query()
+#: Some letters as characters that may not begin, or may not end, a line.
+BREAKS = ("tsd", "」、「")
+TOKEN_WIDTH = WIDTH.replace("(text", "(t")
+NO_START, NO_END = (s.replace("'", "''") for s in (o.NO_START, o.NO_END))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, pos, regexp_extract_all(CASE WHEN doc_id % 2 = 0 THEN translate(line, '{BREAKS[0]}', '{BREAKS[1]}') ELSE line END, '[A-Za-z0-9]+|[^A-Za-z0-9]') AS ts FROM doc_lines),
+ k AS (SELECT doc_id, pos, t, CAST(i AS INTEGER) AS i, {TOKEN_WIDTH} * 11e0 AS w FROM (SELECT doc_id, pos, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM l) x),
+ f AS (SELECT doc_id, pos, -1 AS i, 0 AS a, 0 AS n, 0e0 AS w, '' AS last, 0e0 AS last_w, -1 AS done_a, -1 AS done_n FROM l
+ UNION ALL SELECT doc_id, pos, i, CASE WHEN fits THEN CASE WHEN n = 0 THEN i ELSE a END WHEN drags THEN i - 1 WHEN t = ' ' THEN i + 1 ELSE i END, CASE WHEN fits THEN n + 1 WHEN drags THEN 2 WHEN t = ' ' THEN 0 ELSE 1 END,
+ CASE WHEN fits THEN w + tw WHEN drags THEN last_w + tw WHEN t = ' ' THEN 0 ELSE tw END, t, tw, CASE WHEN fits THEN -1 ELSE a END, CASE WHEN fits THEN -1 WHEN drags THEN n - 1 ELSE n END
+ FROM (SELECT f.doc_id, f.pos, k.i, f.a, f.n, f.w, f.last_w, k.t, k.w AS tw, f.w + k.w <= 400 OR f.n = 0 AS fits, f.n > 1 AND (contains('{NO_START}', k.t) OR contains('{NO_END}', f.last)) AS drags FROM f JOIN k ON k.doc_id = f.doc_id AND k.pos = f.pos AND k.i = f.i + 1) x),
+ e AS (SELECT doc_id, pos, done_a AS a, done_n AS n, i, false AS ends FROM f WHERE done_a >= 0 UNION ALL SELECT f.doc_id, f.pos, a, n, 1000000000, true FROM f JOIN l ON l.doc_id = f.doc_id AND l.pos = f.pos WHERE f.i = len(ts) - 1 AND (n > 0 OR len(ts) = 0)),
+ c AS (SELECT e.*, array_to_string(ts[a + 1:a + n], '') AS text, row_number() OVER (PARTITION BY e.doc_id, e.pos ORDER BY i) - 1 AS line_no FROM e JOIN l ON l.doc_id = e.doc_id AND l.pos = e.pos)
+ SELECT doc_id, pos, CAST(line_no AS INTEGER) AS line_no, CASE WHEN ends THEN text ELSE rtrim(text, ' ') END AS text FROM c""")
 def w13_wrap_text(t: Tables) -> DataFrame:
-    return o.wrap_text(t.doc_lines, 400, 11)
+    lines = t.doc_lines.withColumn("line", F.when(F.col("doc_id") % 2 == 0, F.translate("line", *BREAKS)).otherwise(F.col("line")))
+    return o.wrap_text(lines, 400, 11)

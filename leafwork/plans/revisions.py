@@ -8,6 +8,7 @@ from leafwork.operators import revisions as r
 from leafwork.sources import writers
 
 from .registry import Tables, query
+from .scans import through_files
 
 #: Both revisions laid out as blocks, those of every fourth document so close that a block is near its neighbours; characters beyond ASCII are question marks, as the oracle's edit distance counts bytes.
 LAID = "doc_id, CAST(floor(pos / 45) AS BIGINT) AS page_no, {id} AS block_id, regexp_replace(line, '[^\\x00-\\x7F]', '?', 'g') AS text, 5e1 AS x, CAST(790 - CASE WHEN doc_id % 4 = 1 THEN 8 ELSE 16 END * (pos % 45) AS DOUBLE) AS y, CAST(5 * length(line) AS DOUBLE) AS width, CAST(13 + pos % 3 AS DOUBLE) AS height"
@@ -98,4 +99,4 @@ GONE, NEW = f"'<del>' || {ESCAPED.format('original_text')} || '</del>'", f"'<ins
  pages_of AS (SELECT doc_id, page_no, string_agg(row_, '' ORDER BY seq, row_) AS rows_, count(*) FILTER (kind = 'added') AS a, count(*) FILTER (kind = 'deleted') AS g, count(*) FILTER (kind = 'modified') AS m FROM rows_of GROUP BY ALL)
  SELECT doc_id, concat('<!DOCTYPE html><html><body><p>+ ', sum(a), ' - ', sum(g), ' ~ ', sum(m), '</p>', string_agg(concat('<h3>Page ', page_no + 1, '</h3>', rows_), '' ORDER BY page_no), '</body></html>') AS html FROM pages_of GROUP BY doc_id""")
 def s12_diff_report(t: Tables) -> DataFrame:
-    return writers.diff_report_html(r.diff(*sides(t)))
+    return through_files(t, writers.diff_report_html(r.diff(*sides(t))), "json", "doc_id")

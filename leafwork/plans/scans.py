@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafwork.functions.text import escape_markup
-from leafwork.sources import readers as r, writers as w
+from leafwork.operators.scratch import shared_dir
+from leafwork.sources import files, readers as r, writers as w
 
 from .registry import Tables, query
 
@@ -16,13 +19,24 @@ def s1_doc_manifest(t: Tables) -> DataFrame:
     return w.doc_manifest(t.documents, t.page, t.doc_flags)
 
 
+def scratch(t: Tables, what: str) -> str:
+    return f"{shared_dir(t.spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def probe_files(t: Tables) -> DataFrame:
-    """Files made of documents: most begin as PDFs, some have markers, every line is an object, the first two lines' objects share a number."""
+    """Files made of documents, written to the shared folder and read from there: most begin as PDFs, some have markers, every line is an object, the first two lines' objects share a number.
+    Beside them lie files of another name, which are not read."""
     head = F.when(F.col("doc_id") % 5 == 0, "no header ").otherwise(F.concat(F.lit("%PDF-1."), (F.col("doc_id") % 8).cast("string")))
     marks = F.concat(F.when(F.col("doc_id") % 3 == 0, "\n/Linearized 1").otherwise(""), F.when(F.col("doc_id") % 4 == 1, "\n/Type /Sig /Type /Sig").otherwise(""), F.when(F.col("doc_id") % 7 == 2, "\n/Encrypt 5 0 R").otherwise(""), F.when(F.col("doc_id") % 6 == 3, "\n/Type /ObjStm").otherwise(""))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("\n"), F.greatest(i, F.lit(1)).cast("string"), F.lit(" 0 obj <</Type /P>> "), F.length(x).cast("string"), F.lit(" endobj")))
-    body = F.when(F.col("doc_id") % 9 == 4, "").otherwise(F.array_join(lines, ""))
-    return t.documents.select(F.concat(F.lit("/data/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode(F.concat(head, marks, body), "UTF-8").alias("content"))
+    # a file without an object has its lines as a comment
+    body = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("\n% "), F.size(lines).cast("string"))).otherwise(F.array_join(lines, ""))
+    path = scratch(t, "probe")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    files.write_named(t.documents, f"{path}/in", name, F.concat(head, marks, body))
+    t.spark.range(3).selectExpr("'%PDF-9.9' AS value").write.option("compression", "gzip").text(f"{path}/in/other")
+    found = files.read_files(t.spark, f"{path}/in", "*.txt")
+    return found.select(F.concat(F.lit("/data/"), files.name_in(F.col("path"))).alias("path"), "content")
 
 
 @query("""SELECT concat('/data/doc-', doc_id, '.pdf') AS path, doc_id % 5 = 0 AS rejected, CASE WHEN doc_id % 5 <> 0 THEN concat('1.', doc_id % 8) END AS version, CASE WHEN doc_id % 5 <> 0 THEN false END AS has_xref_stream, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 = 0 END AS linearized,
@@ -39,15 +53,22 @@ def s3_object_scan(t: Tables) -> DataFrame:
     return r.object_scan(probe_files(t))
 
 
-@query("""SELECT 5 AS level, CAST(page_no AS INTEGER) AS page_num, CAST(block_num AS INTEGER) AS block_num, CAST(par_num AS INTEGER) AS par_num, CAST(line_num AS INTEGER) AS line_num, CAST(word_num AS INTEGER) AS word_num, CAST(x_left AS INTEGER) AS x_left, CAST(y_top AS INTEGER) AS y_top,
- CAST(width AS INTEGER) AS width, CASE WHEN word_num = 3 THEN 0 ELSE CAST(height AS INTEGER) END AS height, CASE WHEN word_num = 4 THEN -1e0 ELSE conf END AS conf, text FROM ocr_word WHERE word_num <> 5""")
+@query("""SELECT 'word' AS kind, doc_id, 5 AS level, CAST(page_no AS INTEGER) AS page_num, CAST(block_num AS INTEGER) AS block_num, CAST(par_num AS INTEGER) AS par_num, CAST(line_num AS INTEGER) AS line_num, CAST(word_num AS INTEGER) AS word_num, CAST(x_left AS INTEGER) AS x_left, CAST(y_top AS INTEGER) AS y_top,
+ CAST(width AS INTEGER) AS width, CASE WHEN word_num = 3 THEN 0 ELSE CAST(height AS INTEGER) END AS height, CASE WHEN word_num = 4 THEN -1e0 ELSE conf END AS conf, text FROM ocr_word WHERE word_num <> 5
+ UNION ALL SELECT 'reject', doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, concat('short', chr(9), 'row ', page_no) FROM ocr_word WHERE word_num = 5""")
 def s4_read_ocr_tsv(t: Tables) -> DataFrame:
+    """OCR tables, a file for each document with its header, written to the shared folder and read from there: words and rejects."""
     whole = lambda c: F.col(c).cast("int").cast("string")
     height, conf = F.when(F.col("word_num") == 3, "bad").otherwise(whole("height")), F.when(F.col("word_num") == 4, "?").otherwise(F.col("conf").cast("string"))
     cells = ["level", "page_no", "block_num", "par_num", "line_num", "word_num", "x_left", "y_top", "width"]
     row = F.concat_ws("\t", *(whole(c) for c in cells), height, conf, F.concat(F.lit(" "), "text", F.lit(" ")))
-    lines = t.ocr_word.select(F.when(F.col("word_num") == 5, "short\trow").otherwise(row).alias("value"))
-    return r.parse_ocr_tsv(lines)
+    lines = t.ocr_word.select("doc_id", F.when(F.col("word_num") == 5, F.concat(F.lit("short\trow "), F.col("page_no").cast("string"))).otherwise(row).alias("line"))
+    one = lines.groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    path = scratch(t, "ocr")
+    files.write_named(one, path, F.concat(F.col("doc_id").cast("string"), F.lit(".tsv")), F.concat(F.lit("\t".join(r.OCR_COLUMNS) + "\n"), "lines"))
+    words, rejects = files.read_ocr_tsv(t.spark, path)
+    doc = F.regexp_extract(files.name_in(F.col("file")), r"^-?\d+", 0).cast("long").alias("doc_id")
+    return words.select(F.lit("word").alias("kind"), doc, *r.OCR_COLUMNS).unionByName(rejects.select(F.lit("reject").alias("kind"), doc, F.col("line").alias("text")), allowMissingColumns=True)
 
 
 #: The colours of annotations by status: as numbers from 0 to 1, and as they are written.
@@ -124,7 +145,7 @@ LEFT = "CASE WHEN page_no = 0 THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(
  f AS (SELECT doc_id, string_agg(concat('<field name="', name, '"><value>', {ESC5.format('value')}, '</value></field>'), '' ORDER BY name) AS x FROM form_field GROUP BY doc_id)
  SELECT coalesce(a.doc_id, f.doc_id) AS doc_id, concat('<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve"><annotations>', coalesce(a.x, ''), '</annotations>', CASE WHEN f.x IS NULL THEN '' ELSE concat('<fields>', f.x, '</fields>') END, '</xfdf>') AS xfdf FROM a FULL JOIN f ON a.doc_id = f.doc_id""")
 def s6_write_xfdf(t: Tables) -> DataFrame:
-    return w.write_xfdf(coloured_annotations(t), t.form_field)
+    return through_files(t, w.write_xfdf(coloured_annotations(t), t.form_field), "json", "doc_id")
 
 
 def _html_sql() -> str:
@@ -166,7 +187,14 @@ def s11_portfolio_manifest(t: Tables) -> DataFrame:
 @query("""WITH b AS (SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY block_id) AS t, count(*) AS n, string_agg(concat('{"id":', block_id, ',"text":', to_json(text), ',"x":', x, ',"y":', y, ',"size":', font_size, '}'), ',' ORDER BY block_id) AS blocks FROM text_block GROUP BY ALL)
  SELECT p.doc_id, p.page_no, concat('{"page":', p.page_no + 1, ',"width":', width, ',"height":', height, ',"text":', to_json(coalesce(t, '')), ',"layout":', CASE WHEN n IS NULL THEN 'null' ELSE concat('{"blocks":[', blocks, '],"count":', n, '}') END, '}') AS json FROM page p LEFT JOIN b ON b.doc_id = p.doc_id AND b.page_no = p.page_no""")
 def s13_layout_json(t: Tables) -> DataFrame:
-    return w.layout_json(t.text_block, t.page)
+    return through_files(t, w.layout_json(t.text_block, t.page), "json", "doc_id", "page_no")
+
+
+def through_files(t: Tables, rows: DataFrame, form: str, *order: str) -> DataFrame:
+    """``rows`` written to the shared folder in buckets and read again."""
+    path = scratch(t, "sink")
+    files.write_bucketed(rows, path, form, 8, order)
+    return files.read_bucketed(t.spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), form)
 
 
 @query("""WITH p AS (SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY block_id) AS text FROM text_block GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text FROM p GROUP BY doc_id""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafwork.functions.text import text_lines
 
@@ -18,11 +18,6 @@ XFDF = {
 }
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (path, content); Spark's reader leaves out files without a byte."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
 def format_probe(files: DataFrame) -> DataFrame:
     """Per file its version and marker flags, ``rejected`` where it doesn't begin as a PDF; all else in those is null."""
     raw = F.decode("content", "ISO-8859-1")
@@ -47,15 +42,16 @@ def object_scan(files: DataFrame) -> DataFrame:
 OCR_COLUMNS = "level page_num block_num par_num line_num word_num x_left y_top width height conf text".split()
 
 
-def parse_ocr_tsv(lines: DataFrame) -> DataFrame:
-    """OCR rows from lines (column ``value``): the header and rows of fewer than 12 columns go; a bad integer is 0, a bad confidence -1, text is trimmed."""
-    cells = lines.select(F.split("value", "\t").alias("c")).filter((F.size("c") >= 12) & (F.col("c")[0] != "level"))
-    whole = [F.coalesce(F.trim(F.col("c")[i]).try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(OCR_COLUMNS[:10])]
-    return cells.select(*whole, F.coalesce(F.trim(F.col("c")[10]).try_cast("double"), F.lit(-1.0)).alias("conf"), F.trim(F.col("c")[11]).alias("text"))
+def ocr_row(cells: list[Column]) -> list[Column]:
+    """The columns of an OCR row from its twelve cells: a bad integer is 0, a bad confidence -1, text is trimmed."""
+    whole = [F.coalesce(F.trim(c).try_cast("int"), F.lit(0)).alias(n) for c, n in zip(cells, OCR_COLUMNS[:10], strict=False)]
+    return [*whole, F.coalesce(F.trim(cells[10]).try_cast("double"), F.lit(-1.0)).alias("conf"), F.trim(F.coalesce(cells[11], F.lit(""))).alias("text")]
 
 
-def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ocr_tsv(spark.read.text(path))
+def parse_ocr_tsv(lines: DataFrame) -> DataFrame:
+    """OCR rows from lines (column ``value``): the header and rows of fewer than 12 columns go."""
+    cells = lines.select(F.split("value", "\t").alias("c")).filter((F.size("c") >= 12) & (F.col("c")[0] != "level"))
+    return cells.select(*ocr_row([F.col("c")[i] for i in range(12)]))
 
 
 def _xfdf_color(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import colour, geometry as geo, text as tx
 from leafwork.operators import annotations, graph, history, layout, ocr, pages, pipeline, regions, revisions, rules, text_ops
-from leafwork.sources import readers, writers
+from leafwork.sources import files as source_files, readers, writers
 from leafwork.streaming.replay import replay_files
 
 BLOCK = "doc_id long, page_no long, block_id long, text string, x double, y double"
@@ -231,8 +231,8 @@ def test_files_are_probed_and_salvaged(spark, tmp_path):
     raw = {"a.pdf": b"%PDF-1.7\r\n/Linearized /Type /Sig /Type /Sig", "b.pdf": b"junk", "c.pdf": b"%PDF-2.0\n1 0 obj old endobj\n1 0 obj <</Type /Page>> new endobj"}
     for name, content in raw.items():
         (tmp_path / name).write_bytes(content)
-    files = readers.read_files(spark, str(tmp_path)).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
-    files = files.union(spark.createDataFrame([("d.pdf", bytearray())], files.schema))  # Spark's reader leaves out files without a byte
+    files = source_files.read_files(spark, str(tmp_path)).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+    files = files.union(spark.createDataFrame([("d.pdf", bytearray(), 0)], files.schema))  # Spark's reader leaves out files without a byte
     got = {r.path: (r.rejected, r.version, r.linearized, r.signatures) for r in readers.format_probe(files).collect()}
     assert got == {"a.pdf": (False, "1.7", True, 2), "b.pdf": (True, None, None, None), "c.pdf": (False, "2.0", False, 0), "d.pdf": (True, None, None, None)}
     found = {r.path: (r.body, r.type, r.error) for r in readers.object_scan(files).collect()}
@@ -241,7 +241,7 @@ def test_files_are_probed_and_salvaged(spark, tmp_path):
 
 def test_ocr_rows_from_a_file(spark, tmp_path):
     (tmp_path / "o.tsv").write_text("\t".join(readers.OCR_COLUMNS).replace("level", "level") + "\n5\t1\t1\t1\t1\t1\t10\tx\t5\t5\t95.5\t word \nshort\trow\n5\t1\t1\t1\t1\t2\t10\t20\t5\t5\t?\tnext\n")
-    got = [(r.word_num, r.y_top, r.conf, r.text) for r in readers.read_ocr_tsv(spark, str(tmp_path / "o.tsv")).collect()]
+    got = [(r.word_num, r.y_top, r.conf, r.text) for r in source_files.read_ocr_tsv(spark, str(tmp_path / "o.tsv"))[0].collect()]
     assert got == [(1, 0, 95.5, "word"), (2, 20, -1.0, "next")]
 
 
