@@ -18,6 +18,18 @@ def normal_rotation(r: Column) -> Column:
     return F.pmod(r, F.lit(360))
 
 
+def viewport(w: Column, h: Column, rotation: Column) -> Column:
+    """What a viewer sees of a page: its rotation from 0 to 359, and width and height, swapped where it lies on its side."""
+    r = normal_rotation(rotation)
+    turned = r.isin(90, 270)
+    return F.struct(r.alias("rotation"), F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+
+def crop_box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A crop as left, bottom, right, top."""
+    return F.array(x, y, x + w, y + h)
+
+
 def paper_name(w: Column, h: Column, within: float = 3.0) -> Column:
     """The first paper size that both sides are ``within`` points of, upright or turned; null if there is none."""
     fits = lambda a, b: (F.abs(w - a) < within) & (F.abs(h - b) < within)

@@ -117,3 +117,25 @@ def strip_paths(msg: Column) -> Column:
         return F.when(stays, token).otherwise(F.concat(lead, F.element_at(parts, -1), trail))
 
     return F.array_join(F.transform(F.split(msg, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"), last_part), "")
+
+
+#: The bits of each permission.
+PERMISSIONS = {"print": (0x0004, 0x0800), "modify": (0x0008, 0x0100, 0x0400), "copy": (0x0010,), "annotate": (0x0020,)}
+
+
+def permission_flags(allowed: dict[str, Column]) -> Column:
+    """The signed flags that clear all bits of what isn't allowed; the two lowest are always clear."""
+    flags = F.lit(-4)
+    for name, bits in PERMISSIONS.items():
+        flags = flags.bitwiseAND(F.when(allowed[name], -1).otherwise(~sum(bits)))
+    return flags.cast("int")
+
+
+def permitted(flags: Column, name: str) -> Column:
+    """P16 the other way: whether flags allow something, by its first bit."""
+    return flags.bitwiseAND(F.lit(PERMISSIONS[name][0])) != 0
+
+
+def pdf_date(seconds: Column) -> Column:
+    """P25: Unix seconds as ``D:YYYYMMDDHHmmSSZ``; the session's time zone must be UTC."""
+    return F.date_format(F.timestamp_seconds(seconds), "'D:'yyyyMMddHHmmss'Z'")

@@ -38,6 +38,15 @@ def u1_merge_documents(t: Tables) -> DataFrame:
     return p.merge_documents(t.page, docs)[0]
 
 
+@query("""WITH n AS (SELECT doc_id, count(*) AS n FROM page GROUP BY doc_id), f AS (SELECT doc_id, CAST(coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM n)
+ SELECT concat('doc ', doc_id) AS title, f AS page_no FROM f UNION ALL SELECT concat('page ', page_no), f + page_no FROM page JOIN f USING (doc_id) WHERE page_no % 2 = 1""")
+def u1_bookmarks(t: Tables) -> DataFrame:
+    """The bookmarks of the merged document: one for each input, and the inputs' own."""
+    docs = t.documents.select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.lit(False).alias("encrypted"))
+    own = t.page.filter("page_no % 2 = 1").select("doc_id", F.concat(F.lit("page "), F.col("page_no").cast("string")).alias("title"), "page_no")
+    return p.merge_documents(t.page, docs, bookmarks=own)[1].select("title", "page_no")
+
+
 def _long(t: Tables) -> DataFrame:
     """Pages of ten lines each, so that documents have several."""
     return t.doc_lines.filter("pos % 10 = 0").select("doc_id", F.expr("pos div 10").alias("page_no"), F.col("line").alias("head"))

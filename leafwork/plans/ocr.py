@@ -37,6 +37,25 @@ def a5_ocr_lines(t: Tables) -> DataFrame:
     return o.ocr_lines(t.ocr_word).withColumns({"conf": F.round("conf", 6), "font_size": F.round("font_size", 6)})
 
 
+def with_lines(t: Tables) -> DataFrame:
+    """The words and, in every other block, a row of level 4 for each line, wider and higher than its words; every seventh word is of no confidence, every fifth in CJK letters."""
+    cjk = F.when(F.col("word_num") % 5 == 2, F.regexp_replace("text", "[a-m]", "漢")).otherwise(F.col("text"))
+    words = t.ocr_word.withColumns({"conf": F.when(F.col("word_num") == 6, -1.0).otherwise(F.col("conf")), "text": cjk})
+    line = ["doc_id", "page_no", "block_num", "par_num", "line_num"]
+    rows = t.ocr_word.filter("block_num % 2 = 1").groupBy(*line).agg((F.min("x_left") - 5).alias("x_left"), (F.min("y_top") - 3).alias("y_top"), F.lit(900.0).alias("width"), F.lit(44.0).alias("height"))
+    return words.unionByName(rows.withColumns({"level": F.lit(4), "word_num": F.lit(0).cast("long"), "conf": F.lit(-1.0), "text": F.lit("")}))
+
+
+@query("""WITH w AS (SELECT * REPLACE (CASE WHEN word_num = 6 THEN -1e0 ELSE conf END AS conf, CASE WHEN word_num % 5 = 2 THEN regexp_replace(text, '[a-m]', '漢', 'g') ELSE text END AS text) FROM ocr_word),
+ o AS (SELECT *, lag(text) OVER k AS prev, row_number() OVER k AS n FROM w WHERE trim(text) <> '' WINDOW k AS (PARTITION BY doc_id, page_no, block_num, par_num, line_num ORDER BY word_num, text)),
+ g AS (SELECT doc_id, page_no, block_num, par_num, line_num, coalesce(avg(conf) FILTER (conf >= 0), 80) AS conf, string_agg(CASE WHEN prev IS NOT NULL AND regexp_matches(prev, '[\\x00-\\x7F]$') AND regexp_matches(text, '^[\\x00-\\x7F]') THEN concat(' ', text) ELSE text END, '' ORDER BY n) AS text,
+ min(x_left) AS x0, min(y_top) AS y0, max(x_left + width) AS x1, max(y_top + height) AS y1 FROM o GROUP BY ALL), m AS (SELECT doc_id, page_no, block_num, par_num, line_num, min(x_left) AS x0, min(y_top) AS y0 FROM ocr_word WHERE block_num % 2 = 1 GROUP BY ALL),
+ b AS (SELECT g.* EXCLUDE (x0, y0, x1, y1), coalesce(m.x0 - 5, g.x0) AS x_left, coalesce(m.y0 - 3, g.y0) AS y_top, CASE WHEN m.x0 IS NULL THEN x1 - g.x0 ELSE 9e2 END AS width, CASE WHEN m.x0 IS NULL THEN y1 - g.y0 ELSE 44e0 END AS height FROM g LEFT JOIN m USING (doc_id, page_no, block_num, par_num, line_num))
+ SELECT doc_id, page_no, block_num, par_num, line_num, x_left, y_top, width, height, round(conf, 6) AS conf, round(greatest(height * 85e-2, 10), 6) AS font_size, text FROM b""")
+def a5_line_boxes(t: Tables) -> DataFrame:
+    return o.ocr_lines(with_lines(t), cjk=True).withColumns({"conf": F.round("conf", 6), "font_size": F.round("font_size", 6)})
+
+
 @query("""WITH w AS (SELECT *, lag(par_num) OVER k AS pp, lag(line_num) OVER k AS pl, row_number() OVER k AS n FROM ocr_word WHERE trim(text) <> '' WINDOW k AS (PARTITION BY doc_id, page_no ORDER BY block_num, par_num, line_num, word_num))
  SELECT doc_id, page_no, concat(string_agg(concat(CASE WHEN n = 1 THEN '' WHEN pp <> par_num OR pl <> line_num THEN chr(10) ELSE ' ' END, text), '' ORDER BY n), chr(10)) AS text FROM w GROUP BY ALL""")
 def a6_ocr_text(t: Tables) -> DataFrame:

@@ -16,10 +16,14 @@ def a7_ink_coverage(t: Tables) -> DataFrame:
     return r.ink_coverage(t.ink_op).withColumns({c: F.round(c, 6) for c in ("max_coverage", "avg_coverage")})
 
 
-@query("""WITH u AS (SELECT doc_id, page_no, op = 'rg' AS rgb, op IN ('k', 'K') AS cmyk, false AS gray FROM ink_op UNION ALL SELECT doc_id, CAST(0 AS BIGINT), contains(colorspace, 'RGB'), contains(colorspace, 'CMYK'), false FROM image), p AS (SELECT doc_id, page_no, bool_or(rgb) AS rgb, bool_or(cmyk) AS cmyk, bool_or(gray) AS gray FROM u GROUP BY ALL)
+@query("""WITH u AS (SELECT doc_id, page_no, op = 'rg' AS rgb, op = 'k' OR (op = 'K' AND page_no % 7 <> 1) AS cmyk, op = 'K' AND page_no % 7 = 1 AS gray FROM ink_op UNION ALL SELECT doc_id, CAST(0 AS BIGINT), contains(colorspace, 'RGB'), contains(colorspace, 'CMYK'), false FROM image), p AS (SELECT doc_id, page_no, bool_or(rgb) AS rgb, bool_or(cmyk) AS cmyk, bool_or(gray) AS gray FROM u GROUP BY ALL)
  SELECT *, bool_or(rgb) OVER (PARTITION BY doc_id) AS needs_cmyk FROM p""")
 def a8_color_usage(t: Tables) -> DataFrame:
-    return r.color_usage(t.ink_op.select("doc_id", "page_no", "op", F.lit(None).cast("string").alias("name")), t.image.select("doc_id", F.lit(0).cast("long").alias("page_no"), "colorspace"))
+    # every seventh page names colour spaces in place of colours
+    by_name = F.col("page_no") % 7 == 1
+    named = F.when(F.col("op") == "rg", "CalRGB").when(F.col("op") == "k", "DeviceCMYK").otherwise("DeviceGray")
+    ops = t.ink_op.select("doc_id", "page_no", F.when(by_name & (F.col("op") == "K"), "CS").when(by_name, "cs").otherwise(F.col("op")).alias("op"), F.when(by_name, named).alias("name"))
+    return r.color_usage(ops, t.image.select("doc_id", F.lit(0).cast("long").alias("page_no"), "colorspace"))
 
 
 @query("SELECT doc_id, count(*) AS total, count(*) FILTER (embedded) AS embedded, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (NOT embedded), '') AS not_embedded FROM font GROUP BY doc_id")

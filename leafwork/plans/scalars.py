@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafwork.functions import colour, geometry as geo, text as tx
 from leafwork.operators import text_ops as ops
+from leafwork.operators.pages import rotate
 
 from .registry import Tables, query
 
@@ -43,13 +44,14 @@ def p4_text_width(t: Tables) -> DataFrame:
 
 
 def font_widths(t: Tables) -> DataFrame:
-    """A font table from the parts, listed twice: widths for the codes of the small letters, from their prices."""
-    one = t.part.filter("p_partkey < 26").groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda p: (p["p_size"] * 10 + 200).cast("double")).alias("widths"))
+    """A font table from the parts, listed twice: a width for the code of each small letter, from the sizes of the parts that have its number."""
+    largest = t.part.groupBy((F.col("p_partkey") % 26).alias("code")).agg(F.max("p_size").alias("size"))
+    one = largest.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "size"))), lambda p: (p["size"] * 10 + 200).cast("double")).alias("widths"))
     font = one.select(F.lit("F1").alias("font_name"), F.lit(97).alias("first"), "widths", F.lit(False).alias("composite"), F.lit(1000.0).alias("default"))
     return font.union(font)
 
 
-@query("""WITH w AS (SELECT p_partkey + 97 AS code, p_size * 10 + 200 AS w FROM part WHERE p_partkey < 26),
+@query("""WITH w AS (SELECT p_partkey % 26 + 97 AS code, max(p_size) * 10 + 200 AS w FROM part GROUP BY 1),
  b AS (SELECT doc_id, page_no, block_id, text FROM text_block),
  c AS (SELECT doc_id, page_no, block_id, unnest(string_split(text, '')) AS text FROM b),
  m AS (SELECT c.doc_id, c.page_no, c.block_id, CASE WHEN w.w > 0 THEN w.w / 1000.0 * 11 ELSE """ + WIDTH + """ * 11e0 END AS width FROM c LEFT JOIN w ON ascii(c.text) = w.code AND length(c.text) = 1 WHERE c.text <> '')
@@ -114,9 +116,8 @@ def p11_paper_size(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, page_no, rotation % 360 AS rotation, CASE WHEN rotation % 180 = 90 THEN height ELSE width END AS view_width, CASE WHEN rotation % 180 = 90 THEN width ELSE height END AS view_height FROM page")
 def p12_page_viewport(t: Tables) -> DataFrame:
-    r = geo.normal_rotation(F.col("rotation"))
-    turned = r.isin(90, 270)
-    return t.page.select("doc_id", "page_no", r.alias("rotation"), F.when(turned, F.col("height")).otherwise(F.col("width")).alias("view_width"), F.when(turned, F.col("width")).otherwise(F.col("height")).alias("view_height"))
+    v = t.page.select("doc_id", "page_no", geo.viewport(F.col("width"), F.col("height"), F.col("rotation")).alias("v"))
+    return v.select("doc_id", "page_no", "v.rotation", F.col("v.width").alias("view_width"), F.col("v.height").alias("view_height"))
 
 
 @query("""SELECT doc_id, page_no, block_id, CASE rotation WHEN 90 THEN y WHEN 180 THEN width - x - 100 WHEN 270 THEN p.height - y - b.height ELSE x END AS vx,
@@ -143,18 +144,12 @@ def p15_strip_paths(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", msg.alias("message"), tx.strip_paths(msg).alias("shown"))
 
 
-ALLOW = {"print": (0x0004, 0x0800), "modify": (0x0008, 0x0100, 0x0400), "copy": (0x0010,), "annotate": (0x0020,)}
-
-
 @query("""SELECT c_custkey, CAST(-4 - (CASE WHEN c_custkey % 2 = 0 THEN 2052 ELSE 0 END) - (CASE WHEN c_custkey % 3 = 0 THEN 1288 ELSE 0 END) - (CASE WHEN c_custkey % 5 = 0 THEN 16 ELSE 0 END) - (CASE WHEN c_custkey % 7 = 0 THEN 32 ELSE 0 END) AS INTEGER) AS flags,
  c_custkey % 2 <> 0 AS can_print, c_custkey % 3 <> 0 AS can_modify, c_custkey % 5 <> 0 AS can_copy, c_custkey % 7 <> 0 AS can_annotate FROM customer""")
 def p16_permission_bits(t: Tables) -> DataFrame:
-    allowed = dict(zip(ALLOW, (F.col("c_custkey") % n != 0 for n in (2, 3, 5, 7)), strict=True))
-    flags = F.lit(-4)
-    for name, bits in ALLOW.items():
-        flags = flags.bitwiseAND(F.when(allowed[name], -1).otherwise(~sum(bits)))
-    d = t.customer.select("c_custkey", flags.cast("int").alias("flags"))
-    return d.select("*", *((F.col("flags").bitwiseAND(F.lit(bits[0])) != 0).alias(f"can_{name}") for name, bits in ALLOW.items()))
+    allowed = dict(zip(tx.PERMISSIONS, (F.col("c_custkey") % n != 0 for n in (2, 3, 5, 7)), strict=True))
+    d = t.customer.select("c_custkey", tx.permission_flags(allowed).alias("flags"))
+    return d.select("*", *(tx.permitted(F.col("flags"), name).alias(f"can_{name}") for name in tx.PERMISSIONS))
 
 
 @query("""SELECT doc_id, page_no, block_num, par_num, line_num, word_num, round(greatest(x_left * 595 / 1654 - 2, 0), 6) AS x, round(greatest(842 - (y_top + height) * 842 / 2339 - 2, 0), 6) AS y, round(width * 595 / 1654 + 4, 6) AS w, round(height * 842 / 2339 + 4, 6) AS h FROM ocr_word""")
@@ -211,15 +206,14 @@ def p23_apply_changes(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, page_no, (rotation + 270) % 360 AS rotation, concat(CAST(10 AS VARCHAR), ',', CAST(20 AS VARCHAR), ',', CAST(110 AS VARCHAR), ',', CAST(170 AS VARCHAR)) AS crop FROM page")
 def p24_rotate_crop(t: Tables) -> DataFrame:
-    x, y, w, h = 10, 20, 100, 150
-    crop = F.array(*(F.lit(v) for v in (x, y, x + w, y + h)))
-    return t.page.select("doc_id", "page_no", F.pmod(F.col("rotation") - 90, F.lit(360)).alias("rotation"), F.array_join(crop.cast("array<string>"), ",").alias("crop"))
+    crop = geo.crop_box(*(F.lit(v) for v in (10, 20, 100, 150))).cast("array<string>")
+    return t.page.select("doc_id", "page_no", rotate(F.col("rotation"), -90).alias("rotation"), F.array_join(crop, ",").alias("crop"))
 
 
 @query("SELECT event_id, strftime(ts, 'D:%Y%m%d%H%M%SZ') AS pdf_date FROM events")
 def p25_pdf_date(t: Tables) -> DataFrame:
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", F.date_format(F.timestamp_seconds(seconds), "'D:'yyyyMMddHHmmss'Z'").alias("pdf_date"))
+    return t.events.select("event_id", tx.pdf_date(seconds).alias("pdf_date"))
 
 
 @query("SELECT doc_id, '1.7' AS version, substr(sha256(concat('1.7|', string_agg(annot_id, ',' ORDER BY annot_id))), 1, 32) AS fingerprint FROM annotation GROUP BY doc_id")

@@ -29,8 +29,9 @@ def probe_files(t: Tables) -> DataFrame:
     head = F.when(F.col("doc_id") % 5 == 0, "no header ").otherwise(F.concat(F.lit("%PDF-1."), (F.col("doc_id") % 8).cast("string")))
     marks = F.concat(F.when(F.col("doc_id") % 3 == 0, "\n/Linearized 1").otherwise(""), F.when(F.col("doc_id") % 4 == 1, "\n/Type /Sig /Type /Sig").otherwise(""), F.when(F.col("doc_id") % 7 == 2, "\n/Encrypt 5 0 R").otherwise(""), F.when(F.col("doc_id") % 6 == 3, "\n/Type /ObjStm").otherwise(""))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("\n"), F.greatest(i, F.lit(1)).cast("string"), F.lit(" 0 obj <</Type /P>> "), F.length(x).cast("string"), F.lit(" endobj")))
-    # a file without an object has its lines as a comment
-    body = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("\n% "), F.size(lines).cast("string"))).otherwise(F.array_join(lines, ""))
+    # a file without an object has its lines as comments
+    comments = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("\n% "), F.length(x).cast("string"), F.lit(" endobj")))
+    body = F.array_join(F.when(F.col("doc_id") % 9 == 4, comments).otherwise(lines), "")
     path = scratch(t, "probe")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     files.write_named(t.documents, f"{path}/in", name, F.concat(head, marks, body))

@@ -37,7 +37,7 @@ VIEWS = {
     'annotation': "SELECT conv_id AS doc_id, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS annot_id, CASE WHEN turn > 0 THEN concat(CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING)) END AS in_reply_to, CASE turn % 3 WHEN 0 THEN 'Highlight' WHEN 1 THEN 'Text' ELSE 'Widget' END AS subtype, role AS author, text AS contents, turn % 3 AS page_no, CASE turn % 4 WHEN 0 THEN 'Accepted' WHEN 1 THEN 'Rejected' WHEN 2 THEN 'Completed' ELSE '' END AS status, CAST(50 + 20 * turn AS DOUBLE) AS x, CAST(560 + 30 * turn AS DOUBLE) AS y, CAST(100 AS DOUBLE) AS w, CAST(20 AS DOUBLE) AS h FROM conversations",
     'ref_edge': 'SELECT doc_id, in_reply_to AS src, annot_id AS dst FROM annotation WHERE in_reply_to IS NOT NULL UNION ALL SELECT doc_id, max(annot_id) AS src, min(annot_id) AS dst FROM annotation WHERE doc_id % 2 = 0 GROUP BY doc_id',
     'page_tree': "SELECT r_regionkey AS doc_id, concat('r', CAST(r_regionkey AS STRING)) AS node_id, CAST(NULL AS STRING) AS parent_id, CAST(0 AS BIGINT) AS ordinal, 'Pages' AS kind, CAST(612 AS DOUBLE) AS box_w FROM region UNION ALL SELECT n_regionkey, concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), CAST(n_nationkey AS BIGINT), 'Pages', CASE WHEN n_nationkey % 3 = 0 THEN CAST(500 AS DOUBLE) END FROM nation UNION ALL SELECT n_regionkey, concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(n_nationkey AS STRING)), c_custkey, 'Page', CASE WHEN c_custkey % 10 = 0 THEN CAST(420 AS DOUBLE) END FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    'struct_tree': "SELECT p_partkey % 20 AS doc_id, p_partkey AS node_id, CASE WHEN p_partkey >= 20 THEN p_partkey - 20 END AS parent_id, CASE p_size % 4 WHEN 0 THEN 'Figure' WHEN 1 THEN 'Table' WHEN 2 THEN 'TR' ELSE 'P' END AS kind, p_size % 5 = 0 AS has_alt FROM part WHERE p_partkey < 400",
+    'struct_tree': "SELECT p_partkey % 20 AS doc_id, p_partkey AS node_id, CASE WHEN p_partkey >= 20 THEN 20 * CAST(floor((CAST(floor(p_partkey / 20) AS BIGINT) - 1) / 2) AS BIGINT) + p_partkey % 20 END AS parent_id, CASE p_size % 4 WHEN 0 THEN 'Figure' WHEN 1 THEN 'Table' WHEN 2 THEN 'TR' ELSE 'P' END AS kind, p_size % 5 = 0 AS has_alt FROM part",
     'form_field': "SELECT o_orderkey AS doc_id, 'status' AS name, 'Ch' AS type, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', 'Tx', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'customer', 'Tx', CAST(o_custkey AS STRING) FROM orders",
     'signature': "SELECT o_orderkey AS doc_id, 'Sig1' AS field_name, CASE WHEN o_custkey % 2 = 0 THEN 'signer' END AS signer, CAST(0 AS BIGINT) AS b0, CAST(1000 AS BIGINT) AS b1, 1000 + o_custkey AS b2, CASE WHEN o_orderkey % 20 = 0 THEN 200000 - 1000 - o_custkey ELSE 999999 END AS b3, CAST(200000 AS BIGINT) AS file_size FROM orders WHERE o_orderkey % 10 = 0",
     'doc_flags': "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN '1.3' WHEN 1 THEN '1.4' WHEN 2 THEN '1.7' ELSE '2.0' END AS version, c_custkey % 5 = 0 AS encrypted, c_custkey % 7 = 0 AS has_javascript, c_custkey % 3 = 0 AS has_intent, c_custkey % 6 = 0 AS has_icc, c_custkey % 2 = 0 AS marked, c_custkey % 8 <> 0 AS has_id, c_custkey % 2 = 1 AS has_title, c_custkey % 3 = 1 AS has_lang, c_custkey % 11 = 0 AS has_lzw, c_custkey % 13 = 0 AS has_transparency FROM customer",
