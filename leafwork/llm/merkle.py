@@ -1,8 +1,8 @@
 """A Merkle manifest of a table: leaves hashed by row, runs of siblings hashed level by level, proofs for every row.
 
-Every level joins nodes to themselves by computed sibling places: a node of index i lies in run i div width at slot i mod width, its
-siblings at the other slots of the run; what stands at slot zero, joined with its siblings, emits the parent. For width 2 the one sibling is i XOR 1.
-Nodes are keyed by (tree, run), at most ``width`` rows a key, so a tree with a third of all rows, or all of them, is spread like any other.
+Every level is an equijoin of nodes with computed sibling indices: a node of index i lies in run i div width at slot i mod width, its siblings have the run's first index
+plus the other slots' offsets (for width 2 that is i XOR 1). What stands at slot zero, joined with its siblings, emits the parent. Nodes are keyed by (tree, index), with at most width - 1 rows
+a key to join, so a tree with a third of all rows, or all of them, is spread like any other.
 """
 
 from __future__ import annotations
@@ -53,27 +53,37 @@ def numbered(rows: DataFrame, *by: str) -> DataFrame:
     return placed.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("_idx"), "_n")
 
 
-def with_siblings(nodes: DataFrame, width: int, of: Column, *keep: str) -> DataFrame:
-    """The ``nodes`` for which ``of`` holds, each with ``_run``, ``_slot``, the ``keep`` columns, and ``_before`` and ``_after``, its siblings' digests by slot.
+def sibling_places(width: int) -> Column:
+    """The indices of a node's siblings: _idx XOR 1 in runs of two, else its run's first index plus each other slot's offset; those beyond the tree's end aren't there."""
+    if width == 2:
+        places = F.array(F.col("_idx").bitwiseXOR(F.lit(1)))
+    else:
+        places = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda s: F.col("_idx") - F.col("_idx") % width + s)
+    return F.filter(places, lambda i: (i != F.col("_idx")) & (i < F.col("_n")))
 
-    A node's siblings have the indices _run * width + s of the other slots s: for width 2 that is _idx XOR 1. Both sides of the self-join, and the sum over a
-    node's siblings, are partitioned by the run, so one shuffle of the nodes serves all.
+
+def with_siblings(nodes: DataFrame, width: int, zero: bool = False, *keep: str) -> DataFrame:
+    """The ``nodes``, or those at slot ``zero`` alone, with ``_run``, ``_slot``, the ``keep`` columns, and ``_before`` and ``_after``, their siblings' digests by index.
+
+    Nodes equijoin nodes by (tree, sibling index): every node has a row for each of its siblings' indices, at most width - 1. The join and the sum over a node's siblings are
+    partitioned alike, so the nodes and these rows are shuffled once.
     """
-    placed = nodes.withColumn("_run", F.expr(f"_idx div {width}")).withColumn("_slot", (F.col("_idx") % width).cast("int"))
-    siblings = placed.select("_tree", "_run", F.struct(F.col("_slot").alias("s"), F.col("_digest").alias("d")).alias("_at"))
-    both = placed.filter(of).join(siblings, ["_tree", "_run"])
+    at = nodes.select("_tree", F.col("_idx").alias("_of"), "_digest", F.explode(sibling_places(width)).alias("_idx"))
+    placed = nodes.select("_tree", "_idx", "_n", "_digest", *keep)
+    if zero:
+        at, placed = (d.filter(F.col("_idx") % width == 0) for d in (at, placed))
+    met = placed.join(at.select("_tree", "_idx", F.struct("_of", "_digest").alias("_at")), ["_tree", "_idx"], "left")
     kept = [F.first(c).alias(c) for c in dict.fromkeys(("_n", "_digest", *keep))]
-    # the node meets itself, too, so that one without siblings stays
-    met = both.groupBy("_tree", "_run", "_slot").agg(*kept, F.array_sort(F.collect_list("_at")).alias("_all"))
-    side = lambda which: F.array_join(F.transform(F.filter("_all", which), lambda x: x["d"]), "")
-    return met.withColumn("_before", side(lambda x: x["s"] < F.col("_slot"))).withColumn("_after", side(lambda x: x["s"] > F.col("_slot"))).drop("_all")
+    all_of = met.groupBy("_tree", "_idx").agg(*kept, F.array_sort(F.collect_list("_at")).alias("_all"))
+    side = lambda which: F.array_join(F.transform(F.filter("_all", which), lambda x: x["_digest"]), "")
+    sides = {"_before": side(lambda x: x["_of"] < F.col("_idx")), "_after": side(lambda x: x["_of"] > F.col("_idx"))}
+    return all_of.withColumns({"_run": F.expr(f"_idx div {width}"), "_slot": (F.col("_idx") % width).cast("int"), **sides}).drop("_all")
 
 
 def parents(nodes: DataFrame, width: int) -> DataFrame:
     """The next level: the rows at slot zero hash their run."""
-    zero = with_siblings(nodes, width, F.col("_slot") == 0)
     n = F.expr(f"(_n + {width - 1}) div {width}")
-    return zero.select("_tree", F.col("_run").alias("_idx"), n.alias("_n"), digest("_digest", "_after").alias("_digest"))
+    return with_siblings(nodes, width, True).select("_tree", F.col("_run").alias("_idx"), n.alias("_n"), digest("_digest", "_after").alias("_digest"))
 
 
 def levels_of(nodes: DataFrame, width: int) -> list[DataFrame]:
@@ -97,10 +107,10 @@ def paths(levels: list[DataFrame], tops: DataFrame, width: int, keep: tuple[str,
         own = keep if i == 0 else ()
         out = nodes.filter("_n = 1").join(tops, "_tree").select("_tree", "_idx", "_digest", *own, *extra, "_steps")
         if known is not None:
-            below = with_siblings(nodes.filter("_n > 1"), width, F.lit(True), *own)
+            below = with_siblings(nodes.filter("_n > 1"), width, False, *own)
             above = known.select("_tree", F.col("_idx").alias("_run"), *extra, F.col("_steps").alias("_above"))
             step = F.struct(F.col("_before").alias("before"), F.col("_after").alias("after"))
-            below = below.join(above, ["_tree", "_run"]).withColumn("_idx", F.col("_run") * width + F.col("_slot")).withColumn("_steps", F.concat(F.array(step), "_above"))
+            below = below.join(above, ["_tree", "_run"]).withColumn("_steps", F.concat(F.array(step), "_above"))
             out = out.unionByName(below.select(out.columns))
         known = out if i == 0 else written(out)
     return known
