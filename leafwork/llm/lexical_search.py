@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,7 +169,7 @@ def searched(index: DataFrame, items: list[tuple[int, list[int]]], weights: np.n
         if found:
             numbers = np.concatenate([np.full(len(x[0]), i, np.int32) for i, x in found.items()])
             ids = np.concatenate([x[0] for x in found.values()])
-            columns = [pa.array(numbers), pa.array(ids, mask=ids == none), pa.array(np.concatenate([x[1] for x in found.values()])), pa.array(np.full(len(ids), hash(ids.tobytes()) % 997, np.int32))]
+            columns = [pa.array(numbers), pa.array(ids, mask=ids == none), pa.array(np.concatenate([x[1] for x in found.values()])), pa.array(np.full(len(ids), zlib.crc32(ids.tobytes()) % 997, np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["item", "doc_id", "score", "task"])
 
     return index.select("doc_id", "n", "terms", "tfs").mapInArrow(run, FOUND)
