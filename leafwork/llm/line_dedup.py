@@ -11,6 +11,9 @@ BLOCKS = "address article aside blockquote body br dd div dl dt fieldset figcapt
 #: The entities that are decoded, in this order.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
+#: The lists of dropped lines are broadcast up to so many bytes in all, measured before.
+MOST_BROADCAST = 8_000_000
+
 
 def host_of(url: Column) -> Column:
     """The host of an absolute URL in lower case, without user and port; empty if there is none."""
@@ -34,7 +37,7 @@ def line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) -> Data
     once for each line however often it repeats it; every row counts as a page, repeated rows too. A null or empty page has
     no lines and an empty text; pages whose URL is null or has no host form one host, "". Other columns aren't read.
     Hot hosts are counted by partial sums, and a host's list of dropped lines has at most 1 / ratio times as many
-    entries as its pages have lines on average; lists of the largest hosts are broadcast, a thousand at most.
+    entries as its pages have lines on average; lists are broadcast if all of them have MOST_BROADCAST bytes at most.
     """
     # pages are parsed once: the lines are counted first and filtered afterwards
     p = written(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("_lines")))
@@ -46,7 +49,10 @@ def line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3) -> Data
     total = hosts.agg(F.sum("_pages")).first()[0] or 0
     over = join_by_weight(often, hosts, ["host"], "_pages", total, F.xxhash64("_line")).filter(F.col("_found") > F.col("_pages") * ratio)
     lists = checkpointed(over.groupBy("host").agg(F.collect_list("_line").alias("_drop"), F.first("_pages").alias("_pages")))
-    out = join_by_weight(p, lists, ["host"], "_pages", total, F.xxhash64("page_id"))
+    # pages need no shuffle where all lists together are small; beyond that hosts of many pages are split
+    size = lists.agg(F.sum(F.aggregate("_drop", F.lit(100), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
+    small = size <= MOST_BROADCAST
+    out = p.join(F.broadcast(lists), "host", "left") if small else join_by_weight(p, lists, ["host"], "_pages", total, F.xxhash64("page_id"))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", x)))
     out = out.withColumn("_kept", kept)
     return out.select(
