@@ -13,8 +13,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, f"http://{h}/{i}", html, "clash", "clash") for i, h, html in rows], PAGES)
 
 
+@pytest.mark.parametrize("most", [0, line_dedup.MOST_BROADCAST])  # lists joined by a shuffle, and broadcast
 @pytest.mark.parametrize(("has", "dropped"), [(3, False), (4, True)])
-def test_a_line_on_exactly_the_ratio_of_a_hosts_pages_stays(spark, has, dropped):
+def test_a_line_on_exactly_the_ratio_of_a_hosts_pages_stays(spark, monkeypatch, has, dropped, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
     rows = [(i, "h", f"<p>own {i}</p>" + ("<p>menu</p>" if i < has else "")) for i in range(10)]
     got = {r.page_id: r for r in line_dedup.line_dedup(pages(spark, rows)).collect()}
     assert all(r.n_dropped == (1 if dropped and i < has else 0) for i, r in got.items())
