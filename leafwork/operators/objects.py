@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import levels
-from .scratch import checkpointed
+from .scratch import checkpointed, met_by_sort
 
 #: Keys whose references are followed.
 LINKS = ("Root", "Info", "FontDescriptor", "OutputIntents", "DestOutputProfile", "Metadata", "MarkInfo", "ExtGState", "XObject")
@@ -52,26 +52,26 @@ def links(objects: DataFrame) -> DataFrame:
         text.contains("pdfaid:part").alias("part"), says(value("Marked") == "true").alias("marked"), says(value("Trapped").isin("/True", "/False")).alias("trapped"),
         (opacity_below_one() | says(~value("BM").isin("/Normal", "/Compatible"))).alias("transparent"), says((value("Subtype") == "/Image") & (value("ColorSpace") == "/DeviceRGB")).alias("rgb_image"),
     )
-    return e.join(objects.select("doc_id", F.col("obj_num").alias("dst"), facts.alias("to")), ["doc_id", "dst"])
+    return met_by_sort(e, objects.select("doc_id", F.col("obj_num").alias("dst"), facts.alias("to")), ["doc_id", "dst"])
 
 
 def from_catalog(linked: DataFrame) -> DataFrame:
     """The links of the catalog, the object that the trailer's Root refers to."""
     roots = linked.filter("src_type = 'Trailer' AND key = 'Root'").select("doc_id", F.col("dst").alias("src"))
-    return linked.join(roots, ["doc_id", "src"], "left_semi")
+    return met_by_sort(linked, roots, ["doc_id", "src"], "left_semi")
 
 
 def catalogs(objects: DataFrame) -> DataFrame:
     roots = objects.filter("type = 'Trailer'").select("doc_id", F.get(refers_to(value("Root")), F.lit(0)).alias("obj_num"))
-    return objects.join(roots, ["doc_id", "obj_num"], "left_semi")
+    return met_by_sort(objects, roots, ["doc_id", "obj_num"], "left_semi")
 
 
 def intents(objects: DataFrame, linked: DataFrame, standard: str) -> DataFrame:
     """(doc_id, intent, icc): a row for each output intent of the catalog with S = ``standard``, whether it has a profile; intents written in the catalog itself count, too."""
     own = linked.filter("key = 'DestOutputProfile' AND to.profile").select("doc_id", F.col("src").alias("dst"), F.lit(True).alias("_icc")).distinct()
-    named = from_catalog(linked).filter("key = 'OutputIntents'").join(own, ["doc_id", "dst"], "left")
+    named = met_by_sort(from_catalog(linked).filter("key = 'OutputIntents'"), own, ["doc_id", "dst"], "left")
     inline = catalogs(objects).filter(F.coalesce(value("OutputIntents"), F.lit("")).rlike(rf"/S\s*/{standard}\b")).select("doc_id", F.lit(True).alias("_inline"))
-    named = named.join(inline, "doc_id", "left")
+    named = met_by_sort(named, inline, ["doc_id"], "left")
     # what an inline intent refers to is its profile
     found = named.filter((F.col("to.s") == f"/{standard}") | (F.col("_inline") & F.col("to.profile"))).select("doc_id", F.lit(True).alias("intent"), (says(F.col("_icc")) | F.col("to.profile")).alias("icc"))
     return found.unionByName(inline.select("doc_id", F.lit(True).alias("intent"), F.lit(False).alias("icc")))
@@ -80,7 +80,7 @@ def intents(objects: DataFrame, linked: DataFrame, standard: str) -> DataFrame:
 def bare_fonts(objects: DataFrame, linked: DataFrame) -> DataFrame:
     """(doc_id, name): fonts without a font file, their descriptor's if they refer to one and else their own."""
     described = linked.filter("key = 'FontDescriptor'").select("doc_id", F.col("src").alias("obj_num"), F.col("to.font_file").alias("_file"))
-    fonts = objects.filter("type = 'Font'").join(described, ["doc_id", "obj_num"], "left")
+    fonts = met_by_sort(objects.filter("type = 'Font'"), described, ["doc_id", "obj_num"], "left")
     refers = F.size(F.coalesce(refers_to(value("FontDescriptor")), F.array().cast("array<int>"))) > 0
     embedded = F.when(refers, says(F.col("_file"))).otherwise(has(*FONT_FILES))
     return fonts.filter(~embedded).select("doc_id", F.coalesce(F.ltrim(value("BaseFont"), F.lit("/")), F.lit("Unknown")).alias("name"))
@@ -131,12 +131,12 @@ def print_flags(objects: DataFrame, ops: DataFrame) -> DataFrame:
     pages = checkpointed(inherited_pages(objects))
     boxless = F.col("MediaBox").isNull() | (F.col("TrimBox").isNull() & F.col("BleedBox").isNull())
     resources = pages.select("doc_id", F.explode(refers_to(F.col("Resources"))).alias("dst")).distinct()
-    by_object = linked.filter("key IN ('ExtGState', 'XObject')").join(resources.withColumnRenamed("dst", "src"), ["doc_id", "src"], "left_semi").select("doc_id", "dst").union(resources).distinct()
-    shown = objects.withColumnRenamed("obj_num", "dst").join(by_object, ["doc_id", "dst"], "left_semi").select(
+    by_object = met_by_sort(linked.filter("key IN ('ExtGState', 'XObject')"), resources.withColumnRenamed("dst", "src"), ["doc_id", "src"], "left_semi").select("doc_id", "dst").union(resources).distinct()
+    shown = met_by_sort(objects.withColumnRenamed("obj_num", "dst"), by_object, ["doc_id", "dst"], "left_semi").select(
         "doc_id", (opacity_below_one() | says(~value("BM").isin("/Normal", "/Compatible"))).alias("transparency"), says((value("Subtype") == "/Image") & (value("ColorSpace") == "/DeviceRGB")).alias("rgb")
     )
     bare = bare_fonts(objects, linked).filter(~F.col("name").isin(*STANDARD_FONTS)).select("doc_id", F.lit(True).alias("bare_font"))
     trapped = linked.filter("src_type = 'Trailer' AND key = 'Info'").select("doc_id", F.col("to.trapped").alias("trapped"))
     used = ops.select("doc_id", F.col("op").isin("rg", "RG").alias("rgb"))
-    rows = [intents(objects, linked, "GTS_PDFX").drop("icc"), trapped, pages.select("doc_id", boxless.alias("boxless")), shown, bare, used.join(objects.select("doc_id").distinct(), "doc_id", "left_semi")]
+    rows = [intents(objects, linked, "GTS_PDFX").drop("icc"), trapped, pages.select("doc_id", boxless.alias("boxless")), shown, bare, met_by_sort(used, objects.select("doc_id").distinct(), ["doc_id"], "left_semi")]
     return together(objects.select("doc_id").distinct(), rows, ["intent", "trapped", "boxless", "transparency", "rgb", "bare_font"])

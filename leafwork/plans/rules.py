@@ -51,7 +51,8 @@ MORE = {"has_xmp": 2, "has_xfa": 17, "has_postscript": 19, "has_opi": 23, "has_e
 
 def objects_of(t: Tables) -> DataFrame:
     """Object rows of documents, a catalog, an information dictionary, a page tree, fonts and whatever the document's flags call for, each flag in more than one spelling."""
-    f, k = t.doc_flags, F.col("doc_id")
+    # a row of flags is small and makes many objects, so rows are dealt out first
+    f, k = t.doc_flags.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"), F.col("doc_id")
     every = lambda n: k % n == 0
     some = lambda c, key, v: (c, key, v)
     made: list[Column] = []

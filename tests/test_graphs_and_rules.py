@@ -165,3 +165,10 @@ def test_print_rules_inherit_boxes_and_resources(spark, rows, ops, strict, loose
 def test_rules_of_no_objects(spark):
     none = table(spark, (0, "Trailer", {}, None)).filter("false")
     assert rules.archival_rules(none).count() == 0 and objects.bare_fonts(none, objects.links(none)).count() == 0
+
+
+def test_rules_broadcast_nothing_that_grows_with_the_documents(spark):
+    t = table(spark, *GOOD)
+    ops = spark.createDataFrame([(1, "rg")], "doc_id long, op string")
+    for rows in (rules.archival_rules(t), rules.print_rules(t, ops)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
