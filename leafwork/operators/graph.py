@@ -55,7 +55,7 @@ def levels(tree: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame
     kept = [c for c in left.columns if c not in ("path", "_to", *(carry or {}))]
     while not left.isEmpty():
         there = union_of([*done, left]).alias("p")
-        met = left.alias("c").join(there, (F.col("c.doc_id") == F.col("p.doc_id")) & (F.col("c._to") == F.col("p.node_id")))
+        met = left.alias("c").join(there.hint("merge"), (F.col("c.doc_id") == F.col("p.doc_id")) & (F.col("c._to") == F.col("p.node_id")))
         met = met.select(*(F.col(f"c.{c}") for c in kept), *(e.alias(n) for n, e in (carry or {}).items()), F.concat("p.path", "c.path").alias("path"), F.col("p._to").alias("_to"))
         now = checkpointed(met.filter(F.size("path") <= F.col("_most")))
         done.append(now.filter("_to IS NULL"))
