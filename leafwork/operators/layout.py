@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from leafwork.functions.text import blank_trim, text_width
+from leafwork.functions.text import blank_trim, text_width, width_of
 from leafwork.sources.writers import in_order, letters_of
 
 PAGE = ["doc_id", "page_no"]
@@ -177,6 +181,28 @@ def collapse_blank_lines(lines: DataFrame) -> DataFrame:
 #: Characters that may not begin, or may not end, a line.
 NO_START = "、。，．・：；？！）］｝〉》」』】〕〟ヽヾゝゞ々ーァィゥェォッャュョヮヵヶぁぃぅぇぉっゃゅょゎ℃％‰"
 NO_END = "（［｛〈《「『【〔'\"￥＄￡＃"
+#: What stays whole in wrapping.
+TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+
+
+def wrapped(tokens: list[str], widths: Callable[[str], float], width: float) -> list[str]:
+    """One paragraph's lines: the fold over its tokens (see ``wrap_text``)."""
+    done, begin, n, now, last = [], 0, 0, 0.0, ""
+    for i, t in enumerate(tokens):
+        w = widths(t)
+        if n == 0 or now + w <= width:
+            begin, n, now = (i if n == 0 else begin), n + 1, now + w
+        else:
+            drags = n > 1 and (t in NO_START or last in NO_END)
+            done.append("".join(tokens[begin : begin + n - drags]).rstrip(" "))
+            if drags:
+                begin, n, now = i - 1, 2, widths(last) + w
+            elif t == " ":
+                begin, n, now = i + 1, 0, 0.0
+            else:
+                begin, n, now = i, 1, w
+        last = t
+    return [*done, "".join(tokens[begin : begin + n])] if n or not done else done
 
 
 def wrap_text(paras: DataFrame, width: float, size: float) -> DataFrame:
@@ -184,26 +210,27 @@ def wrap_text(paras: DataFrame, width: float, size: float) -> DataFrame:
 
     A character that may not begin a line brings the one before it down; one that may not end a line goes down itself.
     Spaces at a break go; an empty paragraph is an empty line; a word wider than the line has a line of its own. The fold over the tokens keeps where the current line
-    begins and how wide it is, and notes a line's ends when it is full; texts are cut once, in the end.
+    begins and how wide it is. It runs over Arrow batches in linear time; a task remembers the widths of short words, 100,000 at most.
     """
-    tokens = F.transform(F.regexp_extract_all(F.coalesce("line", F.lit("")), F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)), lambda t, i: F.struct(t.alias("t"), text_width(t, size).alias("w"), i.alias("i")))
-    start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0.0).alias("w"), F.lit("").alias("last"), F.lit(0.0).alias("last_w"))
-
-    def state(done: Column, a: Column, n: Column, w: Column, tok: Column) -> Column:
-        return F.struct(done.alias("done"), a.cast("int").alias("a"), n.cast("int").alias("n"), w.alias("w"), tok["t"].alias("last"), tok["w"].alias("last_w"))
-
-    def step(s: Column, tok: Column) -> Column:
-        n, i = s["n"], tok["i"]
-        full = lambda k: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), k.cast("int").alias("n"))))
-        fits = (s["w"] + tok["w"] <= width) | (n == 0)
-        drags = (n > 1) & (F.lit(NO_START).contains(tok["t"]) | F.lit(NO_END).contains(s["last"]))
-        return (
-            F.when(fits, state(s["done"], F.when(n == 0, i).otherwise(s["a"]), n + 1, s["w"] + tok["w"], tok)).when(drags, state(full(n - 1), i - 1, F.lit(2), s["last_w"] + tok["w"], tok))
-            .when(tok["t"] == " ", state(full(n), i + 1, F.lit(0), F.lit(0.0), tok)).otherwise(state(full(n), i, F.lit(1), tok["w"], tok))
-        )
-
-    ends = F.aggregate("_tokens", start, step, lambda s: F.when((s["n"] > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["n"].alias("n"))))).otherwise(s["done"]))
-    rows = paras.select("doc_id", "pos", tokens.alias("_tokens")).withColumn("_ends", ends)
-    cut = lambda e: F.array_join(F.transform(F.slice("_tokens", e["a"] + 1, e["n"]), lambda x: x["t"]), "")
-    texts = F.transform("_ends", lambda e, i: F.when(i == F.size("_ends") - 1, F.when(e["a"] + e["n"] == F.size("_tokens"), cut(e)).otherwise(F.rtrim(cut(e)))).otherwise(F.rtrim(cut(e))))
-    return rows.select("doc_id", "pos", F.posexplode(texts).alias("line_no", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+
+        def of(t: str) -> float:
+            w = known.get(t)
+            if w is None:
+                w = width_of(t, size)
+                if len(known) < 100_000 and len(t) <= 32:
+                    known[t] = w
+            return w
+
+        for b in batches:
+            docs, at, numbers, texts = [], [], [], []
+            for doc, pos, line in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "line")), strict=True):
+                for k, text in enumerate(wrapped(TOKEN.findall(line), of, width)):
+                    docs.append(doc), at.append(pos), numbers.append(k), texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc_id").type), pa.array(at, b.schema.field("pos").type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "pos", "line_no", "text"])
+
+    kind = {f.name: f.dataType.simpleString() for f in paras.schema}
+    rows = paras.select("doc_id", "pos", F.coalesce("line", F.lit("")).alias("line"))
+    return rows.mapInArrow(run, f"doc_id {kind['doc_id']}, pos {kind['pos']}, line_no int, text string")

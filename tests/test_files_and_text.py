@@ -175,6 +175,14 @@ def test_wrapping_is_the_fold_by_hand(spark):
     assert got == {i: brute_wrap(line or "", 60, 10, widths.__getitem__) for i, line in enumerate(lines)}
 
 
+def test_long_paragraphs_wrap_in_linear_time(spark):
+    p = spark.createDataFrame([(1, 0, "word " * 100_000)], "doc_id long, pos long, line string")
+    rows = layout.wrap_text(p, 400, 11)
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    texts = [r.text for r in rows.orderBy("line_no").collect()]
+    assert sum(t.count("word") for t in texts) == 100_000 and len(set(texts[:-1])) == 1
+
+
 def test_a_sink_of_reports_writes_files(spark, tmp_path):
     d = spark.createDataFrame([(1, 0, 0, "added", "", "new <b>")], "doc_id long, page_no long, seq long, kind string, original_text string, revised_text string")
     files.write_bucketed(writers.diff_report_html(d), str(tmp_path / "r"), "json", 2)
