@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafwork.functions.text import blank_trim
@@ -67,9 +70,29 @@ def dominant_matching(pairs: DataFrame) -> tuple[DataFrame, int]:
     return taken, rounds
 
 
+def greedy_matching(pairs: DataFrame) -> DataFrame:
+    """What ``dominant_matching`` takes, without rounds: pairs come to a task page by page by falling ``sim`` (then orig_block_id, rev_block_id), and each whose blocks are both free is taken. A task holds one page's taken blocks."""
+    columns = [*PAGE, "orig_block_id", "rev_block_id", "sim"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, left, right = None, set(), set()
+        for b in batches:
+            free = []
+            for doc, no, x, y in zip(*(b.column(c).to_pylist() for c in columns[:4]), strict=True):
+                if page != (doc, no):
+                    page, left, right = (doc, no), set(), set()
+                free.append(x not in left and y not in right)
+                if free[-1]:
+                    left.add(x), right.add(y)
+            yield b.filter(pa.array(free, pa.bool_()))
+
+    rows = pairs.select(columns)
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("sim"), "orig_block_id", "rev_block_id").mapInArrow(run, rows.schema)
+
+
 def match_blocks_fuzzy(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: float = 12.0) -> DataFrame:
-    """Blocks near each other that are alike, paired by ``dominant_matching``, with both texts, the revised place, the larger of both sizes and sim."""
-    pairs, _ = dominant_matching(nearby_pairs(orig, rev, dx, dy))
+    """Blocks near each other that are alike, paired by ``greedy_matching``, with both texts, the revised place, the larger of both sizes and sim."""
+    pairs = greedy_matching(nearby_pairs(orig, rev, dx, dy))
     a = orig.select(*PAGE, F.col("block_id").alias("orig_block_id"), F.col("text").alias("orig_text"), F.col("width").alias("_width"), F.col("height").alias("_height"))
     b = rev.select(*PAGE, F.col("block_id").alias("rev_block_id"), F.col("text").alias("rev_text"), F.col("x").alias("rev_x"), F.col("y").alias("rev_y"), "width", "height")
     both = pairs.join(a, [*PAGE, "orig_block_id"]).join(b, [*PAGE, "rev_block_id"])
@@ -77,12 +100,16 @@ def match_blocks_fuzzy(orig: DataFrame, rev: DataFrame, dx: float = 40.0, dy: fl
     return both.select(*PAGE, "orig_block_id", "rev_block_id", "orig_text", "rev_text", "rev_x", "rev_y", *larger, "sim")
 
 
-def diff(orig: DataFrame, rev: DataFrame) -> DataFrame:
-    """Changes between revisions: (doc_id, page_no, kind, original_text, revised_text, x, y, width, height, seq). Exact pairs are no changes; the rest is paired by likeness, with the larger of both sizes, or added, or deleted."""
-    # only what has no exact partner is used again, so it is kept
+def without_exact(orig: DataFrame, rev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of both sides that have no exact partner; matched once and kept."""
     rest = checkpointed(match_blocks_exact(orig, rev).filter("orig_block_id IS NULL OR rev_block_id IS NULL"))
     side = lambda p, other: rest.filter(f"{other}_block_id IS NULL").select(*PAGE, *(F.col(f"{p}_{c}").alias(c) for c in ("block_id", "text", "x", "y", "width", "height")))
-    left, right = side("orig", "rev"), side("rev", "orig")
+    return side("orig", "rev"), side("rev", "orig")
+
+
+def diff(orig: DataFrame, rev: DataFrame) -> DataFrame:
+    """Changes between revisions: (doc_id, page_no, kind, original_text, revised_text, x, y, width, height, seq). Exact pairs are no changes; the rest is paired by likeness, with the larger of both sizes, or added, or deleted."""
+    left, right = without_exact(orig, rev)
     pairs = checkpointed(match_blocks_fuzzy(left, right))
     deleted = left.join(pairs.select(*PAGE, F.col("orig_block_id").alias("block_id")), [*PAGE, "block_id"], "left_anti")
     added = right.join(pairs.select(*PAGE, F.col("rev_block_id").alias("block_id")), [*PAGE, "block_id"], "left_anti")

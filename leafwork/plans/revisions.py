@@ -51,9 +51,7 @@ def j5_match_exact(t: Tables) -> DataFrame:
 
 @query(f"{FUZZY} SELECT doc_id, page_no, orig_block_id, rev_block_id, round(sim, 6) AS sim FROM p")
 def j6_match_fuzzy(t: Tables) -> DataFrame:
-    orig, rev = sides(t)
-    left = orig.join(r.match_blocks_exact(orig, rev).filter("rev_block_id IS NULL").select("doc_id", "page_no", F.col("orig_block_id").alias("block_id")), ["doc_id", "page_no", "block_id"], "left_semi")
-    right = rev.join(r.match_blocks_exact(orig, rev).filter("orig_block_id IS NULL").select("doc_id", "page_no", F.col("rev_block_id").alias("block_id")), ["doc_id", "page_no", "block_id"], "left_semi")
+    left, right = r.without_exact(*sides(t))
     return r.match_blocks_fuzzy(left, right).select("doc_id", "page_no", "orig_block_id", "rev_block_id", F.round("sim", 6).alias("sim"))
 
 

@@ -31,6 +31,15 @@ def test_matching_is_the_greedy_choice(spark):
     assert none.count() == 0
 
 
+def test_matching_page_by_page_is_the_greedy_choice_without_rounds(spark):
+    r = random.Random(6)
+    pairs = [(d, a, b, r.choice([0.3, 0.5, 0.5, 0.7, 0.9])) for d in range(6) for a in range(12) for b in range(12) if r.random() < 0.3]
+    df = spark.createDataFrame([(d, 0, a, b, s) for d, a, b, s in pairs], "doc_id long, page_no long, orig_block_id long, rev_block_id long, sim double")
+    got = revisions.greedy_matching(df)
+    assert {(x.doc_id, x.orig_block_id, x.rev_block_id) for x in got.collect()} == brute_matching(pairs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") and revisions.greedy_matching(df.filter("false")).count() == 0
+
+
 def test_a_block_whose_first_choice_is_taken_gets_its_next(spark):
     rows = lambda *r: spark.createDataFrame([(1, 0, i, t, 50.0, y, 9.0, 9.0) for i, (t, y) in enumerate(r)], BLOCKS)
     a, b = rows(("the quick brown fox", 700.0), ("the quick brown cat", 692.0)), rows(("the quick brown fax", 700.0), ("the quick brawn dog", 692.0))
