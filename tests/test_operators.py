@@ -352,3 +352,14 @@ def test_formulas_are_arithmetic_alone(spark):
 
 def test_column_letters(spark):
     assert [one(spark, writers.column_letters(F.lit(i))) for i in (0, 25, 26, 51, 52, 701, 702, 18277)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_skew_turns_a_page_without_multiplying_its_words(spark):
+    import math
+
+    rows = [(1, p, float(x), 400 + (x - 505) * -math.tan(math.radians(a)) + 40 * k, 10.0) for p, a in ((0, 3.0), (1, 0.0), (2, -2.5)) for k in range(8) for x in range(0, 1000, 50)]
+    words = spark.createDataFrame(rows, "doc_id long, page_no long, x_left double, y_top double, width double")
+    angles = ocr.skew_estimate(words)
+    assert "Generate" not in angles._jdf.queryExecution().executedPlan().toString()
+    got = {r.page_no: r.angle for r in angles.collect()}
+    assert all(abs(got[p] - a) <= 1 for p, a in ((0, 3.0), (1, 0.0), (2, -2.5)))
