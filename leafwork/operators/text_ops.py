@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from leafwork.functions.text import occurrences, text_width
+from leafwork.functions.text import occurrences, text_width, width_of
 
 BLOCK = ["doc_id", "page_no", "block_id"]
 
@@ -19,6 +21,20 @@ def font_key(fonts: DataFrame) -> list[str]:
     return ["doc_id", "font_name"] if "doc_id" in fonts.columns else ["font_name"]
 
 
+@F.pandas_udf(DoubleType())
+def _by_table(text: pd.Series, first: pd.Series, widths: pd.Series, size: pd.Series) -> pd.Series:
+    """Widths by the fonts' tables, codes below 256 only; what isn't in the table is measured as one run. Null where nothing is in it."""
+    out = []
+    for t, start, table, points in zip(text, first, widths, size, strict=True):
+        if table is None or pd.isna(start) or pd.isna(points):
+            out.append(None)
+            continue
+        at = {chr(int(start) + i): w for i, w in enumerate(table) if 0 <= int(start) + i < 256 and w is not None and w > 0}
+        known = sum(at[c] for c in t if c in at)
+        out.append(known / 1000 * points + width_of("".join(c for c in t if c not in at), points) if known > 0 else None)
+    return pd.Series(out, dtype="float64")
+
+
 def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
     """P5: each block's width by its font's table.
 
@@ -30,19 +46,8 @@ def width_with_font(blocks: DataFrame, fonts: DataFrame) -> DataFrame:
     one = fonts.groupBy(*font_key(fonts)).agg(F.max(F.struct("first", "widths", "composite", "default")).alias("_f")).select(*font_key(fonts), "_f.*")
     joined = blocks.join(one, font_key(fonts), "left")
     chars = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
-    # codes 0 to 255 only: a larger one is never below 256
-    code = lambda c: F.when(F.length(F.hex(F.encode(c, "UTF-16BE"))) == 4, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")).otherwise(1 << 16)
-    entry = lambda c: F.when((code(c) >= F.col("first")) & (code(c) < 256), F.get(F.col("widths"), code(c) - F.col("first")))
     size = F.col("font_size")
-    measured = F.transform(chars, lambda c: F.struct(c.alias("c"), F.coalesce(entry(c), F.lit(0.0)).alias("w")))
-
-    def of(ms: Column) -> Column:
-        rest = F.array_join(F.transform(F.filter(ms, lambda m: m["w"] <= 0), lambda m: m["c"]), "")
-        known = F.aggregate(ms, F.lit(0.0), lambda a, m: a + F.greatest(m["w"], F.lit(0.0)))
-        # what isn't in the table is measured as one run
-        return F.when(known > 0, F.transform(F.array(rest), lambda r: known / 1000 * size + text_width(r, size))[0])
-
-    by_table = F.transform(F.array(measured), of)[0]
+    by_table = _by_table(F.coalesce("text", F.lit("")), F.col("first").cast("int"), F.col("widths"), size.cast("double"))
     width = F.when(F.coalesce("composite", F.lit(False)), F.size(chars) * F.col("default") / 1000 * size).otherwise(F.coalesce(by_table, text_width(F.col("text"), size)))
     return joined.select(*blocks.columns, width.alias("width"))
 

@@ -211,3 +211,11 @@ def test_a_sink_of_reports_writes_files(spark, tmp_path):
     d = spark.createDataFrame([(1, 0, 0, "added", "", "new <b>")], "doc_id long, page_no long, seq long, kind string, original_text string, revised_text string")
     files.write_bucketed(writers.diff_report_html(d), str(tmp_path / "r"), "json", 2)
     assert "new &lt;b&gt;" in files.read_bucketed(spark, str(tmp_path / "r"), "doc_id long, html string").first().html
+
+
+def test_font_widths_are_looked_up_in_one_pass_over_a_text(spark):
+    fonts = spark.createDataFrame([("F", 97, [500.0, 0.0, None, 250.0], False, 1000.0)], "font_name string, first int, widths array<double>, composite boolean, default double")
+    b = spark.createDataFrame([(1, 0, i, t, "F", 10.0) for i, t in enumerate(["ad", "abz", "漢a", "xyz", "", None])], "doc_id long, page_no long, block_id long, text string, font_name string, font_size double")
+    rows = text_ops.width_with_font(b, fonts)
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [round(r.width, 6) for r in rows.orderBy("block_id").collect()] == [7.5, 16.0, 15.0, 16.5, 0.0, 0.0]
