@@ -13,7 +13,8 @@ from leafwork.functions.geometry import pixels_to_points
 from leafwork.functions.text import blank_trim
 from leafwork.sources.writers import in_order
 
-from .regions import split_by
+from .regions import per_page, split_by
+from .runs import gathered, packed
 
 PAGE = ["doc_id", "page_no"]
 LINE = [*PAGE, "block_num", "par_num", "line_num"]
@@ -46,19 +47,35 @@ def _joined(words: Column, cjk: bool) -> Column:
 
 def ocr_lines(words: DataFrame, cjk: bool = False) -> DataFrame:
     """A5: lines with box, confidence, font size and text. A row of level 4 gives the box, else the union of the words' boxes; confidence is the mean of those not negative, 80 if there is none; the size is 0.85 of the height, 10 at least."""
-    word, line = (F.col("level") == 5) & (blank_trim(F.col("text")) != ""), F.col("level") == 4
+    word, line = (F.col("level") == 5) & F.col("text").rlike(r"\S"), F.col("level") == 4
     right, bottom = F.col("x_left") + F.col("width"), F.col("y_top") + F.col("height")
-    own = lambda c: F.max(F.when(line, F.col(c)))
-    agg = words.groupBy(*LINE).agg(
-        own("x_left").alias("_x"), own("y_top").alias("_y"), own("width").alias("_w"), own("height").alias("_h"),
-        F.min(F.when(word, F.col("x_left"))).alias("_x0"), F.min(F.when(word, F.col("y_top"))).alias("_y0"), F.max(F.when(word, right)).alias("_x1"), F.max(F.when(word, bottom)).alias("_y1"),
-        F.coalesce(F.avg(F.when(word & (F.col("conf") >= 0), F.col("conf"))), F.lit(80.0)).alias("conf"),
-        F.transform(F.array_sort(F.collect_list(F.when(word, F.struct("word_num", "text")))), lambda x: x["text"]).alias("_words"),
-    ).filter(F.size("_words") > 0)
+    sure = F.when(F.col("conf") >= 0, F.col("conf").cast("double"))
+    total = lambda c, start: F.aggregate(c, F.lit(start), lambda a, v: a + F.coalesce(v, F.lit(start)))
+    # words that follow one another in a line become one row where they are read, their texts one text: the shuffle moves little more than that
+    runs = packed(words.filter(word).select(*LINE, "word_num", "text", F.col("x_left").alias("_x0"), F.col("y_top").alias("_y0"), right.alias("_x1"), bottom.alias("_y1"), sure.alias("_conf")), LINE)
+    rising = F.col("word_num") == F.sort_array(F.array_distinct("word_num"))
+    plain = ~F.array_join("text", "").contains("\n")
+    runs = runs.select(
+        *LINE, F.array_min("_x0").alias("_x0"), F.array_min("_y0").alias("_y0"), F.array_max("_x1").alias("_x1"), F.array_max("_y1").alias("_y1"), total("_conf", 0.0).alias("_conf"), F.size(F.array_compact("_conf")).alias("_sure"),
+        F.col("word_num").alias("_nums"), (rising & plain).alias("_done"), F.when(plain, F.array_join("text", "\n")).alias("_text"), F.when(~plain, F.col("text")).alias("_texts"),
+    )
+    boxes = words.filter(line).select(*LINE, F.col("x_left").alias("_x"), F.col("y_top").alias("_y"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    lines = gathered(runs.unionByName(boxes, allowMissingColumns=True), LINE).withColumn("_n", F.size(F.array_compact("_sure"))).filter("_n > 0")
+    # most lines are one run in order; the others' words are sorted
+    one = (F.col("_n") == 1) & F.coalesce(F.array_max("_done"), F.lit(False))
+    parts = F.filter(F.arrays_zip("_nums", "_text", "_texts"), lambda r: r["_nums"].isNotNull())
+    numbered = F.transform(parts, lambda r: F.arrays_zip(r["_nums"].alias("n"), F.coalesce(F.split(r["_text"], "\n"), r["_texts"]).alias("t")))
+    ordered = F.transform(F.array_sort(F.flatten(numbered)), lambda x: x["t"])
+    only = F.array_max("_text")
+    text = F.when(one, _joined(F.split(only, "\n"), cjk) if cjk else F.replace(only, F.lit("\n"), F.lit(" "))).otherwise(_joined(ordered, cjk))
+    agg = lines.select(
+        *LINE, *(F.array_max(c).alias(c) for c in ("_x", "_y", "_w", "_h", "_x1", "_y1")), *(F.array_min(c).alias(c) for c in ("_x0", "_y0")),
+        F.coalesce(F.try_divide(total("_conf", 0.0), total("_sure", 0)), F.lit(80.0)).alias("conf"), text.alias("text"),
+    )
     h = F.coalesce("_h", F.col("_y1") - F.col("_y0"))
     return agg.select(
         *LINE, F.coalesce("_x", "_x0").alias("x_left"), F.coalesce("_y", "_y0").alias("y_top"), F.coalesce("_w", F.col("_x1") - F.col("_x0")).alias("width"), h.alias("height"), "conf",
-        F.greatest(h * 0.85, F.lit(10.0)).alias("font_size"), _joined(F.col("_words"), cjk).alias("text"),
+        F.greatest(h * 0.85, F.lit(10.0)).alias("font_size"), "text",
     )
 
 
@@ -94,8 +111,9 @@ def redact_by_ocr(blocks: DataFrame, words: DataFrame, term: str, px: tuple[floa
         raise ValueError("nothing to look for")
     hits = ocr_lines(words).filter(F.lower("text").contains(term.lower()))
     box = pixels_to_points(F.col("x_left"), F.col("y_top"), F.col("width"), F.col("height"), *map(F.lit, (*px, *page)), pad=2.0)
-    rects = hits.select(*PAGE, box["x"].alias("x"), box["y"].alias("y"), box["width"].alias("w"), box["height"].alias("h"))
-    found = rects.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit("the term is on no page")).cast("long")).otherwise(F.col("_n")).alias("_n"))
+    rects = hits.select(*PAGE, box["x"].alias("x"), box["y"].alias("y"), box["width"].alias("w"), box["height"].alias("h")).dropna(subset=PAGE)
+    # counted where the rectangles of a page are together, in the columns that the join reads, so that both read one shuffle of the lines
+    found = per_page(rects, "x", "y", "w", "h").agg(F.sum(F.size("_rects")).alias("_n")).select(F.when(F.coalesce("_n", F.lit(0)) == 0, F.raise_error(F.lit("the term is on no page")).cast("long")).otherwise(F.col("_n")).alias("_n"))
     x, y = F.col("x"), F.col("y")
     marked = split_by(blocks, rects, lambda r: (x < r["x"] + r["w"]) & (x + F.col("advance") > r["x"]) & y.between(r["y"], r["y"] + r["h"]))
     return marked.join(F.broadcast(found), F.col("_n") > 0).drop("_n")

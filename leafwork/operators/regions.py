@@ -9,14 +9,14 @@ from .graph import closure
 PAGE = ["doc_id", "page_no"]
 
 
-def _per_page(rects: DataFrame, *cols: str) -> DataFrame:
+def per_page(rects: DataFrame, *cols: str) -> DataFrame:
     """A page's rectangles as one array, so that a page's runs meet them in one row."""
     return rects.groupBy(*PAGE).agg(F.collect_list(F.struct(*cols)).alias("_rects"))
 
 
 def split_by(rows: DataFrame, rects: DataFrame, hit) -> DataFrame:
     """``rows`` with ``removed``: whether ``hit`` holds for any rectangle (x, y, w, h) of the page. One join on the page, no row is multiplied."""
-    joined = rows.join(_per_page(rects, "x", "y", "w", "h"), PAGE, "left")
+    joined = rows.join(per_page(rects, "x", "y", "w", "h"), PAGE, "left")
     return joined.withColumn("removed", F.coalesce(F.exists("_rects", hit), F.lit(False))).drop("_rects")
 
 
