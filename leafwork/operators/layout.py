@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from leafwork.functions.text import blank_trim, text_width, width_of
 from leafwork.sources.writers import in_order, letters_of
 
+from .runs import gathered, packed
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -91,25 +93,40 @@ def _starts(values: Column, apart) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), take)
 
 
+def _pages(blocks: DataFrame, tol: float, col_tol: float) -> DataFrame:
+    """A page's blocks as one array, ``_blocks``, and where its rows and columns start. Blocks are packed by page before they are shuffled; what follows by page needs no further shuffle."""
+    others = [c for c in blocks.columns if c not in PAGE]
+    page = gathered(packed(blocks, PAGE), PAGE).select(*PAGE, *(F.flatten(c).alias(c) for c in others))
+    starts = lambda c, asc, apart: _starts(F.sort_array(F.array_distinct(F.array_compact(c)), asc=asc), apart)
+    rows, cols = starts("y", False, lambda v, s: F.abs(v - s) > tol), starts("x", True, lambda v, s: F.abs(v - s) >= col_tol)
+    return page.select(*PAGE, rows.alias("_rows"), cols.alias("_cols"), F.arrays_zip(*others).alias("_blocks"))
+
+
+def _row_of(y: Column) -> Column:
+    return (F.size(F.filter("_rows", lambda s: s >= y)) - 1).cast("long")
+
+
 def cluster_rows(blocks: DataFrame, tol: float = 5.0, col_tol: float = 18.0) -> DataFrame:
     """Each block with its row and column and whether its page is a table at all, with two columns or more.
 
     From the top, a block joins a row if it is within ``tol`` of the row's first block; from the left, a column starts
-    ``col_tol`` or more from the start of the last. Within a page a block belongs to the nearest column.
+    ``col_tol`` or more from the start of the last. Within a page a block belongs to the nearest column. All columns of ``blocks`` are shuffled: give it those that are wanted.
     """
-    # a page's blocks come together once; what follows by page needs no further shuffle
-    others = [c for c in blocks.columns if c not in PAGE]
-    page = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"), F.sort_array(F.collect_set("x")).alias("xs"), F.collect_list(F.struct(*others)).alias("_blocks"))
-    page = page.select(*PAGE, _starts(F.col("ys"), lambda v, s: F.abs(v - s) > tol).alias("_rows"), _starts(F.col("xs"), lambda v, s: F.abs(v - s) >= col_tol).alias("_cols"), "_blocks")
-    rows = page.select(*PAGE, "_rows", "_cols", F.inline("_blocks"))
-    row = F.size(F.filter("_rows", lambda s: s >= F.col("y"))) - 1
+    rows = _pages(blocks, tol, col_tol).select(*PAGE, "_rows", "_cols", F.inline("_blocks"))
     near = F.array_min(F.transform("_cols", lambda c, i: F.struct(F.abs(F.col("x") - c).alias("d"), i.alias("i"))))["i"]
-    return rows.select(*blocks.columns, row.cast("long").alias("row"), near.cast("long").alias("col"), (F.size("_cols") >= 2).alias("is_table"))
+    return rows.select(*blocks.columns, _row_of(F.col("y")).alias("row"), near.cast("long").alias("col"), (F.size("_cols") >= 2).alias("is_table"))
+
+
+def column_count(blocks: DataFrame, col_tol: float = 18.0) -> DataFrame:
+    """How many columns a page has. Only where blocks start from the left is shuffled, once a run of blocks."""
+    runs = packed(blocks.select(*PAGE, "x"), PAGE).select(*PAGE, F.array_distinct(F.array_compact("x")).alias("x"))
+    cols = _starts(F.sort_array(F.array_distinct(F.flatten("x"))), lambda v, s: F.abs(v - s) >= col_tol)
+    return gathered(runs, PAGE).select(*PAGE, F.nullif(F.size(cols), F.lit(0)).cast("long").alias("n_columns"))
 
 
 def grid_cells(blocks: DataFrame) -> DataFrame:
     """Cells (doc_id, page_no, row, col, text) of pages that are tables, trimmed texts joined by spaces from left to right; other pages are one column."""
-    rows = cluster_rows(blocks).withColumn("col", F.when(F.col("is_table"), F.col("col")).otherwise(0)).withColumn("_t", blank_trim(F.col("text"))).filter("_t <> ''")
+    rows = cluster_rows(blocks.select(*PAGE, "block_id", "x", "y", "text")).withColumn("col", F.when(F.col("is_table"), F.col("col")).otherwise(0)).withColumn("_t", blank_trim(F.col("text"))).filter("_t <> ''")
     return rows.groupBy(*PAGE, "row", "col").agg(in_order(F.col("_t"), " ", "x", "block_id").alias("text"))
 
 
@@ -126,9 +143,10 @@ def write_grid(cells: DataFrame, columns: int | None = None) -> DataFrame:
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Each block's place on its page, rows from the top, in a row from the left, ties by block_id."""
-    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("row", "x", "block_id")) - 1
-    return cluster_rows(blocks).select(*PAGE, "block_id", place.cast("long").alias("place"))
+    """Each block's place on its page, rows from the top, in a row from the left, ties by block_id. A page's blocks are sorted where they are together."""
+    page = _pages(blocks.select(*PAGE, "block_id", "x", "y"), 5.0, 18.0)
+    placed = F.transform("_blocks", lambda b: F.struct(_row_of(b["y"]).alias("row"), b["x"].alias("x"), b["block_id"].alias("block_id")))
+    return page.select(*PAGE, F.posexplode(F.array_sort(placed)).alias("place", "b")).select(*PAGE, "b.block_id", F.col("place").cast("long").alias("place"))
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:

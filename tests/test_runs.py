@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafwork.operators import ocr
+from leafwork.operators import layout, ocr
 from leafwork.operators.runs import gathered, packed
 
 WORD = "doc_id long, page_no long, level int, block_num long, par_num long, line_num long, word_num long, x_left double, y_top double, width double, height double, conf double, text string"
@@ -59,3 +59,17 @@ def test_words_are_packed_before_their_shuffle_and_lines_shuffled_once(spark):
     assert out.count() == 1
     out.collect()
     assert "ReusedExchange" in plan_of(out)
+
+
+def test_grids_shuffle_packed_pages_and_no_more_than_is_asked_for(spark):
+    r = random.Random(5)
+    rows = [(d, 0, i, f"text{i}", 50.0 + 100 * (i % 5) + i % 3, 790.0 - 16 * (i // 5) + i % 4) for d in range(3) for i in range(40)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, block_id long, text string, x double, y double").repartition(3)
+    cells = {(x.doc_id, x.block_id): (x.row, x.col) for x in layout.cluster_rows(df).collect()}
+    assert cells == {(d, i): (i // 5, i % 5) for d in range(3) for i in range(40)}
+    assert {(x.doc_id, x.block_id): x.place for x in layout.reading_order(df).collect()} == {(d, i): i for d in range(3) for i in range(40)}
+    assert {(x.doc_id, x.n_columns) for x in layout.column_count(df).collect()} == {(d, 5) for d in range(3)}
+    for out in (layout.cluster_rows(df), layout.reading_order(df), layout.column_count(df)):
+        assert "ObjectHashAggregate" not in plan_of(out) and "Window" not in plan_of(out) and "MapInArrow" in plan_of(out)
+    assert "text" not in plan_of(layout.reading_order(df)).split("Exchange")[1] and layout.column_count(df.withColumn("x", F.lit(None).cast("double"))).first().n_columns is None
