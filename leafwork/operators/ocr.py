@@ -112,7 +112,7 @@ def redact_by_ocr(blocks: DataFrame, words: DataFrame, term: str, px: tuple[floa
     hits = ocr_lines(words).filter(F.lower("text").contains(term.lower()))
     box = pixels_to_points(F.col("x_left"), F.col("y_top"), F.col("width"), F.col("height"), *map(F.lit, (*px, *page)), pad=2.0)
     rects = hits.select(*PAGE, box["x"].alias("x"), box["y"].alias("y"), box["width"].alias("w"), box["height"].alias("h")).dropna(subset=PAGE)
-    # counted where the rectangles of a page are together, in the columns that the join reads, so that both read one shuffle of the lines
+    # counted where the rectangles of a page are together, in the columns that the join reads, so that both read one shuffle of the words
     found = per_page(rects, "x", "y", "w", "h").agg(F.sum(F.size("_rects")).alias("_n")).select(F.when(F.coalesce("_n", F.lit(0)) == 0, F.raise_error(F.lit("the term is on no page")).cast("long")).otherwise(F.col("_n")).alias("_n"))
     x, y = F.col("x"), F.col("y")
     marked = split_by(blocks, rects, lambda r: (x < r["x"] + r["w"]) & (x + F.col("advance") > r["x"]) & y.between(r["y"], r["y"] + r["h"]))
