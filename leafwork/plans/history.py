@@ -34,6 +34,18 @@ def r1_replay_edits(t: Tables) -> DataFrame:
     return shown(h.replay_edits(t.edit_event))
 
 
+def lateness(events: DataFrame, bounds: list[int], least: float = 10) -> float:
+    """Minutes by which the oldest event of a range of seq lies behind the newest of the ranges before it: the stream may drop none of them."""
+    number = sum((F.col("seq") >= b).cast("int") for b in bounds[1:-1]) if bounds else F.lit(0)
+    ends = events.groupBy(number.alias("n")).agg(*(f(F.unix_micros(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))).orderBy("n").collect()
+    newest, late = None, 0
+    for _, first, last in ends:
+        if first is not None:
+            late = late if newest is None else max(late, newest - first)
+            newest = last if newest is None else max(newest, last)
+    return least + late / 60_000_000
+
+
 @query(REPLAY.format(idle=IDLE_HOURS * 3600) + " SELECT *, row_number() OVER (ORDER BY last_used DESC, session_id) <= 32 AS kept FROM f")
 def r2_replay_edits_stream(t: Tables) -> DataFrame:
     """The stream forgets sessions that were idle for a day, and the 32 used last are kept."""
@@ -42,10 +54,12 @@ def r2_replay_edits_stream(t: Tables) -> DataFrame:
     lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
     # four ranges of ascending seq arrive one after the other, each in as many files as its tasks write, and the stream goes on from its checkpoint
     bounds = [] if lo is None else [lo + (hi + 1 - lo) * i // 4 for i in range(5)]
+    late = lateness(events, bounds)
     out = h.replay_edits(events.filter("false"))
     for a, b in zip(bounds, bounds[1:], strict=False):
-        events.filter(F.col("seq").between(a, b - 1)).write.mode("append").parquet(f"{base}/in")
-        out = replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out", idle_minutes=IDLE_HOURS * 60)
+        arriving = events.filter(F.col("seq").between(a, b - 1)).repartition("session_id").sortWithinPartitions("session_id", "seq")
+        arriving.write.mode("append").parquet(f"{base}/in")
+        out = replay_files(t.spark, f"{base}/in", events.schema, f"{base}/checkpoint", f"{base}/out", idle_minutes=IDLE_HOURS * 60, late_minutes=late)
     return shown(kept_sessions(out))
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from leafwork.operators.runs import packed
+
 OUT = "session_id long, effective array<bigint>, undo_depth long, redo_depth long, dirty boolean, last_used timestamp"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MICRO = timedelta(microseconds=1)
+EPOCH, MICRO = datetime(1970, 1, 1, tzinfo=UTC), timedelta(microseconds=1)
 
 
 class History:
@@ -25,12 +28,12 @@ class History:
         self.undo, self.total, self.dirty, self.last = undo, total, dirty, last
         self.put: dict[int, int] = {}
 
-    def step(self, kind: str, seq: int, at: int | None, idle: int | None) -> None:
-        """One event, at microseconds ``at``; one that comes more than ``idle`` after the last finds a new history."""
-        if idle is not None and at is not None and self.last is not None and at - self.last > idle:
+    def step(self, kind: str, seq: int, at: int | None, idle: int | None) -> bool:
+        """One event, at microseconds ``at``; one that comes more than ``idle`` after the one before it in order of seq finds a new history. Whether it did."""
+        anew = idle is not None and at is not None and self.last is not None and at - self.last > idle
+        if anew:
             self.__init__()
-        if at is not None:
-            self.last = at if self.last is None else max(at, self.last)
+        self.last = at
         if kind == "edit":
             self.undo = self.total = self.undo + 1
             self.put[self.undo] = seq
@@ -39,12 +42,9 @@ class History:
         elif kind == "redo" and self.undo < self.total:
             self.undo += 1
         else:
-            return
+            return anew
         self.dirty = True
-
-
-def micros(ts) -> int | None:
-    return None if ts is None or ts is pd.NaT else int(pd.Timestamp(ts).value // 1000)
+        return anew
 
 
 def folded(events: DataFrame, idle_minutes: float | None = None) -> DataFrame:
@@ -81,42 +81,65 @@ def folded(events: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     return rows.repartition("session_id").sortWithinPartitions("session_id", "seq", "kind").mapInArrow(run, OUT)
 
 
+#: Depths in one entry of the map of a session's older edits.
+BLOCK = 1024
+
+
 class SessionReplay(StatefulProcessor):
-    """The history of a session in the state store: its edits by depth as a map, its places and times as a value. A timer at the end of the idle time clears both."""
+    """The history of a session in the state store. Its value has places, times and the newest edits; full blocks of edits below those are a map, so an ordinary session is read and written in one call each.
+
+    One timer a session waits for the end of the idle time. Where the session was used meanwhile, it is set anew; else value and map are cleared.
+    """
 
-    def __init__(self, idle_minutes: float):
-        self.idle = int(idle_minutes * 60_000_000)
+    def __init__(self, idle_minutes: float, block: int = BLOCK):
+        self.idle, self.block = int(idle_minutes * 60_000_000), block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.edits = handle.getMapState("edits", "depth long", "seq long")
-        self.place = handle.getValueState("place", "undo long, total long, dirty boolean, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        h = History(*self.place.get()) if self.place.exists() else History()
-        events = pd.concat(list(rows)).sort_values(["seq", "kind"])
-        fresh = h.last is None
-        for kind, seq, ts in zip(events["kind"], events["seq"].astype(int), events["ts"], strict=True):
-            before = h.last
-            h.step(kind, int(seq), micros(ts), self.idle)
-            fresh = fresh or before is not None and h.last - before > self.idle
-        if fresh:
-            self.edits.clear()
-        for depth, seq in h.put.items():
-            if depth <= h.total:
-                self.edits.updateValue((depth,), (seq,))
-        known = h.put
-        if any(d not in known for d in range(1, h.undo + 1)):
-            known = {int(d[0]): int(s[0]) for d, s in self.edits.iterator()} | known
-        self.place.update((h.undo, h.total, bool(h.dirty), h.last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((h.last + self.idle) // 1000 + 1)
-        yield pd.DataFrame({"session_id": [key[0]], "effective": [[known[d] for d in range(1, h.undo + 1)]], "undo_depth": [h.undo], "redo_depth": [h.total - h.undo], "dirty": [bool(h.dirty)], "last_used": [pd.Timestamp(h.last, unit="us")]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.edits.clear()
-        self.place.clear()
+        self.edits = handle.getMapState("edits", "block long", "seqs array<bigint>")
+        self.place = handle.getValueState("place", "undo long, total long, dirty boolean, last long, top array<bigint>")
+
+    def expiry(self, last: int) -> int:
+        return (last + self.idle) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.place.get()
+        h, top = (History(*kept[:4]), kept[4]) if kept else (History(), [])
+        before, timed, size = h.total, h.last is not None, self.block
+        below = before - len(top)
+        fresh = False
+        for seq, kind, at in sorted((e for r in rows for e in zip(r.seq, r.kind, r.at, strict=True)), key=itemgetter(0, 1)):
+            fresh = h.step(kind, seq, at, self.idle) or fresh
+        old = top
+        if below:
+            if fresh:
+                self.edits.clear()
+            else:
+                blocks = {n[0]: seqs[0] for n, seqs in self.edits.iterator()}
+                old = [int(s) for n in range(below // size) for s in blocks[n]] + top
+        # depths that this batch didn't write are as they were
+        depths = [h.put[d] if d in h.put else old[d - 1] for d in range(1, h.total + 1)]
+        first = 0 if fresh else min(min(h.put, default=below + 1) - 1, below) // size
+        full = h.total // size
+        for n in range(first, full):
+            self.edits.updateValue((n,), (depths[n * size : (n + 1) * size],))
+        for n in range(full, 0 if fresh else below // size):
+            self.edits.removeKey((n,))
+        self.place.update((h.undo, h.total, h.dirty, h.last, depths[full * size :]))
+        if not timed and h.last is not None:
+            self.handle.registerTimer(self.expiry(h.last))
+        used = None if h.last is None else EPOCH + h.last * MICRO
+        yield Row(session_id=key[0], effective=depths[: h.undo], undo_depth=h.undo, redo_depth=h.total - h.undo, dirty=h.dirty, last_used=used)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.place.get()
+        if kept and kept[3] is not None:  # without a time, the next event sets the timer
+            if (at := self.expiry(kept[3])) > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(at)
+            else:
+                if kept[1] > len(kept[4]):
+                    self.edits.clear()
+                self.place.clear()
         return iter(())
 
     def close(self) -> None:
@@ -128,16 +151,18 @@ def replay_edits_stream(events: DataFrame, idle_minutes: float = 60, late_minute
 
     Events must arrive in order of seq from batch to batch; within one they are sorted. A session idle for ``idle_minutes`` by the events' own time is forgotten, by its next
     event or, where none comes, by a timer once the watermark is past that time; so the result doesn't depend on how events fall into batches.
-    Events older than the watermark, ``late_minutes`` behind the newest, are dropped.
+    Events of a session that lie next to one another are packed before their shuffle and reach the state as one row. Rows older than the watermark, ``late_minutes`` behind the
+    newest, are dropped; a packed row is as old as its newest event.
     """
-    timed = events.select(F.col("session_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(late_minutes * 60)} seconds")
-    return timed.groupBy("session_id").transformWithStateInPandas(SessionReplay(idle_minutes), OUT, "update", "eventTime")
+    rows = events.select(F.col("session_id").cast("long"), F.col("seq").cast("long"), "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    timed = packed(rows, ["session_id"]).withColumn("ts", F.timestamp_micros(F.array_max("at"))).withWatermark("ts", f"{math.ceil(late_minutes * 60)} seconds")
+    return timed.groupBy("session_id").transformWithState(SessionReplay(idle_minutes), OUT, "update", "eventTime")
 
 
 def replay_files(spark: SparkSession, path: str, schema, checkpoint: str, sink: str, files_per_batch: int | None = None, idle_minutes: float = 60, late_minutes: float = 10) -> DataFrame:
     """The event files under ``path`` that the checkpoint hasn't seen run through the stream, all at once or ``files_per_batch`` at a time in order of their times; each session's last state (OUT).
 
-    State is kept by the RocksDB store. A run that broke off goes on from the checkpoint, and a batch that is written again replaces its own folder.
+    Fewest rows reach the state where a file has the events of a session next to one another. State is kept by the RocksDB store. A run that broke off goes on from the checkpoint, and a batch that is written again replaces its own folder.
     """
     reader = spark.readStream.schema(schema)
     events = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)

@@ -1,13 +1,15 @@
 """Matching of blocks in rounds, and edit replay in batch and as a stream, against plain loops."""
 
 import random
+from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from leafwork.operators import history, revisions
-from leafwork.streaming.replay import kept_sessions, replay_files
+from leafwork.streaming.replay import SessionReplay, kept_sessions, replay_edits_stream, replay_files
 
-from test_operators import logged
+from test_operators import EVENTS, logged
 
 BLOCKS = "doc_id long, page_no long, block_id long, text string, x double, y double, width double, height double"
 
@@ -118,6 +120,72 @@ def test_expiry_clears_the_store(spark, tmp_path):
     assert {r.key.session_id for r in kept.collect()} == {2}
 
 
+class Store:
+    """A value, a map and timers of one session, as the state store has them."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, []
+
+    def getValueState(self, *_):
+        put = lambda v: setattr(self, "value", v)
+        return SimpleNamespace(get=lambda: self.value, update=put, clear=lambda: put(None))
+
+    def getMapState(self, *_):
+        return SimpleNamespace(iterator=lambda: iter(list(self.map.items())), updateValue=self.map.__setitem__, removeKey=self.map.__delitem__, clear=self.map.clear)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_deep_histories_lie_in_blocks_and_idle_ones_are_cleared():
+    r, minute = random.Random(5), 60_000_000
+    for size in (1, 2, 3, 50):
+        store, log, at = Store(), [], 0
+        replay = SessionReplay(20, size)
+        replay.init(store)
+        for batch in range(60):
+            new = []
+            for _ in range(r.randrange(1, 9)):
+                at += 25 if r.random() < 0.01 else 1
+                new.append((len(log) + len(new), r.choice(["edit", "edit", "undo", "redo"] if batch % 20 < 12 else ["undo", "undo", "edit"]), at))
+            log += new
+            packs = [SimpleNamespace(seq=[e[0] for e in p], kind=[e[1] for e in p], at=[e[2] * minute for e in p]) for p in (new[1:], new[:1])]
+            (got,) = replay.handleInputRows((1,), iter(packs), None)
+            assert state(got) == brute_replay(log, 20)
+            total = got.undo_depth + got.redo_depth
+            assert sorted(store.map) == [(n,) for n in range(total // size)] and len(store.timers) == 1
+        early, late = (SimpleNamespace(getCurrentWatermarkInMs=lambda m=m: m * 60_000) for m in (at, at + 21))
+        assert not list(replay.handleExpiredTimer((1,), early, None)) and store.value and store.timers[1:] == [(at + 20) * 60_000 + 1]
+        assert not list(replay.handleExpiredTimer((1,), late, None)) and store.value is None and not store.map
+
+
+def test_events_are_packed_before_the_state(spark, tmp_path):
+    schema = logged(spark, [(1, 1, "edit")]).schema
+    plan = replay_edits_stream(spark.readStream.schema(schema).parquet(str(tmp_path)))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("TransformWithState") < plan.index("EventTimeWatermark") < plan.index("MapInArrow")
+
+
+def test_sessions_whose_times_lie_behind_are_not_dropped(spark):
+    from leafwork.plans import history as plans, registry
+
+    registry.queries()
+    log = [(s, s * 100 + i, "undo" if i % 3 == 2 else "edit") for s in range(8) for i in range(9)]
+    day = datetime(2024, 1, 1)
+    # every session has the same days; those that arrive later are no newer
+    rows = [(s, q, k, 1, day + timedelta(hours=10 * (q % 100) + s % 3)) for s, q, k in log]
+    t = SimpleNamespace(spark=spark, edit_event=spark.createDataFrame(rows, EVENTS))
+    got = {r.session_id: (r.effective, r.undo_depth, r.redo_depth, r.dirty) for r in plans.r2_replay_edits_stream(t).collect()}
+    want = {s: brute_replay([(q, k, 0) for x, q, k in log if x == s]) for s in range(8)}
+    assert got == {s: (",".join(map(str, w[0])), *w[1:]) for s, w in want.items()}
+
+
+def test_a_session_was_last_used_by_its_last_event(spark):
+    day = datetime(2024, 1, 1)
+    rows = [(1, 1, "edit", 1, day + timedelta(minutes=60)), (1, 2, "edit", 1, day), (1, 3, "edit", 1, day + timedelta(minutes=65))]
+    got = history.replay_edits(spark.createDataFrame(rows, EVENTS), 20).first()
+    assert got.effective == [3] and history.replay_edits(spark.createDataFrame(rows[:2], EVENTS)).first().last_used == day
+
+
 def test_sessions_used_longest_ago_are_out(spark):
     states = history.replay_edits(logged(spark, [(s, s * 3 + 1, "edit") for s in range(6)]))
     assert {r.session_id for r in kept_sessions(states, 2).filter("kept").collect()} == {4, 5}
