@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from leafwork.functions.text import blank_trim, text_width, width_of
 from leafwork.sources.writers import in_order, letters_of
 
-from .runs import gathered, packed
+from .runs import changes, gathered, packed
 
 PAGE = ["doc_id", "page_no"]
 
@@ -163,23 +165,111 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "para").agg(in_order(joint, "", "_seq").alias("text"))
 
 
+#: Runs of operations that are looked at together, and what an operation does to spans.
+RUNS_AT_ONCE, OPENS, OPENS_TAGGED, CLOSES = 256, 1, 2, 3
+
+
+class _Spans:
+    """Which operations stay, in order of page and seq: those of no span that a tagged mark opens. The spans that are open are remembered from call to call."""
+
+    def __init__(self):
+        self.page, self.open, self.within = None, [], 0
+
+    def stays(self, mark: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """``page``: a number for each row, which grows from page to page. A closing mark without an open span does nothing."""
+        keep, since = np.ones(len(page), dtype=bool), 0  # where the outermost tagged span began
+        marks = np.flatnonzero(mark)
+        for i, n, what in zip(marks.tolist(), page[marks].tolist(), mark[marks].tolist(), strict=True):
+            if n != self.page:
+                if self.within:  # spans end with their page
+                    keep[since : np.searchsorted(page, self.page, "right")] = False
+                self.page, self.open, self.within = n, [], 0
+            if what != CLOSES:
+                tagged = what == OPENS_TAGGED
+                self.open.append(tagged)
+                since = i if tagged and not self.within else since
+                self.within += tagged
+            elif self.open and self.open.pop():
+                self.within -= 1
+                if not self.within:
+                    keep[since : i + 1] = False
+        if self.within:
+            keep[since : np.searchsorted(page, self.page, "right")] = False
+        return keep
+
+
+def _in_place(page: np.ndarray, seq: pa.ChunkedArray) -> bool:
+    ascends = pc.fill_null(pc.greater_equal(seq[1:], seq[:-1]), False).to_numpy(zero_copy_only=False)
+    return bool((ascends | (page[1:] != page[:-1])).all()) and not seq.null_count
+
+
+def _stripped(ops: DataFrame, tag: str, columns: list[str], streams: DataFrame | None = None) -> DataFrame:
+    """Runs of a page's operations are packed before their shuffle, sorted by where they begin and read in one pass. Where runs of a page overlap, their rows wait and are sorted as they meet; else no page is held."""
+    opens = F.col("op").isin("BDC", "BMC")
+    mark = F.when(opens & (F.coalesce("name", F.lit("")) == tag), OPENS_TAGGED).when(opens, OPENS).when(F.col("op") == "EMC", CLOSES).otherwise(0).cast("byte")
+    out, gone = ops.select(columns).schema, F.lit(None).cast("array<long>")
+    read = [*dict.fromkeys(["seq", *(c for c in columns if c not in PAGE), *(["stream"] if streams is not None else [])])]
+    runs = packed(ops.select(*PAGE, *read, mark.alias("_mark")), PAGE)
+    runs = runs.withColumn("_from", F.when(~F.exists("seq", F.isnull), F.array_min("seq")))
+    if streams is None:
+        runs = runs.withColumn("_gone", gone)
+    else:
+        runs = runs.unionByName(streams.groupBy(*PAGE).agg(F.collect_set("stream").alias("_gone")), allowMissingColumns=True)
+    runs = runs.repartition(*PAGE).sortWithinPartitions(*PAGE, F.col("_gone").isNull(), "_from")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, gone, number, last = _Spans(), {}, 0, None
+        wait: tuple[pa.Table, np.ndarray] | None = None
+
+        def kept(flat: pa.Table, page: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = spans.stays(flat.column("_mark").to_numpy(), page)
+            for n, streams in gone.items():
+                lo, hi = np.searchsorted(page, [n, n + 1])
+                if lo < hi:
+                    keep[lo:hi] &= ~pc.is_in(flat.column("stream").slice(lo, hi - lo), streams).to_numpy(zero_copy_only=False)
+            yield from flat.select(columns).filter(pa.array(keep)).to_batches()
+
+        for b in (whole.slice(at, RUNS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, RUNS_AT_ONCE)):
+            heads = b.select(PAGE) if last is None else pa.concat_batches([last, b.select(PAGE)])
+            anew = np.zeros(heads.num_rows, dtype=np.int64)
+            anew[changes(heads, PAGE)] = 1
+            pages = (number + np.cumsum(anew))[0 if last is None else 1 :]
+            number, last = int(pages[-1]), b.select(PAGE).slice(b.num_rows - 1)
+            gone = {n: v for n, v in gone.items() if n >= pages[0] or wait is not None and n >= wait[1][0]}
+            for i in np.flatnonzero(b.column("_gone").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                gone[int(pages[i])] = b.column("_gone")[i].values
+            rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(b.column("seq")), 0).to_numpy(zero_copy_only=False))
+            flat = pa.Table.from_arrays([*(b.column(k).take(pa.array(rows)) for k in PAGE), *(b.column(c).flatten() for c in [*read, "_mark"])], [*PAGE, *read, "_mark"])
+            page = pages[rows]
+            if wait is not None:
+                flat, page = pa.concat_tables([wait[0], flat]), np.append(wait[1], page)
+            if not _in_place(page, flat.column("seq")):
+                by = pc.sort_indices(pa.table({"page": page, "seq": flat.column("seq")}), [("page", "ascending"), ("seq", "ascending")], null_placement="at_start")
+                flat, page = flat.take(by), page[by.to_numpy()]
+            # of the last page, what lies before its last run is complete
+            begun = b.column("_from")[b.num_rows - 1].as_py()
+            waits = page == number
+            if begun is not None:
+                waits &= pc.fill_null(pc.greater_equal(flat.column("seq"), begun), False).to_numpy(zero_copy_only=False)
+            cut = len(page) - int(waits.sum())
+            yield from kept(flat.slice(0, cut), page[:cut])
+            wait = (flat.slice(cut), page[cut:]) if cut < len(page) else None
+        if wait is not None:
+            yield from kept(*wait)
+
+    return runs.mapInArrow(run, out)
+
+
 def strip_spans(ops: DataFrame, tag: str = "Watermark") -> DataFrame:
     """Operations without those from a BDC named ``tag`` to its EMC, whatever is marked within it included."""
-    opens, closes = F.col("op").isin("BDC", "BMC"), F.col("op") == "EMC"
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far())
-    starts = opens & (F.coalesce("name", F.lit("")) == tag)
-    rows = ops.withColumns({"_starts": starts, "_level": F.when(opens, depth).when(closes, depth + 1)})
-    # an EMC closes the last span opened at its level
-    level = Window.partitionBy(*PAGE, "_level").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_ends", closes & F.coalesce(F.last(F.when(opens, F.col("_starts")), ignorenulls=True).over(level), F.lit(False)))
-    inside = F.sum(F.when(F.col("_starts"), 1).when(F.col("_ends"), -1).otherwise(0)).over(so_far()) > 0
-    return rows.withColumn("_in", inside | F.col("_ends")).filter("NOT _in").select(*ops.columns)
-
-
-def strip_watermarks(ops: DataFrame, uses: DataFrame, annots: DataFrame, tag: str = "Watermark") -> tuple[DataFrame, DataFrame]:
-    """Operations (with their ``stream``) without marked spans and without whole streams that use a resource named ``tag`` (doc_id, page_no, stream, resource), and annotations without those of that subtype."""
-    streams = uses.filter(F.col("resource") == tag).select(*PAGE, "stream").distinct()
-    return strip_spans(ops, tag).join(streams, [*PAGE, "stream"], "left_anti"), annots.filter(F.coalesce("subtype", F.lit("")) != tag)
+    return _stripped(ops, tag, ops.columns)
+
+
+def strip_watermarks(ops: DataFrame, uses: DataFrame, annots: DataFrame, tag: str = "Watermark", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Operations (with their ``stream``) without marked spans and without whole streams that use a resource named ``tag`` (doc_id, page_no, stream, resource), and annotations without those of that subtype. Of operations only ``columns``, where they are given."""
+    streams = uses.filter(F.col("resource") == tag).select(*PAGE, "stream").dropna()
+    kept = _stripped(ops, tag, columns or ops.columns, streams)
+    return kept, annots.filter(F.coalesce("subtype", F.lit("")) != tag)
 
 
 def image_placements(ops: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 
-def _changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+def changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """The rows of a batch, but for the first, whose keys aren't those of the row before; nulls are equal."""
     found = np.zeros(max(0, b.num_rows - 1), dtype=bool)
     for k in keys:
@@ -38,13 +38,13 @@ def _pack(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
             if not b.num_rows:
                 continue
             if not whole:
-                yield lists(b, np.append(0, _changes(b, keys)))
+                yield lists(b, np.append(0, changes(b, keys)))
                 continue
-            at = _changes(b, keys)
+            at = changes(b, keys)
             if open_:
                 last = open_[-1].select(keys)
                 joint = pa.concat_batches([last.slice(last.num_rows - 1), b.select(keys).slice(0, 1)])
-                at = np.append(0, at) if len(_changes(joint, keys)) else at
+                at = np.append(0, at) if len(changes(joint, keys)) else at
             if len(at):
                 done = pa.concat_batches([*open_, b.slice(0, at[-1])])
                 before = sum(o.num_rows for o in open_)

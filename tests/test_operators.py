@@ -1,6 +1,7 @@
 """Behaviour of the document operators on small tables made by hand."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -128,6 +129,47 @@ def test_nested_spans_end_where_they_began(spark):
     assert [r.seq for r in layout.strip_spans(ops).orderBy("seq").collect()] == [6, 7, 8, 9]
 
 
+def brute_spans(log, tag, gone):
+    """(seq, op, name, stream) of a page without marked spans and streams that are gone: spans by a stack."""
+    kept, stack = [], []
+    for seq, op, name, stream in sorted(log, key=lambda r: (r[0] is not None, r[0])):
+        inside = any(stack)
+        if op in ("BDC", "BMC"):
+            stack.append(name == tag)
+        elif op == "EMC" and stack:
+            stack.pop()
+        if not inside and not any(stack) and stream not in gone:
+            kept.append(seq)
+    return sorted(kept, key=str)
+
+
+def test_spans_and_streams_go_whatever_the_order_of_rows(spark):
+    r = random.Random(3)
+    log = [(d, p, i, r.choice(["BDC", "BMC", "EMC", "EMC", "Tj", None]), r.choice(["Watermark", "Span", None]), i // 20) for d in (1, 2, None) for p in (0, None) for i in range(150)]
+    log += [(1, 0, None, "Tj", None, 0), (2, 0, None, "Tj", None, None)]
+    gone = [(d, p, s) for d in (1, None) for p in (0, None) for s in (2, 5)] + [(9, 9, 0)]
+    uses = spark.createDataFrame([(*g, "Watermark") for g in gone] + [(2, 0, 1, "Im1")], "doc_id long, page_no long, stream long, resource string")
+    a = spark.createDataFrame([(1, "p", None, k, "me", "", 0, "", 1.0, 2.0, 3.0, 4.0) for k in ("Widget", "Watermark")], ANNOT)
+    for rows in (log, r.sample(log, len(log))):
+        ops = spark.createDataFrame(rows, "doc_id long, page_no long, seq long, op string, name string, stream long").repartition(3)
+        got = layout.strip_watermarks(ops, uses, a, columns=["doc_id", "page_no", "seq"])
+        for out, left in (([], layout.strip_spans(ops)), (gone, got[0])):
+            found = {}
+            for x in left.collect():
+                found.setdefault((x.doc_id, x.page_no), []).append(x.seq)
+            for page in {x[:2] for x in log}:
+                # null is no page: its streams stay
+                away = [] if None in page else [s for d, p, s in out if (d, p) == page]
+                assert sorted(found.get(page, []), key=str) == brute_spans([x[2:] for x in log if x[:2] == page], "Watermark", away), (page, len(out))
+        assert [x.subtype for x in got[1].collect()] == ["Widget"]
+
+
+def test_spans_are_shuffled_and_sorted_once(spark):
+    ops = spark.createDataFrame([(1, 0, 0, "Tj", None)], "doc_id long, page_no long, seq long, op string, name string")
+    plan = layout.strip_spans(ops)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Sort ") == 1 and "Window" not in plan and plan.index("REPARTITION") < plan.rindex("MapInArrow")
+
+
 def test_wrapping_keeps_words_and_punctuation_rules(spark):
     p = spark.createDataFrame([(1, 0, "aaaa bbbb cccc"), (1, 1, ""), (1, 2, "漢字漢。")], "doc_id long, pos int, line string")
     got = [(r.pos, r.text) for r in layout.wrap_text(p, 30, 10).orderBy("pos", "line_no").collect()]
