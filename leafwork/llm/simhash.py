@@ -345,40 +345,90 @@ class _Possible:
             yield batch.select(["own", "other"]).take(pa.array(at))
 
 
-#: A filter over signatures: bits, which are pieces of the signature itself.
-FILTER = 63 << 19
+#: Signatures that a task gathers, as a rule, and the slots it takes them in, one at a time.
+DEALT, SLOTS = 1 << 20, 8
 
 
-SHIFTS = (0, 19, 38)
+class _Dealt:
+    """The signatures of a few documents (doc_id, n, signatures) by slot: one row for each slot, with the doc_id and n of each signature."""
 
+    def __init__(self, slots: int):
+        self.slots = slots
 
-def _filter_of(shared: DataFrame):
-    """A filter of a fixed size over signatures, broadcast: it claims all of ``shared`` and few others, more where they are many; it saves shuffles and decides nothing."""
-    place = F.explode(F.array(*(F.pmod(F.shiftright("sig", k), F.lit(FILTER)) for k in SHIFTS))).alias("p")
-    found = shared.select(place).groupBy(F.expr("p div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("b")).toArrow()
-    bits = np.zeros(FILTER // 63, np.int64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return shared.sparkSession.sparkContext.broadcast(bits)
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                lists = batch.column("signatures")
+                sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                if not len(sigs):
+                    continue
+                slot = np.mod(sigs, self.slots)
+                order = np.argsort(slot, kind="stable")
+                slot, of = slot[order], pa.array(of[order])
+                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                ends = pa.array(np.append(first, len(slot)), pa.int32())
+                columns = (pa.array(sigs[order]), batch.column("doc_id").take(of), batch.column("n").take(of))
+                yield pa.RecordBatch.from_arrays([pa.array(slot[first]), *(pa.ListArray.from_arrays(ends, c) for c in columns)], ["slot", "sig", "doc_id", "n"])
 
 
-class _Claimed:
-    """The rows (sig, doc_id, n) of signatures that the filter claims."""
+class _Shared:
+    """The rows (sig, doc_id, n) of signatures that several documents have; rows of a slot stand together.
 
-    def __init__(self, bits):
-        self.bits = bits
+    What is held is a slot's signatures that were met once, those that were met twice, and up to ``most`` rows that were not looked at: rows of a signature that many documents have pass by.
+    """
+
+    def __init__(self, most: int = DEALT):
+        self.most = most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
-                lists = batch.column("signatures")
-                sigs, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                for k in SHIFTS:
-                    p = np.mod(np.right_shift(sigs, k), FILTER)
-                    sure = (self.bits.value[p // 63] >> (p % 63)) & 1 == 1
-                    sigs, of = sigs[sure], of[sure]
-                of = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs), batch.column("doc_id").take(of), batch.column("n").take(of)], ["sig", "doc_id", "n"])
+        slot, held, known, fresh = None, [], np.zeros(0, np.int64), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("slot").to_numpy()
+            edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist()
+            for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
+                if held and at[a] != slot:
+                    found, _, _ = self.folded(held, known)
+                    yield from self.out(found)
+                    held, known, fresh = [], known[:0], 0
+                slot, part = at[a], batch.slice(a, b - a)
+                held.append([part.column(c).flatten().to_numpy() for c in ("sig", "doc_id", "n")])
+                fresh += len(held[-1][0])
+                if fresh >= self.most:
+                    found, left, known = self.folded(held, known)
+                    yield from self.out(found)
+                    held, fresh = [left], 0
+        if held:
+            yield from self.out(self.folded(held, known)[0])
+
+    def folded(self, held: list[list[np.ndarray]], known: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The rows of signatures that are held twice or in ``known``, the others, and all signatures known by now."""
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.argsort(rows[0], kind="stable")
+        rows = [c[order] for c in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        shared = np.append(same, False) | np.append(False, same) | np.isin(rows[0], known)
+        return [c[shared] for c in rows], [c[~shared] for c in rows], np.union1d(known, rows[0][shared])
+
+    def out(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in rows], ["sig", "doc_id", "n"])
+
+
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """sig, doc_id, n: the signatures of ``rows`` (doc_id, n, signatures) that several documents have, each with its documents.
+
+    Signatures are dealt out by slot, packed, in one shuffle, and nothing is grouped before it. Slots and tasks grow with the signatures, so what a task holds doesn't.
+    """
+    # a set of n elements has n + 20 signatures at most
+    most = rows.agg(F.sum(F.col("n") + 20)).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // DEALT))
+    # a part of them at a time, so that batches of rows stay small however long the texts
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("signatures")), F.lit(128)), lambda i: F.slice("signatures", i, 128))
+    dealt = rows.select("doc_id", "n", F.explode(pieces).alias("signatures")).mapInArrow(_Dealt(SLOTS * tasks), "slot long, sig array<long>, doc_id array<long>, n array<long>")
+    return dealt.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(_Shared(), "sig long, doc_id long, n long")
 
 
 class _Similar:
@@ -440,16 +490,13 @@ def _near(docs: DataFrame, width: int, similarity: float, radius: int, most: int
     joined = verified(written(alike.union(near.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()))
     refuted = None
 
-    # by signatures: those of two documents or more; documents are counted before rows meet
-    shared = written(rows.select("doc_id", F.explode("signatures").alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("sig"))
-    # a few at a time, so that batches of rows stay small however long the texts
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("signatures")), F.lit(32)), lambda i: F.slice("signatures", i, 32))
-    own = rows.select("doc_id", "n", F.explode(pieces).alias("signatures")).mapInArrow(_Claimed(_filter_of(shared)), "sig long, doc_id long, n long").join(shared, "sig", "left_semi")
+    # by signatures: those of two documents or more
+    own = shared_signatures(rows)
     # one row of each kind: a document of its own set's name
     members = written(own.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("sig", F.col("doc_id").alias("id"), "n"))
     named = written(rows.select("doc_id", "same"))
     sketches = written(rows.join(kinds.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch"))
-    forget(rows, shared, shuffles=True)
+    forget(rows, shuffles=True)
     names = components(joined)
     labels = written(kinds.select("id").join(names.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
     partners, met = 0, None
