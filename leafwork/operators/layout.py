@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from leafwork.functions.text import blank_trim, text_width, width_of
 from leafwork.sources.writers import in_order, letters_of
 
-from .runs import changes, gathered, packed
+from .runs import apart, changes, gathered, packed
 
 PAGE = ["doc_id", "page_no"]
 
@@ -126,10 +126,141 @@ def column_count(blocks: DataFrame, col_tol: float = 18.0) -> DataFrame:
     return gathered(runs, PAGE).select(*PAGE, F.nullif(F.size(cols), F.lit(0)).cast("long").alias("n_columns"))
 
 
-def grid_cells(blocks: DataFrame) -> DataFrame:
-    """Cells (doc_id, page_no, row, col, text) of pages that are tables, trimmed texts joined by spaces from left to right; other pages are one column."""
-    rows = cluster_rows(blocks.select(*PAGE, "block_id", "x", "y", "text")).withColumn("col", F.when(F.col("is_table"), F.col("col")).otherwise(0)).withColumn("_t", blank_trim(F.col("text"))).filter("_t <> ''")
-    return rows.groupBy(*PAGE, "row", "col").agg(in_order(F.col("_t"), " ", "x", "block_id").alias("text"))
+#: Runs of blocks that are looked at together.
+GRIDS_AT_ONCE = 256
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists of numbers, one after the other, nulls as 0, and which are null."""
+    values = lists.flatten()
+    return pc.fill_null(values, 0).to_numpy(zero_copy_only=False), pc.is_null(values).to_numpy(zero_copy_only=False)
+
+
+def _numbered(page: np.ndarray, value: np.ndarray, falls: bool, new) -> tuple[np.ndarray, list[int], list[float]]:
+    """For each value of a page the number of starts up to it, less one; then the page and the value of each start.
+
+    A page's values rise, or fall, NaN the largest; those are starts that are ``new`` after the start before them.
+    """
+    if not len(value):
+        return np.zeros(0, np.int64), [], []
+    nan = np.isnan(value)
+    order = np.lexsort((-value, ~nan, page) if falls else (value, page))
+    p, v, n = page[order], value[order], nan[order]
+    fresh = np.append(True, (p[1:] != p[:-1]) | ((v[1:] != v[:-1]) & ~(n[1:] & n[:-1])))
+    number, pages, starts, k = [], [], [], -1
+    for q, x in zip(p[fresh].tolist(), v[fresh].tolist(), strict=True):
+        if not pages or q != pages[-1] or new(x, starts[-1]):
+            k = 0 if not pages or q != pages[-1] else k + 1
+            pages.append(q)
+            starts.append(x)
+        number.append(k)
+    out = np.empty(len(value), np.int64)
+    out[order] = np.array(number, np.int64)[np.cumsum(fresh) - 1]
+    return out, pages, starts
+
+
+class _Grids:
+    """Cells of pages whose runs of blocks stand together, or with ``columns`` rows of so many cells; a page at a time is held."""
+
+    def __init__(self, tol: float, col_tol: float, columns: int | None):
+        self.tol, self.col_tol, self.columns = tol, col_tol, columns
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for a in range(0, whole.num_rows, GRIDS_AT_ONCE):
+                held.append(whole.slice(a, GRIDS_AT_ONCE))
+                last = held[-2:]
+                if len(last) == 2 and not len(changes(pa.concat_batches([last[0].select(PAGE).slice(last[0].num_rows - 1), last[1].select(PAGE)]), PAGE)):
+                    continue  # the page that is held goes on
+                runs = pa.concat_batches(held)
+                edges = changes(runs, PAGE)
+                if len(edges):
+                    yield self.out(runs.slice(0, edges[-1]))
+                    runs = runs.slice(edges[-1])
+                held = [runs]
+        if held:
+            yield self.out(pa.concat_batches(held))
+
+    def out(self, runs: pa.RecordBatch) -> pa.RecordBatch:
+        edges = np.append(0, changes(runs, PAGE))
+        many = runs.column("x").value_lengths().to_numpy(zero_copy_only=False)
+        page = np.repeat(np.repeat(np.arange(len(edges)), np.diff(np.append(edges, runs.num_rows))), many)
+        (x, no_x), (y, no_y), (block, no_block) = (_flat(runs.column(c)) for c in ("x", "y", "block_id"))
+        row = np.full(len(page), -1)
+        row[~no_y] = _numbered(page[~no_y], y[~no_y], True, lambda v, s: not abs(v - s) <= self.tol)[0]
+        col = self.nearest(page, x, ~no_x, len(edges))
+        text = apart(runs.column("_t"))
+        keep = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) > 0)
+        # from left to right, what has no place first; equal places by block and text
+        keys = [c[keep] for c in (block, ~no_block, x, ~no_x, col, row, page)]
+        order = np.lexsort(keys)
+        same = np.ones(max(0, len(keep) - 1), bool)
+        for k in keys:
+            same &= (k[order][1:] == k[order][:-1]) | ((k[order][1:] != k[order][1:]) & (k[order][:-1] != k[order][:-1]))
+        if same.any():
+            words = np.empty(len(keep), object)
+            words[:] = text.take(pa.array(keep)).to_pylist()
+            order = np.lexsort([np.unique(words, return_inverse=True)[1], *keys])
+        at = keep[order]
+        page, row, col = page[at], row[at], col[at]
+        line = np.append(True, (page[1:] != page[:-1]) | (row[1:] != row[:-1]))[: len(at)]
+        first = np.flatnonzero(line | np.append(True, col[1:] != col[:-1])[: len(at)])
+        cells = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), text.take(pa.array(at))), b" ").cast(pa.string())
+        col, line = col[first], line[first]
+        if self.columns is None:
+            heads, rest = first, {"col": pa.array(col), "text": cells}
+        else:
+            if len(col) and col.max() >= self.columns:
+                raise ValueError(f"no column {col.max()}")
+            heads, nth = first[line], np.cumsum(line) - 1
+            rest = {}
+            for i in range(self.columns):
+                own = np.full(len(heads), -1)
+                own[nth[col == i]] = np.flatnonzero(col == i)
+                rest[letters_of(i)] = cells.take(pa.array(own, mask=own < 0))
+        names = {k: runs.column(k).take(pa.array(edges[page[heads]])) for k in PAGE} | {"row": pa.array(row[heads])} | rest
+        return pa.RecordBatch.from_arrays(list(names.values()), list(names))
+
+    def nearest(self, page: np.ndarray, x: np.ndarray, known: np.ndarray, pages: int) -> np.ndarray:
+        """The nearest column of each block, the left one of two; 0 on pages of less than two columns and where there is no place."""
+        col = np.zeros(len(page), np.int64)
+        if not known.any():
+            return col
+        p, v = page[known], x[known]
+        k, of, starts = _numbered(p, v, False, lambda a, s: not abs(a - s) < self.col_tol)
+        starts = np.array(starts)
+        n = np.bincount(of, minlength=pages)
+        first = np.cumsum(n) - n
+        left = first[p] + k
+        right = np.minimum(left + 1, first[p] + n[p] - 1)
+        with np.errstate(invalid="ignore"):
+            found = k + (np.abs(starts[right] - v) < np.abs(v - starts[left]))
+            for i in np.flatnonzero(~np.isfinite(v)):
+                d = np.abs(v[i] - starts[first[p[i]] : first[p[i]] + n[p[i]]])
+                found[i] = np.lexsort((d, np.isnan(d)))[0]
+        col[known] = np.where(n[p] >= 2, found, 0)
+        return col
+
+
+def _grids(blocks: DataFrame, tol: float, col_tol: float, columns: int | None) -> DataFrame:
+    """Blocks are packed by page, trimmed texts as one value, and dealt out by document: the one shuffle. A task gets its pages one after the other."""
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    runs = packed(blocks.select(*PAGE, F.col("block_id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"), blank_trim(F.col("text")).alias("_t")), PAGE, joined=("_t",))
+    rest = "col long, text string" if columns is None else ", ".join(f"{letters_of(i)} string" for i in range(columns))
+    return runs.repartition("doc_id").sortWithinPartitions(*PAGE).mapInArrow(_Grids(tol, col_tol, columns), f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, row long, {rest}")
+
+
+def grid_cells(blocks: DataFrame, tol: float = 5.0, col_tol: float = 18.0) -> DataFrame:
+    """Cells (doc_id, page_no, row, col, text) of pages that are tables, trimmed texts joined by spaces from left to right; other pages are one column. Rows and columns are those of ``cluster_rows``."""
+    return _grids(blocks, tol, col_tol, None)
+
+
+def grid_sheet(blocks: DataFrame, columns: int, tol: float = 5.0, col_tol: float = 18.0) -> DataFrame:
+    """What ``write_grid`` makes of ``grid_cells``, in their one shuffle; a document's rows are in one task."""
+    if not 0 < columns <= 18278:
+        raise ValueError("a sheet has 1 to 18278 columns")
+    return _grids(blocks, tol, col_tol, columns)
 
 
 def write_grid(cells: DataFrame, columns: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 
 def changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -23,14 +23,19 @@ def changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(found) + 1
 
 
-def _pack(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+#: What stands between texts that are one value: a byte that UTF-8 never has.
+BETWEEN = b"\xff"
+
+
+def _pack(rows: DataFrame, keys: list[str], whole: bool, joined: tuple[str, ...] = ()) -> DataFrame:
     others = [c for c in rows.columns if c not in keys]
     fields = {f.name: f for f in rows.schema}
 
     def lists(b: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
         offsets = pa.array(np.append(at, b.num_rows), pa.int32())
         heads = [b.column(k).take(pa.array(at)) for k in keys]
-        return pa.RecordBatch.from_arrays([*heads, *(pa.ListArray.from_arrays(offsets, b.column(c)) for c in others)], [*keys, *others])
+        column = lambda c: pc.binary_join(pa.ListArray.from_arrays(offsets, pc.fill_null(b.column(c).cast(pa.binary()), b"")), BETWEEN) if c in joined else pa.ListArray.from_arrays(offsets, b.column(c))
+        return pa.RecordBatch.from_arrays([*heads, *map(column, others)], [*keys, *others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[pa.RecordBatch] = []  # the last run so far, where it may go on in the next batch
@@ -57,17 +62,23 @@ def _pack(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
         if open_:
             yield lists(pa.concat_batches(open_), np.zeros(1, dtype=np.int64))
 
-    schema = StructType([*(StructField(k, fields[k].dataType) for k in keys), *(StructField(c, ArrayType(fields[c].dataType)) for c in others)])
+    schema = StructType([*(StructField(k, fields[k].dataType) for k in keys), *(StructField(c, BinaryType() if c in joined else ArrayType(fields[c].dataType)) for c in others)])
     return rows.select(*keys, *others).mapInArrow(run, schema)
 
 
-def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def packed(rows: DataFrame, keys: list[str], joined: tuple[str, ...] = ()) -> DataFrame:
     """One row for each run of ``rows`` with the same ``keys``: the keys once, and the other columns as arrays in the order of the rows.
 
     A shuffle then moves keys and row headers once a run and not once a row. Rows in any order are right: a run ends where a key changes or an Arrow batch does, so
-    a key may have several runs, which ``gathered`` brings together.
+    a key may have several runs, which ``gathered`` brings together. Columns of text that are ``joined`` are one binary value with ``BETWEEN`` between the texts, null ones empty: an array has 16 bytes for each word of
+    five letters. ``apart`` takes them apart.
     """
-    return _pack(rows, keys, False)
+    return _pack(rows, keys, False, joined)
+
+
+def apart(values: pa.Array) -> pa.Array:
+    """The texts of ``joined`` values, one after the other, as binary ones."""
+    return pc.split_pattern(values, BETWEEN).flatten()
 
 
 def gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
